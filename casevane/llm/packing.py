@@ -16,7 +16,6 @@ nothing; rows with equal ids are separate items; ties are broken by id, then by
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -113,9 +112,9 @@ def pack(
         cluster.isNull().alias("_no_c"),
     ).withColumn("_shard", F.pmod(F.xxhash64("_id", "_size", "_c"), F.lit(shards)).cast("int"))
 
-    def run(key: tuple, tables: Iterator[pa.RecordBatch] | pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], items: pa.Table) -> pa.Table:
         shard = key[0].as_py()
-        t = tables.to_pydict()
+        t = items.to_pydict()
         rows = sorted(
             zip(t["_id"], t["_size"], t["_s"], t["_no_s"], t["_c"], t["_no_c"], strict=True),
             key=lambda r: (-(r[1] % capacity), r[0] is None, r[0] or 0, r[1], r[2], r[4]),
