@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, orderhash, packing, quality, repeats, tokens, toxicity, urlfilter
+from . import langid, neardup, orderhash, packing, quality, repeats, spiece, tokens, toxicity, urlfilter
 from .common import table
 
 
@@ -41,6 +41,12 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return spiece.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(table(spark, sf_dir, "documents"))
 
