@@ -176,19 +176,28 @@ def identify(docs: DataFrame, net: ByteNet | None, *, id_col: str = "doc_id", te
     """``id_col, lang_pred, score`` (and the columns to keep) of every row; one narrow pass."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand numbers
     columns = list(dict.fromkeys([id_col, *keep]))
+    sent = columns if text_col in columns else [*columns, text_col]
+    at = sent.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for a in range(0, rows.num_rows, 512):
                 part = rows.slice(a, 512)
-                langs, scores = predict(shared.value, part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "__lang", "__score"])
+                langs, scores = predict(shared.value, part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "__lang", "__score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(F.col(text_col).alias("__text"), *columns).mapInArrow(run, f"{kinds}, __lang string, __score double")
+    return docs.select(*sent).mapInArrow(run, f"{kinds}, __lang string, __score double")
 
 
 def language_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: tuple[int, int] = (4, 2)) -> DataFrame:
     """``id_col, held_out, lang_pred, score`` of every row."""
     net = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, fold=fold)
     return identify(docs, net, id_col=id_col, text_col=text_col).select(id_col, held_out(*fold, key=id_col).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+def known_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
+    """The rows whose text has a language, with the columns they came with.  ``least``: a score below is no language."""
+    net = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    got = identify(docs, net, id_col=id_col, text_col=text_col, keep=docs.columns)
+    return got.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)

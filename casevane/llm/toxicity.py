@@ -208,17 +208,19 @@ def score(docs: DataFrame, model: Model | None, *, text_col: str = "text", keep:
     """The columns to keep and ``__score``; one narrow pass over whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # lexicons and trees of a bounded sample
     columns = list(keep)
+    sent = columns if text_col in columns else [*columns, text_col]
+    at = sent.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for a in range(0, rows.num_rows, 1000):
                 part = rows.slice(a, 1000)
-                texts = part.column(0).to_pylist()
+                texts = part.column(at).to_pylist()
                 got = shared.value.scores(texts) if shared.value is not None else [0.0] * len(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(got, pa.float64())], names=[*columns, "__score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(got, pa.float64())], names=[*columns, "__score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(F.col(text_col).alias("__text"), *columns).mapInArrow(run, f"{kinds}, __score double")
+    return docs.select(*sent).mapInArrow(run, f"{kinds}, __score double")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: tuple[int, int] = (3, 1), cut: float = CUT) -> DataFrame:
@@ -226,3 +228,9 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     model = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, fold=fold)
     got = score(docs, model, text_col=text_col, keep=[id_col])
     return got.select(id_col, held_out(*fold, key=id_col).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= cut).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows scored below the cut, with the columns they came with."""
+    model = train(docs, labels, id_col=id_col, text_col=text_col)
+    return score(docs, model, text_col=text_col, keep=docs.columns).where(F.col("__score") < cut).select(*docs.columns)
