@@ -39,9 +39,9 @@ def _(t: Tables):
     return joins.all_terms(t.documents, "text", ["the", "and", "of"]).select("doc_id")
 
 
-@query("f5_like_any", "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%brass%' OR p_type ILIKE '%steel%'")
+@query("f5_like_any", "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%promo%' OR p_type ILIKE '%small%'")
 def _(t: Tables):
-    return t.part.filter(c("p_type").ilike("%brass%") | c("p_type").ilike("%steel%")).select("p_partkey", "p_type")
+    return t.part.filter(c("p_type").ilike("%promo%") | c("p_type").ilike("%small%")).select("p_partkey", "p_type")
 
 
 @query("f6_word_regex", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '\\bthe\\b[^a-z]+\\bof\\b')")
@@ -120,11 +120,11 @@ def _(t: Tables):
 
 @query(
     "f20_document_mention",
-    "SELECT p_partkey FROM part WHERE length(regexp_replace(lower(p_name),'[^0-9a-z]','','g')) >= 5 AND strpos('seethepart11andpart42now', regexp_replace(lower(p_name),'[^0-9a-z]','','g')) > 0 ORDER BY p_partkey LIMIT 3",
+    "SELECT p_partkey FROM part WHERE length(regexp_replace(lower(p_name),'[^0-9a-z]','','g')) >= 5 AND strpos('whereisthesmallringorthebluebolt', regexp_replace(lower(p_name),'[^0-9a-z]','','g')) > 0 ORDER BY p_partkey LIMIT 3",
 )
 def _(t: Tables):
     name = F.regexp_replace(F.lower("p_name"), "[^0-9a-z]", "")
-    return t.part.filter((F.length(name) >= 5) & F.lit("seethepart11andpart42now").contains(name)).select("p_partkey").orderBy("p_partkey").limit(3)
+    return t.part.filter((F.length(name) >= 5) & F.lit("whereisthesmallringorthebluebolt").contains(name)).select("p_partkey").orderBy("p_partkey").limit(3)
 
 
 @query(
@@ -177,9 +177,9 @@ def _(t: Tables):
     return t.orders.select("o_orderkey").join(side(1, "first_part"), "o_orderkey").join(side(2, "second_part"), "o_orderkey")
 
 
-@query("j7_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey)")
+@query("j7_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey AND o_orderpriority='1-URGENT' AND o_orderstatus='F')")
 def _(t: Tables):
-    return t.customer.join(t.orders, c("c_custkey") == c("o_custkey"), "left_anti").select("c_custkey")
+    return t.customer.join(t.orders.filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'"), c("c_custkey") == c("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query(
@@ -213,10 +213,11 @@ def _(t: Tables):
     return joins.as_of_by_type(t.events, ["user_id"], "ts", "event_id", "event_type", {"purchase": ["view", "click"]}).select("event_id", c("target").alias("responds_to"))
 
 
-@query("j16_folded_text_join", "SELECT a.n_name, b.c_name FROM nation a JOIN customer b ON lower(trim(a.n_name)) = lower(trim(replace(b.c_name, 'Customer#', 'NATION_'))) ")
+@query("j16_folded_text_join", "SELECT a.p_partkey AS claim, b.p_partkey AS fact FROM (SELECT p_partkey, ' ' || upper(p_name) AS x FROM part WHERE p_partkey <= 40) a JOIN (SELECT * FROM part WHERE p_partkey BETWEEN 41 AND 200) b ON lower(trim(a.x)) = lower(trim(b.p_name))")
 def _(t: Tables):
-    k = lambda x: F.lower(F.trim(x))
-    return t.nation.withColumn("k", k(c("n_name"))).join(t.customer.withColumn("k", k(F.replace(c("c_name"), F.lit("Customer#"), F.lit("NATION_")))), "k").select("n_name", "c_name")
+    k = lambda x: F.lower(F.trim(x)).alias("k")
+    claims = t.part.filter("p_partkey <= 40").select(c("p_partkey").alias("claim"), k(F.concat(F.lit(" "), F.upper("p_name"))))
+    return claims.join(t.part.filter("p_partkey between 41 and 200").select(c("p_partkey").alias("fact"), k(c("p_name"))), "k").select("claim", "fact")
 
 
 @query("j20_array_membership", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT unnest([1,2,3,4,5,6,7,32,33]))")
