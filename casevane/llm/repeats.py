@@ -41,7 +41,7 @@ from .common import batches_for, whole
 
 MATCH = 50
 GRAM = 16
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 CHUNK = 1 << 16
 #: Texts that share a trigger, by estimate, from which its windows travel one by one.
 HOT = 4096
@@ -116,14 +116,14 @@ class Phrases:
         return Phrases(self.doc[which], self.start[which], self.windows[which], self.trigger[which], self.data, self.at[which], self.hashes)
 
 
-def parse(texts: list[bytes], named: bool = True) -> Iterator[Phrases]:
+def parse(texts: list[bytes], named: bool = True, chunk: int = CHUNK) -> Iterator[Phrases]:
     """Phrases of whole texts, some tens of KB at a time; very long texts go in parts that overlap."""
     part, room = [], 0
     for d, text in enumerate(texts):
         n = len(text) - MATCH + 1
-        for a in range(0, n, CHUNK):
-            w = min(CHUNK, n - a)
-            if part and room + w > CHUNK:
+        for a in range(0, n, chunk):
+            w = min(chunk, n - a)
+            if part and room + w > chunk:
                 yield _parse_part(texts, part, named)
                 part, room = [], 0
             part.append((d, a, w))
@@ -186,12 +186,12 @@ def _joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x is not None), dtype)
 
 
-def _triggers(count: int):
+def _triggers(count: int, chunk: int):
     """Batch of texts -> its triggers, once each; the two low bits say in how many of its texts, roughly."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         texts, _, _ = _distinct(table)
-        got = [(p.trigger, p.doc) for p in parse(texts, named=False)]
+        got = [(p.trigger, p.doc) for p in parse(texts, False, chunk)]
         if not got:
             return pa.table({"bucket": pa.array([], pa.int32()), "batch": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
         trigger, doc = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -217,25 +217,29 @@ def _triggers(count: int):
     return run
 
 
-def _repeated(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _repeated(hot: int):
     """Bucket of triggers -> for each batch those that occur in more than one text; bit 0 marks the hot ones."""
-    blobs = [np.frombuffer(x, np.uint64) for x in table["blob"].to_pylist()]
-    sizes = np.array([len(x) for x in blobs])
-    sent = np.concatenate(blobs)
-    batch = np.repeat(np.array(table["batch"].to_pylist(), np.int64), sizes)
-    name = sent & np.uint64(_MASK - 3)
-    order = np.argsort(name, kind="stable")
-    name, batch = name[order], batch[order]
-    texts = np.array([1, 2, 16, 256])[(sent[order] & np.uint64(3)).astype(np.int64)]
-    start, end = _cuts(name)
-    total = np.add.reduceat(texts, start)
-    total = np.repeat(total, end - start)
-    keep = total >= 2
-    name, batch = name[keep] | (total[keep] >= HOT).astype(np.uint64), batch[keep]
-    order = np.argsort(batch, kind="stable")
-    name, batch = name[order], batch[order]
-    a, b = _cuts(batch)
-    return pa.table({"batch": pa.array(batch[a], pa.int32()), "blob": pa.array([name[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())})
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(x, np.uint64) for x in table["blob"].to_pylist()]
+        sizes = np.array([len(x) for x in blobs])
+        sent = np.concatenate(blobs)
+        batch = np.repeat(np.array(table["batch"].to_pylist(), np.int64), sizes)
+        name = sent & np.uint64(_MASK - 3)
+        order = np.argsort(name, kind="stable")
+        name, batch = name[order], batch[order]
+        texts = np.array([1, 2, 16, 256])[(sent[order] & np.uint64(3)).astype(np.int64)]
+        start, end = _cuts(name)
+        total = np.add.reduceat(texts, start)
+        total = np.repeat(total, end - start)
+        keep = total >= 2
+        name, batch = name[keep] | (total[keep] >= hot).astype(np.uint64), batch[keep]
+        order = np.argsort(batch, kind="stable")
+        name, batch = name[order], batch[order]
+        a, b = _cuts(batch)
+        return pa.table({"batch": pa.array(batch[a], pa.int32()), "blob": pa.array([name[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())})
+
+    return run
 
 
 def _find(sorted_names: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +253,7 @@ def _find(sorted_names: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.n
 PHRASE_FIELDS = "bucket int, batch int, keys binary, low binary, high binary, sizes binary, bytes binary, hot binary"
 
 
-def _suspects(count: int):
+def _suspects(count: int, chunk: int):
     """Batch of texts and its repeated triggers -> its suspicious phrases, once each, with least and largest id."""
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
@@ -259,7 +263,7 @@ def _suspects(count: int):
         hot = known[(known & np.uint64(1)) == 1]
         known &= np.uint64(_MASK - 1)
         got = []
-        for p in parse(texts):
+        for p in parse(texts, chunk=chunk):
             at, there = _find(known, p.trigger & np.uint64(_MASK - 3))
             if not there.any():
                 continue
@@ -304,13 +308,29 @@ def _sent(p: Phrases, ids: np.ndarray, dealt: np.ndarray | None) -> tuple[np.nda
 def _same_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
     """Whether the windows at a and b are equal byte by byte, pair by pair."""
     words = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), strides=(1,))
-    return all(np.array_equal(words[a + o], words[b + o]) for o in (0, 8, 16, 24, 32, 40, MATCH - 8))
+    for i in range(0, len(a), CHUNK):
+        x, y = a[i : i + CHUNK], b[i : i + CHUNK]
+        if not all(np.array_equal(words[x + o], words[y + o]) for o in (0, 8, 16, 24, 32, 40, MATCH - 8)):
+            return False
+    return True
+
+
+def suffix_names(data: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Fingerprints of the first bytes of ascending suffixes, a part of the dictionary at a time."""
+    out = np.empty(len(suffix), np.uint64)
+    cuts = np.searchsorted(suffix, np.arange(0, len(data) + CHUNK, CHUNK))
+    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if b > a:
+            part = data[i * CHUNK : (i + 1) * CHUNK + MATCH]
+            out[a:b] = window_hash(rolling(part, 32), suffix[a:b] - i * CHUNK)
+    return out
 
 
 def suffix_runs(data: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Truncated suffix array of the given suffixes, and the starts of its runs of equal prefixes."""
-    order = np.argsort(name := window_hash(rolling(data, 32), suffix), kind="stable")
-    start, end = _cuts(name[order])
+    name = suffix_names(data, suffix)
+    order = np.argsort(name, kind="stable")
+    start, _ = _cuts(name[order])
     later = np.ones(len(order), bool)
     later[start] = False
     later = np.flatnonzero(later)
@@ -337,6 +357,9 @@ def _resolve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     entry[order] = np.repeat(np.arange(len(start)), end - start)
     least = np.minimum.reduceat(low[order], start)
     place, size, name = place[order[start]], size[order[start]], name[order[start]]
+    begin = np.cumsum(size) - size
+    data = np.append(data[np.repeat(place - begin, size) + np.arange(size.sum())], np.zeros(8, np.uint8))
+    place = begin
     # Its suffixes of at least MATCH bytes.
     n = size - MATCH + 1
     base = np.cumsum(n) - n
@@ -399,86 +422,94 @@ def cut(text: bytes, starts, ends) -> bytes:
 SPANS = "h binary, least_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
 
 
-def _apply(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+def _apply(chunk: int):
     """Batch of texts and the answers for its phrases -> the removed runs of each text."""
-    texts, ids, names = _distinct(left)
-    phrase, at, n, least = (_joined(right[c], t) for c, t in (("keys", np.uint64), ("at", np.uint8), ("n", np.uint8), ("ids", np.int64)))
-    order = np.argsort(phrase, kind="stable")
-    phrase, at, n, least = phrase[order], at[order].astype(np.int64), n[order].astype(np.int64), least[order]
-    start, end = _cuts(phrase)
-    known = phrase[start]
-    hot = np.unique(_joined(right["hot"], np.uint64)) & np.uint64(_MASK - 1)
-    found = []
-
-    def look(p: Phrases) -> None:
-        place, there = _find(known, p.keys())
-        which = np.flatnonzero(there)
-        if not len(which):
-            return
-        a, many = start[place[which]], (end - start)[place[which]]
-        seg = np.repeat(a, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        doc, begin = np.repeat(p.doc[which], many), np.repeat(p.start[which], many) + at[seg]
-        go = least[seg] < ids[doc]
-        found.append((doc[go], begin[go], (begin + n[seg] - 1 + MATCH)[go]))
-
-    if len(known):
-        for p in parse(texts):
-            look(p)
-            if len(hot):
-                _, is_hot = _find(hot, p.trigger & np.uint64(_MASK - 3))
-                if is_hot.any():
-                    look(p.split(np.flatnonzero(is_hot)))
-    doc, a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-    order = np.argsort(doc, kind="stable")
-    doc, a, b = doc[order], a[order], b[order]
-    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-    out = {k: [] for k in ("h", "least_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends")}
-    for i, text in enumerate(texts):
-        s, e = _merge(a[bounds[i] : bounds[i + 1]], b[bounds[i] : bounds[i + 1]])
-        s, e = s.tolist(), e.tolist()
-        kept = hashlib.sha256(cut(text, s, e)).hexdigest() if s else names[i].hex()
-        for k, v in zip(out, (names[i], int(ids[i]), len(text), sum(e) - sum(s), len(s), kept, s, e), strict=True):
-            out[k].append(v)
-    types = [pa.binary(), *[pa.int64()] * 4, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        texts, ids, names = _distinct(left)
+        phrase, at, n, least = (_joined(right[c], t) for c, t in (("keys", np.uint64), ("at", np.uint8), ("n", np.uint8), ("ids", np.int64)))
+        order = np.argsort(phrase, kind="stable")
+        phrase, at, n, least = phrase[order], at[order].astype(np.int64), n[order].astype(np.int64), least[order]
+        start, end = _cuts(phrase)
+        known = phrase[start]
+        hot = np.unique(_joined(right["hot"], np.uint64)) & np.uint64(_MASK - 1)
+        found = []
+
+        def look(p: Phrases) -> None:
+            place, there = _find(known, p.keys())
+            which = np.flatnonzero(there)
+            if not len(which):
+                return
+            a, many = start[place[which]], (end - start)[place[which]]
+            seg = np.repeat(a, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            doc, begin = np.repeat(p.doc[which], many), np.repeat(p.start[which], many) + at[seg]
+            go = least[seg] < ids[doc]
+            found.append((doc[go], begin[go], (begin + n[seg] - 1 + MATCH)[go]))
+
+        if len(known):
+            for p in parse(texts, chunk=chunk):
+                look(p)
+                if len(hot):
+                    _, is_hot = _find(hot, p.trigger & np.uint64(_MASK - 3))
+                    if is_hot.any():
+                        look(p.split(np.flatnonzero(is_hot)))
+        doc, a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(doc, kind="stable")
+        doc, a, b = doc[order], a[order], b[order]
+        bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+        out = {k: [] for k in ("h", "least_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends")}
+        for i, text in enumerate(texts):
+            s, e = _merge(a[bounds[i] : bounds[i + 1]], b[bounds[i] : bounds[i + 1]])
+            s, e = s.tolist(), e.tolist()
+            kept = hashlib.sha256(cut(text, s, e)).hexdigest() if s else names[i].hex()
+            for k, v in zip(out, (names[i], int(ids[i]), len(text), sum(e) - sum(s), len(s), kept, s, e), strict=True):
+                out[k].append(v)
+        types = [pa.binary(), *[pa.int64()] * 4, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
+
+    return run
 
 
 def _first_copies(count: int):
     """Partition of texts -> (batch, hash, id, text), the text only where the partition shows it first."""
 
+    def part_of(rows: pa.RecordBatch, seen: set[bytes]) -> pa.RecordBatch:
+        out = ([], [], [], [])
+        for i, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+            raw = (text or "").encode("utf-8", "replace")
+            if len(raw) < MATCH:
+                continue
+            h = hashlib.sha256(raw).digest()
+            new = h not in seen
+            seen.add(h)
+            for o, v in zip(out, (int.from_bytes(h[:8], "little") % count, h, LARGEST if i is None else i, raw if new else None), strict=True):
+                o.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int32(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["batch", "h", "id", "text"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for rows in batches:
-            out = ([], [], [], [])
-            for i, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                raw = (text or "").encode("utf-8", "replace")
-                if len(raw) < MATCH:
-                    continue
-                h = hashlib.sha256(raw).digest()
-                new = h not in seen
-                seen.add(h)
-                for o, v in zip(out, (int.from_bytes(h[:8], "little") % count, h, LARGEST if i is None else i, raw if new else None), strict=True):
-                    o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int32(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["batch", "h", "id", "text"])
+            for a in range(0, rows.num_rows, 256):
+                yield part_of(rows.slice(a, 256), seen)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
     """A row for each different text of at least ``MATCH`` bytes: its hash, least id and removed runs."""
     count = batches_for(docs, F.octet_length(text_col), batch_bytes)
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_first_copies(count), "batch int, h binary, id long, text binary")
     by_batch = lambda df: df.groupBy("batch")
-    triggers = by_batch(texts).applyInArrow(_triggers(count), "bucket int, batch int, blob binary")
-    repeated = triggers.groupBy("bucket").applyInArrow(_repeated, "batch int, blob binary")
-    suspects = by_batch(texts).cogroup(by_batch(repeated)).applyInArrow(_suspects(count), PHRASE_FIELDS)
+    triggers = by_batch(texts).applyInArrow(_triggers(count, chunk), "bucket int, batch int, blob binary")
+    repeated = triggers.groupBy("bucket").applyInArrow(_repeated(hot), "batch int, blob binary")
+    suspects = by_batch(texts).cogroup(by_batch(repeated)).applyInArrow(_suspects(2 * count, chunk), PHRASE_FIELDS)
     answers = suspects.groupBy("bucket").applyInArrow(_resolve, "batch int, keys binary, at binary, n binary, ids binary, hot binary")
-    return by_batch(texts).cogroup(by_batch(answers)).applyInArrow(_apply, SPANS)
+    return by_batch(texts).cogroup(by_batch(answers)).applyInArrow(_apply(chunk), SPANS)
 
 
-def _with_spans(docs: DataFrame, extra: list[str], id_col: str, text_col: str, batch_bytes: int) -> DataFrame:
+def _with_spans(docs: DataFrame, extra: list[str], id_col: str, text_col: str, batch_bytes: int, **sizes: int) -> DataFrame:
     """The named columns and, under names of our own, what is removed from each row."""
-    spans = repeated_spans(docs, id_col=id_col, text_col=text_col, batch_bytes=batch_bytes)
+    spans = repeated_spans(docs, id_col=id_col, text_col=text_col, batch_bytes=batch_bytes, **sizes)
     spans = spans.select(*[F.col(c).alias(f"__{c}") for c in spans.columns if c != "n_bytes"])
     text = whole(text_col)
     own = docs.select(*extra, F.unhex(F.sha2(text.cast("binary"), 256)).alias("__h"), F.octet_length(text).cast("long").alias("__n"))
@@ -486,9 +517,9 @@ def _with_spans(docs: DataFrame, extra: list[str], id_col: str, text_col: str, b
     return own.join(spans, "__h", "left").withColumn("__copy", F.coalesce(copy, F.lit(False)))
 
 
-def repeat_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def repeat_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, **sizes: int) -> DataFrame:
     """``id_col, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
-    got = _with_spans(docs, [id_col], id_col, text_col, batch_bytes)
+    got = _with_spans(docs, [id_col], id_col, text_col, batch_bytes, **sizes)
     nothing = hashlib.sha256(b"").hexdigest()
     return got.select(
         id_col,

@@ -45,11 +45,9 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("seed,batch,hot", [(1, 1 << 20, 4096), (2, 900, 4096), (3, 900, 2)])
-def test_against_brute_force(spark, monkeypatch, seed, batch, hot):
+def test_against_brute_force(spark, seed, batch, hot):
     rows = corpus(seed)
-    monkeypatch.setattr(repeats, "HOT", hot)
-    monkeypatch.setattr(repeats, "CHUNK", 200)
-    got = [tuple(r) for r in repeats.repeat_report(spark.createDataFrame(rows, SCHEMA), batch_bytes=batch).collect()]
+    got = [tuple(r) for r in repeats.repeat_report(spark.createDataFrame(rows, SCHEMA), batch_bytes=batch, hot=hot, chunk=200).collect()]
     order = lambda x: (x[0] is None, x[0] or 0, x[1:])
     assert sorted(got, key=order) == sorted(brute(rows), key=order)
 
@@ -65,6 +63,14 @@ def test_empty_table(spark):
     assert repeats.repeat_report(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_suffix_names_by_parts_equal_names_at_once():
+    import numpy as np
+
+    data = np.frombuffer(random.Random(5).randbytes(repeats.CHUNK * 2 + 500), np.uint8)
+    suffix = np.arange(0, len(data) - repeats.MATCH, 7)
+    assert np.array_equal(repeats.suffix_names(data, suffix), repeats.window_hash(repeats.rolling(data, 32), suffix))
+
+
 def test_fingerprint_collision_falls_back_to_bytes(monkeypatch):
     import numpy as np
 
