@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import relational, words  # noqa: F401
+from . import checking, linking, relational, searching, sequences, words  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
