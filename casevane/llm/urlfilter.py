@@ -108,15 +108,13 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
 
 
+def _grams(text: Column, n: int) -> Column:
+    cut = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: (F.crc32(F.substring(text, i, F.lit(n)).cast("binary")) % (1 << BITS)).cast("int"))
+    return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<int>"))
+
+
 def _buckets(text: Column) -> Column:
-    parts = [
-        F.when(
-            F.length(text) >= n,
-            F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i, n=n: (F.crc32(F.substring(text, i, F.lit(n)).cast("binary")) % (1 << BITS)).cast("int")),
-        ).otherwise(F.array().cast("array<int>"))
-        for n in GRAMS
-    ]
-    return F.array_distinct(F.concat(*parts))
+    return F.array_distinct(F.concat(*[_grams(text, n) for n in GRAMS]))
 
 
 def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, model: tuple[list[float], float] | None = None, cut: float = 0.5) -> DataFrame:
