@@ -13,7 +13,9 @@ K1, B = 1.2, 0.75
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, term, tf, size``: one row per document and stem."""
-    stems = docs.select(key, F.explode(F.transform(F.filter(F.transform(T.raw_tokens(F.col(text), 3), T.fold), lambda t: ~t.isin(*T.STOP_WORDS, *T.QUESTION_WORDS)), T.stem)).alias("term"))
+    words = docs.select(key, F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(T.WORD), F.lit(0))).alias("w")).filter(F.length("w") >= 3)
+    folded = words.select(key, T.fold(F.col("w")).alias("w")).filter(~F.col("w").isin(*T.STOP_WORDS, *T.QUESTION_WORDS))
+    stems = folded.select(key, T.stem(F.col("w")).alias("term"))
     counted = stems.groupBy(key, "term").agg(F.count("*").alias("tf"))
     sizes = counted.groupBy(key).agg(F.sum("tf").alias("size"))
     return counted.join(sizes, key)

@@ -104,10 +104,10 @@ def _(t: Tables):
     return keep.union(t.events.filter("ts < timestamp_ntz'2024-01-20 00:00:00'").join(t.events.filter("event_type = 'signup'").select("user_id"), "user_id", "left_anti").select("event_id"))
 
 
-@query("k11_retrieval_recall", f"WITH b AS (SELECT item_id, left({D.fold('text')},60) AS head FROM benchmark), d AS (SELECT doc_id, {D.fold('text')} AS x FROM documents) SELECT item_id, count(doc_id) AS found FROM b LEFT JOIN d ON contains(x, head) GROUP BY 1")
+@query("k11_retrieval_recall", f"WITH b AS (SELECT item_id, {D.fold('text')} AS head FROM benchmark), d AS (SELECT doc_id, {D.fold('text')} AS x FROM documents) SELECT item_id, count(doc_id) AS found FROM b LEFT JOIN d ON contains(x, head) GROUP BY 1")
 def _(t: Tables):
     # Blocked on the first three words of the passage, then contained whole.
-    head = F.left(T.fold(c("text")), F.lit(60))
+    head = T.fold(c("text"))
     words = lambda x: F.filter(F.split(x, "[^0-9a-z]+"), lambda w: F.length(w) > 0)
     first = lambda a: F.array_join(F.slice(a, 1, 3), " ")
     b = t.benchmark.select("item_id", head.alias("head"), first(words(head)).alias("k"))
@@ -142,14 +142,14 @@ def grounding(t: Tables):
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.share_in(c("s"), c("e")), 6).alias("ratio"))
 
 
-@query("v2_claim_triage", f"WITH {PAIR}, x AS (SELECT conv_id, turn, round({D.share('s', 'e')},6) AS r FROM p) SELECT conv_id, turn, CASE WHEN conv_id%9=0 THEN 'invalid_citation' WHEN r>=0.34 THEN 'supported' WHEN r>=0.20 THEN 'review' ELSE 'unsupported' END AS status FROM x")
+@query("v2_claim_triage", f"WITH {PAIR}, x AS (SELECT conv_id, turn, round({D.share('s', 'e')},6) AS r FROM p) SELECT conv_id, turn, CASE WHEN turn=0 THEN 'invalid_citation' WHEN r>=0.34 THEN 'supported' WHEN r>=0.20 THEN 'review' ELSE 'unsupported' END AS status FROM x")
 def _(t: Tables):
-    return grounding(t).select("conv_id", "turn", E.triage(c("conv_id") % 9 != 0, c("ratio")).alias("status"))
+    return grounding(t).select("conv_id", "turn", E.triage(c("turn") != 0, c("ratio")).alias("status"))
 
 
-@query("v5_citation_validity", "SELECT l_orderkey, l_linenumber, CASE WHEN o_orderkey IS NULL THEN 'no_order' WHEN l_shipdate<o_orderdate THEN 'time' WHEN l_quantity>45 THEN 'range' ELSE 'ok' END AS reason FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey%50<>0) ON o_orderkey=l_orderkey")
+@query("v5_citation_validity", "SELECT l_orderkey, l_linenumber, CASE WHEN o_orderkey IS NULL THEN 'no_order' WHEN l_shipdate<o_orderdate THEN 'time' WHEN l_quantity>45 THEN 'range' ELSE 'ok' END AS reason FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus<>'P') ON o_orderkey=l_orderkey")
 def _(t: Tables):
-    x = t.lineitem.join(t.orders.filter("o_orderkey % 50 <> 0"), c("l_orderkey") == c("o_orderkey"), "left")
+    x = t.lineitem.join(t.orders.filter("o_orderstatus <> 'P'"), c("l_orderkey") == c("o_orderkey"), "left")
     return x.select("l_orderkey", "l_linenumber", F.when(c("o_orderkey").isNull(), "no_order").when(c("l_shipdate") < c("o_orderdate"), "time").when(c("l_quantity") > 45, "range").otherwise("ok").alias("reason"))
 
 
@@ -211,19 +211,19 @@ def _(t: Tables):
     return I.orphans(t.labels, t.documents.filter("lang = 'en'"), {"doc_id": "doc_id"}).select("doc_id")
 
 
-@query("i3_append_only", "SELECT o_orderkey, CASE WHEN o_orderkey%500=0 THEN 'deleted' ELSE 'changed' END AS change FROM orders WHERE o_orderkey%500=0 OR o_orderkey%700=0")
+@query("i3_append_only", "SELECT o_orderkey, CASE WHEN o_orderstatus='P' THEN 'deleted' ELSE 'changed' END AS change FROM orders WHERE o_orderstatus='P' OR o_orderpriority='1-URGENT'")
 def _(t: Tables):
-    after = t.orders.filter("o_orderkey % 500 <> 0").withColumn("o_totalprice", F.when(c("o_orderkey") % 700 == 0, c("o_totalprice") + 1).otherwise(c("o_totalprice")))
+    after = t.orders.filter("o_orderstatus <> 'P'").withColumn("o_totalprice", F.when(c("o_orderpriority") == "1-URGENT", c("o_totalprice") + 1).otherwise(c("o_totalprice")))
     return I.changed_or_gone(t.orders, after, "o_orderkey", ["o_custkey", "o_totalprice", "o_orderstatus"])
 
 
-@query("i4_hash_chain", "SELECT event_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE event_id%100=0")
+@query("i4_hash_chain", "SELECT event_id FROM events WHERE value>95")
 def _(t: Tables):
-    # A log whose links are the hash of the payload before; one payload in a hundred is tampered with afterwards.
+    # A log whose links are the hash of the payload before; some payloads are tampered with afterwards.
     w = W.partitionBy("user_id").orderBy("event_id")
-    p = t.events.select("user_id", "event_id", F.concat_ws("|", "event_type", "props").alias("payload"))
+    p = t.events.select("user_id", "event_id", "value", F.concat_ws("|", "event_type", "props").alias("payload"))
     log = p.withColumn("prev_hash", F.sha2(F.lag("payload").over(w), 256)).withColumn("hash", F.sha2("payload", 256))
-    seen = log.withColumn("payload", F.when(c("event_id") % 100 == 0, F.concat("payload", F.lit("x"))).otherwise(c("payload")))
+    seen = log.withColumn("payload", F.when(c("value") > 95, F.concat("payload", F.lit("x"))).otherwise(c("payload")))
     ok = F.lag("hash").over(w).eqNullSafe(c("prev_hash")) & (c("hash") == F.sha2("payload", 256))
     return seen.withColumn("ok", ok).filter("not ok").select("event_id")
 
@@ -259,9 +259,9 @@ def _(t: Tables):
     return I.over_rate(t.events, "user_id", "ts", 6 * 3600, 3).select("user_id", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n")
 
 
-@query("i11_purge", "SELECT count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey<100)")
+@query("i11_purge", "SELECT count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority='5-LOW')")
 def _(t: Tables):
-    gone = t.orders.filter("o_custkey < 100").select(c("o_orderkey").alias("l_orderkey"))
+    gone = t.orders.filter("o_orderpriority = '5-LOW'").select(c("o_orderkey").alias("l_orderkey"))
     return t.lineitem.join(gone, "l_orderkey", "left_anti").agg(F.count("*").alias("n"))
 
 

@@ -12,21 +12,31 @@ from .registry import Tables, query
 c = F.col
 
 
-@query("j17_token_set_join", f"WITH x AS (SELECT p_partkey, p_brand, list_distinct(string_split(p_name,' ')) AS s FROM part WHERE p_partkey<600) SELECT a.p_partkey, b.p_partkey AS other FROM x a JOIN x b ON a.p_brand=b.p_brand AND a.p_partkey<b.p_partkey WHERE len(list_intersect(a.s,b.s))/len(list_distinct(list_concat(a.s,b.s)))::DOUBLE >= 0.5 OR len(list_intersect(a.s,b.s))=least(len(a.s),len(b.s))")
+NAMES = "x AS (SELECT DISTINCT p_name, list_distinct(string_split(p_name,' ')) AS s FROM part)"
+
+
+def names(t: Tables):
+    """The different names with their tokens: pairs are formed between names, not between their rows."""
+    return t.part.select("p_name").distinct().select("p_name", F.array_distinct(F.split("p_name", " ")).alias("s"))
+
+
+def name_pairs(t: Tables):
+    """Pairs of names with a common token, by an equi-join on tokens."""
+    x = names(t)
+    words = x.select("p_name", F.explode("s").alias("w"))
+    met = words.alias("a").join(words.alias("b"), "w").filter("a.p_name < b.p_name").select(c("a.p_name").alias("p_name"), c("b.p_name").alias("other")).distinct()
+    return met.join(x, "p_name").join(x.select(c("p_name").alias("other"), c("s").alias("z")), "other")
+
+
+@query("j17_token_set_join", f"WITH {NAMES} SELECT a.p_name, b.p_name AS other FROM x a JOIN x b ON a.p_name<b.p_name WHERE len(list_intersect(a.s,b.s))/len(list_distinct(list_concat(a.s,b.s)))::DOUBLE >= 0.3 OR len(list_intersect(a.s,b.s))=least(len(a.s),len(b.s))")
 def _(t: Tables):
-    x = t.part.filter("p_partkey < 600").select("p_partkey", "p_brand", F.array_distinct(F.split("p_name", " ")).alias("s"))
-    a, b = x.alias("a"), x.alias("b")
-    pairs = a.join(b, (c("a.p_brand") == c("b.p_brand")) & (c("a.p_partkey") < c("b.p_partkey")))
-    common = F.size(F.array_intersect("a.s", "b.s"))
-    ok = (linkage.jaccard(c("a.s"), c("b.s")) >= 0.5) | (common == F.least(F.size("a.s"), F.size("b.s")))
-    return pairs.filter(ok).select(c("a.p_partkey"), c("b.p_partkey").alias("other"))
+    ok = (linkage.jaccard(c("s"), c("z")) >= 0.3) | (F.size(F.array_intersect("s", "z")) == F.least(F.size("s"), F.size("z")))
+    return name_pairs(t).filter(ok).select("p_name", "other")
 
 
-@query("j18_ratio_join", "SELECT a.p_partkey, b.p_partkey AS other FROM part a JOIN part b ON a.p_brand=b.p_brand AND a.p_partkey<b.p_partkey WHERE a.p_partkey<600 AND b.p_partkey<600 AND (contains(a.p_name,b.p_name) OR contains(b.p_name,a.p_name) OR 1-levenshtein(a.p_name,b.p_name)/greatest(length(a.p_name),length(b.p_name),1)::DOUBLE >= 0.6)")
+@query("j18_ratio_join", f"WITH {NAMES} SELECT a.p_name, b.p_name AS other FROM x a JOIN x b ON a.p_name<b.p_name WHERE len(list_intersect(a.s,b.s))>0 AND (contains(a.p_name,b.p_name) OR contains(b.p_name,a.p_name) OR 1-levenshtein(a.p_name,b.p_name)/greatest(length(a.p_name),length(b.p_name),1)::DOUBLE >= 0.6)")
 def _(t: Tables):
-    p = t.part.filter("p_partkey < 600")
-    a, b = p.alias("a"), p.alias("b")
-    return a.join(b, (c("a.p_brand") == c("b.p_brand")) & (c("a.p_partkey") < c("b.p_partkey"))).filter(linkage.name_ratio(c("a.p_name"), c("b.p_name")) >= 0.6).select(c("a.p_partkey"), c("b.p_partkey").alias("other"))
+    return name_pairs(t).filter(linkage.name_ratio(c("p_name"), c("other")) >= 0.6).select("p_name", "other")
 
 
 @query(
@@ -45,11 +55,11 @@ def _(t: Tables):
 
 @query(
     "l3_reference_absorption",
-    "WITH e AS (SELECT user_id, event_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day, event_type AS st, list_distinct([event_type, json_extract_string(props,'$.k')]) AS s FROM events), p AS (SELECT r.event_id AS ref_id, x.event_id, round(CASE WHEN r.st=x.st THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END + CASE WHEN r.day=x.day THEN 0.4::DOUBLE ELSE 0.2::DOUBLE END + 0.4::DOUBLE*len(list_intersect(r.s,x.s))/len(list_distinct(list_concat(r.s,x.s)))::DOUBLE,6) AS score, r.st=x.st AS same, len(list_intersect(r.s,x.s))/len(list_distinct(list_concat(r.s,x.s)))::DOUBLE AS sim FROM e r JOIN e x ON r.user_id=x.user_id WHERE r.event_id%7=0 AND x.event_id%7<>0 AND abs(r.day-x.day)<=45), q AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY score DESC, event_id) AS rn FROM p WHERE (same OR sim>=0.5) AND score>=0.6) SELECT ref_id, event_id, score FROM q WHERE rn=1",
+    "WITH e AS (SELECT user_id, event_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day, event_type AS st, value, list_distinct([event_type, json_extract_string(props,'$.k')]) AS s FROM events), p AS (SELECT r.event_id AS ref_id, x.event_id, round(CASE WHEN r.st=x.st THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END + CASE WHEN r.day=x.day THEN 0.4::DOUBLE ELSE 0.2::DOUBLE END + 0.4::DOUBLE*len(list_intersect(r.s,x.s))/len(list_distinct(list_concat(r.s,x.s)))::DOUBLE,6) AS score, r.st=x.st AS same, len(list_intersect(r.s,x.s))/len(list_distinct(list_concat(r.s,x.s)))::DOUBLE AS sim FROM e r JOIN e x ON r.user_id=x.user_id WHERE r.value<5 AND x.value>=5 AND abs(r.day-x.day)<=45), q AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY score DESC, event_id) AS rn FROM p WHERE (same OR sim>=0.5) AND score>=0.6) SELECT ref_id, event_id, score FROM q WHERE rn=1",
 )
 def _(t: Tables):
-    e = t.events.select("user_id", "event_id", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("day"), c("event_type").alias("subtype"), F.array_distinct(F.array("event_type", F.get_json_object("props", "$.k"))).alias("terms"))
-    return linkage.absorb_references(e.filter("event_id % 7 = 0").withColumnRenamed("event_id", "ref_id"), e.filter("event_id % 7 <> 0"), ["user_id"])
+    e = t.events.select("user_id", "event_id", "value", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("day"), c("event_type").alias("subtype"), F.array_distinct(F.array("event_type", F.get_json_object("props", "$.k"))).alias("terms"))
+    return linkage.absorb_references(e.filter("value < 5").withColumnRenamed("event_id", "ref_id"), e.filter("value >= 5"), ["user_id"])
 
 
 @query("l5_review_flags", "WITH d AS (SELECT doc_id, md5(text) AS h FROM documents), g AS (SELECT h, count(*) AS n, min(doc_id) AS f FROM d GROUP BY 1) SELECT doc_id, CASE WHEN n>1 AND doc_id>f THEN 'duplicate' WHEN lab.doc_id IS NULL THEN 'no_source' ELSE 'ok' END AS flag FROM d JOIN g USING(h) LEFT JOIN (SELECT DISTINCT doc_id FROM labels) lab USING(doc_id)")
@@ -60,10 +70,10 @@ def _(t: Tables):
     return x.select("doc_id", F.when((c("n") > 1) & (c("doc_id") > c("f")), "duplicate").when(c("l").isNull(), "no_source").otherwise("ok").alias("flag"))
 
 
-@query("l6_absorb_without_duplicates", "SELECT DISTINCT user_id, event_type FROM events a WHERE event_id%2=0 AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_id%20=1 AND b.user_id IS NOT DISTINCT FROM a.user_id AND b.event_type IS NOT DISTINCT FROM a.event_type)")
+@query("l6_absorb_without_duplicates", "SELECT DISTINCT user_id, event_type FROM events a WHERE value<50 AND NOT EXISTS (SELECT 1 FROM events b WHERE b.value>40 AND b.user_id IS NOT DISTINCT FROM a.user_id AND b.event_type IS NOT DISTINCT FROM a.event_type)")
 def _(t: Tables):
-    a = t.events.filter("event_id % 2 = 0").alias("a")
-    b = t.events.filter("event_id % 20 = 1").select("user_id", "event_type").distinct().alias("b")
+    a = t.events.filter("value < 50").alias("a")
+    b = t.events.filter("value > 40").select("user_id", "event_type").distinct().alias("b")
     return a.join(b, c("a.user_id").eqNullSafe(c("b.user_id")) & c("a.event_type").eqNullSafe(c("b.event_type")), "left_anti").select("user_id", "event_type").distinct()
 
 

@@ -14,7 +14,7 @@ c = F.col
 
 _ALL = f"list_transform(list_filter(list_transform({D.raw('text', 3)}, lambda t: {D.fold('t')}), lambda t: NOT list_contains({D.words([*T.STOP_WORDS, *T.QUESTION_WORDS])},t)), lambda w: {D.stem('w')})"
 POSTINGS = f"post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_ALL}) AS term FROM documents) GROUP BY 1,2), size AS (SELECT doc_id, sum(tf) AS size FROM post GROUP BY 1)"
-QUERIES_SQL = f"q AS (SELECT DISTINCT item_id AS query_id, unnest({D.stems('text')}) AS term FROM benchmark WHERE item_id<20)"
+QUERIES_SQL = f"q AS (SELECT DISTINCT item_id AS query_id, unnest({D.stems('text')}) AS term FROM benchmark)"
 BM25 = (
     POSTINGS + ", " + QUERIES_SQL + ", st AS (SELECT count(*) AS docs, avg(size) AS mean FROM size), df AS (SELECT term, count(*) AS df FROM post WHERE term IN (SELECT term FROM q) GROUP BY 1),"
     " sc AS (SELECT query_id, p.doc_id, sum(ln(1+(docs-df+0.5)/(df+0.5)) * tf*2.2/(tf+1.2*(0.25+0.75*size/mean))) AS score FROM q JOIN post p USING(term) JOIN df USING(term) JOIN size z ON z.doc_id=p.doc_id, st GROUP BY 1,2),"
@@ -23,7 +23,7 @@ BM25 = (
 
 
 def terms_of(t: Tables):
-    return t.benchmark.filter("item_id < 20").select(c("item_id").alias("query_id"), F.explode(T.content_set(c("text"))).alias("term")).distinct()
+    return t.benchmark.select(c("item_id").alias("query_id"), F.explode(T.content_set(c("text"))).alias("term")).distinct()
 
 
 def lexical(t: Tables, k: int = 20):
@@ -55,12 +55,12 @@ def _(t: Tables):
 
 def dense(t: Tables, k: int = 20):
     """The second list of the hybrid search: documents ordered by the vector of the same number."""
-    q = t.embeddings.filter("vec_id < 20").select(c("vec_id").alias("query_id"), "embedding")
+    q = t.embeddings.join(t.benchmark.select(c("item_id").alias("vec_id")), "vec_id", "left_semi").select(c("vec_id").alias("query_id"), "embedding")
     return search.ranked(search.vector_top_k(t.embeddings, q, k).withColumnRenamed("vec_id", "doc_id"), "query_id", "doc_id", k)
 
 
 HYBRID = BM25 + (
-    ", vs AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.embedding::DOUBLE[],b.embedding::DOUBLE[]),9) AS s FROM embeddings a, embeddings b WHERE a.vec_id<20),"
+    ", vs AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.embedding::DOUBLE[],b.embedding::DOUBLE[]),9) AS s FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT item_id FROM benchmark)),"
     " vec AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM vs),"
     " u AS (SELECT query_id, doc_id, 1.0::DOUBLE/(60+rank) AS w, 0 AS i, rank FROM lex WHERE rank<=20 UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE/(60+rank), 1, rank FROM vec WHERE rank<=20),"
     " f AS (SELECT query_id, doc_id, round(sum(w),9) AS score, min((i,rank)) AS first FROM u GROUP BY 1,2),"
@@ -82,9 +82,9 @@ def hybrid(t: Tables):
     return f.select("query_id", "doc_id", "source", "pos")
 
 
-@query("x12_unindexed_supplement", "SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id<12)")
+@query("x12_unindexed_supplement", "SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE n_chars>25000)")
 def _(t: Tables):
-    return t.documents.select("source").join(t.documents.filter("doc_id < 12").select("source"), "source", "left_anti").distinct()
+    return t.documents.select("source").join(t.documents.filter("n_chars > 25000").select("source"), "source", "left_anti").distinct()
 
 
 @query("x13_lexical_fallback", "SELECT kind, id FROM (SELECT 'page' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'segment', conv_id*100+turn, text FROM conversations) WHERE text ILIKE '%tion%' ORDER BY length(text) DESC, kind, id LIMIT 20")
@@ -94,26 +94,26 @@ def _(t: Tables):
     return a.union(b).filter(c("text").ilike("%tion%")).orderBy(F.desc(F.length("text")), "kind", "id").limit(20).select("kind", "id")
 
 
-@query("x14_scope_merge", "WITH u AS (SELECT doc_id, 0 AS p, doc_id AS r FROM documents WHERE doc_id BETWEEN 5 AND 9 UNION ALL SELECT doc_id, 1, doc_id FROM documents WHERE doc_id<8), m AS (SELECT doc_id, min((p,r)) AS k FROM u GROUP BY 1) SELECT doc_id, row_number() OVER (ORDER BY k) AS pos FROM m")
+@query("x14_scope_merge", "WITH u AS (SELECT doc_id, 0 AS p, doc_id AS r FROM documents WHERE lang='es' UNION ALL SELECT doc_id, 1, doc_id FROM documents WHERE n_chars>3000), m AS (SELECT doc_id, min((p,r)) AS k FROM u GROUP BY 1) SELECT doc_id, row_number() OVER (ORDER BY k) AS pos FROM m ORDER BY pos LIMIT 50")
 def _(t: Tables):
-    a = t.documents.filter("doc_id between 5 and 9").select("doc_id", F.lit(0).alias("p"))
-    m = a.union(t.documents.filter("doc_id < 8").select("doc_id", F.lit(1))).groupBy("doc_id").agg(F.min("p").alias("p"))
+    a = t.documents.filter("lang = 'es'").select("doc_id", F.lit(0).alias("p"))
+    m = a.union(t.documents.filter("n_chars > 3000").select("doc_id", F.lit(1))).groupBy("doc_id").agg(F.min("p").alias("p")).orderBy("p", "doc_id").limit(50)
     return m.select("doc_id", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("p", "doc_id")).cast("long").alias("pos"))  # a merged top-k list
 
 
 @query(
     "x15_term_coverage",
-    f"WITH {QUERIES_SQL}, have AS (SELECT DISTINCT unnest({D.stems('text')}) AS term FROM documents WHERE doc_id<200 UNION SELECT DISTINCT unnest({D.stems('text')}) FROM conversations WHERE conv_id<30) SELECT query_id, round(count(h.term)/count(*)::DOUBLE,6) AS coverage FROM q LEFT JOIN have h USING(term) GROUP BY 1",
+    f"WITH {QUERIES_SQL}, have AS (SELECT DISTINCT unnest({D.stems('text')}) AS term FROM documents WHERE lang='fr' UNION SELECT DISTINCT unnest({D.stems('text')}) FROM conversations WHERE role='system') SELECT query_id, round(count(h.term)/count(*)::DOUBLE,6) AS coverage FROM q LEFT JOIN have h USING(term) GROUP BY 1",
 )
 def coverage(t: Tables):
     of = lambda df: df.select(F.explode(T.content_set(c("text"))).alias("term"))
-    have = of(t.documents.filter("doc_id < 200")).union(of(t.conversations.filter("conv_id < 30"))).distinct().withColumn("hit", F.lit(1))
+    have = of(t.documents.filter("lang = 'fr'")).union(of(t.conversations.filter("role = 'system'"))).distinct().withColumn("hit", F.lit(1))
     return terms_of(t).join(have, "term", "left").groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 6).alias("coverage"))
 
 
 @query(
     "x16_should_abstain",
-    f"WITH {QUERIES_SQL}, have AS (SELECT DISTINCT unnest({D.stems('text')}) AS term FROM documents WHERE doc_id<200 UNION SELECT DISTINCT unnest({D.stems('text')}) FROM conversations WHERE conv_id<30) SELECT query_id FROM q LEFT JOIN have h USING(term) GROUP BY 1 HAVING round(count(h.term)/count(*)::DOUBLE,6) < 0.6",
+    f"WITH {QUERIES_SQL}, have AS (SELECT DISTINCT unnest({D.stems('text')}) AS term FROM documents WHERE lang='fr' UNION SELECT DISTINCT unnest({D.stems('text')}) FROM conversations WHERE role='system') SELECT query_id FROM q LEFT JOIN have h USING(term) GROUP BY 1 HAVING round(count(h.term)/count(*)::DOUBLE,6) < 0.6",
 )
 def _(t: Tables):
     return coverage(t).filter("coverage < 0.6").select("query_id")
@@ -131,10 +131,10 @@ def _(t: Tables):
     return t.documents.filter(T.fold(c("text")).rlike("and.{0,12}the")).select("doc_id")
 
 
-@query("x20_case_search", "WITH u AS (SELECT doc_id AS id, 0 AS p FROM documents WHERE lower(text) LIKE '%and the%' UNION ALL SELECT doc_id, 2 FROM documents WHERE lower(text) LIKE '%and%' AND doc_id<300) SELECT id, CAST(min(p) AS INT) AS p FROM u GROUP BY 1 ORDER BY p, id LIMIT 40")
+@query("x20_case_search", "WITH u AS (SELECT doc_id AS id, 0 AS p FROM documents WHERE lower(text) LIKE '%and the%' UNION ALL SELECT doc_id, 2 FROM documents WHERE lower(text) LIKE '%and%') SELECT id, CAST(min(p) AS INT) AS p FROM u GROUP BY 1 ORDER BY p, id LIMIT 40")
 def _(t: Tables):
     has = lambda w: F.lower("text").contains(w)
-    u = t.documents.filter(has("and the")).select(c("doc_id").alias("id"), F.lit(0).alias("p")).union(t.documents.filter(has("and") & (c("doc_id") < 300)).select("doc_id", F.lit(2)))
+    u = t.documents.filter(has("and the")).select(c("doc_id").alias("id"), F.lit(0).alias("p")).union(t.documents.filter(has("and")).select("doc_id", F.lit(2)))
     return u.groupBy("id").agg(F.min("p").alias("p")).orderBy("p", "id").limit(40)
 
 
@@ -159,19 +159,19 @@ def _(t: Tables):
     return t.conversations.groupBy("conv_id").agg(F.max(F.when(c("role") == "assistant", c("turn"))).alias("answer"))
 
 
-@query("r1_relevance_score", f"WITH d AS (SELECT doc_id, n_chars, lang, {D.stems('text')} AS s FROM documents WHERE doc_id<100), q AS (SELECT {D.stems('text')} AS s FROM benchmark WHERE item_id=0), x AS (SELECT doc_id, len(list_intersect(q.s,d.s))/len(q.s)::DOUBLE AS cov, least(1.0::DOUBLE,n_chars/20000.0::DOUBLE) AS prox, CASE WHEN lang='en' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS prior FROM d,q) SELECT doc_id, round(least(1,greatest(0,0.40::DOUBLE*cov+0.20::DOUBLE*prior+0.15::DOUBLE*prox)),6) AS score FROM x")
+@query("r1_relevance_score", f"WITH {BM25}, q2 AS (SELECT item_id AS query_id, {D.stems('text')} AS q FROM benchmark), x AS (SELECT lex.query_id, doc_id, len(list_intersect(q,{D.stems('text')}))/len(q)::DOUBLE AS cov, least(1.0::DOUBLE,n_chars/20000.0::DOUBLE) AS prox, CASE WHEN lang='en' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS prior FROM lex JOIN documents USING(doc_id) JOIN q2 ON q2.query_id=lex.query_id WHERE rank<=20) SELECT query_id, doc_id, round(least(1,greatest(0,0.40::DOUBLE*cov+0.20::DOUBLE*prior+0.15::DOUBLE*prox)),3) AS score FROM x")
 def _(t: Tables):
-    q = t.benchmark.filter("item_id = 0").select(T.content_set(c("text")).alias("q"))
-    d = t.documents.filter("doc_id < 100").select("doc_id", "n_chars", "lang", T.content_set(c("text")).alias("s")).join(F.broadcast(q))  # one question
+    q = t.benchmark.select(c("item_id").alias("query_id"), T.content_set(c("text")).alias("q"))
+    d = lexical(t).select("query_id", "doc_id").join(t.documents, "doc_id").join(q, "query_id").withColumn("s", T.content_set(c("text")))
     cov = F.size(F.array_intersect("q", "s")) / F.size("q")
-    return d.select("doc_id", search.relevance(cov, F.lit(0.0), F.when(c("lang") == "en", 1.0).otherwise(0.7), F.least(F.lit(1.0), c("n_chars") / 20000), F.lit(1.0)).alias("score"))
+    return d.select("query_id", "doc_id", F.round(search.relevance(cov, F.lit(0.0), F.when(c("lang") == "en", 1.0).otherwise(0.7), F.least(F.lit(1.0), c("n_chars") / 20000), F.lit(1.0)), 3).alias("score"))
 
 
 @query("r2_tolerant_coverage")
 def _(t: Tables):
-    q = t.benchmark.filter("item_id < 20").select("item_id", T.content_set(c("text")).alias("q"))
-    d = t.documents.filter("doc_id < 20").select(c("doc_id").alias("item_id"), T.content_set(c("text")).alias("s"))
-    return q.join(d, "item_id").select("item_id", F.round(T.tolerant_share(c("q"), c("s")), 6).alias("coverage"))
+    q = t.benchmark.select("item_id", T.content_set(c("text")).alias("q"))
+    d = lexical(t, 5).join(t.documents, "doc_id").select(c("query_id").alias("item_id"), "doc_id", T.content_set(c("text")).alias("s"))
+    return q.join(d, "item_id").select("item_id", "doc_id", F.round(T.tolerant_share(c("q"), c("s")), 6).alias("coverage"))
 
 
 @query("r3_page_dedupe", "SELECT l_orderkey, arg_max(l_linenumber, (round(l_extendedprice,0), l_linestatus='O', -l_linenumber)) AS line FROM lineitem GROUP BY 1")

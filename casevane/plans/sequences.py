@@ -98,9 +98,9 @@ def _(t: Tables):
     return t.documents.select("doc_id", F.floor((F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1) / 6).alias("batch"))
 
 
-@query("c12_drift_plan", "SELECT label AS model, count(*) AS n FROM embeddings GROUP BY 1 HAVING bool_or(vec_id%50=0)")
+@query("c12_drift_plan", "SELECT label AS model, count(*) AS n FROM embeddings GROUP BY 1 HAVING bool_or(embedding[1]>0.28)")
 def _(t: Tables):
-    return t.embeddings.groupBy(c("label").alias("model")).agg(F.count("*").alias("n"), F.bool_or(c("vec_id") % 50 == 0).alias("d")).filter("d").select("model", "n")
+    return t.embeddings.groupBy(c("label").alias("model")).agg(F.count("*").alias("n"), F.bool_or(F.get("embedding", F.lit(0)) > F.lit(0.28)).alias("d")).filter("d").select("model", "n")
 
 
 @query(
@@ -113,9 +113,9 @@ def _(t: Tables):
     return h.withColumn("rn", F.row_number().over(W.partitionBy("media_id").orderBy("first_ms", "speaker"))).filter("rn <= 8").drop("rn")
 
 
-@query("x21_speaker_first_order", "SELECT conv_id, turn FROM conversations WHERE conv_id<20 ORDER BY conv_id, CASE WHEN role='assistant' THEN 0 ELSE 1 END, turn LIMIT 30")
+@query("x21_speaker_first_order", "SELECT conv_id, turn FROM conversations ORDER BY conv_id, CASE WHEN role='assistant' THEN 0 ELSE 1 END, turn LIMIT 30")
 def _(t: Tables):
-    return t.conversations.filter("conv_id < 20").orderBy("conv_id", F.when(c("role") == "assistant", 0).otherwise(1), "turn").limit(30).select("conv_id", "turn")
+    return t.conversations.orderBy("conv_id", F.when(c("role") == "assistant", 0).otherwise(1), "turn").limit(30).select("conv_id", "turn")
 
 
 @query("z7_cross_session_history", "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id%10 ORDER BY conv_id DESC, turn DESC) AS rn FROM conversations) WHERE rn<=4")

@@ -89,26 +89,28 @@ def _(t: Tables):
     return t.part.select("p_partkey", F.when(F.upper("p_name").rlike(r"(RING|BOLT|S\.?A\.?S)$"), "organization").otherwise("person").alias("kind"))
 
 
-@query("t20_levenshtein", "SELECT a.p_partkey, b.p_partkey AS other, CAST(levenshtein(a.p_name,b.p_name) AS INT) AS d FROM part a JOIN part b ON a.p_brand=b.p_brand AND a.p_partkey<b.p_partkey WHERE a.p_partkey<400 AND b.p_partkey<400")
+@query("t20_levenshtein", "SELECT p_partkey, CAST(levenshtein(p_name, nxt) AS INT) AS d FROM (SELECT p_partkey, p_name, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nxt FROM part)")
 def _(t: Tables):
-    a, b = t.part.filter("p_partkey < 400").alias("a"), t.part.filter("p_partkey < 400").alias("b")
-    return a.join(b, (c("a.p_brand") == c("b.p_brand")) & (c("a.p_partkey") < c("b.p_partkey"))).select(c("a.p_partkey"), c("b.p_partkey").alias("other"), F.levenshtein("a.p_name", "b.p_name").alias("d"))
+    from pyspark.sql import Window
+
+    nxt = F.lead("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    return t.part.withColumn("nxt", nxt).select("p_partkey", F.levenshtein("p_name", "nxt").alias("d"))
 
 
-@query("t21_character_error", "WITH b AS (SELECT item_id, left(regexp_replace(text,'[^ -~]','','g'),80) AS r, left(regexp_replace(lower(regexp_replace(text,'[^ -~]','','g')),'[aeiou]','','g'),80) AS h FROM benchmark) SELECT item_id, round(CASE WHEN length(r)=0 THEN CASE WHEN length(h)=0 THEN 0 ELSE 1 END ELSE levenshtein(r,h)/length(r)::DOUBLE END,6) AS cer FROM b")
+@query("t21_character_error", "WITH b AS (SELECT item_id, regexp_replace(text,'[^ -~]','','g') AS r, regexp_replace(lower(regexp_replace(text,'[^ -~]','','g')),'[aeiou]','','g') AS h FROM benchmark) SELECT item_id, round(CASE WHEN length(r)=0 THEN CASE WHEN length(h)=0 THEN 0 ELSE 1 END ELSE levenshtein(r,h)/length(r)::DOUBLE END,6) AS cer FROM b")
 def _(t: Tables):
     text = F.regexp_replace("text", "[^ -~]", "")
-    r, h = F.left(text, F.lit(80)), F.left(F.regexp_replace(F.lower(text), "[aeiou]", ""), F.lit(80))
+    r, h = text, F.regexp_replace(F.lower(text), "[aeiou]", "")
     return t.benchmark.select("item_id", F.round(T.character_error(r, h), 6).alias("cer"))
 
 
 @query(
     "t22_edit_confidence",
-    f"WITH b AS (SELECT item_id, regexp_replace({D.fold('left(text,60)')},'[^a-z0-9]','','g') AS a, regexp_replace({D.fold('left(text,50)')},'[^a-z0-9]','','g') AS z FROM benchmark)"
+    f"WITH b AS (SELECT item_id, regexp_replace({D.fold('text')},'[^a-z0-9]','','g') AS a, regexp_replace({D.fold(chr(114)+'eplace(text,' + chr(39)+'th'+chr(39)+','+chr(39)+'t'+chr(39)+')')},'[^a-z0-9]','','g') AS z FROM benchmark)"
     " SELECT item_id, CASE WHEN length(a)=0 THEN 0.0::DOUBLE ELSE round(greatest(0.0::DOUBLE, 0.9::DOUBLE - levenshtein(a,z)/greatest(length(a),length(z),1)::DOUBLE),5) END AS confidence FROM b",
 )
 def _(t: Tables):
-    return t.benchmark.select("item_id", T.edit_confidence(F.lit(0.9), F.left("text", F.lit(60)), F.left("text", F.lit(50))).alias("confidence"))
+    return t.benchmark.select("item_id", T.edit_confidence(F.lit(0.9), c("text"), F.replace(c("text"), F.lit("th"), F.lit("t"))).alias("confidence"))
 
 
 @query("t23_tidy", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(coalesce(text,''),'[|~^_*#$%&<>]+',' ','g'),'[ \\t\\n\\r]+',' ','g'))) AS h FROM documents")
