@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import checking, linking, more, relational, searching, sequences, words  # noqa: F401
+from . import checking, linking, more, relational, searching, sequences, tools, words  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
