@@ -28,8 +28,9 @@ SAMPLE_CLEAN = 2500
 CUT = 0.7
 PREFIX = 5
 NEAR = 6
-#: An entry of a lexicon: in this many toxic texts at least, and this many times likelier there.
+#: An entry of a lexicon: in this many toxic texts and this share of them at least, and this many times likelier there.
 LEAST_TEXTS = 6
+LEAST_SHARE = 0.015
 LEAST_RATIO = 12.0
 
 # Second-person words of the four languages.
@@ -86,16 +87,25 @@ def features(text: str | None, lexicon: frozenset[str], prefixes: frozenset[str]
 
 
 def mine(texts: list[str], toxic: np.ndarray) -> tuple[frozenset[str], frozenset[str]]:
-    """Words, and beginnings of words, that mark toxic texts."""
-    counts = {(kind, y): Counter() for kind in (0, 1) for y in (0, 1)}
+    """Words, and beginnings of words, that mark toxic texts.
+
+    An entry also needs enough different words before it in toxic texts, so that copies of one text don't make one.
+    """
+    seen = ({}, {})  # entry -> preceding words in toxic texts
+    texts_with = {(kind, y): Counter() for kind in (0, 1) for y in (0, 1)}
     for text, y in zip(texts, toxic.tolist(), strict=True):
-        words = {w.translate(DISGUISE) if not w.isalpha() else w for w in words_of(text)}
-        counts[0, y].update(words)
-        counts[1, y].update({w[:PREFIX] for w in words if len(w) >= PREFIX})
+        words = [w if w.isalpha() else w.translate(DISGUISE) for w in words_of(text)]
+        for kind in (0, 1):
+            own = [w[:PREFIX] if len(w) >= PREFIX else None for w in words] if kind else words
+            if y:
+                for before, w in zip(["", *words], own):
+                    if w:
+                        seen[kind].setdefault(w, set()).add(before)
+            texts_with[kind, y].update(w for w in set(own) if w)
+    least = max(LEAST_TEXTS, LEAST_SHARE * int(toxic.sum()))
     bad, good = int(toxic.sum()) + 1, int((1 - toxic).sum()) + 1
-    return tuple(
-        frozenset(w for w, n in counts[kind, 1].items() if n >= LEAST_TEXTS and (n / bad) / ((counts[kind, 0][w] + 0.5) / good) >= LEAST_RATIO) for kind in (0, 1)
-    )
+    likelier = lambda w, kind: (texts_with[kind, 1][w] / bad) / ((texts_with[kind, 0][w] + 0.5) / good)
+    return tuple(frozenset(w for w, before in seen[kind].items() if len(before) >= least and likelier(w, kind) >= LEAST_RATIO) for kind in (0, 1))
 
 
 class Boosted:
