@@ -17,14 +17,14 @@ def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     folded = words.select(key, T.fold(F.col("w")).alias("w")).filter(~F.col("w").isin(*T.STOP_WORDS, *T.QUESTION_WORDS))
     stems = folded.select(key, T.stem(F.col("w")).alias("term"))
     counted = stems.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    sizes = counted.groupBy(key).agg(F.sum("tf").alias("size"))
-    return counted.join(sizes, key)
+    return counted.withColumn("size", F.sum("tf").over(Window.partitionBy(key)))
 
 
 def bm25(index: DataFrame, queries: DataFrame, key: str, query: str = "query_id") -> DataFrame:
     """``query, key, score`` for the stems of each query (query, term).
 
-    Statistics are two aggregates; postings are filtered by the query terms before the join that scores them.
+    Statistics are two aggregates; postings are filtered by the query terms before the join that scores them.  The index
+    is read three times, so pass one that is written already.
     """
     stats = index.groupBy(key).agg(F.max("size").alias("size")).agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))
     wanted = queries.select("term").distinct()

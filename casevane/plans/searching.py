@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import search
+from ..operators.common import cut
 from . import duck as D
 from .registry import Tables, query
 
@@ -27,7 +28,7 @@ def terms_of(t: Tables):
 
 
 def lexical(t: Tables, k: int = 20):
-    s = search.bm25(search.postings(t.documents, "doc_id"), terms_of(t), "doc_id")
+    s = search.bm25(cut(search.postings(t.documents, "doc_id")), terms_of(t), "doc_id")
     return search.ranked(s.withColumn("score", F.round("score", 6)), "query_id", "doc_id", k)
 
 
