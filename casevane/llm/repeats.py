@@ -83,6 +83,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _named(least: np.ndarray) -> np.ndarray:
+    """Names of triggers.  A trigger's hash is a minimum, hence small; its name is spread evenly over the buckets."""
+    x = least * _MIX2
+    x ^= x >> np.uint64(29)
+    return _mixed(x)
+
+
 def window_hash(h: dict[int, np.ndarray], at: np.ndarray) -> np.ndarray:
     """Hash of the 50 bytes at each given place."""
     x = h[32][at] * _POWERS[16]
@@ -154,7 +161,7 @@ def _parse_part(texts: list[bytes], part: list[tuple[int, int, int]], named: boo
     windows = np.diff(np.append(first, len(at)))
     at = at[first]
     piece = np.searchsorted(ends, at, side="right")
-    return Phrases(docs[piece], at - (ends - counts - MATCH + 1)[piece] + starts[piece], windows, gram[trigger[first]], data, at, h)
+    return Phrases(docs[piece], at - (ends - counts - MATCH + 1)[piece] + starts[piece], windows, _named(gram[trigger[first]]), data, at, h)
 
 
 def _distinct(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[bytes]]:
