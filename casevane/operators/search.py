@@ -74,9 +74,9 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
     return got.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
 
 
-def ranked(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
-    """``query, key, rank, score`` of the k best of each query; ties by key."""
-    w = Window.partitionBy(query).orderBy(F.desc("score"), key)
+def ranked(scored: DataFrame, query: str, key: str, k: int, digits: int = 9) -> DataFrame:
+    """``query, key, rank, score`` of the k best of each query; scores equal in these digits are ties, broken by key."""
+    w = Window.partitionBy(query).orderBy(F.desc(F.round("score", digits)), key)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(query, key, "rank", "score")
 
 

@@ -46,7 +46,7 @@ def _(t: Tables):
     return t.events.groupBy("user_id").agg(F.when(2 * F.count_if(c("value") > 50) > F.count("*"), 1).otherwise(0).alias("verdict"))
 
 
-KNN = "n AS (SELECT a.vec_id AS query_id, b.label, round(list_cosine_similarity(a.embedding::DOUBLE[],b.embedding::DOUBLE[]),9) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[],b.embedding::DOUBLE[]),9) DESC, b.vec_id) AS rn FROM embeddings a, embeddings b WHERE a.vec_id%100=0 AND a.vec_id<>b.vec_id), v AS (SELECT query_id, label, round(sum(s),6) AS score FROM n WHERE rn<=12 AND s>=0.1 GROUP BY 1,2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS p, coalesce(lead(score) OVER (PARTITION BY query_id ORDER BY score DESC, label),0) AS second FROM v)"
+KNN = "n AS (SELECT a.vec_id AS query_id, b.label, round(list_cosine_similarity(a.embedding::DOUBLE[],b.embedding::DOUBLE[]),9) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[],b.embedding::DOUBLE[]),9) DESC, b.vec_id) AS rn FROM embeddings a, embeddings b WHERE a.vec_id%100=0 AND a.vec_id<>b.vec_id), v AS (SELECT query_id, label, round(sum(s),9) AS score FROM n WHERE rn<=12 AND s>=0.1 GROUP BY 1,2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label) AS p, coalesce(lead(score) OVER (PARTITION BY query_id ORDER BY score DESC, label),0) AS second FROM v)"
 
 
 def knn(t: Tables):
@@ -56,9 +56,9 @@ def knn(t: Tables):
     return E.vote(near.drop("score").join(near.select("query_id", "vec_id", "score"), ["query_id", "vec_id"]).join(t.embeddings.select("vec_id", "label"), "vec_id"), "query_id", "label", c("score"))
 
 
-@query("k4_knn_vote", f"WITH {KNN} SELECT query_id, label, round(score,4) AS score FROM r WHERE p=1")
+@query("k4_knn_vote", f"WITH {KNN} SELECT query_id, label, score FROM r WHERE p=1")
 def _(t: Tables):
-    return knn(t).select("query_id", "label", F.round(F.round("score", 6), 4).alias("score"))
+    return knn(t).select("query_id", "label", "score")
 
 
 @query("k5_vote_gate", f"WITH {KNN} SELECT query_id, CASE WHEN (score-second)/score>=0.15 THEN label ELSE -1 END AS label FROM r WHERE p=1")

@@ -29,7 +29,7 @@ def terms_of(t: Tables):
 
 def lexical(t: Tables, k: int = 20):
     s = search.bm25(cut(search.postings(t.documents, "doc_id")), terms_of(t), "doc_id")
-    return search.ranked(s.withColumn("score", F.round("score", 6)), "query_id", "doc_id", k)
+    return search.ranked(s, "query_id", "doc_id", k, 6)
 
 
 @query("x1_postings", f"WITH {POSTINGS} SELECT post.doc_id, term, tf, CAST(size AS BIGINT) AS size FROM post JOIN size USING(doc_id)")
@@ -43,15 +43,15 @@ def _(t: Tables):
     return t.benchmark.select("item_id", F.array_join(F.array_sort(F.array_union(terms, F.transform(terms, T.stem))), " ").alias("prefixes"))
 
 
-@query("x3_bm25_top_k", f"WITH {BM25} SELECT lex.query_id, lex.doc_id, rank, round(round(score,6),4) AS score FROM lex JOIN sc ON sc.query_id=lex.query_id AND sc.doc_id=lex.doc_id WHERE rank<=10")
+@query("x3_bm25_top_k", f"WITH {BM25} SELECT lex.query_id, lex.doc_id, rank, round(score,4) AS score FROM lex JOIN sc ON sc.query_id=lex.query_id AND sc.doc_id=lex.doc_id WHERE rank<=10")
 def _(t: Tables):
     return lexical(t, 10).select("query_id", "doc_id", c("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
-@query("x6_vector_top_k", "SELECT query_id, vec_id, round(score,6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[],b.embedding::DOUBLE[]),9) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[],b.embedding::DOUBLE[]),9) DESC, b.vec_id) AS rn FROM embeddings a, embeddings b WHERE a.vec_id%100=0) WHERE rn<=5")
+@query("x6_vector_top_k", "SELECT query_id, vec_id, score FROM (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[],b.embedding::DOUBLE[]),9) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[],b.embedding::DOUBLE[]),9) DESC, b.vec_id) AS rn FROM embeddings a, embeddings b WHERE a.vec_id%100=0) WHERE rn<=5")
 def _(t: Tables):
     q = t.embeddings.filter(c("vec_id") % 100 == 0).select(c("vec_id").alias("query_id"), "embedding")
-    return search.vector_top_k(t.embeddings, q, 5).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return search.vector_top_k(t.embeddings, q, 5).select("query_id", "vec_id", "score")
 
 
 def dense(t: Tables, k: int = 20):
@@ -69,9 +69,9 @@ HYBRID = BM25 + (
 )
 
 
-@query("x10_rank_fusion", f"WITH {HYBRID} SELECT query_id, doc_id, rank, round(round(score,9),6) AS score FROM h WHERE rank<=10")
+@query("x10_rank_fusion", f"WITH {HYBRID} SELECT query_id, doc_id, rank, score FROM h WHERE rank<=10")
 def _(t: Tables):
-    return search.fuse([lexical(t), dense(t)], "query_id", "doc_id", 10).select("query_id", "doc_id", c("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return search.fuse([lexical(t), dense(t)], "query_id", "doc_id", 10).select("query_id", "doc_id", c("rank").cast("long").alias("rank"), "score")
 
 
 @query("x11_hybrid_with_quota", f"WITH {HYBRID}, d AS (SELECT h.query_id, h.doc_id, h.rank, source, row_number() OVER (PARTITION BY query_id, source ORDER BY h.rank) AS per FROM h JOIN documents USING(doc_id) WHERE rank<=30), k AS (SELECT query_id, doc_id, source, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS pos FROM d WHERE per<=2) SELECT * FROM k WHERE pos<=8")
@@ -160,12 +160,12 @@ def _(t: Tables):
     return t.conversations.groupBy("conv_id").agg(F.max(F.when(c("role") == "assistant", c("turn"))).alias("answer"))
 
 
-@query("r1_relevance_score", f"WITH {BM25}, q2 AS (SELECT item_id AS query_id, {D.stems('text')} AS q FROM benchmark), x AS (SELECT lex.query_id, doc_id, len(list_intersect(q,{D.stems('text')}))/len(q)::DOUBLE AS cov, least(1.0::DOUBLE,n_chars/20000.0::DOUBLE) AS prox, CASE WHEN lang='en' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS prior FROM lex JOIN documents USING(doc_id) JOIN q2 ON q2.query_id=lex.query_id WHERE rank<=20) SELECT query_id, doc_id, round(least(1,greatest(0,0.40::DOUBLE*cov+0.20::DOUBLE*prior+0.15::DOUBLE*prox)),3) AS score FROM x")
+@query("r1_relevance_score", f"WITH {BM25}, q2 AS (SELECT item_id AS query_id, {D.stems('text')} AS q FROM benchmark), x AS (SELECT lex.query_id, doc_id, len(list_intersect(q,{D.stems('text')}))/len(q)::DOUBLE AS cov, least(1.0::DOUBLE,n_chars/20011.0::DOUBLE) AS prox, CASE WHEN lang='en' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS prior FROM lex JOIN documents USING(doc_id) JOIN q2 ON q2.query_id=lex.query_id WHERE rank<=20) SELECT query_id, doc_id, round(least(1,greatest(0,0.40::DOUBLE*cov+0.20::DOUBLE*prior+0.15::DOUBLE*prox)),6) AS score FROM x")
 def _(t: Tables):
     q = t.benchmark.select(c("item_id").alias("query_id"), T.content_set(c("text")).alias("q"))
     d = lexical(t).select("query_id", "doc_id").join(t.documents, "doc_id").join(q, "query_id").withColumn("s", T.content_set(c("text")))
     cov = F.size(F.array_intersect("q", "s")) / F.size("q")
-    return d.select("query_id", "doc_id", F.round(search.relevance(cov, F.lit(0.0), F.when(c("lang") == "en", 1.0).otherwise(0.7), F.least(F.lit(1.0), c("n_chars") / 20000), F.lit(1.0)), 3).alias("score"))
+    return d.select("query_id", "doc_id", search.relevance(cov, F.lit(0.0), F.when(c("lang") == "en", 1.0).otherwise(0.7), F.least(F.lit(1.0), c("n_chars") / 20011), F.lit(1.0)).alias("score"))
 
 
 @query("r2_tolerant_coverage")
