@@ -23,7 +23,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -50,9 +49,11 @@ class Pieces:
     unknown: int
     dummy_prefix: bool
     longest: int = field(init=False)
+    cost: dict[str, float] = field(init=False)
 
     def __post_init__(self):
         self.longest = max(map(len, self.ids))
+        self.cost = {p: -self.scores[i] for p, i in self.ids.items()}
 
 
 def load(path: str | None = None, *, proto: bytes | None = None) -> Pieces:
@@ -182,16 +183,19 @@ def encode_word(word: str, pieces: Pieces) -> tuple[int, ...]:
 def _merge(word: str, pieces: Pieces) -> list[str]:
     if len(word) > LONGEST:
         return _merge_long(word, pieces)
-    parts, ids, scores = list(word), pieces.ids, pieces.scores
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            k = ids.get(parts[i] + parts[i + 1])
-            if k is not None and (best is None or scores[k] > best):
-                best, at = scores[k], i
-        if at < 0:
+    parts, cost, none = list(word), pieces.cost.get, float("inf")
+    pairs = [cost(a + b, none) for a, b in zip(parts, parts[1:])]  # only those beside a merge change
+    while pairs:
+        least = min(pairs)
+        if least == none:
             break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        i = pairs.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = cost(parts[i - 1] + parts[i], none)
+        if i < len(pairs):
+            pairs[i] = cost(parts[i] + parts[i + 1], none)
     return parts
 
 
@@ -240,27 +244,51 @@ def _best_path(word: str, pieces: Pieces) -> list[str]:
     return out[::-1]
 
 
+class _Memo(dict):
+    """Word, after a common prefix -> its ids as packed int32; known words stay, others while there is room."""
+
+    def __init__(self, pieces: Pieces, prefix: str, known: dict[str, tuple[int, ...]]):
+        super().__init__((w[len(prefix) :], np.array(ids, np.int32).tobytes()) for w, ids in known.items() if w.startswith(prefix))
+        self.pieces, self.prefix, self.known = pieces, prefix, dict(self)
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(encode_word(self.prefix + word, self.pieces), np.int32).tobytes()
+        if len(word) <= LONGEST:
+            if len(self) >= len(self.known) + MEMO:
+                self.clear()
+                self.update(self.known)
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Encodes whole texts; the given words are known, others are folded once while the bounded memo has room."""
 
     def __init__(self, pieces: Pieces, known: dict[str, tuple[int, ...]]):
-        outer = self
-        self.pieces, self.known = pieces, known
-
-        class Memo(dict):
-            def __missing__(self, word: str) -> tuple[int, ...]:
-                ids = encode_word(word, outer.pieces)
-                if len(word) <= LONGEST:
-                    if len(self) >= len(outer.known) + MEMO:
-                        self.clear()
-                        self.update(outer.known)
-                    self[word] = ids
-                return ids
-
-        self.memo = Memo(known)
+        self.pieces = pieces
+        self.spaced, self.bare = _Memo(pieces, SPACE, known), _Memo(pieces, "", known)
+
+    def packed(self, text: str | None) -> bytes:
+        """Ids as int32 bytes."""
+        if not text:
+            return b""
+        if "  " in text or SPACE in text or text[0] == " " or text[-1] == " " or "\t" in text or "\n " in text or " \n" in text:
+            return b"".join(map(self.bare.__getitem__, words_of(text, self.pieces.dummy_prefix)))
+        # Single spaces only: the words of a line are its parts, all but the first with a space mark.
+        out, spaced, bare = [], self.spaced.__getitem__, self.bare.__getitem__
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                out.append(bare("\n"))
+            first, *rest = line.split(" ")
+            if first:
+                out.append(spaced(first) if self.pieces.dummy_prefix and not k else bare(first))
+            elif self.pieces.dummy_prefix and not k:
+                out.append(bare(SPACE))
+            out.extend(map(spaced, rest))
+        return b"".join(out)
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.memo.__getitem__, words_of(text or "", self.pieces.dummy_prefix))))
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
 
 class Decoder:
@@ -286,7 +314,7 @@ def frequent_words(docs: DataFrame, pieces: Pieces, text_col: str, most: int = D
         seen: Counter = Counter()
 
         def out():
-            kept = [(w, n) for w, n in seen.items() if len(w) <= LONGEST]
+            kept = [(w, n) for w, n in seen.items() if n > 1 and len(w) <= LONGEST]  # only a choice of words to know beforehand
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
         for rows in batches:
@@ -329,16 +357,16 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
             for a in range(0, rows.num_rows, 500):
                 part = rows.slice(a, 500)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = [encoder.encode(t) for t in texts]
-                sizes = np.array([0, *map(len, ids)], np.int32)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+                packed = [encoder.packed(t) for t in texts]
+                sizes = np.array([0, *(len(x) // 4 for x in packed)], np.int32)
+                flat = np.frombuffer(b"".join(packed), np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.array([len(t.encode("utf-8", "replace")) for t in texts], pa.int64()),
+                        pa.array([len(t) if t.isascii() else len(t.encode("utf-8", "replace")) for t in texts], pa.int64()),
                         pa.array(sizes[1:].astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(flat)),
-                        pa.array([decoder.decode(i) == t for i, t in zip(ids, texts, strict=True)], pa.bool_()),
+                        pa.array([decoder.decode(np.frombuffer(x, np.int32).tolist()) == t for x, t in zip(packed, texts, strict=True)], pa.bool_()),
                     ],
                     names=[id_col, "n_bytes", "n_tokens", "ids", "round_trip"],
                 )
