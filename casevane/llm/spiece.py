@@ -5,22 +5,31 @@ lattice of a word has an edge for each substring that is a piece: substrings of
 to the piece table, and the edges are grouped by word.  A higher-order ``aggregate`` folds them:
 
 * ``unigram`` models: Viterbi over the places of the word, keeping for each place the best score and way;
-* ``bpe`` models: a Viterbi path is *not* what the library gives, so the fold replays the merges: the state is a bit
-  mask of the piece boundaries, and each step joins the adjacent pair whose edge has the best score, leftmost on ties.
+* ``bpe`` models: a Viterbi path is *not* what the library gives, so the fold replays the merges: the state has the
+  piece boundaries and the edges that still can merge, and each step joins the adjacent pair whose edge has the best
+  score, leftmost on ties.
 
-The lattice runs in Spark for the most frequent words of the corpus (at most ``DICTIONARY`` of at most ``LONGEST``
-characters, a bounded table that is then broadcast).  All other words go through a twin of the same fold inside the
-one narrow pass that encodes the documents, so every word of every whole text is encoded exactly.
+Every different word of the corpus goes through the lattice once.  Texts are dealt into batches; a batch asks for each
+of its words once, in a row per bucket of words; inside a bucket the distinct words are found, exploded, joined, grouped
+and folded without another shuffle, and the answers go back to the batches that asked.  So a word that every text has
+is one row per batch, a text crosses the network once (compressed), and nothing grows with the vocabulary of the corpus
+but the number of buckets.
+
+The fold of a word costs about the square of its length; a word beyond ``LONGEST`` characters (a text without a single
+space, say) has its merges or its best path computed by a heap or a loop where the answers are written, exactly, in
+n log n.
 
 Edge cases: null and empty texts have no ids; characters without a piece become byte pieces (or the unknown piece
-without byte fallback); a literal U+2581 is a space to the model, so such texts decode to spaces; equal rows give
-equal rows; an empty table gives an empty table; columns of other names are not read.
+without byte fallback); a literal U+2581 is a space to the model, so such texts decode to spaces; very long texts are
+encoded whole, like any other; a null id is carried through; repeated rows give repeated rows, equal rows equal ones;
+an empty table gives an empty table; columns of other names are not read, whatever they are called.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,10 +39,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import batches_for
+
 SPACE = "▁"
-DICTIONARY = 100_000
-LONGEST = 60
-MEMO = 300_000
+#: Characters of a word whose boundaries fit into the bits of a long; longer ones keep an array.
+BITS = 61
+LONGEST = 1000
+#: Bytes of text in a batch, and for each bucket of words.
+BATCH_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 _CUT = re.compile(f"[\n\t]|{SPACE}*[^{SPACE}\n\t]+|{SPACE}+")
 
 
@@ -49,11 +63,9 @@ class Pieces:
     unknown: int
     dummy_prefix: bool
     longest: int = field(init=False)
-    cost: dict[str, float] = field(init=False)
 
     def __post_init__(self):
         self.longest = max(map(len, self.ids))
-        self.cost = {p: -self.scores[i] for p, i in self.ids.items()}
 
 
 def load(path: str | None = None, *, proto: bytes | None = None) -> Pieces:
@@ -86,88 +98,162 @@ def load(path: str | None = None, *, proto: bytes | None = None) -> Pieces:
 
 
 def words_of(text: str, dummy_prefix: bool) -> list[str]:
+    """The words of a text; there may be empty ones among them."""
     if not text:
         return []
-    return _CUT.findall((SPACE if dummy_prefix else "") + text.replace(" ", SPACE))
+    if "  " in text or SPACE in text or (dummy_prefix and text[0] == " "):
+        return _CUT.findall((SPACE if dummy_prefix else "") + text.replace(" ", SPACE))
+    # Single spaces only: each ends a word and marks the next.
+    marked = (SPACE if dummy_prefix else "") + text.replace(" ", " " + SPACE)
+    if "\n" in marked:
+        marked = marked.replace("\n", " \n ")
+    if "\t" in marked:
+        marked = marked.replace("\t", " \t ")
+    return marked.split(" ")
 
 
 # ---- the lattice in Spark ----
 
 
-def edges_of(words: DataFrame, pieces: Pieces, word: str = "word") -> DataFrame:
-    """``word, edges``: the pieces inside each distinct word, as arrays of structs."""
-    spark = words.sparkSession
-    table = spark.createDataFrame([(p, i, float(pieces.scores[i])) for p, i in pieces.ids.items()], "piece string, id int, score double")
-    w, n = F.col(word), F.length(word)
-    spots = words.select(w, F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = spots.select(w, "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s")))).alias("size"))
-    spans = spans.withColumn("piece", F.substring(w, F.col("s") + 1, F.col("size"))).withColumn("t", F.col("s") + F.col("size"))
-    one = F.lit(1).cast("bigint")
-    bit = lambda c: F.call_function("shiftleft", one, c)
+def lattice(words: DataFrame, pieces: Pieces, word: str = "word") -> DataFrame:
+    """The columns of some distinct words of at most ``LONGEST`` characters, and ``edges``: the pieces inside each.
+
+    An edge is ``(rank, s, t)`` for merges, in order, and ``(t, s, cost)`` for paths.  The words may be grouped by any
+    column of theirs: rows stay where they are.
+    """
+    spark, bpe = words.sparkSession, pieces.kind == "bpe"
+    least = 2 if bpe else 1
+    ranks = {x: r for r, x in enumerate(sorted({pieces.scores[i] for i in pieces.ids.values()}, reverse=True))}
+    rows = [(p, ranks[pieces.scores[i]], -float(pieces.scores[i])) for p, i in pieces.ids.items() if len(p) >= least]
+    table = spark.createDataFrame([*rows, ("", -1, 0.0)], "piece string, rank long, cost double")
+    # Sizes of three characters and more are tried only where some piece of that size starts with the same three.
+    short = list(range(least, 3))
+    by_head: dict[str, set[int]] = defaultdict(lambda: set(short))
+    for p, *_ in rows:
+        if len(p) > 2:
+            by_head[p[:3]].add(len(p))
+    heads = spark.createDataFrame([(h, sorted(n)) for h, n in by_head.items()], "head string, sizes array<int>")
+    w, n, keys = F.col(word), F.length(word), words.columns
+    spots = words.select(*keys, F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), n - least))).alias("s"))
+    spots = spots.withColumn("head", F.substring(w, F.col("s") + 1, F.lit(3))).join(F.broadcast(heads), "head", "left")  # bounded by the vocabulary of the model
+    sizes = F.coalesce("sizes", F.array(*map(F.lit, short)).cast("array<int>"))
+    # The empty string at the start of each word is in the table too, so that no word is lost.
+    spans = spots.select(*keys, "s", F.explode(F.when(F.col("s") == 0, F.concat(F.array(F.lit(0)), sizes)).otherwise(sizes)).alias("size"))
+    spans = spans.where(F.col("size") <= n - F.col("s")).withColumn("piece", F.substring(w, F.col("s") + 1, F.col("size")))
     hit = spans.join(F.broadcast(table), "piece")  # the vocabulary of the model
-    edge = F.struct((-F.col("score")).alias("cost"), "s", "t", "id", (bit(F.col("s")) + bit(F.col("t"))).alias("ends"), (bit(F.col("t")) - bit(F.col("s") + 1)).alias("inner"))
-    grouped = hit.groupBy(word).agg(F.collect_list(edge).alias("edges"))
-    # A word may have no edge at all.
-    kind = grouped.schema["edges"].dataType
-    return words.join(grouped, word, "left").select(w, F.coalesce("edges", F.array().cast(kind)).alias("edges"))
+    s, t = F.col("s"), F.col("s") + F.col("size")
+    # A long sorts faster than a struct; places are below 2**20 here.
+    edge = F.shiftleft("rank", 40).bitwiseOR(F.shiftleft(s.cast("long"), 20)).bitwiseOR(t.cast("long")) if bpe else F.struct(t.alias("t"), s.alias("s"), "cost")
+    grouped = hit.withColumn("wh", F.xxhash64(w)).groupBy("wh", *keys).agg(F.sort_array(F.collect_list(edge)).alias("e"))
+    real = F.filter("e", lambda e: (e >= 0) if bpe else (e["t"] > e["s"]))
+    return grouped.select(*keys, real.alias("edges"))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+
+
+def _edge(e: Column) -> tuple[Column, Column]:
+    low = F.lit((1 << 20) - 1).cast("long")
+    return F.shiftright(e, 20).bitwiseAND(low).cast("int"), e.bitwiseAND(low).cast("int")
+
+
+def _merged_bits(n: Column) -> Column:
+    """Ends of the pieces after all merges; boundaries are the bits of a long."""
+
+    def span(e: Column) -> Column:
+        s, t = _edge(e)
+        return F.struct((_bit(s) + _bit(t)).alias("ends"), (_bit(t + 1) - _bit(s)).alias("span"))
+
+    def step(state: Column, _: Column) -> Column:
+        mask, edges = state["mask"], state["edges"]
+        pick = F.get(F.filter(edges, lambda e: F.bit_count(mask.bitwiseAND(e["span"])) == 3), 0)
+        after = _let(pick, lambda p: F.coalesce(mask - mask.bitwiseAND(p["span"]) + p["ends"], mask))
+        # An edge whose ends are no boundaries any more, or that is a piece now, is done with.
+        alive = lambda m: F.filter(edges, lambda e: (m.bitwiseAND(e["ends"]) == e["ends"]) & (m.bitwiseAND(e["span"]) != e["ends"]))
+        return _let(after, lambda m: F.struct(m.alias("mask"), alive(m).alias("edges")))
+
+    start = F.struct((_bit(n + 1) - 1).alias("mask"), F.transform("edges", span).alias("edges"))
+    ends = lambda mask: F.filter(F.sequence(F.lit(1), n), lambda i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+    return F.when(F.size("edges") > 0, F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda x: _let(x["mask"], ends))).otherwise(F.sequence(F.lit(1), n))
 
 
-def _bpe_mask(n: Column) -> Column:
-    """Boundaries of the pieces as bits, after all merges."""
-    full = F.call_function("shiftleft", F.lit(1).cast("bigint"), n + 1) - 1
-    edges = F.col("edges")
+def _merged_array(n: Column) -> Column:
+    """The same with an array: at each place the end of the piece that starts there, or 0."""
 
-    def step(mask: Column, _: Column) -> Column:
-        able = F.filter(edges, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1))
-        after = F.transform(able, lambda e: F.struct(e["cost"].alias("cost"), e["s"].alias("s"), (mask - mask.bitwiseAND(e["inner"])).alias("m")))
-        return F.coalesce(F.array_min(after)["m"], mask)
+    def span(e: Column) -> Column:
+        s, t = _edge(e)
+        return F.struct(s.alias("s"), t.alias("t"))
 
-    return F.when(n > 1, F.aggregate(F.sequence(F.lit(1), n - 1), full, step)).otherwise(full)
+    def step(state: Column, _: Column) -> Column:
+        ends, edges = state["ends"], state["edges"]
+        able = lambda e: (F.get(ends, e["s"]) > 0) & (F.get(ends, F.get(ends, e["s"])) == e["t"])
+        pick = F.get(F.filter(edges, able), 0)
+        joined = lambda p: F.transform(ends, lambda x, i: F.when(i == p["s"], p["t"]).when(i == F.get(ends, p["s"]), 0).otherwise(x))
+        after = _let(pick, lambda p: F.when(p.isNull(), ends).otherwise(joined(p)))
+        alive = lambda m: F.filter(edges, lambda e: (F.get(m, e["s"]) > 0) & (F.get(m, e["s"]) < e["t"]))
+        return _let(after, lambda m: F.struct(m.alias("ends"), alive(m).alias("edges")))
 
+    start = F.struct(F.transform(F.sequence(F.lit(0), n), lambda i: F.when(i < n, i + 1).otherwise(0)).alias("ends"), F.transform("edges", span).alias("edges"))
+    return F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda x: F.filter(x["ends"], lambda e: e > 0))
 
-def _unigram_mask(n: Column, unknown_cost: float) -> Column:
-    """Boundaries of the best path: for each place the least cost so far and the boundaries that lead there."""
-    one = F.lit(1).cast("bigint")
-    state = lambda cost, mask: F.struct(cost.cast("double").alias("cost"), mask.cast("bigint").alias("mask"))
+
+def _best_path_ends(n: Column, unknown_cost: float) -> Column:
+    """Ends of the pieces of the best path: for each place the least cost so far and the ends that lead there."""
+    state = lambda cost, ends: F.struct(cost.cast("double").alias("cost"), ends.cast("array<int>").alias("ends"))
 
     def step(best: Column, t: Column) -> Column:
         here = F.filter(F.col("edges"), lambda e: e["t"] == t)
-        ways = F.transform(here, lambda e: F.struct((F.get(best, e["s"])["cost"] + e["cost"]).alias("cost"), e["s"].alias("s"), F.get(best, e["s"])["mask"].alias("mask")))
+        ways = F.transform(here, lambda e: F.struct((F.get(best, e["s"])["cost"] + e["cost"]).alias("cost"), e["s"].alias("s")))
         # A character that is no piece costs more than any piece.
-        alone = F.when(~F.exists(here, lambda e: e["s"] == t - 1), F.struct((F.get(best, t - 1)["cost"] + unknown_cost).alias("cost"), (t - 1).alias("s"), F.get(best, t - 1)["mask"].alias("mask")))
+        alone = F.when(~F.exists(here, lambda e: e["s"] == t - 1), F.struct((F.get(best, t - 1)["cost"] + unknown_cost).alias("cost"), (t - 1).alias("s")))
         won = F.array_min(F.filter(F.concat(ways, F.array(alone)), lambda x: x.isNotNull()))
-        return F.concat(best, F.array(state(won["cost"], won["mask"] + F.call_function("shiftleft", one, t))))
+        return _let(won, lambda x: F.concat(best, F.array(state(x["cost"], F.concat(F.get(best, x["s"])["ends"], F.array(t))))))
 
-    return F.element_at(F.aggregate(F.sequence(F.lit(1), n), F.array(state(F.lit(0.0), one)), step), -1)["mask"]
+    return F.element_at(F.aggregate(F.sequence(F.lit(1), n), F.array(state(F.lit(0.0), F.array())), step), -1)["ends"]
 
 
-def encode_words(words: DataFrame, pieces: Pieces, word: str = "word") -> DataFrame:
-    """``word, ids`` for distinct words of 1 to ``LONGEST`` characters."""
+def fold(edges: DataFrame, pieces: Pieces, word: str = "word") -> DataFrame:
+    """The columns before ``edges``, and ``ends``: where the pieces of each word end."""
     n = F.length(word)
-    mask = _bpe_mask(n) if pieces.kind == "bpe" else _unigram_mask(n, -_unknown_score(pieces))
-    folded = edges_of(words, pieces, word).withColumn("mask", mask)
-    m = F.col("mask")
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.call_function("shiftright", m, i) % 2 == 1)
-    chosen = lambda i: F.filter(F.col("edges"), lambda e: (e["s"] == i) & (m.bitwiseAND(e["ends"]) == e["ends"]) & (m.bitwiseAND(e["inner"]) == 0))
-    if pieces.bytes_:
-        table = F.array(*map(F.lit, pieces.bytes_))
-        raw = lambda i: F.hex(F.substring(F.col(word), i + 1, F.lit(1)).cast("binary"))
-        fallback = lambda i: F.transform(F.sequence(F.lit(1), F.length(raw(i)) - 1, F.lit(2)), lambda j: F.get(table, F.conv(F.substring(raw(i), j, F.lit(2)), 16, 10).cast("int")))
+    if pieces.kind == "bpe":
+        ends = F.when(n <= BITS, _merged_bits(n)).otherwise(_merged_array(n))
     else:
-        fallback = lambda i: F.array(F.lit(pieces.unknown))
-    ids = F.flatten(F.transform(starts, lambda i: F.coalesce(F.transform(F.slice(F.when(F.size(chosen(i)) > 0, chosen(i)), 1, 1), lambda e: e["id"]), fallback(i))))
-    return folded.select(word, ids.alias("ids"))
+        ends = _best_path_ends(n, -_unknown_score(pieces))
+    return edges.select(*edges.columns[:-1], ends.alias("ends"))
 
 
-def _unknown_score(pieces: Pieces) -> float:
-    return min(pieces.scores[i] for i in pieces.ids.values()) - 10.0
+def encode_words(words: DataFrame, pieces: Pieces, word: str = "word") -> DataFrame:
+    """``word, ids`` for distinct words."""
+    short = fold(lattice(words.where(F.length(word) <= LONGEST), pieces, word), pieces, word)
+    rest = words.where(F.length(word) > LONGEST).select(word, F.lit(None).cast("array<int>").alias("ends"))
 
+    def ids(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows:
+            got = [ids_of(w, e, pieces) for w, e in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.int32()))], names=[word, "ids"])
 
-# ---- the twin inside the narrow pass ----
+    return short.select(word, "ends").unionByName(rest).mapInArrow(ids, f"`{word}` string, ids array<int>")
 
 
-def encode_word(word: str, pieces: Pieces) -> tuple[int, ...]:
-    parts = _merge(word, pieces) if pieces.kind == "bpe" else _best_path(word, pieces)
+def _unknown_score(pieces: Pieces) -> float:
+    return min(pieces.scores[i] for i in pieces.ids.values()) - 10.0
+
+
+def ids_of(word: str, ends, pieces: Pieces) -> list[int]:
+    """Ids of the pieces that end at the given places; without places (a very long word) they are found here."""
+    if ends is None:
+        parts = _merges(word, pieces) if pieces.kind == "bpe" else _best_path(word, pieces)
+    else:
+        at, parts = 0, []
+        for t in ends:
+            parts.append(word[at:t])
+            at = t
     out: list[int] = []
     for p in parts:
         i = pieces.ids.get(p)
@@ -177,30 +263,11 @@ def encode_word(word: str, pieces: Pieces) -> tuple[int, ...]:
             out.extend(pieces.bytes_[b] for b in p.encode("utf-8", "replace"))
         else:
             out.append(pieces.unknown)
-    return tuple(out)
-
-
-def _merge(word: str, pieces: Pieces) -> list[str]:
-    if len(word) > LONGEST:
-        return _merge_long(word, pieces)
-    parts, cost, none = list(word), pieces.cost.get, float("inf")
-    pairs = [cost(a + b, none) for a, b in zip(parts, parts[1:])]  # only those beside a merge change
-    while pairs:
-        least = min(pairs)
-        if least == none:
-            break
-        i = pairs.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i:
-            pairs[i - 1] = cost(parts[i - 1] + parts[i], none)
-        if i < len(pairs):
-            pairs[i] = cost(parts[i] + parts[i + 1], none)
-    return parts
-
-
-def _merge_long(word: str, pieces: Pieces) -> list[str]:
-    """The same merges with a heap: n log n for words of any length."""
+    return out
+
+
+def _merges(word: str, pieces: Pieces) -> list[str]:
+    """The merges of a very long word with a heap: n log n."""
     import heapq
 
     parts: list[str | None] = list(word)
@@ -244,53 +311,6 @@ def _best_path(word: str, pieces: Pieces) -> list[str]:
     return out[::-1]
 
 
-class _Memo(dict):
-    """Word, after a common prefix -> its ids as packed int32; known words stay, others while there is room."""
-
-    def __init__(self, pieces: Pieces, prefix: str, known: dict[str, tuple[int, ...]]):
-        super().__init__((w[len(prefix) :], np.array(ids, np.int32).tobytes()) for w, ids in known.items() if w.startswith(prefix))
-        self.pieces, self.prefix, self.known = pieces, prefix, dict(self)
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(encode_word(self.prefix + word, self.pieces), np.int32).tobytes()
-        if len(word) <= LONGEST:
-            if len(self) >= len(self.known) + MEMO:
-                self.clear()
-                self.update(self.known)
-            self[word] = ids
-        return ids
-
-
-class Encoder:
-    """Encodes whole texts; the given words are known, others are folded once while the bounded memo has room."""
-
-    def __init__(self, pieces: Pieces, known: dict[str, tuple[int, ...]]):
-        self.pieces = pieces
-        self.spaced, self.bare = _Memo(pieces, SPACE, known), _Memo(pieces, "", known)
-
-    def packed(self, text: str | None) -> bytes:
-        """Ids as int32 bytes."""
-        if not text:
-            return b""
-        if "  " in text or SPACE in text or text[0] == " " or text[-1] == " " or "\t" in text or "\n " in text or " \n" in text:
-            return b"".join(map(self.bare.__getitem__, words_of(text, self.pieces.dummy_prefix)))
-        # Single spaces only: the words of a line are its parts, all but the first with a space mark.
-        out, spaced, bare = [], self.spaced.__getitem__, self.bare.__getitem__
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(bare("\n"))
-            first, *rest = line.split(" ")
-            if first:
-                out.append(spaced(first) if self.pieces.dummy_prefix and not k else bare(first))
-            elif self.pieces.dummy_prefix and not k:
-                out.append(bare(SPACE))
-            out.extend(map(spaced, rest))
-        return b"".join(out)
-
-    def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.packed(text), np.int32).tolist()
-
-
 class Decoder:
     def __init__(self, pieces: Pieces):
         self.names = [p.replace(SPACE, " ").encode() for p in pieces.names]
@@ -306,72 +326,128 @@ class Decoder:
         return raw.decode("utf-8", "replace")
 
 
-def frequent_words(docs: DataFrame, pieces: Pieces, text_col: str, most: int = DICTIONARY) -> DataFrame:
-    """The words of at least a count that at most ``most`` words reach."""
-    prefix = pieces.dummy_prefix
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out():
-            kept = [(w, n) for w, n in seen.items() if n > 1 and len(w) <= LONGEST]  # only a choice of words to know beforehand
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
-
-        for rows in batches:
-            for text in rows.column(0):
-                seen.update(words_of(text.as_py() or "", prefix))
-                if len(seen) > 500_000:
-                    yield out()
-                    seen.clear()
-        yield out()
-
-    counted = docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    counted = counted.checkpoint(eager=True)
-    # How many words have each count, on a scale of a few hundred steps.
-    step = F.floor(F.log2("n") * 16).cast("int")
-    sizes = counted.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
-    total, least = 0, 1 << 30
-    for r in sizes:
-        total += r["count"]
-        if total > most:
-            break
-        least = r["step"]
-    return counted.where(step >= least).select("word")
-
-
-def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", dictionary: int = DICTIONARY) -> DataFrame:
+# ---- batches of texts and buckets of words ----
+
+
+def _zip(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _unzip(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+def _dealt(batches: int):
+    """Rows of id and text -> batch, id and the compressed text; the batch follows from both."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for part in rows:
+            for a in range(0, part.num_rows, 500):
+                own = part.slice(a, 500)
+                texts = [(t or "").encode("utf-8", "replace") for t in own.column(1).to_pylist()]
+                keys = [xxhash.xxh64_intdigest(t, seed=zlib.crc32(str(i).encode())) % batches for i, t in zip(own.column(0).to_pylist(), texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), own.column(0), pa.array(list(map(_zip, texts)), pa.binary())], names=["batch", "id", "raw"])
+
+    return run
+
+
+def _asked(buckets: int, dummy_prefix: bool):
+    """Batch of texts -> a row per bucket: the batch and its different words of the bucket, with spaces between."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        seen: set[str] = set()
+        for raw in table["raw"]:
+            seen.update(words_of(_unzip(raw.as_py()).decode(), dummy_prefix))
+        seen.discard("")
+        dealt: dict[int, list[str]] = defaultdict(list)
+        for w in sorted(seen):
+            dealt[zlib.crc32(w.encode()) % buckets].append(w)
+        batch = str(key[0].as_py())
+        return pa.table({"bucket": pa.array(list(dealt), pa.int32()), "words": pa.array([" ".join([batch, *ws]) for ws in dealt.values()], pa.string())})
+
+    return run
+
+
+def _answered(pieces):
+    """Bucket of requests and folded words -> for each batch its words and their ids."""
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        own = pieces.value
+        known = {w: np.array(ids_of(w, e, own), np.int32).tobytes() for w, e in zip(right["word"].to_pylist(), right["ends"].to_pylist(), strict=True)}
+        out = {"batch": [], "words": [], "sizes": [], "ids": []}
+        for asked in left["words"]:
+            batch, *words = asked.as_py().split(" ")
+            ids = [known[w] if w in known else np.array(ids_of(w, None, own), np.int32).tobytes() for w in words]
+            out["batch"].append(int(batch))
+            out["words"].append(_zip(" ".join(words).encode()))
+            out["sizes"].append(_zip(np.array([len(x) for x in ids], np.int32).tobytes()))
+            out["ids"].append(_zip(b"".join(ids)))
+        return pa.table({"batch": pa.array(out["batch"], pa.int32())} | {k: pa.array(out[k], pa.binary()) for k in ("words", "sizes", "ids")})
+
+    return run
+
+
+def _encoded(pieces, id_type: pa.DataType, id_col: str):
+    """Batch of texts and the ids of its words -> the rows of the result."""
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        own = pieces.value
+        decoder, known = Decoder(own), {"": b""}
+        for words, sizes, ids in zip(right["words"].to_pylist(), right["sizes"].to_pylist(), right["ids"].to_pylist(), strict=True):
+            at, ids = 0, _unzip(ids)
+            for w, n in zip(_unzip(words).decode().split(" "), np.frombuffer(_unzip(sizes), np.int32).tolist(), strict=True):
+                known[w] = ids[at : at + n]
+                at += n
+        get, parts = known.__getitem__, []
+        for a in range(0, left.num_rows, 500):
+            rows = left.slice(a, 500)
+            raw = [_unzip(x.as_py()) for x in rows["raw"]]
+            texts = [x.decode() for x in raw]
+            packed = [b"".join(map(get, words_of(t, own.dummy_prefix))) for t in texts]
+            sizes = np.array([0, *(len(x) // 4 for x in packed)], np.int32)
+            flat = np.frombuffer(b"".join(packed), np.int32)
+            back = [decoder.decode(np.frombuffer(x, np.int32).tolist()) == t for x, t in zip(packed, texts, strict=True)]
+            columns = [
+                rows["id"].combine_chunks(),
+                pa.array([len(x) for x in raw], pa.int64()),
+                pa.array(sizes[1:].astype(np.int64)),
+                pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(flat)),
+                pa.array(back, pa.bool_()),
+            ]
+            parts.append(pa.table(columns, names=[id_col, "n_bytes", "n_tokens", "ids", "round_trip"]))
+        if parts:
+            return pa.concat_tables(parts)
+        kinds = [id_type, pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.bool_()]
+        return pa.table([pa.array([], k) for k in kinds], names=[id_col, "n_bytes", "n_tokens", "ids", "round_trip"])
+
+    return run
+
+
+def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``id_col, n_bytes, n_tokens, ids, round_trip`` of every row."""
-    from .common import ensure_checkpoint_dir
+    from pyspark.sql.pandas.types import to_arrow_type
 
     spark: SparkSession = docs.sparkSession
-    ensure_checkpoint_dir(spark)
     pieces = load(path)
-    known = {r["word"]: tuple(r["ids"]) for r in encode_words(frequent_words(docs, pieces, text_col, dictionary), pieces).toLocalIterator()}  # at most ``dictionary`` rows
-    shared = spark.sparkContext.broadcast((pieces, known))
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, words = shared.value
-        encoder, decoder = Encoder(own, words), Decoder(own)
-        for rows in batches:
-            for a in range(0, rows.num_rows, 500):
-                part = rows.slice(a, 500)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                packed = [encoder.packed(t) for t in texts]
-                sizes = np.array([0, *(len(x) // 4 for x in packed)], np.int32)
-                flat = np.frombuffer(b"".join(packed), np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(t) if t.isascii() else len(t.encode("utf-8", "replace")) for t in texts], pa.int64()),
-                        pa.array(sizes[1:].astype(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(flat)),
-                        pa.array([decoder.decode(np.frombuffer(x, np.int32).tolist()) == t for x, t in zip(packed, texts, strict=True)], pa.bool_()),
-                    ],
-                    names=[id_col, "n_bytes", "n_tokens", "ids", "round_trip"],
-                )
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, ids array<int>, round_trip boolean")
+    shared = spark.sparkContext.broadcast(pieces)  # the model
+    batches = batches_for(docs, F.octet_length(text_col), batch_bytes)
+    buckets = max(1, batches * batch_bytes // bucket_bytes)
+    id_type = docs.schema[id_col].dataType
+    texts = docs.select(id_col, text_col).mapInArrow(_dealt(batches), f"batch int, id {id_type.simpleString()}, raw binary")
+    asked = texts.groupBy("batch").applyInArrow(_asked(buckets, pieces.dummy_prefix), "bucket int, words string").repartition("bucket")
+    words = asked.select("bucket", F.explode(F.slice(F.split("words", " "), F.lit(2), F.size(F.split("words", " ")))).alias("word"))
+    # All of this stays within the buckets.
+    folded = fold(lattice(words.where(F.length("word") <= LONGEST).distinct(), pieces), pieces)
+    folded = folded.select(F.col("bucket").alias("place"), "word", "ends")
+    answers = asked.groupBy("bucket").cogroup(folded.groupBy("place")).applyInArrow(_answered(shared), "batch int, words binary, sizes binary, ids binary")
+    out = f"`{id_col}` {id_type.simpleString()}, n_bytes long, n_tokens long, ids array<int>, round_trip boolean"
+    return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_encoded(shared, to_arrow_type(id_type), id_col), out)
 
 
 def decode_documents(encoded: DataFrame, path: str, *, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
