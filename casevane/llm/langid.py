@@ -2,17 +2,20 @@
 
 Bytes are embedded, filters of several widths slide over fixed-length windows, their maxima feed a softmax.  The
 network is trained in numpy on windows cut at spread places of a bounded sample of labelled texts
-(``SAMPLE_DOCS`` per language, ``SAMPLE_WINDOWS`` windows each); it is applied to all windows of every whole text,
-and the mean log-probability of the windows decides.
-
-Edge cases: a text that is null or has no letter is ``und`` with score 0; short texts are padded with zero bytes;
-ties go to the first language in order; without any labelled row every text is ``und``; an empty table gives an
-empty table; only the id and text columns are read for predictions.
+(``SAMPLE_DOCS`` per language, ``SAMPLE_TOTAL`` in all, ``SAMPLE_WINDOWS`` windows each; every language that has a
+labelled text is learned); it is applied to all windows of every whole text, and the mean log-probability of the
+windows decides.
+
+Edge cases: a text that is null or has no letter (Unicode category L; number letters and fractions are none) is
+``und`` with score 0; short texts are padded with zero bytes; very long texts are read window by window, in groups of
+bounded size; ties go to the first language in order; without any labelled row every text is ``und``; a row with a
+null id is predicted like any other and never learned from or held out; repeated rows are predicted each, equal rows
+equally, and learned once; an empty table gives an empty table; columns of other names are not read, and their names
+may clash with any name used here.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,17 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out
-from .sampling import sample_ids
+from .sampling import sample_rows
 
 WINDOW = 256
 SAMPLE_DOCS = 400
+SAMPLE_TOTAL = 25_600
 SAMPLE_WINDOWS = 3
 EMBED = 6
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EPOCHS = 8
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 class ByteNet:
@@ -110,6 +113,11 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of category L."""
+    return any(map(str.isalpha, text))
+
+
 def windows(raw: bytes, size: int = WINDOW) -> np.ndarray:
     """All windows of a text; the last one ends with it."""
     n = len(raw)
@@ -124,12 +132,11 @@ def windows(raw: bytes, size: int = WINDOW) -> np.ndarray:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: tuple[int, int] = (4, 2), per_lang: int = SAMPLE_DOCS) -> ByteNet | None:
     """A network for the languages of the rows outside the evaluation fold."""
     learn = docs.where(~held_out(*fold, key=id_col) & F.col(text_col).isNotNull())
-    ids = sample_ids(learn, id_col, lang_col, per_lang)
-    rows = learn.join(F.broadcast(ids), (learn[id_col] == ids["id"]) & (learn[lang_col] == ids["y"]))  # bounded: per_lang * 64 rows
-    room = F.greatest(F.lit(1), F.length(text_col) - WINDOW + 1)
-    cut = [F.substring(F.col(text_col), F.pmod(F.xxhash64("id", F.lit(k)), room).cast("int") + 1, F.lit(WINDOW)) for k in range(SAMPLE_WINDOWS)]
-    got = sorted({(r["id"], r["y"], t) for r in rows.select("id", "y", F.array(*cut).alias("w")).collect() for t in r["w"]})
-    got = [(y, t) for _, y, t in got if _LETTER.search(t)]
+    learn = learn.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("y"), F.col(text_col).alias("t"))
+    room = F.greatest(F.lit(1), F.length("t") - WINDOW + 1)
+    cut = [F.substring(F.col("t"), F.pmod(F.xxhash64("id", F.lit(k)), room).cast("int") + 1, F.lit(WINDOW)) for k in range(SAMPLE_WINDOWS)]
+    got = sample_rows(learn.select("id", "y", F.array(*cut).alias("w")), "w", per_lang, SAMPLE_TOTAL)
+    got = [(y, t) for _, y, w in got for t in sorted(set(w)) if has_letter(t)]
     if not got:
         return None
     langs = sorted({y for y, _ in got})
@@ -157,7 +164,7 @@ def predict(net: ByteNet | None, texts: list[str | None], group: int = 128) -> t
         waiting, owner, room = [], [], 0
 
     for i, text in enumerate(texts):
-        if text and _LETTER.search(text):
+        if text and has_letter(text):
             w = windows(text.encode("utf-8", "replace"))
             waiting.append(w)
             owner.append(np.full(len(w), i))
@@ -172,32 +179,38 @@ def predict(net: ByteNet | None, texts: list[str | None], group: int = 128) -> t
     return langs, scores
 
 
-def identify(docs: DataFrame, net: ByteNet | None, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """``id_col, lang_pred, score`` (and the columns to keep) of every row; one narrow pass."""
+def identify(docs: DataFrame, net: ByteNet | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, lang_pred, score`` of every row; one narrow pass."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand numbers
-    columns = list(dict.fromkeys([id_col, *keep]))
-    sent = columns if text_col in columns else [*columns, text_col]
-    at = sent.index(text_col)
+    names = [id_col, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for a in range(0, rows.num_rows, 512):
                 part = rows.slice(a, 512)
-                langs, scores = predict(shared.value, part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "__lang", "__score"])
+                langs, scores = predict(shared.value, part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*sent).mapInArrow(run, f"{kinds}, __lang string, __score double")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
 
 
 def language_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: tuple[int, int] = (4, 2)) -> DataFrame:
     """``id_col, held_out, lang_pred, score`` of every row."""
     net = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, fold=fold)
-    return identify(docs, net, id_col=id_col, text_col=text_col).select(id_col, held_out(*fold, key=id_col).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return identify(docs, net, id_col=id_col, text_col=text_col).select(id_col, held_out(*fold, key=id_col).alias("held_out"), "lang_pred", "score")
 
 
 def known_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
     """The rows whose text has a language, with the columns they came with.  ``least``: a score below is no language."""
     net = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    got = identify(docs, net, id_col=id_col, text_col=text_col, keep=docs.columns)
-    return got.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand numbers
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for a in range(0, rows.num_rows, 512):
+                part = rows.slice(a, 512)
+                langs, scores = predict(shared.value, part.column(at).to_pylist())
+                yield part.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -10,12 +10,15 @@ DataFrame functions only.  The counts are written once (``checkpoint``), since t
 the first verdict.
 
 Edge cases: null text has no words and fails the base rule; null ``lang`` counts towards no reference; with no language
-that has ``REFERENCE_TEXTS`` texts, only the base rule decides; equal rows give equal rows; an empty table gives
-an empty table; columns of other names are not read.
+that has ``REFERENCE_TEXTS`` texts, only the base rule decides; a null id is carried through; repeated rows are each
+judged (equal rows alike) and each counts towards the references; very long texts are judged whole inside their row;
+an empty table gives an empty table; columns of other names are not read, whatever they are called.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,15 +117,15 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
-def references(counted: DataFrame) -> list[tuple[list[float], list[float]]]:
-    """Both histograms of each language with enough texts: a handful of rows."""
+def references(counted: DataFrame) -> list[dict[str, list[float]]]:
+    """Both histograms of each language with enough texts: a row per language, all of them."""
     n_classes, n_common = 6, len(COMMON) + 1
     sums = [F.sum(F.get("_classes", F.lit(i))).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.get("_common", F.lit(i))).alias(f"w{i}") for i in range(n_common)]
-    rows = counted.where("_lang is not null and not base_failed").groupBy("_lang").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= REFERENCE_TEXTS).orderBy(F.desc("n"), "_lang").limit(64).collect()
+    rows = counted.where("_lang is not null and not base_failed").groupBy("_lang").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= REFERENCE_TEXTS).orderBy("_lang").collect()
     out = []
     for r in rows:
-        both = [[r[f"{p}{i}"] for i in range(k)] for p, k in (("c", n_classes), ("w", n_common))]
-        out.append(tuple([x / max(1.0, sum(h)) for x in h] for h in both))
+        both = {p: [r[f"{p}{i}"] for i in range(k)] for p, k in (("c", n_classes), ("w", n_common))}
+        out.append({p: [x / max(1.0, sum(h)) for x in h] for p, h in both.items()})
     return out
 
 
@@ -138,8 +141,13 @@ def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     refs = references(counted)
     shares = counted.withColumn("_classes", _share(F.col("_classes"))).withColumn("_common", _share(F.col("_common")))
     if refs:
-        lit = lambda xs: F.array(*map(F.lit, xs))
-        apart = F.array_min(F.array(*[F.struct((js_distance(F.col("_classes"), lit(c)) + js_distance(F.col("_common"), lit(w))).alias("sum"), js_distance(F.col("_classes"), lit(c)).alias("classes"), js_distance(F.col("_common"), lit(w)).alias("common")) for c, w in refs]))
+        known = F.from_json(F.lit(json.dumps(refs)), "array<struct<c: array<double>, w: array<double>>>")  # one literal, folded by the optimizer
+
+        def distance(ref: Column) -> Column:
+            classes, common = js_distance(F.col("_classes"), ref["c"]), js_distance(F.col("_common"), ref["w"])
+            return F.transform(F.array(F.struct(classes.alias("a"), common.alias("b"))), lambda d: F.struct((d["a"] + d["b"]).alias("sum"), d["a"].alias("classes"), d["b"].alias("common")))[0]
+
+        apart = F.array_min(F.transform(known, distance))
     else:
         zero = F.lit(0.0)
         apart = F.struct(zero.alias("sum"), zero.alias("classes"), zero.alias("common"))

@@ -6,22 +6,26 @@ sample of labelled rows outside the evaluation fold (``SAMPLE_TOXIC`` and ``SAMP
 the text, and whole texts.
 
 Edge cases: null and empty texts are scored like any other (no hit, so a low score); without labelled rows of both
-kinds every score is 0; an empty table gives an empty table; columns of other names are not read.
+kinds every score is 0; very long texts are scored whole, one after another; a row with a null id is scored like any
+other and never learned from or held out; repeated rows are scored each, equal rows equally, and learned once; an
+empty table gives an empty table; columns of other names are not read, and their names may clash with any name used
+here.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out
-from .sampling import sample_ids
+from .sampling import sample_rows
 
 SAMPLE_TOXIC = 1500
 SAMPLE_CLEAN = 2500
@@ -204,43 +208,56 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: tuple[int, int] = (3, 1)) -> Model | None:
-    known = labels.where(~held_out(*fold, key=id_col)).select(id_col, label_col)
-    ids = sample_ids(known.where(F.col(label_col) == 1), id_col, label_col, SAMPLE_TOXIC).unionByName(sample_ids(known.where(F.col(label_col) == 0), id_col, label_col, SAMPLE_CLEAN))
-    rows = docs.join(F.broadcast(ids), docs[id_col].cast("long") == ids["id"]).select("id", "y", F.coalesce(F.col(text_col), F.lit("")).alias("t"))  # bounded: the two samples
-    got = sorted({(r["id"], int(r["y"]), r["t"]) for r in rows.collect()})
+    known = labels.where(~held_out(*fold, key=id_col)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
+    ids = sample_rows(known.withColumn("none", F.lit(0)), "none", {1: SAMPLE_TOXIC, 0: SAMPLE_CLEAN}, 2 * max(SAMPLE_TOXIC, SAMPLE_CLEAN))
+    picked = docs.sparkSession.createDataFrame([(i, y) for i, y, _ in ids], "id long, y int")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = texts.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("t").alias("t"))  # broadcast and rows: the two samples
+    got = sorted((r["id"], r["y"], r["t"]) for r in rows.collect())
     toxic = np.array([y for _, y, _ in got], float)
     if toxic.sum() < 2 * LEAST_TEXTS or (1 - toxic).sum() < 2 * LEAST_TEXTS:
         return None
     return Model([t for *_, t in got], toxic.astype(int))
 
 
-def score(docs: DataFrame, model: Model | None, *, text_col: str = "text", keep: list[str]) -> DataFrame:
-    """The columns to keep and ``__score``; one narrow pass over whole texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # lexicons and trees of a bounded sample
-    columns = list(keep)
-    sent = columns if text_col in columns else [*columns, text_col]
-    at = sent.index(text_col)
+def _scored(model: Broadcast, at: int, size: int = 1000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[float]]]]:
+    """Slices of some batches with the scores of the texts in column ``at``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[float]]]:
         for rows in batches:
-            for a in range(0, rows.num_rows, 1000):
-                part = rows.slice(a, 1000)
+            for a in range(0, rows.num_rows, size):
+                part = rows.slice(a, size)
                 texts = part.column(at).to_pylist()
-                got = shared.value.scores(texts) if shared.value is not None else [0.0] * len(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(got, pa.float64())], names=[*columns, "__score"])
+                yield part, model.value.scores(texts) if model.value is not None else [0.0] * len(texts)
+
+    return run
+
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*sent).mapInArrow(run, f"{kinds}, __score double")
+def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, score`` of every row; one narrow pass over whole texts."""
+    scored = _scored(docs.sparkSession.sparkContext.broadcast(model), 1)  # lexicons and trees of a bounded sample
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, got in scored(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.float64())], names=[id_col, "score"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: tuple[int, int] = (3, 1), cut: float = CUT) -> DataFrame:
     """``id_col, held_out, score, predicted`` of every row."""
     model = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, fold=fold)
-    got = score(docs, model, text_col=text_col, keep=[id_col])
-    return got.select(id_col, held_out(*fold, key=id_col).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= cut).cast("int").alias("predicted"))
+    got = score(docs, model, id_col=id_col, text_col=text_col)
+    return got.select(id_col, held_out(*fold, key=id_col).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
     """The rows scored below the cut, with the columns they came with."""
     model = train(docs, labels, id_col=id_col, text_col=text_col)
-    return score(docs, model, text_col=text_col, keep=docs.columns).where(F.col("__score") < cut).select(*docs.columns)
+    scored = _scored(docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, got in scored(batches):
+            yield part.filter(pa.array([s < cut for s in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -4,8 +4,10 @@ The regression is fitted from the small labelled URL table below (plain arithmet
 row); scoring is column arithmetic only: n-grams are cut and hashed by built-in functions and their weights are
 looked up in one array literal whose size is fixed by ``BITS``.
 
-Edge cases: a null url or one without ``://`` has an empty host and path and is judged by the model's bias; an
-empty path matches no rule; equal rows give equal rows; columns of other names are not read.
+Edge cases: a null url or one without ``://`` has an empty host and path and is judged by the model's bias; only the
+first ``://`` counts, so an address inside a query string is not a host; an empty path matches no rule; a null id is
+carried through; repeated rows are judged each, equal rows alike; very long urls are judged whole; an empty table
+gives an empty table; columns of other names are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -39,10 +41,10 @@ LABELLED = (
     ("journal.example.net/es/articulo/77", 0),
     ("museum.example.com/fr/collection", 0),
     ("school.example.net/en/9180.html", 0),
-    ("tionsh.example.net/en/7857", 0),
-    ("therth.example.com/en/34431", 0),
-    ("ththan.example.net/fr/43790", 0),
-    ("blog.ththre.example.com/es/2201/", 0),
+    ("orchard.example.net/en/7857", 0),
+    ("lantern.example.com/en/34431", 0),
+    ("meadow.example.net/fr/43790", 0),
+    ("blog.harbour.example.com/es/2201/", 0),
     ("recipes.example.net/en/soup", 0),
     ("weather.example.net/de/berlin", 0),
     ("travel.example.net/es/madrid.html", 0),
@@ -50,14 +52,34 @@ LABELLED = (
     ("science.example.com/en/articles/5", 0),
     ("forum.bikes.example.net/en/thread/88", 0),
     ("city.example.net/fr/mairie", 0),
-    ("ads-track.example.com/en/40021", 1),
-    ("m.ads-track.example.com/de/11", 1),
+    ("archive.museum.example.org/en/collection/41", 0),
+    ("www.bakery.example.com/fr/pain", 0),
+    ("gallery.example.net/de/bilder/17.html", 0),
+    ("notes.teacher.example.net/en/lesson/3", 0),
+    ("orchestra.example.com/en/concerts/2020", 0),
+    ("blog.sailing.example.net/es/barco", 0),
+    ("m.newsroom.example.com/en/politics/88", 0),
+    ("library.town.example.net/de/buch/5521", 0),
+    ("docs.compiler.example.net/en/reference/types", 0),
+    ("www.hospital.example.com/es/salud", 0),
+    ("photos.valley.example.net/fr/montagne/9", 0),
+    ("kitchen.example.com/en/bread.html", 0),
+    ("wiki.chess.example.net/en/openings", 0),
+    ("council.example.com/de/rathaus/", 0),
+    ("stories.example.net/en/tale/640", 0),
+    ("blog.thornton.example.com/en/1312", 0),
+    ("station.therapy.example.net/en/570", 0),
+    ("nation.theatre.example.com/fr/scene/31", 0),
+    ("forum.gardening.example.net/en/soil/77", 0),
+    ("lectures.physics.example.com/en/optics", 0),
+    ("ads-pixel.example.com/en/40021", 1),
+    ("m.track-ads.example.com/de/11", 1),
     ("click.adserver.example.net/track/pixel", 1),
     ("ads.banner.example.com/en/promo", 1),
     ("tracker.example.net/ads/redirect", 1),
     ("casino-bonus.example.net/en/win", 1),
     ("free-casino.example.com/play/slots", 1),
-    ("cheap-pills.example.net/buy/now", 1),
+    ("discount-pills.example.net/buy/cheap", 1),
     ("pills-online.example.com/order", 1),
     ("xxx-video.example.net/adult/1", 1),
     ("adult-cams.example.com/xxx/live", 1),
@@ -69,7 +91,27 @@ LABELLED = (
     ("warez-crack.example.com/download/serial", 1),
     ("phish-login.example.net/account/verify", 1),
     ("payday-loans.example.com/loan/fast", 1),
-    ("tracking-pixel.example.net/ads-track/p", 1),
+    ("tracking-pixel.example.net/ads/p", 1),
+    ("ads.network.example.net/click/banner", 1),
+    ("static.ad-banner.example.com/en/promo/77", 1),
+    ("track.click-ads.example.net/redirect", 1),
+    ("popup-ads.example.com/de/99", 1),
+    ("bonus-casino.example.com/en/slots/free", 1),
+    ("online-poker.example.net/bet/win", 1),
+    ("bet-casino.example.net/en/5512", 1),
+    ("cheap-meds.example.com/pills/order", 1),
+    ("buy-pills.example.net/en/cheap/44", 1),
+    ("meds-discount.example.com/order/now", 1),
+    ("adult-xxx.example.com/video/2", 1),
+    ("live-cams.example.net/adult/xxx", 1),
+    ("seo-links.example.net/spam/7", 1),
+    ("link-spam.example.com/en/seo/buy", 1),
+    ("spam-network.example.net/en/31", 1),
+    ("free-loans.example.net/payday/fast", 1),
+    ("fast-loan.example.com/en/loan/808", 1),
+    ("crack-serial.example.net/warez/keygen", 1),
+    ("free-keygen.example.com/crack/download", 1),
+    ("verify-login.example.com/phish/account", 1),
 )
 
 
@@ -99,13 +141,18 @@ def fit(labelled=LABELLED, *, epochs: int = 600, rate: float = 2.0, l2: float =
     return weights, bias
 
 
+def _rest(url: Column) -> Column:
+    """What follows the first ``://``; empty without one."""
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
+
+
 def host_of(url: Column) -> Column:
-    rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.regexp_extract(_rest(url), r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    return F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1)
 
 
 def _grams(text: Column, n: int) -> Column:
