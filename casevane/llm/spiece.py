@@ -46,8 +46,8 @@ SPACE = "▁"
 BITS = 61
 LONGEST = 1000
 #: Bytes of text in a batch, and for each bucket of words.
-BATCH_BYTES = 32 << 20
-BUCKET_BYTES = 16 << 20
+BATCH_BYTES = 24 << 20
+BUCKET_BYTES = 4 << 20
 _CUT = re.compile(f"[\n\t]|{SPACE}*[^{SPACE}\n\t]+|{SPACE}+")
 
 
@@ -332,7 +332,7 @@ class Decoder:
 def _zip(raw: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def _unzip(raw: bytes) -> bytes:
@@ -357,17 +357,23 @@ def _dealt(batches: int):
     return run
 
 
+def _by_bucket(column: pa.ChunkedArray, buckets: int, dummy_prefix: bool) -> dict[int, list[str]]:
+    """The different words of some texts in order, by bucket."""
+    seen: set[str] = set()
+    for raw in column:
+        seen.update(words_of(_unzip(raw.as_py()).decode(), dummy_prefix))
+    seen.discard("")
+    dealt: dict[int, list[str]] = defaultdict(list)
+    for w in sorted(seen):
+        dealt[zlib.crc32(w.encode()) % buckets].append(w)
+    return dealt
+
+
 def _asked(buckets: int, dummy_prefix: bool):
     """Batch of texts -> a row per bucket: the batch and its different words of the bucket, with spaces between."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        seen: set[str] = set()
-        for raw in table["raw"]:
-            seen.update(words_of(_unzip(raw.as_py()).decode(), dummy_prefix))
-        seen.discard("")
-        dealt: dict[int, list[str]] = defaultdict(list)
-        for w in sorted(seen):
-            dealt[zlib.crc32(w.encode()) % buckets].append(w)
+        dealt = _by_bucket(table["raw"], buckets, dummy_prefix)
         batch = str(key[0].as_py())
         return pa.table({"bucket": pa.array(list(dealt), pa.int32()), "words": pa.array([" ".join([batch, *ws]) for ws in dealt.values()], pa.string())})
 
@@ -375,34 +381,35 @@ def _asked(buckets: int, dummy_prefix: bool):
 
 
 def _answered(pieces):
-    """Bucket of requests and folded words -> for each batch its words and their ids."""
+    """Bucket of requests and folded words -> for each batch the ids of its words, in the order in which it asked."""
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         own = pieces.value
         known = {w: np.array(ids_of(w, e, own), np.int32).tobytes() for w, e in zip(right["word"].to_pylist(), right["ends"].to_pylist(), strict=True)}
-        out = {"batch": [], "words": [], "sizes": [], "ids": []}
+        out = {"batch": [], "bucket": [], "sizes": [], "ids": []}
         for asked in left["words"]:
             batch, *words = asked.as_py().split(" ")
             ids = [known[w] if w in known else np.array(ids_of(w, None, own), np.int32).tobytes() for w in words]
             out["batch"].append(int(batch))
-            out["words"].append(_zip(" ".join(words).encode()))
+            out["bucket"].append(key[0].as_py())
             out["sizes"].append(_zip(np.array([len(x) for x in ids], np.int32).tobytes()))
             out["ids"].append(_zip(b"".join(ids)))
-        return pa.table({"batch": pa.array(out["batch"], pa.int32())} | {k: pa.array(out[k], pa.binary()) for k in ("words", "sizes", "ids")})
+        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
     return run
 
 
-def _encoded(pieces, id_type: pa.DataType, id_col: str):
+def _encoded(pieces, buckets: int, id_type: pa.DataType, id_col: str):
     """Batch of texts and the ids of its words -> the rows of the result."""
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         own = pieces.value
         decoder, known = Decoder(own), {"": b""}
-        for words, sizes, ids in zip(right["words"].to_pylist(), right["sizes"].to_pylist(), right["ids"].to_pylist(), strict=True):
-            at, ids = 0, _unzip(ids)
-            for w, n in zip(_unzip(words).decode().split(" "), np.frombuffer(_unzip(sizes), np.int32).tolist(), strict=True):
-                known[w] = ids[at : at + n]
+        dealt = _by_bucket(left["raw"], buckets, own.dummy_prefix)
+        for bucket, sizes, ids in zip(right["bucket"], right["sizes"], right["ids"], strict=True):
+            at, flat = 0, _unzip(ids.as_py())
+            for w, n in zip(dealt.pop(bucket.as_py()), np.frombuffer(_unzip(sizes.as_py()), np.int32).tolist(), strict=True):
+                known[w] = flat[at : at + n]
                 at += n
         get, parts = known.__getitem__, []
         for a in range(0, left.num_rows, 500):
@@ -445,9 +452,9 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
     # All of this stays within the buckets.
     folded = fold(lattice(words.where(F.length("word") <= LONGEST).distinct(), pieces), pieces)
     folded = folded.select(F.col("bucket").alias("place"), "word", "ends")
-    answers = asked.groupBy("bucket").cogroup(folded.groupBy("place")).applyInArrow(_answered(shared), "batch int, words binary, sizes binary, ids binary")
+    answers = asked.groupBy("bucket").cogroup(folded.groupBy("place")).applyInArrow(_answered(shared), "batch int, bucket int, sizes binary, ids binary")
     out = f"`{id_col}` {id_type.simpleString()}, n_bytes long, n_tokens long, ids array<int>, round_trip boolean"
-    return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_encoded(shared, to_arrow_type(id_type), id_col), out)
+    return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_encoded(shared, buckets, to_arrow_type(id_type), id_col), out)
 
 
 def decode_documents(encoded: DataFrame, path: str, *, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
