@@ -10,25 +10,31 @@ equal windows have equal triggers at equal places, wherever they occur.
 *Dictionary.* Phrases whose trigger occurs in one text only can't hold a repeated window; the triggers alone (8 bytes
 for about 17 of text, each once per batch of texts) are shuffled to find that out.  The other phrases, each once per
 batch and with its least id, meet by trigger.  Each meeting place builds the suffix array of its part of the
-dictionary: all suffixes of at least ``match`` bytes, ordered by their first ``match`` bytes (a suffix is never
-compared further, so the array is truncated there; the order is that of a 64-bit fingerprint, and neighbours are
-compared byte by byte before they count as equal).  A run of equal prefixes gets the least id of its phrases.
+dictionary by prefix doubling: all suffixes of at least ``match`` bytes in the order of their first ``match`` bytes (a
+suffix is never compared further).  Neighbours with a common prefix of ``match`` bytes form a run.
 
-*Combination.* The parse of each batch is replayed against these runs: where a run's least id is below the text's own
-id, the window's bytes go.
+*Combination.* The suffix array of the parse (occurrences by phrase, then by text) says which texts have a phrase, the
+first of them first.  Combined with the dictionary's runs it gives the windows of the corpus in order, by bytes and then
+by text; the first text of a run is all that is needed, and only that is taken.  Where it is below a text's own id, the
+window's bytes go from that text.
 
 Shuffles: the texts once (the three passes over them reuse one exchange), triggers, the suspicious phrases, and the
 answers.  Equal texts are met as hashes before the texts are shuffled; a trigger that very many texts share sends its
-windows one by one, dealt by the window's own hash, so that no key gathers its neighbours in one task.
+windows one by one, dealt by the window's own hash, so that no key gathers its neighbours in one task.  A batch sends a
+phrase once, so a window that every text has is one row of 75 bytes per batch in its task; batches grow with the root of
+the input (from ``BATCH_BYTES`` to ``LARGEST_BATCH``), which keeps rows between batches and buckets in proportion.
 
 Edge cases: null text is empty; texts shorter than ``match`` lose nothing; rows with one id don't remove each other's
 bytes unless a smaller id has them; of equal texts the smallest id is judged against other texts and the rest lose
-everything; a null id counts as larger than all others; an empty table gives an empty table.
+everything; a null id counts as larger than all others; very long texts are parsed in parts that overlap, with the same
+result; repeated rows are judged each, equal rows alike; an empty table gives an empty table; columns of other names
+are not read (``remove_repeats`` carries them along), whatever they are called.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +48,10 @@ from .common import batches_for, whole
 MATCH = 50
 GRAM = 16
 BATCH_BYTES = 4 << 20
+LARGEST_BATCH = 32 << 20
+#: Bytes of text behind a bucket of triggers, and behind one of phrases.
+TRIGGER_BYTES = 16 << 20
+PHRASE_BYTES = 2 << 20
 CHUNK = 1 << 16
 #: Texts that share a trigger, by estimate, from which its windows travel one by one.
 HOT = 4096
@@ -312,41 +322,52 @@ def _sent(p: Phrases, ids: np.ndarray, dealt: np.ndarray | None) -> tuple[np.nda
     return (name if dealt is None else dealt), name, ids[p.doc], size, p.data[np.repeat(p.at, size) + inside]
 
 
-def _same_prefix(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the windows at a and b are equal byte by byte, pair by pair."""
-    words = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), strides=(1,))
-    for i in range(0, len(a), CHUNK):
-        x, y = a[i : i + CHUNK], b[i : i + CHUNK]
-        if not all(np.array_equal(words[x + o], words[y + o]) for o in (0, 8, 16, 24, 32, 40, MATCH - 8)):
-            return False
-    return True
-
-
-def suffix_names(data: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    """Fingerprints of the first bytes of ascending suffixes, a part of the dictionary at a time."""
-    out = np.empty(len(suffix), np.uint64)
-    cuts = np.searchsorted(suffix, np.arange(0, len(data) + CHUNK, CHUNK))
-    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if b > a:
-            part = data[i * CHUNK : (i + 1) * CHUNK + MATCH]
-            out[a:b] = window_hash(rolling(part, 32), suffix[a:b] - i * CHUNK)
+def dictionary_array(data: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of the dictionary: the given suffixes in the order of their first ``MATCH`` bytes, and where the runs
+    of suffixes begin that share all of them (a neighbour's common prefix of ``MATCH`` bytes or more).
+
+    Prefix doubling: the rank of the 8 bytes at each place, then of 16 and 32, each from two ranks of half the length;
+    the last step lets its halves overlap.  ``data`` has 8 bytes or more after the last suffix.
+    """
+    rank = _ranked(np.ndarray((len(data) - 7,), ">u8", data.tobytes(), strides=(1,)).astype(np.uint64))
+    for n in (8, 16):
+        rank = _ranked((rank[:-n] << np.uint64(32)) | rank[n:])
+    key = (rank[suffix] << np.uint64(32)) | rank[suffix + MATCH - 32]
+    order = np.argsort(key, kind="stable")
+    return order, _cuts(key[order])[0]
+
+
+def _ranked(key: np.ndarray) -> np.ndarray:
+    """Dense ranks."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.zeros(len(key), np.uint64)
+    new[1:] = key[1:] != key[:-1]
+    out = np.empty(len(key), np.uint64)
+    out[order] = np.cumsum(new, dtype=np.uint64)
     return out
 
 
-def suffix_runs(data: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Truncated suffix array of the given suffixes, and the starts of its runs of equal prefixes."""
-    name = suffix_names(data, suffix)
-    order = np.argsort(name, kind="stable")
-    start, _ = _cuts(name[order])
-    later = np.ones(len(order), bool)
-    later[start] = False
-    later = np.flatnonzero(later)
-    if len(later) and not _same_prefix(data, suffix[order[later - 1]], suffix[order[later]]):  # two strings with one fingerprint
-        raw = data.tobytes()
-        order = np.array(sorted(range(len(suffix)), key=lambda i: raw[suffix[i] : suffix[i] + MATCH]))
-        pieces = [raw[suffix[i] : suffix[i] + MATCH] for i in order]
-        start = np.array([i for i in range(len(pieces)) if not i or pieces[i] != pieces[i - 1]])
-    return order, start
+def parse_array(phrase: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of the parse: the occurrences of phrases ordered by phrase, then by text, and where each phrase begins.
+
+    It is truncated after one phrase: every window lies inside one, so what follows never decides.
+    """
+    order = np.lexsort((text, phrase))
+    return order, _cuts(phrase[order])[0]
+
+
+def corpus_order(data: np.ndarray, suffix: np.ndarray, owner: np.ndarray, phrase: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of the corpus in order: (place in ``suffix``, occurrence of its phrase), by bytes and then by text."""
+    order, start = dictionary_array(data, suffix)
+    parse, _ = parse_array(phrase, text)
+    begin, end = (np.searchsorted(phrase[parse], np.arange(owner.max() + 1), side) for side in ("left", "right"))
+    many = (end - begin)[owner[order]]
+    which = np.repeat(order, many)
+    found = parse[np.repeat(begin[owner[order]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+    run = np.repeat(np.cumsum(np.isin(np.arange(len(order)), start)), many)
+    merged = np.lexsort((text[found], run))
+    return which[merged], found[merged]
 
 
 def _resolve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -357,13 +378,12 @@ def _resolve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     counts = np.array([len(x) // 8 for x in table["keys"].to_pylist()])
     batch = np.repeat(np.array(table["batch"].to_pylist(), np.int64), counts)
     place = np.cumsum(size) - size
-    # The dictionary: each phrase once, with the least id of any batch.
-    order = np.argsort(name, kind="stable")
-    start, end = _cuts(name[order])
-    entry = np.empty(len(name), np.int64)
-    entry[order] = np.repeat(np.arange(len(start)), end - start)
-    least = np.minimum.reduceat(low[order], start)
-    place, size, name = place[order[start]], size[order[start]], name[order[start]]
+    # The dictionary: each phrase once.
+    name, sample, entry = np.unique(name, return_index=True, return_inverse=True)
+    place, size = place[sample], size[sample]
+    # The parse: an occurrence for each batch that has the phrase; its first is the one that counts.
+    parse, head = parse_array(entry, low)
+    least = low[parse[head]]
     begin = np.cumsum(size) - size
     data = np.append(data[np.repeat(place - begin, size) + np.arange(size.sum())], np.zeros(8, np.uint8))
     place = begin
@@ -372,8 +392,9 @@ def _resolve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     base = np.cumsum(n) - n
     inside = np.arange(n.sum()) - np.repeat(base, n)
     suffix = np.repeat(place, n) + inside
-    order, start = suffix_runs(data, suffix)
+    order, start = dictionary_array(data, suffix)
     owner = np.repeat(np.arange(len(n)), n)
+    # Both together: in a run of equal windows, the first text that the parse has for any of its phrases.
     gained = np.minimum.reduceat(least[owner[order]], start)
     smallest = np.empty(len(order), np.int64)
     smallest[order] = np.repeat(gained, np.diff(np.append(start, len(order))))
@@ -502,51 +523,60 @@ def _first_copies(count: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
-    """A row for each different text of at least ``MATCH`` bytes: its hash, least id and removed runs."""
-    count = batches_for(docs, F.octet_length(text_col), batch_bytes)
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int | None = None, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
+    """A row for each different text of at least ``MATCH`` bytes: its hash, least id and removed runs.
+
+    ``batch_bytes``: text in a batch; by default it follows from the input.
+    """
+    total = batches_for(docs, F.octet_length(text_col), 1)
+    own = batch_bytes or min(LARGEST_BATCH, max(BATCH_BYTES, 2 * math.isqrt(total)))
+    count, for_triggers, for_phrases = (max(1, -(-total // n)) for n in (own, *((TRIGGER_BYTES, PHRASE_BYTES) if batch_bytes is None else (own, own / 2))))
+    for_phrases = int(for_phrases)
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_first_copies(count), "batch int, h binary, id long, text binary")
     by_batch = lambda df: df.groupBy("batch")
-    triggers = by_batch(texts).applyInArrow(_triggers(count, chunk), "bucket int, batch int, blob binary")
+    triggers = by_batch(texts).applyInArrow(_triggers(int(for_triggers), chunk), "bucket int, batch int, blob binary")
     repeated = triggers.groupBy("bucket").applyInArrow(_repeated(hot), "batch int, blob binary")
-    suspects = by_batch(texts).cogroup(by_batch(repeated)).applyInArrow(_suspects(2 * count, chunk), PHRASE_FIELDS)
+    suspects = by_batch(texts).cogroup(by_batch(repeated)).applyInArrow(_suspects(for_phrases, chunk), PHRASE_FIELDS)
     answers = suspects.groupBy("bucket").applyInArrow(_resolve, "batch int, keys binary, at binary, n binary, ids binary, hot binary")
     return by_batch(texts).cogroup(by_batch(answers)).applyInArrow(_apply(chunk), SPANS)
 
 
-def _with_spans(docs: DataFrame, extra: list[str], id_col: str, text_col: str, batch_bytes: int, **sizes: int) -> DataFrame:
-    """The named columns and, under names of our own, what is removed from each row."""
-    spans = repeated_spans(docs, id_col=id_col, text_col=text_col, batch_bytes=batch_bytes, **sizes)
-    spans = spans.select(*[F.col(c).alias(f"__{c}") for c in spans.columns if c != "n_bytes"])
+def _with_spans(docs: DataFrame, extra: list[str], id_col: str, text_col: str, batch_bytes: int | None, **sizes: int) -> DataFrame:
+    """``row`` (a struct of the named columns), ``text``, ``n`` and ``h`` of each row, ``copy`` and what is removed."""
+    spans = repeated_spans(docs, id_col=id_col, text_col=text_col, batch_bytes=batch_bytes, **sizes).drop("n_bytes")
     text = whole(text_col)
-    own = docs.select(*extra, F.unhex(F.sha2(text.cast("binary"), 256)).alias("__h"), F.octet_length(text).cast("long").alias("__n"))
-    copy = (F.col("__n") >= MATCH) & (F.coalesce(F.col(id_col).cast("long"), F.lit(LARGEST)) > F.col("__least_id"))
-    return own.join(spans, "__h", "left").withColumn("__copy", F.coalesce(copy, F.lit(False)))
+    own = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in extra]).alias("row"),  # no name of theirs meets one of ours
+        F.coalesce(F.col(id_col).cast("long"), F.lit(LARGEST)).alias("id"),
+        text.alias("text"),
+        F.unhex(F.sha2(text.cast("binary"), 256)).alias("h"),
+        F.octet_length(text).cast("long").alias("n"),
+    )
+    return own.join(spans, "h", "left").withColumn("copy", F.coalesce((F.col("n") >= MATCH) & (F.col("id") > F.col("least_id")), F.lit(False)))
 
 
-def repeat_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, **sizes: int) -> DataFrame:
+def repeat_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int | None = None, **sizes: int) -> DataFrame:
     """``id_col, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
     got = _with_spans(docs, [id_col], id_col, text_col, batch_bytes, **sizes)
     nothing = hashlib.sha256(b"").hexdigest()
     return got.select(
-        id_col,
-        F.col("__n").alias("n_bytes"),
-        F.when(F.col("__copy"), F.col("__n")).otherwise(F.coalesce("__n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(F.col("__copy"), 1).otherwise(F.coalesce("__n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(F.col("__copy"), nothing).otherwise(F.coalesce("__kept_sha256", F.lower(F.hex("__h")))).alias("kept_sha256"),
+        F.col("row")[id_col].alias(id_col),
+        F.col("n").alias("n_bytes"),
+        F.when(F.col("copy"), F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(F.col("copy"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(F.col("copy"), nothing).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("h")))).alias("kept_sha256"),
     )
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int | None = None) -> DataFrame:
     """The rows with repeated bytes taken out of their text; parts of a character that are left over go too."""
-    columns = docs.columns
-    got = _with_spans(docs, columns, id_col, text_col, batch_bytes)
+    got = _with_spans(docs, docs.columns, id_col, text_col, batch_bytes)
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([t if not len(s) else cut(t.encode("utf-8", "replace"), s, e).decode("utf-8", "ignore") for t, s, e in zip(text, starts, ends, strict=True)], dtype=object)
 
     empty = F.array().cast("array<long>")
-    less = kept(whole(text_col), F.coalesce("__starts", empty), F.coalesce("__ends", empty))
-    cleaned = F.when(F.col("__copy"), F.lit("")).when(F.col("__n_removed") > 0, less).otherwise(F.col(text_col))
-    return got.withColumn("__clean", cleaned).select(*[F.col("__clean").alias(c) if c == text_col else F.col(c) for c in columns])
+    less = kept(F.col("text"), F.coalesce("starts", empty), F.coalesce("ends", empty))
+    cleaned = F.when(F.col("copy"), F.lit("")).when(F.col("n_removed") > 0, less).otherwise(F.col("row")[text_col])
+    return got.withColumn("clean", cleaned).select(*[F.col("clean").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

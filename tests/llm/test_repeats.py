@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from casevane.llm import repeats
@@ -63,19 +64,53 @@ def test_empty_table(spark):
     assert repeats.repeat_report(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_suffix_names_by_parts_equal_names_at_once():
-    import numpy as np
-
-    data = np.frombuffer(random.Random(5).randbytes(repeats.CHUNK * 2 + 500), np.uint8)
-    suffix = np.arange(0, len(data) - repeats.MATCH, 7)
-    assert np.array_equal(repeats.suffix_names(data, suffix), repeats.window_hash(repeats.rolling(data, 32), suffix))
-
-
-def test_fingerprint_collision_falls_back_to_bytes(monkeypatch):
-    import numpy as np
-
-    data = np.frombuffer(b"abc" * 40 + b"xyz" * 40 + bytes(8), np.uint8)
-    suffix = np.array([0, 3, 120, 123])
-    monkeypatch.setattr(repeats, "window_hash", lambda h, at: np.zeros(len(at), np.uint64))
-    order, start = repeats.suffix_runs(data, suffix)
-    assert order.tolist() == [0, 1, 2, 3] and start.tolist() == [0, 2]
+def phrases(seed):
+    """Some phrases, one after another, their suffixes of MATCH bytes and more, and their occurrences in texts."""
+    r = random.Random(seed)
+    pick = {"".join(r.choice("ab" if i % 3 else "ab\xe9 ") for _ in range(r.randint(50, 90))) for i in range(30)} | {"a" * n for n in (50, 57, 80)}
+    parts = [p.encode()[: repeats.MATCH + 40] for p in sorted(pick, key=lambda p: r.random())]
+    data, suffix, owner = b"".join(parts), [], []
+    at = 0
+    for k, p in enumerate(parts):
+        suffix += range(at, at + len(p) - repeats.MATCH + 1)
+        owner += [k] * (len(p) - repeats.MATCH + 1)
+        at += len(p)
+    found = [(r.randrange(len(parts)), r.randint(0, 20)) for _ in range(70)]
+    return data, np.array(suffix), np.array(owner), np.array([k for k, _ in found]), np.array([t for _, t in found])
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_dictionary_array_is_the_sorted_list_of_suffixes(seed):
+    data, suffix, *_ = phrases(seed)
+    order, start = repeats.dictionary_array(np.frombuffer(data + bytes(8), np.uint8), suffix)
+    prefix = [data[s : s + repeats.MATCH] for s in suffix]
+    assert order.tolist() == sorted(range(len(suffix)), key=lambda i: prefix[i])
+    got = [prefix[i] for i in order]
+    assert start.tolist() == [i for i in range(len(got)) if not i or got[i] != got[i - 1]]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_corpus_order_is_the_sorted_list_of_all_windows(seed):
+    data, suffix, owner, phrase, text = phrases(seed)
+    which, found = repeats.corpus_order(np.frombuffer(data + bytes(8), np.uint8), suffix, owner, phrase, text)
+    got = [(data[suffix[i] : suffix[i] + repeats.MATCH], int(text[k])) for i, k in zip(which, found)]
+    want = [(data[s : s + repeats.MATCH], int(t)) for s, o in zip(suffix, owner) for k, t in zip(phrase, text) if k == o]
+    assert got == sorted(want)
+    assert all(owner[i] == phrase[k] for i, k in zip(which, found))
+
+
+def test_names_of_columns_do_not_meet(spark):
+    schema = "doc_id long, text string, h string, n int, copy string, clean string, row int, id string, least_id long, __h string, __n int"
+    rows = [(1, "x" * 70, "h", 1, "c", "d", 5, "i", 6, "u", 7), (2, "y" + "x" * 60 + "z", "h", 1, "c", "d", 5, "i", 6, "u", 7)]
+    docs = spark.createDataFrame(rows, schema)
+    got = {r.doc_id: r for r in repeats.remove_repeats(docs).collect()}
+    assert got[2].text == "yz" and tuple(got[2])[2:] == rows[1][2:] and repeats.remove_repeats(docs).columns == docs.columns
+    assert {r.doc_id: r.n_removed for r in repeats.repeat_report(docs).collect()} == {1: 0, 2: 60}
+
+
+def test_very_long_text(spark):
+    r = random.Random(9)
+    long = "".join(r.choice("abcdefgh ") for _ in range(300_000))
+    rows = [(1, long[1000:1200], "s"), (2, long, "s"), (3, long[250_000:250_060], "s")]
+    got = {x.doc_id: x for x in repeats.repeat_report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (got[2].n_removed, got[2].n_spans) == (200, 1) and (got[3].n_removed, got[1].n_removed) == (60, 0)
