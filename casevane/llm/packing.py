@@ -4,27 +4,34 @@ Documents become pieces of at most ``capacity`` units: full pieces fill a bin al
 an item.  Items are packed in decreasing size.  The bins of a shard are kept in order of their residual space;
 the search for an item starts at the tightest bin it fits and goes on to each successor until a bin's *source
 bitmap* and *duplicate-cluster bitmap* show no conflict (at most one document of a source and one of a cluster per
-bin).  Without such a bin a new one is opened.
+bin).  Without such a bin a new one is opened.  The bitmaps of all bins are stored by column: for each source, and for
+each cluster with two items or more in the shard, the bins that carry it are the bits of one integer.  One operation on
+integers then skips all conflicting bins of a residual, and an item whose source is in every open bin opens a new one
+at once.
 
-Shards hold about ``shard_units`` units each and are dealt by a hash of the row, so a source or cluster with a third
-of all rows is a third of every shard, and no shard grows with the input.
+Shards hold about ``shard_units`` units and ``shard_items`` items at most each and are dealt by a hash of the row, so a
+source or cluster with a third of all rows is a third of every shard, and no shard grows with the input.
 
 Edge cases: a null or empty text is an item of size 0 units counted as 1; null source or cluster conflicts with
-nothing; rows with equal ids are separate items; ties are broken by id, then by the row's hash.
+nothing; rows with equal ids (or none) are separate items; equally tight bins are taken in order of opening, items of
+equal size in order of id, then of the row's hash; a very long text is cut into full pieces and one rest; an empty
+table gives an empty table; columns of other names are not read, whatever they are called.
 """
 
 from __future__ import annotations
 
 import bisect
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_for, whole
+from .common import whole
 
 CAPACITY = 2048
-SHARD_UNITS = 4_000_000
+SHARD_UNITS = 2_000_000
+SHARD_ITEMS = 8_192
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -38,49 +45,86 @@ def text_cluster(text: Column) -> Column:
     return F.when(plain != "", F.xxhash64(plain))
 
 
+class _Marks:
+    """For each key the bins that carry it, as bits of one integer; a list while they are few."""
+
+    FEW = 8
+
+    def __init__(self):
+        self.few: dict[int, list[int]] = {}
+        self.many: dict[int, int] = {}
+
+    def __getitem__(self, key: int | None) -> int:
+        if key is None:
+            return 0
+        if (bits := self.many.get(key)) is not None:
+            return bits
+        bits = 0
+        for b in self.few.get(key, ()):
+            bits |= 1 << b
+        return bits
+
+    def add(self, key: int | None, b: int) -> None:
+        if key is None:
+            return
+        if key in self.many:
+            self.many[key] |= 1 << b
+            return
+        own = self.few.setdefault(key, [])
+        own.append(b)
+        if len(own) > self.FEW:
+            self.many[key] = self[key]
+            del self.few[key]
+
+
 def best_fit(sizes: list[int], sources: list[int | None], clusters: list[int | None], capacity: int) -> tuple[list[int], int]:
     """Bin number of each item, items given in packing order; and how many bins were opened.
 
-    ``sources`` and ``clusters`` are bit numbers local to the shard.  Residuals lie in one list for each value, the
-    values in a sorted list; within a value bins stand in order of opening, so the walk is deterministic.
+    ``sources`` and ``clusters`` are numbers local to the shard.  The bins of one residual are the bits of one integer,
+    the residuals in use a sorted list; of equally tight bins the one opened first wins.
     """
-    order: list[int] = []  # residual values in use, ascending
-    by_residual: dict[int, list[int]] = {}
-    source_bits: list[int] = []
-    cluster_bits: list[int] = []
+    order: list[int] = []  # residuals in use, ascending
+    here: dict[int, int] = {}  # residual -> its bins
+    open_, rest = 0, []  # bins with any space; residual of each bin
+    by_source, by_cluster = _Marks(), _Marks()
     out = []
     for size, source, cluster in zip(sizes, sources, clusters, strict=True):
-        s = 0 if source is None else 1 << source
-        c = 0 if cluster is None else 1 << cluster
+        able = open_ & ~(by_source[source] | by_cluster[cluster])
         found = None
-        for at in range(bisect.bisect_left(order, size), len(order)):
-            value = order[at]
-            for place, b in enumerate(by_residual[value]):
-                if not (source_bits[b] & s) and not (cluster_bits[b] & c):
-                    found = (at, value, place, b)
+        if 0 < able.bit_count() <= 16:  # few bins without a conflict: look at them
+            while able:
+                low = able & -able
+                b = low.bit_length() - 1
+                if rest[b] >= size and (found is None or rest[b] < rest[found]):
+                    found = b
+                able ^= low
+        elif able:  # from the tightest residual on, each successor without the bins in conflict
+            for at in range(bisect.bisect_left(order, size), len(order)):
+                if fit := here[order[at]] & able:
+                    found = (fit & -fit).bit_length() - 1
                     break
-            if found:
-                break
-        if found:
-            at, value, place, b = found
-            by_residual[value].pop(place)
-            if not by_residual[value]:
-                del by_residual[value]
-                order.pop(at)
-            source_bits[b] |= s
-            cluster_bits[b] |= c
+        if found is None:
+            found = len(rest)
+            rest.append(capacity)
         else:
-            value, b = capacity, len(source_bits)
-            source_bits.append(s)
-            cluster_bits.append(c)
-        rest = value - size
-        if rest > 0:
-            if rest not in by_residual:
-                by_residual[rest] = []
-                bisect.insort(order, rest)
-            by_residual[rest].append(b)
-        out.append(b)
-    return out, len(source_bits)
+            before = rest[found]
+            here[before] ^= 1 << found
+            if not here[before]:
+                del here[before]
+                order.pop(bisect.bisect_left(order, before))
+        by_source.add(source, found)
+        by_cluster.add(cluster, found)
+        rest[found] = left = rest[found] - size
+        if left > 0:
+            open_ |= 1 << found
+            if left not in here:
+                here[left] = 0
+                bisect.insort(order, left)
+            here[left] |= 1 << found
+        elif open_ >> found & 1:
+            open_ ^= 1 << found
+        out.append(found)
+    return out, len(rest)
 
 
 def pack(
@@ -92,6 +136,7 @@ def pack(
     cluster: Column | None = None,
     capacity: int = CAPACITY,
     shard_units: int = SHARD_UNITS,
+    shard_items: int = SHARD_ITEMS,
 ) -> DataFrame:
     """A row per piece: ``id_col, piece, start, n_units, shard, bin, slot, bin_units``.
 
@@ -101,7 +146,8 @@ def pack(
     size = estimated_tokens(text) if size is None else size
     source = F.col("source") if source is None else source
     cluster = text_cluster(text) if cluster is None else cluster
-    shards = batches_for(docs, F.coalesce(size, F.lit(1)), shard_units)
+    whole_table = docs.agg(F.sum(F.coalesce(size, F.lit(1))).alias("units"), F.count("*").alias("items")).first()
+    shards = max(1, -(-int(whole_table["units"] or 0) // shard_units), -(-whole_table["items"] // shard_items))
     id_type = docs.schema[id_col].dataType.simpleString()
     items = docs.select(
         F.col(id_col).alias("_id"),
@@ -120,13 +166,14 @@ def pack(
             key=lambda r: (-(r[1] % capacity), r[0] is None, r[0] or 0, r[1], r[2], r[4]),
         )
         s_bit, c_bit = {}, {}
+        copies = Counter(r[4] for r in rows if r[1] % capacity and not r[5])
         sizes, ss, cs, who = [], [], [], []
         out = {k: [] for k in (id_col, "piece", "start", "n_units", "bin")}
         for i, (_, n, s, no_s, c, no_c) in enumerate(rows):
             if rest := n % capacity:
                 sizes.append(rest)
                 ss.append(None if no_s else s_bit.setdefault(s, len(s_bit)))
-                cs.append(None if no_c else c_bit.setdefault(c, len(c_bit)))
+                cs.append(None if no_c or copies[c] < 2 else c_bit.setdefault(c, len(c_bit)))
                 who.append(i)
         bins, opened = best_fit(sizes, ss, cs, capacity)
         tail = dict(zip(who, bins, strict=True))

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -10,23 +11,38 @@ from casevane.llm import packing
 
 
 def slow_best_fit(sizes, sources, clusters, capacity):
-    """Tightest compatible bin by looking at all of them; of equal ones the one that got this space first."""
-    bins, stamp, out = [], 0, []
+    """Tightest compatible bin by looking at all of them; of equal ones the one opened first."""
+    bins, out = [], []
     for n, s, c in zip(sizes, sources, clusters):
         able = [b for b in bins if b["room"] >= n and s not in b["s"] and c not in b["c"]]
         if able:
-            b = min(able, key=lambda b: (b["room"], b["stamp"]))
+            b = min(able, key=lambda b: (b["room"], b["id"]))
         else:
             b = {"room": capacity, "s": set(), "c": set(), "id": len(bins)}
             bins.append(b)
         b["room"] -= n
-        b["stamp"] = stamp = stamp + 1
         b["s"] |= {s} - {None}
         b["c"] |= {c} - {None}
         out.append(b["id"])
     return out, len(bins)
 
 
+def slow_pack(rows, capacity):
+    """All pieces of the rows of one shard: (id, size, source, cluster), hashes as the operator has them."""
+    rows = sorted(rows, key=lambda r: (-(r[1] % capacity), r[0] is None, r[0] or 0, r[1], r[4], r[5]))
+    rest = [r for r in rows if r[1] % capacity]
+    bins, opened = slow_best_fit([r[1] % capacity for r in rest], [r[2] for r in rest], [r[3] for r in rest], capacity)
+    tail, out = dict(zip(map(id, rest), bins)), []
+    for r in rows:
+        for p in range(r[1] // capacity):
+            out.append((r[0], p, p * capacity, capacity, opened))
+            opened += 1
+        if id(r) in tail:
+            p = r[1] // capacity
+            out.append((r[0], p, p * capacity, r[1] % capacity, tail[id(r)]))
+    return out
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 20), st.one_of(st.none(), st.integers(0, 4)), st.one_of(st.none(), st.integers(0, 3))), max_size=40))
 def test_best_fit_against_search_of_all_bins(items):
@@ -64,6 +80,38 @@ def test_documents(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+@pytest.mark.parametrize("limits", [{"shard_units": 3000}, {"shard_items": 25}, {}])
+def test_whole_output_against_slow_packing(spark, limits):
+    r = random.Random(3)
+    rows = [(i if i % 9 else None, "w" * r.choice([0, 1, 40, 41, 900, 1600, 5000]) + ("" if i % 5 else "Dup text"), r.choice(["a", "b", "c", None, "c", "c"])) for i in range(160)]
+    rows += [rows[3], rows[3]]
+    docs = spark.createDataFrame([(*x, "z", 1) for x in rows], "doc_id long, text string, source string, piece string, _shard int")
+    got = [tuple(x) for x in packing.pack(docs, capacity=256, **limits).collect()]
+    # The operator's hashes decide shards and the last ties; all else is worked out here.
+    units = sum(max(1, -(-len(t) // 4)) for _, t, _ in rows)
+    shards = max(1, -(-units // limits.get("shard_units", packing.SHARD_UNITS)), -(-len(rows) // limits.get("shard_items", packing.SHARD_ITEMS)))
+    hashes = docs.select("doc_id", packing.estimated_tokens(F.col("text")).alias("n"), "source", F.xxhash64("source").alias("s"), F.coalesce(packing.text_cluster(F.col("text")), F.lit(0)).alias("c"), (F.trim("text") == "").alias("blank"))
+    shard = F.pmod(F.xxhash64("doc_id", "n", "c"), F.lit(shards)).cast("int").alias("shard")
+    want = []
+    by_shard = defaultdict(list)
+    for x in hashes.withColumn("shard", shard).collect():
+        by_shard[x.shard].append((x.doc_id, x.n, x.source, None if x.blank else x.c, x.s, x.c))
+    assert len(by_shard) == shards if shards > 1 else True
+    for k, members in by_shard.items():
+        want += [(k, *x) for x in slow_pack(members, 256)]
+    order = lambda x: tuple((v is None, v or 0) for v in x)
+    assert sorted([(x[4], *x[:4], x[5]) for x in got], key=order) == sorted(want, key=order)
+
+
+@pytest.mark.parametrize("sources", [1, 20, 5000])
+def test_many_tiny_items(sources):
+    n = 200_000 if sources > 1 else 60_000
+    began = time.time()
+    bins, opened = packing.best_fit([25] * n, [i % sources for i in range(n)], [i // 2 if i % 3 else None for i in range(n)], 2048)
+    assert len(bins) == n and opened >= n // 81
+    assert time.time() - began < 60
+
+
 @pytest.mark.parametrize("text,units", [("", 1), ("abcd", 1), ("abcde", 2), ("é" * 4, 2)])
 def test_estimate(spark, text, units):
     assert spark.createDataFrame([(text,)], "t string").select(packing.estimated_tokens(F.col("t"))).first()[0] == units
