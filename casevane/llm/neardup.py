@@ -17,8 +17,9 @@
 
 Edge cases: words are bytes between 0x20 and 0x09-0x0D, A-Z lower-cased; with fewer than five words the whole sequence
 is the one shingle; null and blank texts have no shingle and are alone; rows with equal ids count as one document;
-null ids count as one document with the largest id (its component id is null if nothing smaller is linked); an empty
-table gives an empty table.
+null ids count as one document with the largest id (its component id is null if nothing smaller is linked); very long
+texts are taken whole, their signature in slices; repeated rows are one document with as many rows in the result; an
+empty table gives an empty table; columns of other names are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ PREFIX = COORDINATES - MATCHES + 1
 LIMIT = 85
 CHUNK = 512
 CHUNK_SHINGLES = 1 << 20
-TASK_BYTES = 8 << 20
+TASK_BYTES = 2 << 20
 MEMO = 1_000_000
 LARGEST = (1 << 63) - 1
 
@@ -97,9 +98,15 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        for a in range(0, rows.num_rows, size):
+            yield rows.slice(a, size)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tags = np.arange(COORDINATES, dtype=np.int64) << 32
-    for rows in batches:
+    for rows in _slices(batches):
         out = ([], [], [], [])
         for text in rows.column(1):
             s = shingles(text.as_py())
@@ -113,7 +120,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in batches:
+    for rows in _slices(batches):
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([shingles(t.as_py()).tobytes() for t in rows.column(1)], pa.binary())], names=["node", "shingles"])
 
 
@@ -230,13 +237,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = _checked(texts.join(groups.select(F.col("node").alias("id")).distinct(), "id").mapInArrow(_sets, "node long, shingles binary").distinct())
 
     def links(parts: DataFrame) -> DataFrame:
-        """parts: leader, c1, c2, node, label, side."""
-        tasks = batches_for(parts.join(sets, "node"), F.octet_length("shingles"), TASK_BYTES)
-        rows = parts.join(sets, "node").withColumn("task", F.pmod(F.xxhash64("leader", "c1", "c2"), F.lit(tasks)).cast("int"))
+        """parts: leader, c1, c2, node, n, label, side."""
+        tasks = batches_for(parts, F.col("n") * 8, TASK_BYTES)
+        rows = parts.drop("n").join(sets, "node").withColumn("task", F.pmod(F.xxhash64("leader", "c1", "c2"), F.lit(tasks)).cast("int"))
         return rows.groupBy("task").applyInArrow(_links, "a long, b long")
 
     at_home = members.withColumn("c1", F.explode(F.when(F.col("c") < 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("c"))))
-    found = _checked(links(at_home.select("leader", "c1", F.col("c1").alias("c2"), "node", F.col("node").alias("label"), F.lit(0).alias("side"))))
+    found = _checked(links(at_home.select("leader", "c1", F.col("c1").alias("c2"), "node", "n", F.col("node").alias("label"), F.lit(0).alias("side"))))
     # An id with several texts is one document.
     classes = sketches.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("node"))
     own = sketches.select("id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
@@ -257,7 +264,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             "c",
             F.when(F.col("pure"), F.concat_ws("/", "label", F.pmod(F.xxhash64("node"), pieces))).otherwise(F.concat_ws("/", F.lit("mixed"), F.pmod(F.xxhash64("label"), F.col("mixed")))),
         )
-        dealt = _checked(dealt.select("leader", "node", "label", "pure", "c"))
+        dealt = _checked(dealt.select("leader", "node", "n", "label", "pure", "c"))
         chunks = dealt.groupBy("leader", "c").agg(F.first("pure").alias("pure"), F.min("label").alias("label"))
         a, b = chunks.alias("a"), chunks.alias("b")
         pairs = a.join(b, F.col("a.leader") == F.col("b.leader")).where(
@@ -265,7 +272,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         )
         pairs = pairs.select(F.col("a.leader").alias("leader"), F.col("a.c").alias("c1"), F.col("b.c").alias("c2"))
         sides = pairs.withColumn("s", F.explode(F.when(F.col("c1") == F.col("c2"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))).withColumn("c", F.when(F.col("s") == 0, F.col("c1")).otherwise(F.col("c2")))
-        parts = dealt.join(sides, ["leader", "c"]).select("leader", "c1", "c2", "node", "label", F.col("s").alias("side"))
+        parts = dealt.join(sides, ["leader", "c"]).select("leader", "c1", "c2", "node", "n", "label", F.col("s").alias("side"))
         more = _checked(links(parts))
         roots = components(found.union(more))
 
@@ -279,5 +286,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of one document of each component."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).where("kept").select(F.coalesce(F.col(id_col).cast("long"), F.lit(LARGEST)).alias("__kept")).distinct()
-    return docs.join(kept, F.coalesce(docs[id_col].cast("long"), F.lit(LARGEST)) == F.col("__kept"), "left_semi")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LARGEST)).alias("key")
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col).where("kept").select(key)
+    rows = docs.select(key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # no name of theirs meets one of ours
+    return rows.join(kept, "key", "left_semi").select("row.*")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from casevane.llm import neardup
@@ -56,6 +57,29 @@ def test_against_brute_force(spark, monkeypatch, seed, chunk):
     assert sorted(got, key=order) == sorted(brute(rows), key=order)
 
 
+@pytest.mark.parametrize("both,union", [(6, 7), (17, 20), (85, 100), (340, 400)])
+def test_recall_of_the_signature_filter(both, union):
+    """Pairs exactly at the limit or just over it: the share whose signatures agree in fewer than MATCHES coordinates."""
+    r = np.random.default_rng(both)
+    missed, pairs = 0, 1500
+    for _ in range(pairs):
+        s = r.integers(0, 1 << 63, union, dtype=np.uint64)
+        mine = (union - both) // 2
+        a, b = np.concatenate((s[:both], s[both : both + mine])), np.concatenate((s[:both], s[both + mine :]))
+        missed += int((neardup.signature(a) == neardup.signature(b)).sum()) < neardup.MATCHES
+    assert missed <= 1
+
+
+def test_clashing_columns_and_long_text(spark):
+    text = " ".join(f"w{i % 5000}-{i}" for i in range(40_000))
+    rows = [(1, text, 1, 2, "x", 5), (2, text + " more", 3, 4, "y", 6), (3, None, 5, 6, "z", 7), (3, None, 5, 6, "z", 7)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", id int, n int, key string, __kept int")
+    got = sorted((tuple(r) for r in neardup.drop_near_duplicates(docs).collect()), key=repr)
+    assert got == sorted([rows[0], rows[2], rows[3]], key=repr)
+    by = {r.doc_id: r for r in neardup.near_duplicates(docs).collect()}
+    assert by[2].component_id == 1 and by[1].n_shingles == 40_000 - 4 and by[3].kept
+
+
 def test_chain_of_links_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(7, 3), (9, 7)], "a long, b long")
     from casevane.llm.common import ensure_checkpoint_dir
