@@ -10,7 +10,9 @@ one task: with the text that precedes each in id order, with the head of the nex
 
 Edge cases: null text is empty; texts with fewer than ``K`` tokens have one k-mer, those without a token none (two such
 fingerprints are alike by 1); rows are ordered by id, null last, then by a hash of the text; equal rows have the same
-next row; a lone row is its own next; columns of other names are not read.
+next row; a lone row is its own next; very long texts are taken whole (places are numbered modulo 2**24, so beyond 16
+million tokens two k-mers that far apart may change places in a tuple; equal texts still have equal fingerprints); an
+empty table gives an empty table; columns of other names are not read, whatever they are called.
 """
 
 from __future__ import annotations

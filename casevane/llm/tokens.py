@@ -4,8 +4,9 @@ Before any text is read, every string of the vocabulary is encoded alone; those
 token are *proven* whole.  A pre-token that is a proven string counts one without a merge; only the rest
 go through the merge loop of the model (each distinct one once per worker, in a bounded memo).
 
-Edge cases: a null or empty text has 0 bytes and 0 tokens; a null id is carried through; equal rows give equal
-rows; an empty table gives an empty table; other columns of the input are not read.
+Edge cases: a null or empty text has 0 bytes and 0 tokens; a null id is carried through; repeated rows are counted
+each, equal rows alike; very long texts are counted whole (a pre-token beyond ``MEMO_CHARS`` is merged anew each time and
+never kept); an empty table gives an empty table; other columns of the input are not read, whatever they are called.
 """
 
 from __future__ import annotations

@@ -73,6 +73,12 @@ def xx_signed(t):
     return h - (1 << 64) if h >> 63 else h
 
 
+def test_very_long_text(spark):
+    text = " ".join(f"w{i % 9000}" for i in range(30_000))
+    got = {x.doc_id: x for x in O.fingerprints(spark.createDataFrame([(1, text), (2, "next one")], "doc_id long, text string")).collect()}
+    assert got[1].n_chars == len(text) and got[1].fingerprint == hexed(plain(text))
+
+
 def test_order_matters(spark):
     a = [f"w{i}" for i in range(200)]
     swapped = a[100:] + a[:100]

@@ -68,6 +68,18 @@ def test_against_plain_version(spark):
     assert not kept[104] and not kept[105] and not kept[100] and kept[1] == (not base(rows[1][1])[1][0] < 20)
 
 
+def test_every_language_has_a_reference(spark):
+    """70 languages, each with its own characters and words: a text near the last of them is kept."""
+    rows = [(i, " ".join(f"{chr(0x4E00 + i % 70)}w{k}" for k in range(60)), f"l{i % 70:02}") for i in range(70 * Q.REFERENCE_TEXTS)]
+    rows += [(9000, "# " * 200, None), (None, rows[69][1], None), (9001, " ".join(f"a{k}" for k in range(30_000)), None)]
+    got = Q.quality_report(spark.createDataFrame([(*x, 1, "t") for x in rows], "doc_id long, text string, lang string, _words int, _text string")).collect()
+    assert len(got) == len(rows) and sum(x.kept for x in got) >= 1400
+    by = {x.doc_id: x for x in got}
+    assert by[None].kept and by[None].class_distance < 0.01 and not by[9000].kept and by[9001].n_words == 30_000
+    counted = spark.createDataFrame([(f"l{i % 70}", False, [1.0] * 6, [1.0] * (len(Q.COMMON) + 1)) for i in range(1400)], "_lang string, base_failed boolean, _classes array<double>, _common array<double>")
+    assert len(Q.references(counted)) == 70
+
+
 def test_empty_and_native(spark):
     assert Q.quality_report(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
     df = Q.quality_report(spark.createDataFrame([(1, "a b", "en")], "doc_id long, text string, lang string"))
