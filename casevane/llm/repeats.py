@@ -10,7 +10,7 @@ equal windows have equal triggers at equal places, wherever they occur.
 *Dictionary.* Phrases whose trigger occurs in one text only can't hold a repeated window; the triggers alone (8 bytes
 for about 17 of text, each once per batch of texts) are shuffled to find that out.  The other phrases, each once per
 batch and with its least id, meet by trigger.  Each meeting place builds the suffix array of its part of the
-dictionary by prefix doubling: all suffixes of at least ``match`` bytes in the order of their first ``match`` bytes (a
+dictionary: all suffixes of at least ``match`` bytes in the order of their first ``match`` bytes (a
 suffix is never compared further).  Neighbours with a common prefix of ``match`` bytes form a run.
 
 *Combination.* The suffix array of the parse (occurrences by phrase, then by text) says which texts have a phrase, the
@@ -326,25 +326,30 @@ def dictionary_array(data: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray,
     """Suffix array of the dictionary: the given suffixes in the order of their first ``MATCH`` bytes, and where the runs
     of suffixes begin that share all of them (a neighbour's common prefix of ``MATCH`` bytes or more).
 
-    Prefix doubling: the rank of the 8 bytes at each place, then of 16 and 32, each from two ranks of half the length;
-    the last step lets its halves overlap.  ``data`` has 8 bytes or more after the last suffix.
+    Sorted by the first 8 bytes at once, then by four more at a time among those still equal; the last step overlaps the
+    one before.  ``data`` has 8 bytes or more after the last suffix.
     """
-    rank = _ranked(np.ndarray((len(data) - 7,), ">u8", data.tobytes(), strides=(1,)).astype(np.uint64))
-    for n in (8, 16):
-        rank = _ranked((rank[:-n] << np.uint64(32)) | rank[n:])
-    key = (rank[suffix] << np.uint64(32)) | rank[suffix + MATCH - 32]
-    order = np.argsort(key, kind="stable")
-    return order, _cuts(key[order])[0]
-
-
-def _ranked(key: np.ndarray) -> np.ndarray:
-    """Dense ranks."""
+    raw = data.tobytes()
+    key = np.ndarray((len(data) - 7,), ">u8", raw, strides=(1,))[suffix].astype(np.uint64)
+    four = np.ndarray((len(data) - 3,), ">u4", raw, strides=(1,))
     order = np.argsort(key)
-    key = key[order]
-    new = np.zeros(len(key), np.uint64)
-    new[1:] = key[1:] != key[:-1]
-    out = np.empty(len(key), np.uint64)
-    out[order] = np.cumsum(new, dtype=np.uint64)
+    first = _starts(key[order])
+    for at in range(8, MATCH, 4):
+        tied = np.flatnonzero(~first | ~np.append(first[1:], True))
+        if not len(tied):
+            break
+        group = np.cumsum(first[tied], dtype=np.uint64) << np.uint64(32)
+        key = group | four[suffix[order[tied]] + min(at, MATCH - 4)].astype(np.uint64)
+        inner = np.argsort(key)
+        order[tied] = order[tied[inner]]
+        first[tied] = _starts(key[inner])
+    return order, np.flatnonzero(first)
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Whether each value of a sorted array differs from the one before."""
+    out = np.ones(len(key), bool)
+    out[1:] = key[1:] != key[:-1]
     return out
 
 
