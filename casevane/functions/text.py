@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters folded by ``fold`` (same place in both strings).
-ACCENTED = "áàäâãåéèëêíìïîóòöôõúùüûñçýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
+# Letters that ``unaccent`` replaces, each by the letter at the same place.
+ACCENTED = "áàäâãéèëêíìïîóòöôõúùüûñçÁÀÄÂÃÉÈËÊÍÌÏÎÓÒÖÔÕÚÙÜÛÑÇ"
+PLAIN = "aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC"
+
+
+def _decomposed() -> tuple[str, str]:
+    """Letters whose compatibility decomposition is one letter and marks, and those letters."""
+    pairs = []
+    for cp in (*range(0xA0, 0x250), *range(0x370, 0x400), *range(0x1E00, 0x2000), *range(0xFF10, 0xFF5B)):
+        base = "".join(ch for ch in unicodedata.normalize("NFKD", chr(cp).lower()) if not unicodedata.combining(ch))
+        if len(base) == 1 and base != chr(cp):
+            pairs.append((chr(cp), base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_COMPOSED, _BASE = _decomposed()
 
 # Words that carry no topic, in the folded form in which they are compared.
 STOP_WORDS = (
@@ -33,12 +47,34 @@ REPORT_WORDS = (
     " doctora senor senora dicho dicha"
 ).split()
 
+# Fixed value: what a word is.
 WORD = r"[0-9A-Za-zÁÉÍÓÚÜÑáéíóúüñ]+(?:[.,][0-9]+)*"
 MONTHS = "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
 
 
+# Words too general to be looked up alone.
+GENERIC = (
+    "oficio numero num radicado proceso procesal ejecutiva ejecutivo acumulada acumulado cautelar cautelares medidas demanda contestacion"
+    " sentencia auto providencia recurso apelacion audiencia diligencia"
+).split()
+# Headings that count as such whatever their length, and ordinals that begin one.
+KNOWN_HEADINGS = (
+    "HECHOS|PRETENSIONES|PETICIONES|FUNDAMENTOS|FUNDAMENTOS DE DERECHO|CONTESTACIÓN|CONTESTACION|RESUELVE|RESUELVO|CONSIDERANDO|CONSIDERACIONES|ANTECEDENTES|DECIDE"
+    "|DECISIÓN|DECISION|RESUMEN|ASUNTO|PARTES|PRUEBAS|ANEXOS|DECLARACIONES|NOTIFICACIÓN|NOTIFICACION|APELACIÓN|APELACION|ANTECEDENTES PROCESALES|ACTUACIÓN PROCESAL"
+    "|ACTUACION PROCESAL|COMPETENCIA|LEGITIMACIÓN|LEGITIMACION|PROCEDIMIENTO|CONCLUSIONES|SOLICITUD|PODER"
+).split("|")
+ORDINALS = "PRIMERO|SEGUNDO|TERCERO|CUARTO|QUINTO|SEXTO|S[ÉE]PTIMO|OCTAVO|NOVENO|D[ÉE]CIMO"
+# Fixed value: what begins a list item.
+LIST_MARK = r"^(?:[-•*·▪◦]|[0-9]{1,3}[.)])\s+"
+
+
 def fold(c: Column) -> Column:
-    """Lower case without the accents of Latin letters; null as empty."""
+    """Lower case without accents: the base letters of the compatibility decomposition; null as empty."""
+    return F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), _COMPOSED, _BASE), r"\p{M}+", "")
+
+
+def unaccent(c: Column) -> Column:
+    """Lower case, then exactly the letters of the fixed table; null as empty."""
     return F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED, PLAIN)
 
 
@@ -179,3 +215,86 @@ def token_estimate(c: Column) -> Column:
 def progress(done: Column, total: Column) -> Column:
     """Whole per cent, 99 at most while running."""
     return F.when(total > 0, F.least(F.lit(99), F.floor(100 * done / total))).otherwise(0).cast("int")
+
+
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def specific_term(c: Column) -> Column:
+    """What to look up (T12): a quoted phrase; else the best content term, an identifier together with its noun.
+
+    Terms with a digit gain 4 and a fifth of their length (10 at most), general words lose 4, and each place towards the
+    end of the question adds a tenth.
+    """
+    quoted = F.regexp_extract(F.coalesce(c, F.lit("")), "[\"“«']([^\"”»']{2,80})[\"”»']", 1)
+    digit = lambda t: t.rlike("[0-9]")
+    general = lambda t: t.isin(*GENERIC)
+    worth = lambda t, i: F.struct((F.when(digit(t), 4 + 0.2 * F.least(F.length(t), F.lit(10))).otherwise(0.0) - F.when(general(t), 4).otherwise(0) + 0.1 * i).alias("score"), i.alias("at"))
+
+    def chosen(terms: Column) -> Column:
+        return bound(F.array_max(F.transform(terms, worth))["at"], lambda at: named(terms, at))
+
+    def named(terms: Column, at: Column) -> Column:
+        term = F.get(terms, at)
+        nouns = F.filter(F.slice(terms, F.lit(1), at), lambda t: ~digit(t) & ~general(t))
+        numbered = F.rlike(fold(c), F.concat(F.lit("\\boficio\\s+"), F.replace(term, F.lit("."), F.lit("\\.")), F.lit("\\b")))
+        with_noun = F.when(numbered | (F.size(nouns) == 0), term).otherwise(F.concat(stem(F.try_element_at(nouns, F.lit(-1))), F.lit(" "), term))
+        return F.when(digit(term), with_noun).otherwise(stem(term))
+
+    return F.when(F.trim(quoted) != "", stem(fold(F.trim(quoted)))).otherwise(bound(content_terms(c), lambda ts: F.when(F.size(ts) > 0, chosen(ts))))
+
+
+def split_near(c: Column, share: float) -> Column:
+    """Two parts: cut at the space nearest to a share (15 to 85 %) of the text, a fifth of it away at most."""
+    text = F.coalesce(c, F.lit(""))
+    n = F.length(text)
+    cut = F.floor(n * F.lit(min(0.85, max(0.15, share)))).cast("int")
+    reach = F.greatest(F.lit(3), F.floor(n * F.lit(0.2))).cast("int")
+    low, high = F.greatest(F.lit(0), cut - reach), F.least(n, cut + reach)
+    left = F.instr(F.reverse(F.substring(text, low + 1, cut - low)), " ")
+    right = F.instr(F.substring(text, cut + 1, high - cut), " ")
+    place = F.when((left > 0) & ((right == 0) | (left < right)), cut - left).when(right > 0, cut + right - 1).otherwise(cut)
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.array(bare(F.substring(text, F.lit(1), place)), bare(F.substring(text, place + 1, n)))
+
+
+def is_heading(line: Column) -> Column:
+    """Short lines of capitals, known titles, ordinals, and half-capital lines before a colon."""
+    n, letters = F.length(line), F.regexp_count(line, F.lit(r"\p{L}"))
+    capitals = F.coalesce(F.try_divide(F.regexp_count(line, F.lit(r"\p{Lu}")), letters), F.lit(0.0))
+    title = F.btrim(F.upper(line), F.lit(":")).isin(*KNOWN_HEADINGS) | line.rlike(rf"(?i)^(?:{ORDINALS})\b")
+    shape = ((capitals >= 0.85) & (n >= 4)) | (line.endswith(":") & (n <= 60) & (capitals >= 0.5))
+    return n.between(2, 90) & ~line.rlike("[.;,]$") & (letters > 0) & (title | shape)
+
+
+def markdown(c: Column) -> Column:
+    """Headings, list items and paragraphs of joined lines.
+
+    Every line gets its kind; what stands before it follows from the kinds of its neighbours: text goes on with a
+    space, an item is followed by a line break, headings and paragraphs by a blank line.
+    """
+    lines = F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|[\n\r]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    item = lambda x: F.concat(F.when(x.rlike("^[0-9]"), F.lit("1. ")).otherwise("- "), F.regexp_replace(x, LIST_MARK, ""))
+    row = lambda kind, body: F.struct(F.lit(kind).alias("kind"), body.alias("body"))
+    kind_of = lambda x: F.when(x == "", row("blank", x)).when(is_heading(x), row("heading", F.concat(F.lit("### "), x))).when(x.rlike(LIST_MARK), row("item", item(x))).otherwise(row("text", x))
+
+    def joined(rows: Column) -> Column:
+        seen = F.filter(F.transform(rows, lambda x, i: F.struct(x["kind"].alias("kind"), x["body"].alias("body"), F.coalesce(F.get(rows, i - 1)["kind"] == "text", F.lit(False)).alias("goes_on"))), lambda x: x["kind"] != "blank")
+        return bound(seen, lambda xs: F.array_join(F.transform(xs, lambda x, j: F.concat(gap(F.get(xs, j - 1)["kind"], x), x["body"])), ""))
+
+    def gap(before: Column, x: Column) -> Column:
+        return F.when(before.isNull(), "").when(before == "item", "\n").when((x["kind"] == "text") & x["goes_on"], " ").otherwise("\n\n")
+
+    return bound(F.transform(lines, kind_of), joined)
+
+
+def profile_status(judged: Column, exemplars: Column, rules: Column, profile: Column, false_rules: Column, false_profile: Column, semantic: bool = True, least: int = 10, gain: float = 0.10) -> Column:
+    """Whether learned votes replace the rules (K6): active on a measured gain, off on a measured loss or without data, else shadow.
+
+    Measured: real embeddings, ``least`` judged answers, both accuracies known, and no more false positives than the rules.
+    """
+    measured = F.lit(semantic) & (judged >= least) & rules.isNotNull() & profile.isNotNull() & (false_profile <= false_rules)
+    no_data = (exemplars == 0) & ((judged == 0) | (F.lit(semantic) & (judged < least)))
+    return F.when(no_data | (measured & (profile + gain < rules)), "off").when(measured & (profile >= rules + gain), "active").otherwise("shadow")

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """The rows written once to the shared checkpoint folder, so later steps survive lost executors and don't recompute.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests) one is set here.
+    The folder is the session's ``spark.checkpoint.dir``; only a local session without one (tests) gets its own.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
     return df.checkpoint(eager=True)

@@ -17,6 +17,20 @@ def build(nodes: dict[str, DataFrame], edges: list[tuple[str, DataFrame]]) -> tu
     return n, e
 
 
+# Kinds of edges between the nodes of a case.
+EDGE_KINDS = (
+    "ASSERTS SUPPORTS CONTRADICTS REFUTES CITES PARTICIPATED_IN TESTIFIED_IN DECIDES APPLIES DERIVED_FROM MENTIONS ABOUT HAS_SPEAKER IS_PARTY PRECEDES CAUSES APPEALS RESPONDS_TO"
+    " REFERS_TO ALLEGES DENIES ADMITS POSITION_ON DECISION_PROVES_FACT FACT_ABOUT_ISSUE"
+).split()
+
+
+def between(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each edge of a known kind once, if both of its ends are nodes."""
+    known = nodes.select("id").distinct()
+    kept = edges.filter(F.col("kind").isin(*EDGE_KINDS)).distinct()
+    return kept.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """Every edge seen from both of its ends: id, other, kind, direction."""
     out = edges.select(F.col("source").alias("id"), F.col("target").alias("other"), "kind", F.lit("out").alias("direction"))

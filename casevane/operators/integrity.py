@@ -5,8 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Allowed transitions of a job.
-JOB_STEPS = {"QUEUED": ["RUNNING", "CANCELLED"], "RUNNING": ["SUCCEEDED", "FAILED", "CANCELLED"], "FAILED": ["QUEUED"]}
+# Allowed transitions of a job and of a case.
+JOB_STEPS = {
+    "QUEUED": ["RUNNING", "CANCELLED"],
+    "RUNNING": ["SUCCEEDED", "FAILED", "RETRYING", "CANCELLED", "QUEUED"],
+    "RETRYING": ["RUNNING", "FAILED", "CANCELLED", "QUEUED"],
+    "FAILED": ["RETRYING"],
+    "SUCCEEDED": [],
+    "CANCELLED": [],
+}
+CASE_STEPS = {
+    "CREATED": ["UPLOADING", "INGESTING", "ARCHIVED"],
+    "UPLOADING": ["INGESTING", "FAILED"],
+    "INGESTING": ["PROCESSING", "FAILED"],
+    "PROCESSING": ["PARTIALLY_READY", "READY_FOR_REVIEW", "FAILED"],
+    "PARTIALLY_READY": ["PROCESSING", "READY_FOR_REVIEW", "FAILED"],
+    "READY_FOR_REVIEW": ["REVIEWING", "PROCESSING"],
+    "REVIEWING": ["READY", "READY_FOR_REVIEW", "PROCESSING"],
+    "READY": ["PROCESSING", "REVIEWING", "ARCHIVED"],
+    "FAILED": ["PROCESSING", "ARCHIVED"],
+    "ARCHIVED": [],
+}
+# Errors after which a job is tried again.
+RETRYABLE = ("network_error", "model_timeout", "schema_error", "provider_unavailable")
 
 
 def tenant(df: DataFrame, organization: str | None, column: str = "organization_id") -> DataFrame:
@@ -41,11 +62,8 @@ def broken_links(log: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def invalid_steps(steps: DataFrame, allowed: dict[str, list[str]] = JOB_STEPS) -> DataFrame:
     """Rows (from, to) that the state machine does not allow."""
-    ok = None
-    for a, bs in allowed.items():
-        hit = (F.col("from") == a) & F.col("to").isin(*bs)
-        ok = hit if ok is None else ok | hit
-    return steps.filter(~F.coalesce(ok, F.lit(False)))
+    known = F.array(*[F.lit(f"{a}>{b}") for a, bs in allowed.items() for b in bs])
+    return steps.filter(~F.coalesce(F.array_contains(known, F.concat("from", F.lit(">"), "to")), F.lit(False)))
 
 
 def backoff(attempt: Column, jitter: Column) -> Column:

@@ -88,3 +88,51 @@ def rollup_tree(tree: DataFrame, counts: DataFrame) -> DataFrame:
     """``id, name, n``: counts summed over each node's subtree."""
     up = ancestors(tree).join(counts, "id").groupBy(F.col("ancestor").alias("id")).agg(F.sum("n").alias("n"))
     return tree.join(up, "id", "left").select("id", "name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, value: str, ident: str, other: str, width: float, digits: int = 2) -> DataFrame:
+    """``ident, nearest``: for each left row the right row of its key with the nearest value, the least id on ties.
+
+    Two as-of lookups, one down and one up, instead of all pairs of a key.  Rows meet in slots of ``width`` of the value;
+    what lies beyond a slot is looked up in a table with one row per filled slot.
+    """
+    slot = lambda df: df.withColumn("_slot", F.floor(F.col(value) / width))
+    a, b = slot(left), slot(right)
+    points = b.groupBy(key, "_slot", value).agg(F.min(other).alias("_o"))
+    mark = F.struct(F.col(value).alias("v"), F.col("_o").alias("o"))
+    ends = points.groupBy(key, "_slot").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
+    # For every slot of either side, the last point below it and the first one above.
+    slots = a.select(key, "_slot").distinct().join(ends, [key, "_slot"], "full")
+    order = Window.partitionBy(key).orderBy("_slot")
+    around = slots.select(
+        key,
+        "_slot",
+        F.last("high", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("low", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    none = F.lit(None)
+    both = a.select(key, "_slot", F.col(value).alias("_x"), F.col(ident).alias("_i"), none.cast("struct<v:double,o:long>").alias("_p")).unionByName(
+        points.select(key, "_slot", F.col(value).alias("_x"), none.cast(left.schema[ident].dataType).alias("_i"), F.struct(F.col(value).cast("double").alias("v"), F.col("_o").cast("long").alias("o")).alias("_p"))
+    )
+    inside = Window.partitionBy(key, "_slot").orderBy("_x")
+    seen = both.withColumn("_down", F.last("_p", ignorenulls=True).over(inside.rangeBetween(Window.unboundedPreceding, 0)))
+    seen = seen.withColumn("_up", F.first("_p", ignorenulls=True).over(inside.rangeBetween(0, Window.unboundedFollowing)))
+    seen = seen.filter("_i is not null").join(around, [key, "_slot"])
+    far = lambda p: F.when(p.isNotNull(), F.struct(F.round(F.abs(F.col("_x") - p["v"]), digits).alias("d"), p["o"].cast("long").alias("o")))
+    best = F.least(far(F.coalesce("_down", F.col("_before").cast("struct<v:double,o:long>"))), far(F.coalesce("_up", F.col("_after").cast("struct<v:double,o:long>"))))
+    return seen.select(F.col("_i").alias(ident), best["o"].alias("nearest")).filter("nearest is not null")
+
+
+def last_event(spans: DataFrame, events: DataFrame, key: str, ident: str, start: str, end: Column, time: str, name: str, after: int, before: int | None = None) -> DataFrame:
+    """``key, ident, name``: the last event of the key up to ``after`` beyond a span's end, and not earlier than ``before`` ahead of its start.
+
+    One sorted pass over events and spans together; spans without such an event are left out.
+    """
+    mark = F.struct(F.col(time).cast("long").alias("t"), F.col(name).alias("n"))
+    none = F.lit(None)
+    seen = events.select(key, F.col(time).cast("long").alias("_at"), mark.alias("_e"), none.cast(spans.schema[ident].dataType).alias("_i"), none.cast("long").alias("_s"))
+    asked = spans.select(key, (end + after).cast("long").alias("_at"), none.cast(seen.schema["_e"].dataType).alias("_e"), F.col(ident).alias("_i"), F.col(start).cast("long").alias("_s"))
+    w = Window.partitionBy(key).orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    both = seen.unionByName(asked).withColumn("_l", F.max("_e").over(w)).filter("_i is not null and _l is not null")
+    near = both if before is None else both.filter(F.col("_l.t") >= F.col("_s") - before)
+    return near.select(key, F.col("_i").alias(ident), F.col("_l.n").alias("name"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,37 +34,51 @@ def consolidate_events(events: DataFrame, bucket: list[str], ident: str, day: st
     """``ident, duplicate_of``: seed-based clusters within a bucket (L2).
 
     Events are taken in order of day (null last) and id; each is compared with the first event of every cluster only:
-    same page, or same day with likeness 0.55, up to three days apart with 0.75, undated with 0.85.  The order matters,
-    so a bucket is one group: an instance of one kind, not a case.
+    same page, or same day with likeness 0.55, up to three days apart with 0.75, undated with 0.85.  The first seed that
+    fits wins.  One shuffle brings buckets together in order; a task scans its rows once, whatever the number and size
+    of its buckets.  Seeds are found by page and by day, so only those of the last three days are looked at.
     """
     kind = events.schema[ident].dataType.simpleString()
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf.to_dict("records"), key=lambda r: (pd.isna(r[day]), 0 if pd.isna(r[day]) else r[day], r[ident]))
-        seeds: list[dict] = []
-        out = []
-        for r in rows:
-            r["_s"] = frozenset(r[terms])
-            found = next((s for s in seeds if _same(r, s, day, page)), None)
-            if found is None:
-                seeds.append(r)
-            out.append((r[ident], None if found is None else found[ident]))
-        got = pd.DataFrame(out, columns=[ident, "duplicate_of"])
-        got["duplicate_of"] = got["duplicate_of"].astype("Int64")
-        return got
-
-    return events.select(*bucket, ident, day, page, terms).groupBy(*bucket).applyInPandas(scan, f"{ident} {kind}, duplicate_of {kind}")
-
-
-def _same(a: dict, b: dict, day: str, page: str) -> bool:
-    if not pd.isna(a[page]) and a[page] == b[page]:
-        return True
-    both = a["_s"] | b["_s"]
-    alike = len(a["_s"] & b["_s"]) / len(both) if both else 0.0
-    if pd.isna(a[day]) or pd.isna(b[day]):
-        return alike >= 0.85
-    gap = abs(int(a[day]) - int(b[day]))
-    return alike >= 0.55 if gap == 0 else gap <= 3 and alike >= 0.75
+    keys = len(bucket)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, seeds = None, None
+        for rows in batches:
+            found = []
+            columns = [c.to_pylist() for c in rows.columns]
+            for key, (i, d, p, words) in zip(zip(*columns[:keys], strict=True), zip(*columns[keys:], strict=True), strict=True):
+                if key != current:
+                    current, seeds = key, _Seeds()
+                found.append(seeds.place(i, d, p, frozenset(words or ())))
+            yield pa.RecordBatch.from_arrays([rows.column(keys), pa.array(found, rows.column(keys).type)], names=[ident, "duplicate_of"])
+
+    rows = events.select(*bucket, ident, day, page, terms).repartition(*bucket).sortWithinPartitions(*bucket, F.col(day).asc_nulls_last(), ident)
+    return rows.mapInArrow(scan, f"`{ident}` {kind}, duplicate_of {kind}")
+
+
+class _Seeds:
+    """First events of the clusters of one bucket."""
+
+    def __init__(self):
+        self.count = 0
+        self.by_page: dict = {}
+        self.by_day: dict = defaultdict(list)
+
+    def place(self, ident, day, page, words: frozenset):
+        """The seed that takes the event in, or none: then it is a seed itself."""
+        able = [self.by_page[page]] if page is not None and page in self.by_page else []
+        if day is None:
+            near = [(seed, 0.85) for seeds in self.by_day.values() for seed in seeds]
+        else:
+            near = [(seed, 0.75 if back else 0.55) for back in range(4) for seed in self.by_day.get(day - back, ())]
+        able += [seed[:2] for seed, least in near if len(words & seed[2]) >= least * len(words | seed[2]) and (words or seed[2])]
+        if able:
+            return min(able)[1]
+        self.by_day[day].append((self.count, ident, words))
+        if page is not None:
+            self.by_page.setdefault(page, (self.count, ident))
+        self.count += 1
+        return None
 
 
 def absorb_references(references: DataFrame, events: DataFrame, keys: list[str], days: int = 45, accept: float = 0.6) -> DataFrame:
@@ -95,6 +113,29 @@ def greedy_pairs(pairs: DataFrame, group: str, left: str, right: str, score: str
     return pairs.groupBy(group).applyInPandas(match, kinds)
 
 
-def keep_best(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
+def keep_best(df: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:
+    """``keys, value``: the value of the first row of each key; partial minima meet, not rows."""
+    return df.groupBy(*keys).agg(F.min_by(value, F.struct(*order)).alias(value))
+
+
+def token_pairs(names: DataFrame, name: str, tokens: str, common: int = 1, share: float = 0.0, contained: bool = False) -> DataFrame:
+    """``name, other, s, z``: pairs of different names (name < other) that may share ``common`` tokens and ``share`` of both.
+
+    Tokens are ordered by how rare they are.  Names with ``k`` tokens in common meet within the first ``n - k + 1`` of
+    each, so only this prefix is joined, and tokens that very many names have come last and are hardly ever in it.  With
+    ``contained`` a name also meets all names that have its rarest token.
+    """
+    rows = names.select(name, F.explode(tokens).alias("w"))
+    df = rows.groupBy("w").agg(F.count("*").alias("df"))
+    ranked = rows.join(df, "w").groupBy(name).agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("r"))  # one array per name
+    n = F.size("r")
+    need = F.greatest(F.lit(common), F.ceil(F.lit(share) * n).cast("int"))
+    item = F.col("p")
+    short = ranked.select(name, F.posexplode(F.slice("r", F.lit(1), F.greatest(F.lit(0), n - need + 1))).alias("i", "p")).select(name, item["w"].alias("w"))
+    met = short.join(short.withColumnRenamed(name, "other"), "w")
+    if contained:
+        first = ranked.select(name, F.get("r", F.lit(0))["w"].alias("w"))
+        all_words = rows.withColumnRenamed(name, "other")
+        met = met.select(name, "other").union(first.join(all_words, "w").select(name, "other"))
+    pairs = met.where(F.col(name) != F.col("other")).select(F.least(name, "other").alias(name), F.greatest(name, "other").alias("other")).distinct()
+    return pairs.join(names.select(name, F.col(tokens).alias("s")), name).join(names.select(F.col(name).alias("other"), F.col(tokens).alias("z")), "other")

@@ -66,26 +66,6 @@ def _(t: Tables):
     return knn(t).select("query_id", F.when(c("margin") >= 0.15, c("label")).otherwise(-1).alias("label"))
 
 
-INTENT = (("identity", "(^|[^a-z])(who|quien|qui|wer)([^a-z]|$)"), ("amount", "[0-9]{3,}"), ("testimony", "(said|dijo|dit|tion)"), ("document", "(the|der|les|los)"))
-
-
-@query("k1_rule_intent", "SELECT conv_id, turn, " + "CASE " + " ".join(f"WHEN regexp_matches(lower(text),'{p}') THEN '{n}'" for n, p in INTENT) + " ELSE 'other' END AS intent, " + "CAST(" + "+".join(f"regexp_matches(lower(text),'{p}')::INT" for _, p in INTENT) + " AS INT) AS families FROM conversations WHERE role='user'")
-def _(t: Tables):
-    x = F.lower("text")
-    kind, many = None, F.lit(0)
-    for n, p in INTENT:
-        kind = F.when(x.rlike(p), n) if kind is None else kind.when(x.rlike(p), n)
-        many = many + x.rlike(p).cast("int")
-    return t.conversations.filter("role = 'user'").select("conv_id", "turn", kind.otherwise("other").alias("intent"), many.alias("families"))
-
-
-@query("k3_follow_up", "SELECT conv_id, turn, CASE WHEN len(regexp_extract_all(text,'[^ \\t\\n\\r]+'))<=10 AND prev IS NOT NULL THEN 'inherits' ELSE 'own' END AS mode FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations)")
-def _(t: Tables):
-    few = F.size(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0))) <= 10
-    prev = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
-    return t.conversations.withColumn("p", prev).select("conv_id", "turn", F.when(few & c("p").isNotNull(), "inherits").otherwise("own").alias("mode"))
-
-
 @query("k7_latest_verdict", "SELECT user_id, arg_max(event_type,(ts,event_id)) AS verdict FROM events GROUP BY 1 HAVING arg_max(event_type,(ts,event_id))<>'error'")
 def _(t: Tables):
     return t.events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("verdict")).filter("verdict <> 'error'")
@@ -113,8 +93,9 @@ def _(t: Tables):
     b = t.benchmark.select("item_id", head.alias("head"), first(words(head)).alias("k"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: F.array_join(F.slice(c("w"), i, 3), " "))
     # The first word of a passage may begin inside a word of the document, so its own first word is left out there.
-    d = t.documents.select("doc_id", T.fold(c("text")).alias("x")).withColumn("w", words(c("x"))).select("doc_id", "x", F.explode(F.array_distinct(grams)).alias("k"))
-    hits = b.join(d, "k").filter(c("x").contains(c("head"))).select("item_id", "doc_id").distinct()
+    d = t.documents.select("doc_id", words(T.fold(c("text"))).alias("w")).select("doc_id", F.explode(F.array_distinct(grams)).alias("k"))
+    met = d.join(b.select("item_id", "k"), "k").select("item_id", "doc_id").distinct()  # ids only; few pairs
+    hits = met.join(t.documents.select("doc_id", "text"), "doc_id").join(b.select("item_id", "head"), "item_id").filter(T.fold(c("text")).contains(c("head"))).select("item_id", "doc_id")
     return b.select("item_id").join(hits, "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("found"))
 
 
@@ -153,24 +134,6 @@ def _(t: Tables):
     return x.select("l_orderkey", "l_linenumber", F.when(c("o_orderkey").isNull(), "no_order").when(c("l_shipdate") < c("o_orderdate"), "time").when(c("l_quantity") > 45, "range").otherwise("ok").alias("reason"))
 
 
-FINDINGS = "f AS (SELECT doc_id, 'numbers' AS rule, 'CRITICAL' AS severity FROM documents WHERE regexp_matches(text,'[0-9]{12,}') UNION ALL SELECT doc_id, 'symbols', 'HIGH' FROM documents WHERE regexp_matches(text,'%%%') UNION ALL SELECT doc_id, 'short', 'MEDIUM' FROM documents WHERE n_chars<100 UNION ALL SELECT doc_id, 'seen', 'INFO' FROM documents)"
-
-
-def findings(t: Tables):
-    one = lambda cond, rule, sev: t.documents.filter(cond).select("doc_id", F.lit(rule).alias("rule"), F.lit(sev).alias("severity"))
-    return one(c("text").rlike("[0-9]{12,}"), "numbers", "CRITICAL").union(one(c("text").rlike("%%%"), "symbols", "HIGH")).union(one(c("n_chars") < 100, "short", "MEDIUM")).union(one(F.lit(True), "seen", "INFO"))
-
-
-@query("v6_guard_findings", f"WITH {FINDINGS} SELECT rule, severity, count(*) AS n FROM f GROUP BY 1,2")
-def _(t: Tables):
-    return findings(t).groupBy("rule", "severity").agg(F.count("*").alias("n"))
-
-
-@query("v8_final_status", f"WITH {FINDINGS} SELECT doc_id, CASE max(CASE severity WHEN 'CRITICAL' THEN 3 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END) WHEN 3 THEN 'BLOCKED' WHEN 2 THEN 'WARNING' WHEN 1 THEN 'NEEDS_REVIEW' ELSE 'PASSED' END AS status FROM f GROUP BY 1")
-def _(t: Tables):
-    return E.final_status(findings(t), "doc_id", "severity")
-
-
 @query("v9_proof_derivation", "SELECT o_custkey, CASE WHEN bool_or(o_orderstatus='F') THEN 'PROVEN' WHEN bool_or(o_orderpriority='1-URGENT') THEN 'ADMITTED' WHEN count(DISTINCT o_orderstatus)>1 THEN 'DISPUTED' WHEN count(*)>5 THEN 'SUPPORTED' ELSE 'ALLEGED' END AS proof FROM orders GROUP BY 1")
 def _(t: Tables):
     g = t.orders.groupBy("o_custkey").agg(F.bool_or(c("o_orderstatus") == "F").alias("a"), F.bool_or(c("o_orderpriority") == "1-URGENT").alias("b"), F.countDistinct("o_orderstatus").alias("d"), F.count("*").alias("n"))
@@ -195,10 +158,12 @@ def _(t: Tables):
     return t.documents.join(t.labels, "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("mean_quality"), F.count_if(c("toxic") == 1).alias("review"))
 
 
-@query("v14_reprocess_plan", "SELECT source, 'other' AS target, array_to_string(list(doc_id ORDER BY doc_id),',') AS pages FROM documents JOIN labels USING(doc_id) WHERE quality=0 GROUP BY 1")
+@query("v14_reprocess_plan", "SELECT source, doc_id//100 AS part, 'other' AS target, array_to_string(list(doc_id ORDER BY doc_id),',') AS pages FROM documents JOIN labels USING(doc_id) WHERE quality=0 GROUP BY 1,2")
 def _(t: Tables):
+    # A request lists the pages of a hundred ids at most, so no list grows with its source.
     ids = F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",")
-    return t.documents.join(t.labels, "doc_id").filter("quality = 0").groupBy("source").agg(ids.alias("pages")).select("source", F.lit("other").alias("target"), "pages")
+    low = t.documents.select("doc_id", "source").join(t.labels.filter("quality = 0").select("doc_id"), "doc_id")
+    return low.groupBy("source", F.floor(c("doc_id") / 100).alias("part")).agg(ids.alias("pages")).select("source", "part", F.lit("other").alias("target"), "pages")
 
 
 @query("i1_tenant_rows", "SELECT doc_id FROM documents WHERE source='src3'")
@@ -248,10 +213,21 @@ def _(t: Tables):
     return t.events.filter((c("event_type") == "click") & (c("ts") < F.expr("timestamp_ntz'2024-01-15 00:00:00' - interval 2 hours"))).select("event_id")
 
 
-@query("i9_state_transitions", "SELECT source, target FROM (SELECT event_type AS target, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts,event_id) AS source FROM events) WHERE source IS NOT NULL AND NOT ((source='view' AND target IN ('click','view')) OR (source='click' AND target IN ('purchase','view'))) GROUP BY 1,2")
+_STATES = "['QUEUED','RUNNING','RETRYING','FAILED','SUCCEEDED','CANCELLED']"
+
+
+@query(
+    "i9_state_transitions",
+    f"WITH e AS (SELECT user_id, ts, event_id, {_STATES}[event_id%6+1] AS target FROM events), p AS (SELECT lag(target) OVER (PARTITION BY user_id ORDER BY ts,event_id) AS source, target FROM e)"
+    " SELECT source, target, count(*) AS n FROM p WHERE source IS NOT NULL AND (source,target) NOT IN (('QUEUED','RUNNING'),('QUEUED','CANCELLED'),('RUNNING','SUCCEEDED'),('RUNNING','FAILED'),('RUNNING','RETRYING'),('RUNNING','CANCELLED'),('RUNNING','QUEUED'),"
+    "('RETRYING','RUNNING'),('RETRYING','FAILED'),('RETRYING','CANCELLED'),('RETRYING','QUEUED'),('FAILED','RETRYING')) GROUP BY 1,2",
+)
 def _(t: Tables):
-    s = t.events.select(F.lag("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("from"), c("event_type").alias("to")).filter("`from` is not null").distinct()
-    return I.invalid_steps(s, {"view": ["click", "view"], "click": ["purchase", "view"]}).select(c("from").alias("source"), c("to").alias("target"))
+    # Jobs are users; the state of an event follows from its number.
+    states = F.array(*map(F.lit, I.JOB_STEPS))
+    e = t.events.select("user_id", "ts", "event_id", F.get(states, (c("event_id") % 6).cast("int")).alias("to"))
+    s = e.select(F.lag("to").over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("from"), "to").filter("`from` is not null").groupBy("from", "to").agg(F.count("*").alias("n"))
+    return I.invalid_steps(s).select(c("from").alias("source"), c("to").alias("target"), "n")
 
 
 @query("i10_rate_limit", "SELECT user_id, strftime(time_bucket(INTERVAL 6 HOUR, ts),'%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM events GROUP BY 1,2 HAVING count(*)>3")

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from ..functions.text import ACCENTED, PLAIN, QUESTION_WORDS, REPORT_WORDS, STOP_WORDS, WORD
+from ..functions.text import QUESTION_WORDS, REPORT_WORDS, STOP_WORDS
 
 
 def words(values) -> str:
     return "[" + ",".join(f"'{v}'" for v in values) + "]"
 
 
+WORD = "[0-9A-Za-zÁÉÍÓÚÜÑáéíóúüñ]+(?:[.,][0-9]+)*"
+
+
 def fold(x: str) -> str:
-    return f"translate(lower(coalesce({x},'')),'{ACCENTED}','{PLAIN}')"
+    return f"strip_accents(lower(coalesce({x},'')))"
+
+
+def unaccent(x: str) -> str:
+    return f"translate(lower(coalesce({x},'')),'áàäâãéèëêíìïîóòöôõúùüûñçÁÀÄÂÃÉÈËÊÍÌÏÎÓÒÖÔÕÚÙÜÛÑÇ','aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC')"
 
 
 def raw(x: str, least: int = 2) -> str:
@@ -22,6 +29,17 @@ def terms(x: str, report: bool = True) -> str:
     return f"list_distinct(list_filter(list_transform({raw(x, 3)}, lambda t: {fold('t')}), lambda t: length(t)>=3 AND NOT list_contains({drop},t)))"
 
 
+def search_terms(x: str) -> str:
+    return terms(x, report=False)
+
+
+def ordered_terms(x: str) -> str:
+    """Content terms in order of first appearance."""
+    drop = words([*STOP_WORDS, *QUESTION_WORDS, *REPORT_WORDS])
+    all_terms = f"list_filter(list_transform({raw(x, 3)}, lambda t: {fold('t')}), lambda t: length(t)>=3 AND NOT list_contains({drop},t))"
+    return f"list_filter({all_terms}, lambda t, i: list_position({all_terms}, t) = i)"
+
+
 def stem(w: str) -> str:
     return (
         f"CASE WHEN length({w})<=4 THEN {w} WHEN {w} LIKE '%ces' AND length({w})>5 THEN left({w},-3)||'z' WHEN {w} LIKE '%es' AND length({w})>5 THEN"

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, linkage
+from ..operators import graph, joins, linkage
 from .registry import Tables, query
 
 c = F.col
@@ -20,23 +20,15 @@ def names(t: Tables):
     return t.part.select("p_name").distinct().select("p_name", F.array_distinct(F.split("p_name", " ")).alias("s"))
 
 
-def name_pairs(t: Tables):
-    """Pairs of names with a common token, by an equi-join on tokens."""
-    x = names(t)
-    words = x.select("p_name", F.explode("s").alias("w"))
-    met = words.alias("a").join(words.alias("b"), "w").filter("a.p_name < b.p_name").select(c("a.p_name").alias("p_name"), c("b.p_name").alias("other")).distinct()
-    return met.join(x, "p_name").join(x.select(c("p_name").alias("other"), c("s").alias("z")), "other")
-
-
 @query("j17_token_set_join", f"WITH {NAMES} SELECT a.p_name, b.p_name AS other FROM x a JOIN x b ON a.p_name<b.p_name WHERE len(list_intersect(a.s,b.s))/len(list_distinct(list_concat(a.s,b.s)))::DOUBLE >= 0.3 OR len(list_intersect(a.s,b.s))=least(len(a.s),len(b.s))")
 def _(t: Tables):
     ok = (linkage.jaccard(c("s"), c("z")) >= 0.3) | (F.size(F.array_intersect("s", "z")) == F.least(F.size("s"), F.size("z")))
-    return name_pairs(t).filter(ok).select("p_name", "other")
+    return linkage.token_pairs(names(t), "p_name", "s", share=0.3, contained=True).filter(ok).select("p_name", "other")
 
 
-@query("j18_ratio_join", f"WITH {NAMES} SELECT a.p_name, b.p_name AS other FROM x a JOIN x b ON a.p_name<b.p_name WHERE len(list_intersect(a.s,b.s))>0 AND (contains(a.p_name,b.p_name) OR contains(b.p_name,a.p_name) OR 1-levenshtein(a.p_name,b.p_name)/greatest(length(a.p_name),length(b.p_name),1)::DOUBLE >= 0.6)")
+@query("j18_ratio_join", f"WITH {NAMES} SELECT a.p_name, b.p_name AS other FROM x a JOIN x b ON a.p_name<b.p_name WHERE len(list_intersect(a.s,b.s))/len(list_distinct(list_concat(a.s,b.s)))::DOUBLE >= 0.3 AND (contains(a.p_name,b.p_name) OR contains(b.p_name,a.p_name) OR 1-levenshtein(a.p_name,b.p_name)/greatest(length(a.p_name),length(b.p_name),1)::DOUBLE >= 0.6)")
 def _(t: Tables):
-    return name_pairs(t).filter(linkage.name_ratio(c("p_name"), c("other")) >= 0.6).select("p_name", "other")
+    return linkage.token_pairs(names(t), "p_name", "s", share=0.3).filter((linkage.jaccard(c("s"), c("z")) >= 0.3) & (linkage.name_ratio(c("p_name"), c("other")) >= 0.6)).select("p_name", "other")
 
 
 @query(
@@ -79,7 +71,7 @@ def _(t: Tables):
 
 @query("l7_speaker_dedupe", "SELECT p_name, arg_min(p_partkey, (p_type<>'PROMO', -p_size, p_partkey)) AS kept FROM part GROUP BY 1")
 def _(t: Tables):
-    return linkage.keep_best(t.part, ["p_name"], [(c("p_type") != "PROMO"), F.desc("p_size"), c("p_partkey")]).select("p_name", c("p_partkey").alias("kept"))
+    return linkage.keep_best(t.part, ["p_name"], [c("p_type") != "PROMO", -c("p_size"), c("p_partkey")], "p_partkey").select("p_name", c("p_partkey").alias("kept"))
 
 
 @query("l9_authority_groups", "SELECT array_to_string(list_sort(string_split(lower(p_name),' ')),'|') AS signature, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1")
@@ -117,11 +109,6 @@ def edges_of(t: Tables):
 EDGES = "ed AS (SELECT 'n'||n_nationkey AS source, 'r'||n_regionkey AS target, 'in_region' AS kind FROM nation UNION ALL SELECT 's'||s_suppkey, 'n'||s_nationkey, 'in_nation' FROM supplier)"
 
 
-@query("g1_graph_build", f"WITH {EDGES} SELECT kind, count(*) AS n, count(DISTINCT source) AS sources FROM ed GROUP BY 1")
-def _(t: Tables):
-    return edges_of(t)[1].groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"))
-
-
 @query("g2_traverse", f"WITH RECURSIVE {EDGES}, st AS (SELECT source AS a, target AS b FROM ed UNION SELECT target, source FROM ed), r AS (SELECT 'n3' AS id, 0 AS depth UNION SELECT b, depth+1 FROM r JOIN st ON id=a WHERE depth<3) SELECT id, CAST(min(depth) AS INT) AS depth FROM r GROUP BY 1")
 def _(t: Tables):
     return graph.traverse(edges_of(t)[1], t.spark.createDataFrame([("n3",)], "id string"), 3)
@@ -177,6 +164,6 @@ def _(t: Tables):
 
 @query("j19_scored_theta_join", "SELECT s_suppkey, arg_min(c_custkey, (round(abs(s_acctbal-c_acctbal),2), c_custkey)) AS nearest FROM supplier JOIN customer ON s_nationkey=c_nationkey GROUP BY 1")
 def _(t: Tables):
-    near = F.struct(F.round(F.abs(c("s_acctbal") - c("c_acctbal")), 2), c("c_custkey"))
-    return t.supplier.join(t.customer, c("s_nationkey") == c("c_nationkey")).groupBy("s_suppkey").agg(F.min_by("c_custkey", near).alias("nearest"))
-
+    a = t.supplier.select(c("s_nationkey").alias("k"), c("s_acctbal").alias("x"), "s_suppkey")
+    b = t.customer.select(c("c_nationkey").alias("k"), c("c_acctbal").alias("x"), "c_custkey")
+    return joins.nearest(a, b, "k", "x", "s_suppkey", "c_custkey", width=20).select("s_suppkey", c("nearest"))

@@ -8,22 +8,33 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators import evaluation as E
-from ..operators import joins, search, sequence
+from ..operators import joins, linkage, search, sequence
 from . import duck as D
-from .linking import NAMES, name_pairs
+from .linking import NAMES, names
 from .registry import Tables, query
 
 c = F.col
 
 
-@query("t2_immutable_unaccent", f"SELECT conv_id, turn, md5({D.fold('text')}) AS h FROM conversations")
+@query("t2_immutable_unaccent", f"SELECT conv_id, turn, md5({D.unaccent('text')}) AS h FROM conversations")
 def _(t: Tables):
-    return t.conversations.select("conv_id", "turn", F.md5(T.fold(c("text"))).alias("h"))
+    return t.conversations.select("conv_id", "turn", F.md5(T.unaccent(c("text"))).alias("h"))
 
 
-@query("t12_specific_term")
+_GENERAL = "['oficio','numero','num','radicado','proceso','procesal','ejecutiva','ejecutivo','acumulada','acumulado','cautelar','cautelares','medidas','demanda','contestacion','sentencia','auto','providencia','recurso','apelacion','audiencia','diligencia']"
+
+
+@query(
+    "t12_specific_term",
+    f"WITH a AS (SELECT conv_id, turn, text, {D.ordered_terms('text')} AS ts FROM conversations WHERE role='user'),"
+    f" b AS (SELECT *, list_sort(list_transform(ts, lambda t, i: {{'s': CASE WHEN regexp_matches(t,'[0-9]') THEN 4::DOUBLE+0.2::DOUBLE*least(length(t),10) ELSE 0 END - CASE WHEN list_contains({_GENERAL},t) THEN 4 ELSE 0 END + 0.1::DOUBLE*(i-1), 'p': i}})) AS r FROM a),"
+    " d AS (SELECT *, list_last(r).p AS pos, ts[list_last(r).p] AS term FROM b),"
+    f" e AS (SELECT *, list_filter(ts[1:pos-1], lambda t: NOT regexp_matches(t,'[0-9]') AND NOT list_contains({_GENERAL},t)) AS nouns, regexp_extract(text, '[\"“«'']([^\"”»'']{{2,80}})[\"”»'']', 1) AS quoted FROM d)"
+    f" SELECT conv_id, turn, CASE WHEN trim(quoted)<>'' THEN {D.stem(D.fold('trim(quoted)'))} WHEN len(ts)=0 THEN NULL WHEN NOT regexp_matches(term,'[0-9]') THEN {D.stem('term')}"
+    f" WHEN len(nouns)=0 OR contains({D.fold('text')}, 'oficio '||term) THEN term ELSE {D.stem('list_last(nouns)')}||' '||term END AS term FROM e",
+)
 def _(t: Tables):
-    return t.conversations.filter("role = 'user'").select("conv_id", "turn", R.each(R.specific_term, "string")(c("text")).alias("term"))
+    return t.conversations.filter("role = 'user'").select("conv_id", "turn", T.specific_term(c("text")).alias("term"))
 
 
 @query("t13_expand_query", f"WITH w AS (SELECT item_id, unnest({D.terms('text')}) AS term FROM benchmark), s(term,syn) AS (VALUES ('the','den'),('and','und'),('thed','thees'),('eron','eren')) SELECT item_id, w.term, syn FROM w JOIN s ON s.term=w.term")
@@ -53,9 +64,32 @@ def _(t: Tables):
     return t.supplier.select("s_suppkey", F.lower(F.regexp_replace(F.regexp_replace("s_name", "([a-z])([A-Z0-9])", "$1 $2"), "[^A-Za-z0-9]+", " ")).alias("context"))
 
 
-@query("t30_markdown")
+_KNOWN = (
+    "'HECHOS','PRETENSIONES','PETICIONES','FUNDAMENTOS','FUNDAMENTOS DE DERECHO','CONTESTACIÓN','CONTESTACION','RESUELVE','RESUELVO','CONSIDERANDO','CONSIDERACIONES','ANTECEDENTES','DECIDE','DECISIÓN',"
+    "'DECISION','RESUMEN','ASUNTO','PARTES','PRUEBAS','ANEXOS','DECLARACIONES','NOTIFICACIÓN','NOTIFICACION','APELACIÓN','APELACION','ANTECEDENTES PROCESALES','ACTUACIÓN PROCESAL','ACTUACION PROCESAL',"
+    "'COMPETENCIA','LEGITIMACIÓN','LEGITIMACION','PROCEDIMIENTO','CONCLUSIONES','SOLICITUD','PODER'"
+)
+_LETTERS, _CAPITALS = "len(regexp_extract_all(x,'\\p{L}'))", "len(regexp_extract_all(x,'\\p{Lu}'))::DOUBLE"
+_HEADING = (
+    f"length(x) BETWEEN 2 AND 90 AND NOT regexp_matches(x,'[.;,]$') AND {_LETTERS}>0 AND (trim(upper(x),':') IN ({_KNOWN}) OR regexp_matches(x,'(?i)^(PRIMERO|SEGUNDO|TERCERO|CUARTO|QUINTO|SEXTO|S[ÉE]PTIMO|OCTAVO|NOVENO|D[ÉE]CIMO)\\b')"
+    f" OR ({_CAPITALS}/{_LETTERS}>=0.85 AND length(x)>=4) OR (x LIKE '%:' AND length(x)<=60 AND {_CAPITALS}/{_LETTERS}>=0.5))"
+)
+_MARK = "^([-•*·▪◦]|[0-9]{1,3}[.)])\\s+"
+
+
+@query(
+    "t30_markdown",
+    "WITH l AS (SELECT doc_id, list_transform(string_split_regex(coalesce(text,''), '\\r\\n|[\\n\\r]'), lambda x: regexp_replace(x,'^\\s+|\\s+$','','g')) AS ls FROM documents),"
+    " u AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls,1) AS i FROM l),"
+    f" k AS (SELECT *, CASE WHEN x='' THEN 'blank' WHEN {_HEADING} THEN 'heading' WHEN regexp_matches(x,'{_MARK}') THEN 'item' ELSE 'text' END AS kind FROM u),"
+    " g AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM k),"
+    " n AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g WHERE kind<>'blank'),"
+    " o AS (SELECT doc_id, string_agg(CASE WHEN before IS NULL THEN '' WHEN before='item' THEN chr(10) WHEN kind='text' AND prev='text' THEN ' ' ELSE chr(10)||chr(10) END ||"
+    f" CASE kind WHEN 'heading' THEN '### '||x WHEN 'item' THEN CASE WHEN regexp_matches(x,'^[0-9]') THEN '1. ' ELSE '- ' END||regexp_replace(x,'{_MARK}','') ELSE x END, '' ORDER BY i) AS m FROM n GROUP BY 1)"
+    " SELECT doc_id, md5(coalesce(m,'')) AS h FROM documents LEFT JOIN o USING(doc_id)",
+)
 def _(t: Tables):
-    return t.documents.select("doc_id", F.md5(R.each(R.to_markdown, "string")(c("text"))).alias("h"))
+    return t.documents.select("doc_id", F.md5(T.markdown(c("text"))).alias("h"))
 
 
 @query("t36_identifier_key", "SELECT p_brand AS law, array_to_string(list_sort(list(DISTINCT p_size)),',') AS articles FROM part GROUP BY 1")
@@ -68,10 +102,10 @@ def _(t: Tables):
     return t.documents.withColumn("rn", F.row_number().over(W.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))).filter("rn <= 5").select("doc_id")
 
 
-@query("o13_array_difference", f"WITH a AS (SELECT conv_id, {D.terms('text')} AS s FROM conversations WHERE turn=1), b AS (SELECT conv_id, {D.terms('text')} AS s FROM conversations WHERE turn=2) SELECT conv_id, {D.joined('list_filter(b.s, lambda x: NOT list_contains(a.s,x))')} AS new_terms FROM a JOIN b USING(conv_id)")
+@query("o13_array_difference", f"WITH a AS (SELECT conv_id, turn, {D.terms('text')} AS s FROM conversations) SELECT a.conv_id, a.turn, {D.joined('list_filter(b.s, lambda x: NOT list_contains(a.s,x))')} AS new_terms FROM a JOIN a b ON a.conv_id=b.conv_id AND b.turn=a.turn+1")
 def _(t: Tables):
-    turn = lambda k, n: t.conversations.filter(c("turn") == k).select("conv_id", T.content_terms(c("text")).alias(n))
-    return turn(1, "a").join(turn(2, "b"), "conv_id").select("conv_id", F.array_join(F.array_sort(F.array_except("b", "a")), " ").alias("new_terms"))
+    turn = lambda k, n: t.conversations.select("conv_id", (c("turn") - k).alias("turn"), T.content_terms(c("text")).alias(n))
+    return turn(0, "a").join(turn(1, "b"), ["conv_id", "turn"]).select("conv_id", "turn", F.array_join(F.array_sort(F.array_except("b", "a")), " ").alias("new_terms"))
 
 
 @query("a11_weighted_vote", "WITH v AS (SELECT user_id, event_type, round(sum(value*pow(0.5, greatest(date_diff('day',CAST(ts AS DATE),DATE '2024-01-31'),0)/90.0)),6) AS score FROM events GROUP BY 1,2) SELECT user_id, arg_max(event_type,(score, -ascii(event_type))) AS label FROM v GROUP BY 1")
@@ -162,9 +196,9 @@ def _(t: Tables):
     return u.groupBy("name").agg(F.min("p").alias("p")).orderBy("p", "name").limit(15)
 
 
-@query("l10_role_suggestion", f"WITH {NAMES} SELECT a.p_name, arg_max(b.p_name, (len(list_intersect(a.s,b.s)), length(b.p_name), b.p_name)) AS suggestion FROM x a JOIN x b ON a.p_name<>b.p_name WHERE len(list_intersect(a.s,b.s))>0 GROUP BY 1")
+@query("l10_role_suggestion", f"WITH {NAMES} SELECT a.p_name, arg_max(b.p_name, (len(list_intersect(a.s,b.s)), length(b.p_name), b.p_name)) AS suggestion FROM x a JOIN x b ON a.p_name<>b.p_name WHERE len(list_intersect(a.s,b.s))>1 GROUP BY 1")
 def _(t: Tables):
-    p = name_pairs(t).select("p_name", "other", F.size(F.array_intersect("s", "z")).alias("n"))
+    p = linkage.token_pairs(names(t), "p_name", "s", common=2).select("p_name", "other", F.size(F.array_intersect("s", "z")).alias("n")).filter("n > 1")
     both = p.union(p.select("other", "p_name", "n"))
     return both.groupBy("p_name").agg(F.max_by("other", F.struct("n", F.length("other"), "other")).alias("suggestion"))
 
@@ -206,22 +240,6 @@ def _(t: Tables):
     return q.join(e, "conv_id").groupBy("conv_id", "turn").agg(F.max_by("et", F.struct(r, -c("et"))).alias("best"))
 
 
-@query("v7_article_support", f"WITH {'p AS (SELECT a.conv_id, a.turn, ' + D.stems('a.text') + ' AS s, ' + D.stems('b.text') + ' AS e FROM conversations a JOIN conversations b ON a.conv_id=b.conv_id AND b.turn=a.turn+1)'} SELECT conv_id, turn, CASE WHEN len(s)>=2 AND round({D.share('s', 'e')},6)<0.34 THEN 'HIGH' ELSE 'OK' END AS finding FROM p")
-def _(t: Tables):
-    a = t.conversations.select("conv_id", "turn", T.content_set(c("text")).alias("s"))
-    b = t.conversations.select("conv_id", (c("turn") - 1).alias("turn"), T.content_set(c("text")).alias("e"))
-    low = (F.size("s") >= 2) & (F.round(T.share_in(c("s"), c("e")), 6) < 0.34)
-    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.when(low, "HIGH").otherwise("OK").alias("finding"))
-
-
-@query("k2_multi_source", "SELECT conv_id, turn, (regexp_matches(lower(text),'the')::INT + regexp_matches(lower(text),'der')::INT + regexp_matches(lower(text),'les')::INT >= 2) OR (len(regexp_extract_all(text,'[^ \\t\\n\\r]+'))>14 AND regexp_matches(lower(text),'(^| )(that|que|qui) ')) AS escalates FROM conversations WHERE role='user'")
-def _(t: Tables):
-    x = F.lower("text")
-    many = sum((x.contains(w).cast("int") for w in ("the", "der", "les")), F.lit(0)) >= 2
-    long = F.size(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0))) > 14
-    return t.conversations.filter("role = 'user'").select("conv_id", "turn", (many | (long & x.rlike("(^| )(that|que|qui) "))).alias("escalates"))
-
-
 @query("k12_forbidden_phrase")
 def _(t: Tables):
     return t.conversations.select("conv_id", "turn", R.each(R.forbidden, "boolean")(c("text"), F.lit("the ")).alias("hit"))
@@ -244,9 +262,32 @@ def _(t: Tables):
     return t.conversations.groupBy("conv_id").agg(F.count("*").alias("messages"))
 
 
-@query("z12_proportional_split")
+@query(
+    "z12_proportional_split",
+    "WITH a AS (SELECT item_id, text, length(text) AS n, floor(length(text)*0.4::DOUBLE)::INT AS cut, greatest(3,floor(length(text)*0.2::DOUBLE)::INT) AS reach FROM benchmark),"
+    " s AS (SELECT item_id, unnest(range(0,n)) AS p FROM a), h AS (SELECT item_id, arg_min(p, (abs(p-cut), p)) AS p FROM s JOIN a USING(item_id) WHERE substr(text,p+1,1)=' ' AND p>=cut-reach AND p<cut+reach GROUP BY 1)"
+    " SELECT item_id, length(trim(left(text,coalesce(p,cut)))) AS head, length(trim(substr(text,coalesce(p,cut)+1))) AS tail FROM a LEFT JOIN h USING(item_id)",
+)
+def _(t: Tables):
+    return t.benchmark.select("item_id", T.split_near(c("text"), 0.4).alias("p")).select("item_id", F.length(F.get("p", F.lit(0))).cast("long").alias("head"), F.length(F.get("p", F.lit(1))).cast("long").alias("tail"))
+
+
+@query(
+    "k6_profile_activation",
+    "WITH m AS (SELECT user_id, count(*) FILTER (WHERE event_type='purchase') AS judged, count(*) FILTER (WHERE event_type='signup') AS exemplars, round(avg((value>20)::INT) FILTER (WHERE event_type='click'),6) AS rules, round(avg((value>20)::INT) FILTER (WHERE event_type='view'),6) AS profile, count(*) FILTER (WHERE value<1) AS fr, count(*) FILTER (WHERE value<0.5) AS fp FROM events GROUP BY 1)"
+    " SELECT user_id, CASE WHEN exemplars=0 AND judged=0 THEN 'off' WHEN judged<10 AND exemplars=0 THEN 'off' WHEN judged<10 THEN 'shadow' WHEN profile IS NULL OR rules IS NULL THEN 'shadow' WHEN fp>fr THEN 'shadow' WHEN profile>=rules+0.1::DOUBLE THEN 'active' WHEN profile+0.1::DOUBLE<rules THEN 'off' ELSE 'shadow' END AS status FROM m",
+)
 def _(t: Tables):
-    return t.benchmark.select("item_id", R.each(lambda x: R.split_at(x, 0.4), "array<string>")(c("text")).alias("p")).select("item_id", F.length(F.get("p", F.lit(0))).alias("head"), F.length(F.get("p", F.lit(1))).alias("tail"))
+    of = lambda kind, x: F.round(F.avg(F.when(c("event_type") == kind, x)), 6)
+    m = t.events.groupBy("user_id").agg(
+        F.count_if(c("event_type") == "purchase").alias("judged"),
+        F.count_if(c("event_type") == "signup").alias("exemplars"),
+        of("click", (c("value") > 20).cast("int")).alias("rules"),
+        of("view", (c("value") > 20).cast("int")).alias("profile"),
+        F.count_if(c("value") < 1).alias("fr"),
+        F.count_if(c("value") < 0.5).alias("fp"),
+    )
+    return m.select("user_id", T.profile_status(*map(c, ("judged", "exemplars", "rules", "profile", "fr", "fp"))).alias("status"))
 
 
 @query("z14_line_alignment")
@@ -280,10 +321,9 @@ def _(t: Tables):
     return a.join(b, (c("a.k") == c("b.k")) & (c("a.s_suppkey") < c("b.s_suppkey"))).filter(R.each(R.same_name, "boolean")(c("a.s_name"), c("b.s_name"))).select(c("a.s_suppkey").alias("x"), c("b.s_suppkey").alias("y"))
 
 
-@query("s6_s7_file_sniff")
+@query("s6_s7_file_sniff", "SELECT page_id, CASE WHEN left(b,5)='%PDF-' THEN 'pdf' WHEN left(lower(ltrim(b)),5) IN ('<html','<!doc') THEN 'html' ELSE 'unknown' END AS kind, sha256(b) AS sha256, octet_length(encode(b)) AS bytes FROM (SELECT page_id, coalesce(html,'') AS b FROM pages)")
 def _(t: Tables):
-    from ..sources.files import read_files
-
-    return read_files(t.spark, t.sf_dir, "r*.parquet")
-
+    from ..sources.files import sniff
 
+    raw = F.coalesce("html", F.lit("")).cast("binary")
+    return t.pages.select("page_id", sniff(raw).alias("kind"), F.sha2(raw, 256).alias("sha256"), F.octet_length(raw).cast("long").alias("bytes"))

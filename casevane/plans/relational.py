@@ -148,10 +148,10 @@ def _(t: Tables):
 
 @query(
     "j3_polymorphic_left_joins",
-    "SELECT l_orderkey, l_linenumber, o_orderstatus, p_brand, s_name, c_mktsegment, n_name FROM lineitem LEFT JOIN orders ON l_orderkey=o_orderkey LEFT JOIN part ON l_partkey=p_partkey LEFT JOIN supplier ON l_suppkey=s_suppkey LEFT JOIN customer ON o_custkey=c_custkey LEFT JOIN nation ON c_nationkey=n_nationkey WHERE l_linenumber=1",
+    "SELECT l_orderkey, l_linenumber, o_orderstatus, p_brand, s_name, c_mktsegment, n_name FROM lineitem LEFT JOIN orders ON l_orderkey=o_orderkey LEFT JOIN part ON l_partkey=p_partkey LEFT JOIN supplier ON l_suppkey=s_suppkey LEFT JOIN customer ON o_custkey=c_custkey LEFT JOIN nation ON c_nationkey=n_nationkey",
 )
 def _(t: Tables):
-    x = t.lineitem.filter("l_linenumber = 1").join(t.orders, c("l_orderkey") == c("o_orderkey"), "left").join(t.part, c("l_partkey") == c("p_partkey"), "left")
+    x = t.lineitem.join(t.orders, c("l_orderkey") == c("o_orderkey"), "left").join(t.part, c("l_partkey") == c("p_partkey"), "left")
     x = x.join(t.supplier, c("l_suppkey") == c("s_suppkey"), "left").join(t.customer, c("o_custkey") == c("c_custkey"), "left").join(t.nation, c("c_nationkey") == c("n_nationkey"), "left")
     return x.select("l_orderkey", "l_linenumber", "o_orderstatus", "p_brand", "s_name", "c_mktsegment", "n_name")
 
@@ -475,8 +475,8 @@ def _(t: Tables):
 
 @query("x_extra_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag),(l_linestatus),())")
 def _(t: Tables):
-    t.lineitem.createOrReplaceTempView("casevane_lineitem")
-    return t.spark.sql("SELECT l_returnflag, l_linestatus, count(*) AS n FROM casevane_lineitem GROUP BY GROUPING SETS ((l_returnflag),(l_linestatus),())")
+    flag, status = c("l_returnflag"), c("l_linestatus")
+    return t.lineitem.groupingSets([[flag], [status], []], flag, status).agg(F.count("*").alias("n")).select("l_returnflag", "l_linestatus", "n")
 
 
 @query("x_extra_full_outer", "SELECT coalesce(a.k,b.k) AS k, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal<-900 GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal>8000 GROUP BY 1) b ON a.k=b.k")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,8 +29,13 @@ def terms_of(t: Tables):
     return t.benchmark.select(c("item_id").alias("query_id"), F.explode(T.content_set(c("text"))).alias("term")).distinct()
 
 
+def doc_sets(t: Tables, ids):
+    """``doc_id, s`` and the columns of documents but the text: content sets once per document, for the documents of a top-k list."""
+    return t.documents.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("s", T.content_set(c("text"))).drop("text")
+
+
 def lexical(t: Tables, k: int = 20):
-    s = search.bm25(cut(search.postings(t.documents, "doc_id")), terms_of(t), "doc_id")
+    s = search.bm25(t.documents, terms_of(t), "doc_id")
     return search.ranked(s, "query_id", "doc_id", k, 6)
 
 
@@ -37,12 +44,6 @@ def _(t: Tables):
     return search.postings(t.documents, "doc_id")
 
 
-@query("x2_query_variants", f"SELECT item_id, {D.joined('list_distinct(list_concat(' + D.terms('text') + ',' + D.stems('text') + '))')} AS prefixes FROM benchmark")
-def _(t: Tables):
-    terms = T.content_terms(c("text"))
-    return t.benchmark.select("item_id", F.array_join(F.array_sort(F.array_union(terms, F.transform(terms, T.stem))), " ").alias("prefixes"))
-
-
 @query("x3_bm25_top_k", f"WITH {BM25} SELECT lex.query_id, lex.doc_id, rank, round(score,4) AS score FROM lex JOIN sc ON sc.query_id=lex.query_id AND sc.doc_id=lex.doc_id WHERE rank<=10")
 def _(t: Tables):
     return lexical(t, 10).select("query_id", "doc_id", c("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
@@ -102,46 +103,32 @@ def _(t: Tables):
     return m.select("doc_id", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("p", "doc_id")).cast("long").alias("pos"))  # a merged top-k list
 
 
+#: Six kinds of source: speech, and the names of five kinds of entity.
+_HAVE = " UNION ".join(f"SELECT DISTINCT unnest({D.stems(x)}) AS term FROM {table}" for table, x in (("conversations", "text"), ("part", "p_name"), ("supplier", "s_name"), ("customer", "c_name"), ("pages", "url"), ("nation", "n_name")))
+
+
 @query(
     "x15_term_coverage",
-    f"WITH {QUERIES_SQL}, have AS (SELECT DISTINCT unnest({D.stems('text')}) AS term FROM documents WHERE lang='fr' UNION SELECT DISTINCT unnest({D.stems('text')}) FROM conversations WHERE role='system') SELECT query_id, round(count(h.term)/count(*)::DOUBLE,6) AS coverage FROM q LEFT JOIN have h USING(term) GROUP BY 1",
+    f"WITH {QUERIES_SQL}, have AS ({_HAVE}) SELECT query_id, round(count(h.term)/count(*)::DOUBLE,6) AS coverage FROM q LEFT JOIN have h USING(term) GROUP BY 1",
 )
 def coverage(t: Tables):
-    of = lambda df: df.select(F.explode(T.content_set(c("text"))).alias("term"))
-    have = of(t.documents.filter("lang = 'fr'")).union(of(t.conversations.filter("role = 'system'"))).distinct().withColumn("hit", F.lit(1))
+    of = lambda df, text: df.select(F.explode(T.content_set(c(text))).alias("term"))
+    have = reduce(lambda a, b: a.union(b), [of(t.conversations, "text"), of(t.part, "p_name"), of(t.supplier, "s_name"), of(t.customer, "c_name"), of(t.pages, "url"), of(t.nation, "n_name")])
+    have = have.distinct().withColumn("hit", F.lit(1))
     return terms_of(t).join(have, "term", "left").groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 6).alias("coverage"))
 
 
 @query(
     "x16_should_abstain",
-    f"WITH {QUERIES_SQL}, have AS (SELECT DISTINCT unnest({D.stems('text')}) AS term FROM documents WHERE lang='fr' UNION SELECT DISTINCT unnest({D.stems('text')}) FROM conversations WHERE role='system') SELECT query_id FROM q LEFT JOIN have h USING(term) GROUP BY 1 HAVING round(count(h.term)/count(*)::DOUBLE,6) < 0.6",
+    f"WITH {QUERIES_SQL}, have AS ({_HAVE}) SELECT query_id FROM q LEFT JOIN have h USING(term) GROUP BY 1 HAVING round(count(h.term)/count(*)::DOUBLE,6) < 0.6",
 )
 def _(t: Tables):
     return coverage(t).filter("coverage < 0.6").select("query_id")
 
 
-@query("x17_locate", "SELECT 'page' AS kind, doc_id AS id FROM documents WHERE lower(text) LIKE '%the%' AND lower(text) LIKE '%tion%' UNION ALL SELECT 'segment', conv_id*100+turn FROM conversations WHERE lower(text) LIKE '%the%' OR lower(text) LIKE '%tion%'")
+@query("x27_rule_lookup", "SELECT p_brand, arg_min(p_partkey, (-p_retailprice, p_partkey)) AS rule FROM part GROUP BY 1")
 def _(t: Tables):
-    has = lambda w: F.lower("text").contains(w)
-    pages = t.documents.filter(has("the") & has("tion")).select(F.lit("page").alias("kind"), c("doc_id").alias("id"))
-    return pages.union(t.conversations.filter(has("the") | has("tion")).select(F.lit("segment"), c("conv_id") * 100 + c("turn")))
-
-
-@query("x18_phrase", f"SELECT doc_id FROM documents WHERE regexp_matches({D.fold('text')}, 'and.{{0,12}}the')")
-def _(t: Tables):
-    return t.documents.filter(T.fold(c("text")).rlike("and.{0,12}the")).select("doc_id")
-
-
-@query("x20_case_search", "WITH u AS (SELECT doc_id AS id, 0 AS p FROM documents WHERE lower(text) LIKE '%and the%' UNION ALL SELECT doc_id, 2 FROM documents WHERE lower(text) LIKE '%and%') SELECT id, CAST(min(p) AS INT) AS p FROM u GROUP BY 1 ORDER BY p, id LIMIT 40")
-def _(t: Tables):
-    has = lambda w: F.lower("text").contains(w)
-    u = t.documents.filter(has("and the")).select(c("doc_id").alias("id"), F.lit(0).alias("p")).union(t.documents.filter(has("and")).select("doc_id", F.lit(2)))
-    return u.groupBy("id").agg(F.min("p").alias("p")).orderBy("p", "id").limit(40)
-
-
-@query("x27_rule_lookup", "SELECT p_brand, arg_min(p_partkey, (-p_retailprice, p_partkey)) AS rule FROM part WHERE regexp_replace(p_brand,'[^0-9]','','g') IN ('7','12','21') GROUP BY 1")
-def _(t: Tables):
-    return t.part.filter(F.regexp_replace("p_brand", "[^0-9]", "").isin("7", "12", "21")).groupBy("p_brand").agg(F.min_by("p_partkey", F.struct(-c("p_retailprice"), "p_partkey")).alias("rule"))
+    return t.part.groupBy("p_brand").agg(F.min_by("p_partkey", F.struct(-c("p_retailprice"), "p_partkey")).alias("rule"))
 
 
 @query("x28_file_resolution", "SELECT s_suppkey FROM supplier WHERE s_name ILIKE '%00001%' ORDER BY length(s_name), s_suppkey LIMIT 1")
@@ -160,44 +147,34 @@ def _(t: Tables):
     return t.conversations.groupBy("conv_id").agg(F.max(F.when(c("role") == "assistant", c("turn"))).alias("answer"))
 
 
-@query("r1_relevance_score", f"WITH {BM25}, q2 AS (SELECT item_id AS query_id, {D.stems('text')} AS q FROM benchmark), x AS (SELECT lex.query_id, doc_id, len(list_intersect(q,{D.stems('text')}))/len(q)::DOUBLE AS cov, least(1.0::DOUBLE,n_chars/20011.0::DOUBLE) AS prox, CASE WHEN lang='en' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS prior FROM lex JOIN documents USING(doc_id) JOIN q2 ON q2.query_id=lex.query_id WHERE rank<=20) SELECT query_id, doc_id, round(least(1,greatest(0,0.40::DOUBLE*cov+0.20::DOUBLE*prior+0.15::DOUBLE*prox)),6) AS score FROM x")
+@query("r1_relevance_score", f"WITH {BM25}, have AS ({_HAVE}), cv AS (SELECT query_id, round(count(h.term)/count(*)::DOUBLE,6) AS overall FROM q LEFT JOIN have h USING(term) GROUP BY 1), q2 AS (SELECT item_id AS query_id, {D.stems('text')} AS q FROM benchmark), x AS (SELECT lex.query_id, doc_id, len(list_intersect(q,{D.stems('text')}))/len(q)::DOUBLE AS cov, least(1.0::DOUBLE,n_chars/20011.0::DOUBLE) AS prox, CASE WHEN lang='en' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS prior, overall FROM lex JOIN cv USING(query_id) JOIN documents USING(doc_id) JOIN q2 ON q2.query_id=lex.query_id WHERE rank<=20) SELECT query_id, doc_id, round(least(1,greatest(0,CASE WHEN overall<0.5 THEN 0.55::DOUBLE*cov+0.15::DOUBLE*prior+0.10::DOUBLE*prox ELSE 0.40::DOUBLE*cov+0.20::DOUBLE*prior+0.15::DOUBLE*prox END)),6) AS score FROM x")
 def _(t: Tables):
     q = t.benchmark.select(c("item_id").alias("query_id"), T.content_set(c("text")).alias("q"))
-    d = lexical(t).select("query_id", "doc_id").join(t.documents, "doc_id").join(q, "query_id").withColumn("s", T.content_set(c("text")))
+    top = cut(lexical(t).select("query_id", "doc_id"))
+    d = top.join(doc_sets(t, top), "doc_id").join(q, "query_id").join(coverage(t).withColumnRenamed("coverage", "overall"), "query_id")
     cov = F.size(F.array_intersect("q", "s")) / F.size("q")
-    return d.select("query_id", "doc_id", search.relevance(cov, F.lit(0.0), F.when(c("lang") == "en", 1.0).otherwise(0.7), F.least(F.lit(1.0), c("n_chars") / 20011), F.lit(1.0)).alias("score"))
+    return d.select("query_id", "doc_id", search.relevance(cov, F.lit(0.0), F.when(c("lang") == "en", 1.0).otherwise(0.7), F.least(F.lit(1.0), c("n_chars") / 20011), c("overall")).alias("score"))
 
 
-@query("r2_tolerant_coverage")
+@query(
+    "r2_tolerant_coverage",
+    f"WITH {BM25}, q2 AS (SELECT item_id, {D.stems('text')} AS q FROM benchmark), x AS (SELECT lex.query_id AS item_id, doc_id, q, {D.stems('text')} AS s FROM lex JOIN documents USING(doc_id) JOIN q2 ON q2.item_id=lex.query_id WHERE rank<=5),"
+    " h AS (SELECT item_id, doc_id, q, list_filter(q, lambda t: list_contains(s,t) OR (length(t)>=4 AND len(list_filter(s, lambda o: length(o)>=4 AND abs(length(o)-length(t))<=2 AND (starts_with(o,t) OR starts_with(t,o))))>0)) AS hit FROM x)"
+    " SELECT item_id, doc_id, CASE WHEN len(q)=0 THEN 0.5::DOUBLE ELSE round(len(hit)/len(q)::DOUBLE,6) END AS coverage FROM h",
+)
 def _(t: Tables):
     q = t.benchmark.select("item_id", T.content_set(c("text")).alias("q"))
-    d = lexical(t, 5).join(t.documents, "doc_id").select(c("query_id").alias("item_id"), "doc_id", T.content_set(c("text")).alias("s"))
+    top = cut(lexical(t, 5).select("query_id", "doc_id"))
+    d = top.join(doc_sets(t, top), "doc_id").select(c("query_id").alias("item_id"), "doc_id", "s")
     return q.join(d, "item_id").select("item_id", "doc_id", F.round(T.tolerant_share(c("q"), c("s")), 6).alias("coverage"))
 
 
-@query("r3_page_dedupe", "SELECT l_orderkey, arg_max(l_linenumber, (round(l_extendedprice,0), l_linestatus='O', -l_linenumber)) AS line FROM lineitem GROUP BY 1")
-def _(t: Tables):
-    return t.lineitem.groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct(F.round("l_extendedprice", 0), c("l_linestatus") == "O", -c("l_linenumber"))).alias("line"))
-
-
-@query("r4_transcript_dedupe", f"WITH {D.SEGMENTS}, b AS (SELECT media_id, speaker, start_ms//20000 AS bucket, max(length(text)) AS best FROM seg GROUP BY 1,2,3) SELECT * FROM b")
-def _(t: Tables):
-    from ..operators.sequence import segments
-
-    return segments(t.conversations).groupBy("media_id", "speaker", F.floor(c("start_ms") / 20000).alias("bucket")).agg(F.max(F.length("text")).cast("long").alias("best"))
-
-
-@query("r5_entity_score", f"SELECT doc_id, CASE WHEN {D.fold('text')} LIKE '%then%' THEN 1.0::DOUBLE WHEN list_contains({D.stems('text')},lang) THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS score FROM documents")
-def _(t: Tables):
-    s = F.when(T.fold(c("text")).contains("then"), 1.0).when(F.array_contains(T.content_set(c("text")), c("lang")), 0.6).otherwise(0.0)
-    return t.documents.select("doc_id", s.alias("score"))
-
-
 @query("r7_r8_diverse_selection")
 def _(t: Tables):
-    x = lexical(t, 30).join(t.documents, "doc_id")
+    found = cut(lexical(t, 30))
+    x = found.join(doc_sets(t, found), "doc_id")
     top = F.max("score").over(W.partitionBy("query_id"))
-    rows = x.select("query_id", c("doc_id").alias("key"), F.round(c("score") / top, 6).alias("rank_score"), T.content_set(c("text")).alias("terms"), c("source").alias("file"), c("doc_id").cast("string").alias("page"), (c("lang") == "en").alias("is_document"))
+    rows = x.select("query_id", c("doc_id").alias("key"), F.round(c("score") / top, 6).alias("rank_score"), c("s").alias("terms"), c("source").alias("file"), c("doc_id").cast("string").alias("page"), (c("lang") == "en").alias("is_document"))
     return search.select_diverse(rows, "query_id", k=8, per_file=2, reserve=0.5, speech=0.35)
 
 

@@ -73,17 +73,6 @@ def _(t: Tables):
     return sequence.chunk_pages(t.documents, ["doc_id"]).select("doc_id", "chunk", "words")
 
 
-@query(
-    "c6_gap_merge",
-    f"WITH {D.SEGMENTS}, g AS (SELECT *, CASE WHEN (start_ms - lag(end_ms) OVER w) BETWEEN 0 AND 5000 THEN 0 ELSE 1 END AS b FROM seg WINDOW w AS (PARTITION BY media_id ORDER BY turn)), i AS (SELECT *, sum(b) OVER (PARTITION BY media_id ORDER BY turn) AS island FROM g) SELECT media_id, min(turn) AS turn, max(end_ms)-min(start_ms) AS span_ms FROM i GROUP BY media_id, island",
-)
-def _(t: Tables):
-    k, o = ["media_id"], ["turn"]
-    s = sequence.segments(t.conversations)
-    s = s.withColumn("b", ~F.coalesce((c("start_ms") - sequence.previous("end_ms", k, o)).between(0, 5000), F.lit(False)))
-    return sequence.islands(s, k, o, c("b")).groupBy("media_id", "island").agg(F.min("turn").alias("turn"), (F.max("end_ms") - F.min("start_ms")).alias("span_ms")).drop("island")
-
-
 @query("c8_next_other_speaker", "SELECT a.conv_id, a.turn, (SELECT arg_min(b.role, b.turn) FROM conversations b WHERE b.conv_id=a.conv_id AND b.turn>a.turn AND b.role<>a.role) AS names FROM conversations a")
 def _(t: Tables):
     # Runs of one speaker: the next run's speaker is the first other one.
@@ -103,16 +92,6 @@ def _(t: Tables):
     return t.embeddings.groupBy(c("label").alias("model")).agg(F.count("*").alias("n"), F.bool_or(F.get("embedding", F.lit(0)) > F.lit(0.28)).alias("d")).filter("d").select("model", "n")
 
 
-@query(
-    "x19_occurrences",
-    f"WITH {D.SEGMENTS}, h AS (SELECT media_id, speaker, start_ms//60000 AS minute, min(start_ms) AS first_ms, count(*) AS n FROM seg WHERE lower(text) LIKE '%the%' GROUP BY 1,2,3), r AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY first_ms, speaker) AS rn FROM h) SELECT media_id, speaker, minute, first_ms, n FROM r WHERE rn<=8",
-)
-def _(t: Tables):
-    s = sequence.segments(t.conversations).filter(F.lower("text").contains("the"))
-    h = s.groupBy("media_id", "speaker", F.floor(c("start_ms") / 60000).alias("minute")).agg(F.min("start_ms").alias("first_ms"), F.count("*").alias("n"))
-    return h.withColumn("rn", F.row_number().over(W.partitionBy("media_id").orderBy("first_ms", "speaker"))).filter("rn <= 8").drop("rn")
-
-
 @query("x21_speaker_first_order", "SELECT conv_id, turn FROM conversations ORDER BY conv_id, CASE WHEN role='assistant' THEN 0 ELSE 1 END, turn LIMIT 30")
 def _(t: Tables):
     return t.conversations.orderBy("conv_id", F.when(c("role") == "assistant", 0).otherwise(1), "turn").limit(30).select("conv_id", "turn")
@@ -131,22 +110,6 @@ def _(t: Tables):
     return x.filter((c("event_type") == c("pt")) & (c("ts") - c("pts") < F.expr("interval 120 seconds"))).select("event_id")
 
 
-@query("z9_event_window_naming", "SELECT e.event_id, (SELECT arg_max(s.event_id, (s.ts, s.event_id)) FROM events s WHERE s.user_id=e.user_id AND s.event_type='signup' AND s.ts<=e.ts AND s.ts>=e.ts - INTERVAL 2 DAY) AS named FROM events e WHERE e.event_type='purchase'")
-def _(t: Tables):
-    sec = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2020-01-01 00:00:00', ts)")
-    w = W.partitionBy("user_id").orderBy(c("us")).rangeBetween(-2 * 86400 * 1000000, 0)
-    x = t.events.withColumn("us", sec).withColumn("named", F.max(F.when(c("event_type") == "signup", F.struct("us", "event_id"))).over(w)["event_id"])
-    return x.filter("event_type = 'purchase'").select("event_id", "named")
-
-
-@query("z11_split_at_boundary", "WITH w AS (SELECT conv_id, turn, regexp_extract_all(text,'[^ \\t\\n\\r]+') AS ws FROM conversations) SELECT conv_id, turn, CAST(least(len(ws),5) AS INT) AS head, CAST(len(ws)-least(len(ws),5) AS INT) AS tail FROM w")
-def _(t: Tables):
-    ws = F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0))
-    timed = F.transform(ws, lambda w, i: F.struct(w.alias("w"), (i * 60).alias("ms")))
-    x = t.conversations.withColumn("t", timed)
-    return x.select("conv_id", "turn", F.size(F.filter("t", lambda y: y["ms"] < 300)).alias("head"), F.size(F.filter("t", lambda y: y["ms"] >= 300)).alias("tail"))
-
-
-@query("z15_extractive_fallback", "SELECT conv_id, left(array_to_string(string_split_regex(text,'[.!?] ')[1:2],' '),600) AS gist FROM conversations WHERE turn=1")
+@query("z15_extractive_fallback", "SELECT conv_id, turn, left(array_to_string(string_split_regex(text,'[.!?] ')[1:2],' '),600) AS gist FROM conversations")
 def _(t: Tables):
-    return t.conversations.filter("turn = 1").select("conv_id", F.left(F.array_join(F.slice(F.split("text", "[.!?] "), 1, 2), " "), F.lit(600)).alias("gist"))
+    return t.conversations.select("conv_id", "turn", F.left(F.array_join(F.slice(F.split("text", "[.!?] "), 1, 2), " "), F.lit(600)).alias("gist"))

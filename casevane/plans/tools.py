@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import rules as R
+from ..functions import text as T
 from ..operators import graph, joins, sequence
 from . import duck as D
 from .linking import EDGES, edges_of
@@ -71,7 +71,7 @@ def get_document_page(t: Tables, page_number: int, document_id: str | None = Non
 
 @tool(document_id="src2")
 def get_document_markdown(t: Tables, document_id: str) -> DataFrame:
-    parts = pages(t).filter(c("document_id") == document_id).select("page_number", R.each(R.to_markdown, "string")(c("text")).alias("markdown"))
+    parts = pages(t).filter(c("document_id") == document_id).select("page_number", T.markdown(c("text")).alias("markdown"))
     return parts.orderBy("page_number")
 
 

@@ -44,16 +44,23 @@ def _(t: Tables):
     return t.benchmark.select("item_id", line(T.content_set(c("text"))).alias("stems"))
 
 
-@query("t8_coverage", f"WITH a AS (SELECT conv_id, {D.stems('text')} AS s FROM conversations WHERE turn=1), b AS (SELECT conv_id, {D.stems('text')} AS s FROM conversations WHERE turn=2) SELECT a.conv_id, round({D.share('a.s', 'b.s')},6) AS coverage FROM a JOIN b USING (conv_id)")
+_TURNS = f"a AS (SELECT conv_id, turn, {D.stems('text')} AS s FROM conversations)"
+
+
+def turns(t: Tables):
+    """Each turn's terms (a) with those of the next one (b)."""
+    turn = lambda k, n: t.conversations.select("conv_id", (c("turn") - k).alias("turn"), T.content_set(c("text")).alias(n))
+    return turn(0, "a").join(turn(1, "b"), ["conv_id", "turn"])
+
+
+@query("t8_coverage", f"WITH {_TURNS} SELECT a.conv_id, a.turn, round({D.share('a.s', 'b.s')},6) AS coverage FROM a JOIN a b ON a.conv_id=b.conv_id AND b.turn=a.turn+1")
 def _(t: Tables):
-    turn = lambda k, n: t.conversations.filter(c("turn") == k).select("conv_id", T.content_set(c("text")).alias(n))
-    return turn(1, "a").join(turn(2, "b"), "conv_id").select("conv_id", F.round(T.share_in(c("a"), c("b")), 6).alias("coverage"))
+    return turns(t).select("conv_id", "turn", F.round(T.share_in(c("a"), c("b")), 6).alias("coverage"))
 
 
-@query("t9_overlap_with_question", f"WITH a AS (SELECT conv_id, {D.stems('text')} AS s FROM conversations WHERE turn=1), b AS (SELECT conv_id, {D.stems('text')} AS s FROM conversations WHERE turn=2) SELECT a.conv_id, round({D.share('b.s', 'a.s')},6) AS overlap FROM a JOIN b USING (conv_id)")
+@query("t9_overlap_with_question", f"WITH {_TURNS} SELECT a.conv_id, a.turn, round({D.share('b.s', 'a.s')},6) AS overlap FROM a JOIN a b ON a.conv_id=b.conv_id AND b.turn=a.turn+1")
 def _(t: Tables):
-    turn = lambda k, n: t.conversations.filter(c("turn") == k).select("conv_id", T.content_set(c("text")).alias(n))
-    return turn(1, "a").join(turn(2, "b"), "conv_id").select("conv_id", F.round(T.share_in(c("b"), c("a")), 6).alias("overlap"))
+    return turns(t).select("conv_id", "turn", F.round(T.share_in(c("b"), c("a")), 6).alias("overlap"))
 
 
 @query(
@@ -64,8 +71,10 @@ def _(t: Tables):
 def _(t: Tables):
     from pyspark.sql import Window
 
-    d = t.documents.withColumn("nxt", F.lead("text").over(Window.partitionBy("source").orderBy("doc_id")))
-    return d.filter(F.size(T.numbers(c("text"))) > 0).select("doc_id", F.array_join(T.numbers(c("text")), " ").alias("numbers"), F.array_join(T.missing_numbers(c("text"), c("nxt")), " ").alias("missing"))
+    # Numbers are shuffled, not texts.
+    d = t.documents.select("doc_id", "source", T.numbers(c("text")).alias("own")).withColumn("nxt", F.lead("own").over(Window.partitionBy("source").orderBy("doc_id")))
+    lacking = F.filter("own", lambda x: ~F.array_contains(F.coalesce("nxt", F.array().cast("array<string>")), x))
+    return d.filter(F.size("own") > 0).select("doc_id", F.array_join("own", " ").alias("numbers"), F.array_join(lacking, " ").alias("missing"))
 
 
 @query("t11_mmss", "SELECT doc_id, CASE WHEN s//3600>0 THEN printf('%d:%02d:%02d', s//3600, (s%3600)//60, s%60) ELSE printf('%02d:%02d', s//60, s%60) END AS clock FROM (SELECT doc_id, n_chars*1500//1000 AS s FROM documents)")
@@ -84,11 +93,6 @@ def _(t: Tables):
     return t.customer.select("c_custkey", T.normal_name(c("c_name")).alias("name"))
 
 
-@query("t19_entity_type", "SELECT p_partkey, CASE WHEN regexp_matches(upper(p_name),'(RING|BOLT|S\\.?A\\.?S)$') THEN 'organization' ELSE 'person' END AS kind FROM part")
-def _(t: Tables):
-    return t.part.select("p_partkey", F.when(F.upper("p_name").rlike(r"(RING|BOLT|S\.?A\.?S)$"), "organization").otherwise("person").alias("kind"))
-
-
 @query("t20_levenshtein", "SELECT p_partkey, CAST(levenshtein(p_name, nxt) AS INT) AS d FROM (SELECT p_partkey, p_name, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nxt FROM part)")
 def _(t: Tables):
     from pyspark.sql import Window
@@ -135,25 +139,6 @@ def _(t: Tables):
     return dominant(days, ["o_custkey"], "d", "o_orderkey").select("o_custkey", c("value").alias("day"))
 
 
-@query("t26_folio", "SELECT doc_id, coalesce(nullif(regexp_extract(lower(text),'(?:folio|no\\.?|page) ?([0-9]{1,5})',1),''), nullif(regexp_extract(text,'(?m)^([0-9]{1,4})$',1),''), 'none') AS folio FROM documents")
-def _(t: Tables):
-    got = lambda x, p: F.nullif(F.regexp_extract(x, p, 1), F.lit(""))
-    return t.documents.select("doc_id", F.coalesce(got(F.lower("text"), r"(?:folio|no\.?|page) ?([0-9]{1,5})"), got(c("text"), r"(?m)^([0-9]{1,4})$"), F.lit("none")).alias("folio"))
-
-
-@query("t31_segment_class", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text),'(thed|resuelve)') THEN 'decision' WHEN regexp_matches(lower(text),'(annex|anexo|ond)') THEN 'annex' WHEN length(text)<40 THEN 'header' ELSE 'body' END AS kind FROM conversations")
-def _(t: Tables):
-    x = F.lower("text")
-    kind = F.when(x.rlike("(thed|resuelve)"), "decision").when(x.rlike("(annex|anexo|ond)"), "annex").when(F.length("text") < 40, "header").otherwise("body")
-    return t.conversations.select("conv_id", "turn", kind.alias("kind"))
-
-
-@query("t32_type_by_hints", "SELECT doc_id, CASE WHEN regexp_matches(lower(text),'(loser|idiot)') THEN 'complaint' WHEN regexp_matches(text,'[0-9]{10,}') THEN 'invoice' WHEN regexp_matches(text,'\\|') THEN 'table' ELSE 'other' END AS kind FROM documents")
-def _(t: Tables):
-    kind = F.when(F.lower("text").rlike("(loser|idiot)"), "complaint").when(c("text").rlike("[0-9]{10,}"), "invoice").when(c("text").rlike(r"\|"), "table").otherwise("other")
-    return t.documents.select("doc_id", kind.alias("kind"))
-
-
 @query("t33_alias_dictionary", "SELECT event_id, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'read' WHEN 'purchase' THEN 'order' ELSE event_type END AS subtype FROM events")
 def _(t: Tables):
     alias = t.spark.createDataFrame([("view", "read"), ("click", "read"), ("purchase", "order")], "event_type string, alias string")
@@ -166,25 +151,6 @@ def _(t: Tables):
     return t.documents.filter(c("text").rlike(p)).select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(p), F.lit(0)), ";").alias("found"))
 
 
-@query("t35_range_expansion", "SELECT p_size, array_to_string(CASE WHEN p_size<=60 THEN range(p_size, p_size+4) ELSE [p_size] END,',') AS articles FROM (SELECT DISTINCT p_size FROM part)")
-def _(t: Tables):
-    said = t.part.select("p_size").distinct().withColumn("said", F.concat("p_size", F.lit(" a "), c("p_size") + 3))
-    a, b = F.regexp_extract("said", "^([0-9]+)", 1).cast("int"), F.regexp_extract("said", "a ([0-9]+)$", 1).cast("int")
-    return said.select("p_size", F.array_join(F.when(b - a <= 500, F.sequence(a, b)).otherwise(F.array(a)).cast("array<string>"), ",").alias("articles"))
-
-
-@query("t38_role_side", "SELECT DISTINCT role, CASE role WHEN 'user' THEN 'ACTOR' WHEN 'assistant' THEN 'DEMANDADO' ELSE 'TERCERO' END AS side FROM conversations")
-def _(t: Tables):
-    sides = F.create_map(*map(F.lit, ("user", "ACTOR", "assistant", "DEMANDADO")))
-    return t.conversations.select("role", F.coalesce(F.try_element_at(sides, c("role")), F.lit("TERCERO")).alias("side")).distinct()
-
-
-@query("t39_stance", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text),'(admi|adm)') THEN 'ADMITS' WHEN regexp_matches(lower(text),'(nieg|not )') THEN 'DENIES' WHEN regexp_matches(lower(text),'(afirm|that )') THEN 'ALLEGES' ELSE 'UNKNOWN' END AS stance FROM conversations")
-def _(t: Tables):
-    x = F.lower("text")
-    return t.conversations.select("conv_id", "turn", F.when(x.rlike("(admi|adm)"), "ADMITS").when(x.rlike("(nieg|not )"), "DENIES").when(x.rlike("(afirm|that )"), "ALLEGES").otherwise("UNKNOWN").alias("stance"))
-
-
 @query("t40_question_hash", f"SELECT conv_id, turn, sha256(trim(regexp_replace(regexp_replace({D.fold('text')},'[^0-9a-z ]',' ','g'),' +',' ','g'))) AS h FROM conversations WHERE role='user'")
 def _(t: Tables):
     return t.conversations.filter("role = 'user'").select("conv_id", "turn", T.question_hash(c("text")).alias("h"))

@@ -18,11 +18,12 @@ def plain_text(html: Column) -> Column:
 def sniff(content: Column) -> Column:
     """File type by leading bytes."""
     head = F.hex(F.substring(content, 1, 8))
+    markup = F.lower(F.ltrim(F.substring(content, 1, 64).cast("string"))).rlike("^(<html|<!doc)")
     out = None
     for magic, kind in MAGIC:
         hit = head.startswith(magic)
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
-    return F.coalesce(out, F.lit("unknown"))
+    return F.coalesce(out, F.when(markup, "html"), F.lit("unknown"))
 
 
 def content_key(case: Column, content: Column, kind: str) -> Column:
