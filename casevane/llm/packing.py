@@ -31,7 +31,7 @@ from .common import whole
 
 CAPACITY = 2048
 SHARD_UNITS = 2_000_000
-SHARD_ITEMS = 8_192
+SHARD_ITEMS = 4_096
 
 
 def estimated_tokens(text: Column) -> Column:

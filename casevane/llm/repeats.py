@@ -547,13 +547,12 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def _with_spans(docs: DataFrame, extra: list[str], id_col: str, text_col: str, batch_bytes: int | None, **sizes: int) -> DataFrame:
-    """``row`` (a struct of the named columns), ``text``, ``n`` and ``h`` of each row, ``copy`` and what is removed."""
+    """``row`` (a struct of the named columns), ``n`` and ``h`` of each row, ``copy`` and what is removed."""
     spans = repeated_spans(docs, id_col=id_col, text_col=text_col, batch_bytes=batch_bytes, **sizes).drop("n_bytes")
     text = whole(text_col)
     own = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in extra]).alias("row"),  # no name of theirs meets one of ours
         F.coalesce(F.col(id_col).cast("long"), F.lit(LARGEST)).alias("id"),
-        text.alias("text"),
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("h"),
         F.octet_length(text).cast("long").alias("n"),
     )
@@ -582,6 +581,6 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return pd.Series([t if not len(s) else cut(t.encode("utf-8", "replace"), s, e).decode("utf-8", "ignore") for t, s, e in zip(text, starts, ends, strict=True)], dtype=object)
 
     empty = F.array().cast("array<long>")
-    less = kept(F.col("text"), F.coalesce("starts", empty), F.coalesce("ends", empty))
+    less = kept(F.coalesce(F.col("row")[text_col], F.lit("")), F.coalesce("starts", empty), F.coalesce("ends", empty))
     cleaned = F.when(F.col("copy"), F.lit("")).when(F.col("n_removed") > 0, less).otherwise(F.col("row")[text_col])
     return got.withColumn("clean", cleaned).select(*[F.col("clean").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
