@@ -46,8 +46,10 @@ SPACE = "▁"
 BITS = 61
 LONGEST = 1000
 #: Bytes of text in a batch, and for each bucket of words.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 24 << 20
 BUCKET_BYTES = 4 << 20
+#: Partitions of buckets, where the session asks for fewer; the lattice is many times what is read, so they stay small.
+PARTITIONS = 2048
 _CUT = re.compile(f"[\n\t]|{SPACE}*[^{SPACE}\n\t]+|{SPACE}+")
 
 
@@ -447,7 +449,8 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
     buckets = max(1, batches * batch_bytes // bucket_bytes)
     id_type = docs.schema[id_col].dataType
     texts = docs.select(id_col, text_col).mapInArrow(_dealt(batches), f"batch int, id {id_type.simpleString()}, raw binary")
-    asked = texts.groupBy("batch").applyInArrow(_asked(buckets, pieces.dummy_prefix), "bucket int, words string").repartition("bucket")
+    asked = texts.groupBy("batch").applyInArrow(_asked(buckets, pieces.dummy_prefix), "bucket int, words string")
+    asked = asked.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, PARTITIONS)), "bucket")
     words = asked.select("bucket", F.explode(F.slice(F.split("words", " "), F.lit(2), F.size(F.split("words", " ")))).alias("word"))
     # All of this stays within the buckets.
     folded = fold(lattice(words.where(F.length("word") <= LONGEST).distinct(), pieces), pieces)
