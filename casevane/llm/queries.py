@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, dialogue, langid, neardup, orderhash, packing, quality, repeats, spiece, tokens, toxicity, urlfilter
+from . import audit, dialogue, langid, mixing, neardup, orderhash, packing, quality, repeats, spiece, tokens, toxicity, urlfilter
 from .common import table
 
 
@@ -63,9 +63,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_filter_audit": audit.ORACLE}
+    return {"op11_filter_audit": audit.ORACLE, "op13_source_mixing": mixing.ORACLE}
