@@ -1,7 +1,8 @@
 """Near-duplicate documents by an inverted join over signature coordinates.
 
 1. *Signatures.* Each text gives the set of its 5-word shingles (64-bit hashes) and, for each of ``COORDINATES`` hash
-   functions, the least hash.  Texts with equal sets are one class, represented by its smallest id.
+   functions, the least hash.  Texts with equal sets are one class with a number of its own; ids come back at the end, so
+   two texts under one id stay two classes until their links are known.
 2. *Postings.* A class is posted under its (coordinate, value) pairs.  Two sets at the similarity limit agree in 0.85
    of the coordinates on average; fewer than ``MATCHES`` agreements of 64 have a chance of 3 in a million there, and
    less above.  So the join counts collisions up to ``MATCHES``: with postings in one global order, rarest first, two
@@ -16,8 +17,9 @@
 5. Components of the links by alternating large-star and small-star steps; all tables stay distributed.
 
 Edge cases: words are bytes between 0x20 and 0x09-0x0D, A-Z lower-cased; with fewer than five words the whole sequence
-is the one shingle; null and blank texts have no shingle and are alone; rows with equal ids count as one document;
-null ids count as one document with the largest id (its component id is null if nothing smaller is linked); very long
+is the one shingle; null and blank texts have no shingle and are alone; rows with equal ids count as one document,
+linked with whatever any of their texts is linked with (a blank text of that id stays alone, as every blank text); null
+ids count as one document with the largest id (its component id is null if nothing smaller is linked); very long
 texts are taken whole, their signature in slices; repeated rows are one document with as many rows in the result; an
 empty table gives an empty table; columns of other names are not read, whatever they are called.
 """
@@ -98,6 +100,13 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def class_key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that equal sets share."""
+    if not len(s):
+        return 0, 0
+    return int(s.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(s * _STEP ^ (s >> np.uint64(17))).view(np.int64))
+
+
 def _slices(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         for a in range(0, rows.num_rows, size):
@@ -108,20 +117,27 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tags = np.arange(COORDINATES, dtype=np.int64) << 32
     for rows in _slices(batches):
         out = ([], [], [], [])
-        for text in rows.column(1):
+        for text in rows.column(2):
             s = shingles(text.as_py())
             out[0].append(len(s))
-            out[1].append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-            out[2].append(int(np.bitwise_xor.reduce(s * _STEP ^ (s >> np.uint64(17))).view(np.int64)) if len(s) else 0)
+            for column, k in zip(out[1:3], class_key(s), strict=True):
+                column.append(k)
             out[3].append((signature(s).astype(np.int64) | tags) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0), *(pa.array(v, pa.int64()) for v in out[:3]), pa.array(out[3], pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "tokens"]
+            [rows.column(0), rows.column(1), *(pa.array(v, pa.int64()) for v in out[:3]), pa.array(out[3], pa.list_(pa.int64()))], names=["id", "print", "n", "k1", "k2", "tokens"]
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, k1, k2, text -> the set of each node; a text whose fingerprint is only like the node's gives nothing."""
     for rows in _slices(batches):
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([shingles(t.as_py()).tobytes() for t in rows.column(1)], pa.binary())], names=["node", "shingles"])
+        nodes, sets = [], []
+        for node, k1, k2, text in zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True):
+            s = shingles(text)
+            if class_key(s) == (k1, k2):
+                nodes.append(node)
+                sets.append(s.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
 
 class _Forest(dict):
@@ -208,10 +224,15 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def _groups(sketches: DataFrame) -> DataFrame:
+def _classes(sketches: DataFrame) -> DataFrame:
+    """``node, k1, k2, id, print``: a number for each different set, its least id and the fingerprint of a text of that id."""
+    one = sketches.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("id", "print")).alias("m"))
+    return _checked(one.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "m.id", "m.print"))
+
+
+def _groups(sketches: DataFrame, classes: DataFrame) -> DataFrame:
     """``leader, node, n``: the members of every group that must be compared."""
-    classes = sketches.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"))
-    nodes = sketches.join(classes, ["k1", "k2", "id"]).select(F.col("id").alias("node"), "n", "tokens").dropDuplicates(["node", "n"])
+    nodes = sketches.join(classes, ["k1", "k2", "id", "print"]).select("node", "n", "tokens").dropDuplicates(["node"])
     postings = nodes.select("node", "n", F.explode("tokens").alias("token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     posted = postings.join(shared, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("p"), F.sum(F.log2("df")).alias("score"))
@@ -227,14 +248,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """``id_col, n_shingles, component_id, kept`` of every row."""
     ensure_checkpoint_dir(docs.sparkSession)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LARGEST))
-    texts = docs.select(key.alias("id"), F.col(text_col).alias("text"))
-    sketches = _checked(texts.mapInArrow(_sketch, "id long, n long, k1 long, k2 long, tokens array<long>"))
-    groups = _checked(_groups(sketches))
+    texts = docs.select(key.alias("id"), F.xxhash64(F.col(text_col)).alias("print"), F.col(text_col).alias("text"))
+    sketches = _checked(texts.mapInArrow(_sketch, "id long, print long, n long, k1 long, k2 long, tokens array<long>"))
+    classes = _classes(sketches)
+    groups = _checked(_groups(sketches, classes))
 
     sizes = groups.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
     members = groups.join(sizes, "leader").withColumn("c", F.when(F.col("node") == F.col("leader"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))
     members = _checked(members)
-    sets = _checked(texts.join(groups.select(F.col("node").alias("id")).distinct(), "id").mapInArrow(_sets, "node long, shingles binary").distinct())
+    of_interest = classes.join(groups.select("node").distinct(), "node")
+    sets = _checked(texts.join(of_interest, ["id", "print"]).select("node", "k1", "k2", "text").mapInArrow(_sets, "node long, shingles binary").distinct())
 
     def links(parts: DataFrame) -> DataFrame:
         """parts: leader, c1, c2, node, n, label, side."""
@@ -245,8 +268,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     at_home = members.withColumn("c1", F.explode(F.when(F.col("c") < 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("c"))))
     found = _checked(links(at_home.select("leader", "c1", F.col("c1").alias("c2"), "node", "n", F.col("node").alias("label"), F.lit(0).alias("side"))))
     # An id with several texts is one document.
-    classes = sketches.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("node"))
-    own = sketches.select("id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
+    own = sketches.select("id", "n", "k1", "k2").join(classes.select("node", "k1", "k2", F.col("id").alias("least")), ["k1", "k2"], "left")
     several = own.groupBy("id").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top")
     found = found.union(own.join(several, "id").where("node <> b").select(F.col("node").alias("a"), "b"))
     roots = components(found)
@@ -276,8 +298,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         more = _checked(links(parts))
         roots = components(found.union(more))
 
-    out = own.join(roots, "node", "left")  # the class of each document, then its component
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("root", "node", "id"))
+    # The least id of each component, from its classes.
+    linked = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    least = linked.join(classes.select("node", "id"), "node").groupBy("root").agg(F.min("id").alias("comp_id"))
+    out = own.join(linked.join(least, "root").select("node", "comp_id"), "node", "left")  # the class of each document, then its component
+    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("comp_id", "least", "id"))
     back = lambda c: F.when(c != LARGEST, c)
     return out.withColumn("comp", component).select(
         back(F.col("id")).cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), back(F.col("comp")).alias("component_id"), (F.col("id") == F.col("comp")).alias("kept")
@@ -285,7 +310,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of one document of each component."""
+    """The rows of one document of each component: all rows whose id is the component's least."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LARGEST)).alias("key")
     kept = near_duplicates(docs, id_col=id_col, text_col=text_col).where("kept").select(key)
     rows = docs.select(key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # no name of theirs meets one of ours

@@ -57,6 +57,23 @@ def test_against_brute_force(spark, monkeypatch, seed, chunk):
     assert sorted(got, key=order) == sorted(brute(rows), key=order)
 
 
+def told(rows):
+    return sorted((tuple(x) for x in rows), key=repr)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_several_texts_under_one_id(spark, seed):
+    """Repeated and null ids with different texts of equal set size: every link is found."""
+    r = random.Random(seed)
+    a, b, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abd")
+    rows = [(1, a + " zz"), (2, b + " yy"), (5, a), (5, b), (7, d), (None, d + " x"), (None, "w " + a), (8, "one two"), (8, "two one"), (9, "two one"), (5, ""), (4, None)]
+    rows += [(r.randint(20, 30), " ".join([k + str(i) for i in range(56)] + [f"e{j}" for j in range(4)])) for k in "pqrs" for j in range(3)]
+    r.shuffle(rows)
+    assert told(neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()) == told(brute(rows))
+    kept = neardup.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert told(kept) == told(x for x, y in zip(rows, brute(rows)) if x[0] in {z[0] for z in brute(rows) if z[3]})
+
+
 @pytest.mark.parametrize("both,union", [(6, 7), (17, 20), (85, 100), (340, 400)])
 def test_recall_of_the_signature_filter(both, union):
     """Pairs exactly at the limit or just over it: the share whose signatures agree in fewer than MATCHES coordinates."""
