@@ -2,7 +2,8 @@
 
 Two histograms are taken of each text: its characters by class, and its words by membership in a list of common
 words (one bin each, one for all others).  The references are the same histograms summed over all texts of each
-language.  A text is kept if, for the nearest language, the Jensen-Shannon distance of both histograms stays below its
+language, to which ``PRIOR_CHARACTERS`` and ``PRIOR_WORDS`` shares of the whole table are added: a language of few texts has
+a reference near that of the table, which becomes its own as texts are added, without a switch.  A text is kept if, for the nearest language, the Jensen-Shannon distance of both histograms stays below its
 limit; texts under ``CLASS_WORDS`` or ``COMMON_WORDS`` words are not judged by the respective histogram, since short
 texts lie far from any reference by chance.
 
@@ -10,7 +11,7 @@ DataFrame functions only.  The counts are written once (``checkpoint``), since t
 the first verdict.
 
 Edge cases: null text has no words and fails the base rule; null ``lang`` counts towards no reference; with no language
-that has ``REFERENCE_TEXTS`` texts, only the base rule decides; a null id is carried through; repeated rows are each
+that has a text which passes the base rule, that rule alone decides; a null id is carried through; repeated rows are each
 judged (equal rows alike) and each counts towards the references; very long texts are judged whole inside their row;
 an empty table gives an empty table; columns of other names are not read, whatever they are called.
 """
@@ -32,7 +33,8 @@ COMMON = (
     "el y los se del las por con una para"  # Spanish
 ).split()
 
-REFERENCE_TEXTS = 20
+PRIOR_CHARACTERS = 10_000
+PRIOR_WORDS = 2_000
 CLASS_WORDS = 50
 COMMON_WORDS = 150
 CLASS_LIMIT = 0.30
@@ -118,15 +120,21 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def references(counted: DataFrame) -> list[dict[str, list[float]]]:
-    """Both histograms of each language with enough texts: a row per language, all of them."""
-    n_classes, n_common = 6, len(COMMON) + 1
-    sums = [F.sum(F.get("_classes", F.lit(i))).alias(f"c{i}") for i in range(n_classes)] + [F.sum(F.get("_common", F.lit(i))).alias(f"w{i}") for i in range(n_common)]
-    rows = counted.where("_lang is not null and not base_failed").groupBy("_lang").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= REFERENCE_TEXTS).orderBy("_lang").collect()
-    out = []
-    for r in rows:
-        both = {p: [r[f"{p}{i}"] for i in range(k)] for p, k in (("c", n_classes), ("w", n_common))}
-        out.append({p: [x / max(1.0, sum(h)) for x in h] for p, h in both.items()})
-    return out
+    """Both histograms of each language, smoothed by those of the table: a row per language, all of them."""
+    kinds = {"c": (6, PRIOR_CHARACTERS), "w": (len(COMMON) + 1, PRIOR_WORDS)}
+    columns = {"c": "_classes", "w": "_common"}
+    sums = [F.sum(F.get(columns[p], F.lit(i))).alias(f"{p}{i}") for p, (k, _) in kinds.items() for i in range(k)]
+    rows = counted.where("_lang is not null and not base_failed").groupBy("_lang").agg(*sums).orderBy("_lang").collect()
+    out = [{p: [r[f"{p}{i}"] for i in range(k)] for p, (k, _) in kinds.items()} for r in rows]
+    table = {p: [sum(h[p][i] for h in out) for i in range(k)] for p, (k, _) in kinds.items()}
+    return [{p: smoothed(h[p], table[p], prior) for p, (_, prior) in kinds.items()} for h in out]
+
+
+def smoothed(own: list[float], table: list[float], prior: float) -> list[float]:
+    """Shares of a histogram to which ``prior`` units are added as the table has them."""
+    total = max(1.0, sum(table))
+    mixed = [x + prior * t / total for x, t in zip(own, table, strict=True)]
+    return [x / max(1.0, sum(mixed)) for x in mixed]
 
 
 def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -53,7 +53,9 @@ def test_against_plain_version(spark):
             c, w = histograms(words)
             n, cs, ws = refs.get(lang, (0, [0] * len(c), [0] * len(w)))
             refs[lang] = (n + 1, [x + y for x, y in zip(cs, c)], [x + y for x, y in zip(ws, w)])
-    refs = [(share(c), share(w)) for n, c, w in refs.values() if n >= Q.REFERENCE_TEXTS]
+    add = lambda h, hs, k: [x + k * t / sum(map(sum, hs)) for x, t in zip(h, map(sum, zip(*hs)))]
+    both = list(zip(*((c, w) for _, c, w in refs.values())))
+    refs = [(share(add(c, both[0], Q.PRIOR_CHARACTERS)), share(add(w, both[1], Q.PRIOR_WORDS))) for _, c, w in refs.values()]
     assert len(refs) == 2
     want = []
     for i, t, _ in rows:
@@ -70,7 +72,7 @@ def test_against_plain_version(spark):
 
 def test_every_language_has_a_reference(spark):
     """70 languages, each with its own characters and words: a text near the last of them is kept."""
-    rows = [(i, " ".join(f"{chr(0x4E00 + i % 70)}w{k}" for k in range(60)), f"l{i % 70:02}") for i in range(70 * Q.REFERENCE_TEXTS)]
+    rows = [(i, " ".join(f"{chr(0x4E00 + i % 70)}w{k}" for k in range(60)), f"l{i % 70:02}") for i in range(1400)]
     rows += [(9000, "# " * 200, None), (None, rows[69][1], None), (9001, " ".join(f"a{k}" for k in range(30_000)), None)]
     got = Q.quality_report(spark.createDataFrame([(*x, 1, "t") for x in rows], "doc_id long, text string, lang string, _words int, _text string")).collect()
     assert len(got) == len(rows) and sum(x.kept for x in got) >= 1400
@@ -80,6 +82,19 @@ def test_every_language_has_a_reference(spark):
     assert len(Q.references(counted)) == 70
 
 
+def test_rare_languages_have_a_reference_too(spark):
+    """From one text on, a language moves its reference smoothly from the table's to its own."""
+    row = lambda lang, a: (lang, False, [a, 0.0, 0.0, 0.0, 0.0, 1000.0 - a], [1.0] * (len(Q.COMMON) + 1))
+    shares = []
+    for n in (1, 2, 19, 20, 21, 400):
+        rows = [row("many", 900.0)] * 500 + [row("rare", 100.0)] * n
+        refs = Q.references(spark.createDataFrame(rows, "_lang string, base_failed boolean, _classes array<double>, _common array<double>"))
+        assert len(refs) == 2 and all(abs(sum(r["c"]) - 1) < 1e-9 for r in refs)
+        shares.append(refs[1]["c"][0])
+    assert shares == sorted(shares, reverse=True) and shares[0] > 0.8 and shares[-1] < 0.13
+    assert shares[2] - shares[4] < 0.02  # no step at 20
+
+
 def test_empty_and_native(spark):
     assert Q.quality_report(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
     df = Q.quality_report(spark.createDataFrame([(1, "a b", "en")], "doc_id long, text string, lang string"))
