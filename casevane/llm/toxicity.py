@@ -6,7 +6,8 @@ sample of labelled rows outside the evaluation fold (``SAMPLE_TOXIC`` and ``SAMP
 the text, and whole texts.
 
 Edge cases: null and empty texts are scored like any other (no hit, so a low score); without labelled rows of both
-kinds every score is 0; very long texts are scored whole, one after another; a row with a null id is scored like any
+kinds every score is 0; from one of each kind on a model is fitted with what there is, however rough (an entry of a
+lexicon needs ``LEAST_TEXTS`` toxic texts, so a few texts give base rates); very long texts are scored whole, one after another; a row with a null id is scored like any
 other and never learned from or held out; repeated rows are scored each, equal rows equally, and learned once; an
 empty table gives an empty table; columns of other names are not read, and their names may clash with any name used
 here.
@@ -216,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = texts.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("t").alias("t"))  # broadcast and rows: the two samples
     got = sorted((r["id"], r["y"], r["t"]) for r in rows.collect())
     toxic = np.array([y for _, y, _ in got], float)
-    if toxic.sum() < 2 * LEAST_TEXTS or (1 - toxic).sum() < 2 * LEAST_TEXTS:
+    if not toxic.any() or toxic.all():
         return None
     return Model([t for *_, t in got], toxic.astype(int))
 

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from casevane.llm import langid, sampling, toxicity
 
@@ -74,6 +75,20 @@ def test_toxicity(spark):
     assert [x.score for x in none] == [0.0] * 3
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 11, 12, 13])
+def test_toxicity_of_few_labels(spark, n):
+    """From one label of each kind on, a model is fitted; scores are probabilities and rank toxic texts higher once there are words to learn."""
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = [(i, f"you vile grubworm {k} go away {i}" if k % 2 else f"a calm note {i} on rivers and {k} stones", k % 2) for k, i in enumerate(ids[: 2 * n])]
+    frame = spark.createDataFrame([d[:2] for d in docs] + [(5000, None), (5001, "a calm note on rivers"), (5002, "you vile grubworm go")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in docs], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity_report(frame, labels).collect()}
+    assert len(got) == 2 * n + 3 and all(0 <= r.score <= 1 for r in got.values())
+    assert got[5002].score >= got[5001].score > 0
+    assert toxicity.train(frame, labels.where("toxic = 1")) is None
+    assert all(r.score == 0 for r in toxicity.toxicity_report(frame, labels.where("toxic = 0")).collect())
+
+
 def test_isotonic_is_monotone():
     r = np.random.default_rng(1)
     m = r.normal(size=300)
