@@ -67,7 +67,7 @@ FAMILIES = (
         ),
     ),
     (
-        "procesal",
+        "procedimental",
         "procedural_cause",
         (
             r"\bpor que\b[^?]{0,70}\b(se llego|llegaron|llego|se profirio|se dicto|se tomo|se decidio|se presento|se interpuso|se origino|se causo|se tramito)\b",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 c = F.col
 
 
@@ -15,17 +17,20 @@ def _review(kind: str, ident: Column, action: str, before: Column, after: Column
 def correct_texts(rows: DataFrame, fixes: DataFrame, keys: list[str], kind: str, text: str = "text", confidence: str = "confidence") -> tuple[DataFrame, DataFrame]:
     """Pages or transcript segments with corrected text, and their reviews.
 
-    fixes: keys, new_text, reason, made_at; the last fix of a key wins, blank ones are refused.  A corrected row has
-    confidence 1 and needs no review; a fix that changes nothing leaves no trace.
+    fixes: keys, new_text, reason, made_at; the last fix of a key wins (of fixes made at one time the greatest text), blank
+    ones are refused.  A corrected row has confidence 1 and needs no review; a fix that changes nothing leaves no trace.
+    Rows that were corrected before stay marked, if the table has the column ``human_corrected``.
     """
-    last = fixes.filter(F.trim("new_text") != "").groupBy(*keys).agg(F.max_by(F.struct("new_text", "reason"), "made_at").alias("f"))
+    latest = F.max(F.struct("made_at", "new_text", "reason"))
+    last = fixes.filter(F.trim("new_text") != "").groupBy(*keys).agg(latest.alias("f"))
+    before = F.coalesce("human_corrected", F.lit(False)) if "human_corrected" in rows.columns else F.lit(False)
     both = rows.join(last, keys, "left").withColumn("hit", F.coalesce(c("f.new_text") != c(text), F.lit(False)))
     own = [x for x in rows.columns if x not in (text, confidence, "human_corrected", "needs_review")]
     fixed = both.select(
         *own,
         F.when(c("hit"), c("f.new_text")).otherwise(c(text)).alias(text),
         F.when(c("hit"), 1.0).otherwise(c(confidence)).alias(confidence),
-        c("hit").alias("human_corrected"),
+        (c("hit") | before).alias("human_corrected"),
     )
     ident = F.concat_ws(":", *[c(k).cast("string") for k in keys])
     reviews = both.filter("hit").select(*_review(kind, ident, "correct", c(text), c("f.new_text"), c("f.reason")))
@@ -46,15 +51,19 @@ def rename_speakers(speakers: DataFrame, names: DataFrame) -> tuple[DataFrame, D
 def merge_speakers(segments: DataFrame, speakers: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Segments on the speaker that stays, the speakers left, and reviews.
 
-    merges: media_id, keep_id, drop_id, within one medium; chains (a into b, b into c) are followed by as many joins as
-    they are long.  A speaker can't be merged into itself.
+    merges: media_id, keep_id, drop_id, within one medium; of several merges of one speaker the one into the least id counts.
+    Chains (a into b, b into c) are followed by doubling, in a number of steps that is the logarithm of their length at
+    most, each written once.  Of speakers merged in a circle the least id stays.  A speaker can't be merged into itself.
     """
     step = merges.filter("keep_id <> drop_id").groupBy("media_id", "drop_id").agg(F.min("keep_id").alias("keep_id"))
-    while True:
-        following = step.select("media_id", c("drop_id").alias("keep_id"), c("keep_id").alias("later"))
-        if not step.join(following, ["media_id", "keep_id"], "left_semi").limit(1).count():
+    step = cut(step.withColumn("least", F.col("drop_id")))  # the least of the speakers passed on the way
+    following = lambda: step.select("media_id", c("drop_id").alias("keep_id"), c("keep_id").alias("later"), c("least").alias("later_least"))
+    for _ in range(step.count().bit_length() + 1):
+        if not step.join(following(), ["media_id", "keep_id"], "left_semi").limit(1).count():
             break
-        step = step.join(following, ["media_id", "keep_id"], "left").select("media_id", "drop_id", F.coalesce("later", "keep_id").alias("keep_id")).filter("keep_id <> drop_id")
+        step = cut(step.join(following(), ["media_id", "keep_id"], "left").select("media_id", "drop_id", F.coalesce("later", "keep_id").alias("keep_id"), F.least("least", "later_least").alias("least")))
+    # What still leads to a merged speaker leads into a circle.
+    step = step.join(following(), ["media_id", "keep_id"], "left").select("media_id", "drop_id", F.coalesce("later_least", "keep_id").alias("keep_id")).filter("keep_id <> drop_id")
     gone = step.withColumnRenamed("drop_id", "speaker_id")
     moved = segments.join(gone, ["media_id", "speaker_id"], "left").withColumn("speaker_id", F.coalesce("keep_id", "speaker_id")).drop("keep_id")
     left = speakers.join(gone, ["media_id", "speaker_id"], "left_anti")

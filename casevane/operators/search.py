@@ -182,6 +182,7 @@ TESTIMONY = (
     "testigo testigos testimonio testimonios declaracion declaraciones declaro declararon audiencia audiencias hablante hablantes intervencion intervenciones intervino"
     " intervinieron video videos audio audios grabacion grabaciones transcripcion transcripciones minuto minutos dijo dijeron hablo hablaron"
 ).split()
+# Fixed value: what a proper noun is.
 PROPER = r"\b[A-ZÁÉÍÓÚÜÑ][a-záéíóúüñ]{2,}(?:\s+[A-ZÁÉÍÓÚÜÑ][a-záéíóúüñ]{2,})*\b"
 
 

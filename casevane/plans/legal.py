@@ -236,7 +236,7 @@ _ASKED = (
     "Corrige el nombre del testigo|¿Dónde aparece el pagaré 001?|¿Cuántos testigos declararon?|¿Por qué se llegó a la sentencia?|Compara las versiones|¿Qué pagarés se firmaron?|Resume este documento"
     "|¿Cuál es el monto?|¿Dónde está la contradicción?|Localiza la fecha|documentos y audiencias del lunes|Corrige mi duda|¿Quién es el perito de las audiencias y pruebas?|¿Dónde aparece la nulidad?"
 )
-_INTENTS = "correccion|navegar|agregacion|procesal|analisis|analisis|lectura|dato|analisis|dato|analisis|dato|dato|navegar"
+_INTENTS = "correccion|navegar|agregacion|procedimental|analisis|analisis|lectura|dato|analisis|dato|analisis|dato|dato|navegar"
 _SURE = "0.9|0.9|0.9|0.9|0.9|0.85|0.9|0.45|0.9|0.45|0.8|0.45|0.45|0.62"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import search
+from ..operators import ranking, search
 from ..operators.common import cut
 from . import duck as D
 from .registry import Tables, query
@@ -35,8 +35,7 @@ def doc_sets(t: Tables, ids):
 
 
 def lexical(t: Tables, k: int = 20):
-    s = search.bm25(t.documents, terms_of(t), "doc_id")
-    return search.ranked(s, "query_id", "doc_id", k, 6)
+    return ranking.bm25_top_k(t.documents, terms_of(t), "doc_id", k)
 
 
 @query("x1_postings", f"WITH {POSTINGS} SELECT post.doc_id, term, tf, CAST(size AS BIGINT) AS size FROM post JOIN size USING(doc_id)")
@@ -49,6 +48,58 @@ def _(t: Tables):
     return lexical(t, 10).select("query_id", "doc_id", c("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
+#: Words with their places, and the places of indexed stems; short questions are the first three content stems of an item.
+PLACES = (
+    f"word AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w,1) AS p FROM (SELECT doc_id, list_transform({D.raw('text', 1)}, lambda t: {D.fold('t')}) AS w FROM documents)),"
+    f" place AS (SELECT doc_id, p, {D.stem('w')} AS term FROM word WHERE length(w)>=3 AND NOT list_contains({D.words([*T.STOP_WORDS, *T.QUESTION_WORDS])},w))"
+)
+SHORT = (
+    f"ordered AS (SELECT item_id AS query_id, list_transform({D.ordered_terms('text')}, lambda w: {D.stem('w')}) AS o FROM benchmark),"
+    " three AS (SELECT DISTINCT query_id, (list_filter(o, lambda t, i: list_position(o, t) = i))[1:3] AS s FROM ordered), short AS (SELECT query_id, unnest(s) AS term, generate_subscripts(s,1)-1 AS grp FROM three)"
+)
+
+
+def short_questions(t: Tables):
+    s = F.slice(T.content_set(c("text")), 1, 3)
+    return t.benchmark.select(c("item_id").alias("query_id"), F.posexplode(s).alias("grp", "term"))
+
+
+def _ten(scored):
+    return search.ranked(scored, "query_id", "doc_id", 10).select("query_id", "doc_id", c("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+_TEN = "r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score,9) DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, rank, round(score,6) AS score FROM r WHERE rank<=10"
+
+
+@query(
+    "x4_plain_rank",
+    f"WITH {PLACES}, {QUERIES_SQL}, n AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1), w AS (SELECT doc_id, term, 0.1::DOUBLE*list_sum(list_transform(range(1,count(*)+1), lambda j: 1.0::DOUBLE/(j*j)))/1.64493406685::DOUBLE AS w FROM place GROUP BY doc_id, term),"
+    f" s AS (SELECT query_id, doc_id, sum(w)/any_value(n) AS score FROM q JOIN w USING(term) JOIN n USING(query_id) GROUP BY 1,2), {_TEN}",
+)
+def _(t: Tables):
+    return _ten(ranking.plain_rank(t.documents, terms_of(t), "doc_id"))
+
+
+@query("x3_density_of_any", f"WITH {PLACES}, {QUERIES_SQL}, s AS (SELECT query_id, doc_id, 0.1::DOUBLE*count(*) AS score FROM q JOIN place USING(term) GROUP BY 1,2), {_TEN}")
+def _(t: Tables):
+    return _ten(ranking.density_of_any(t.documents, terms_of(t), "doc_id"))
+
+
+@query(
+    "x3_density_of_all",  # covers by definition: intervals with all terms that lose one when an end moves in
+    f"WITH {PLACES}, {SHORT}, h AS (SELECT query_id, doc_id, p, grp FROM short JOIN place USING(term)), g AS (SELECT query_id, count(DISTINCT term) AS n FROM short GROUP BY 1),"
+    " full_docs AS (SELECT query_id, doc_id FROM h JOIN g USING(query_id) GROUP BY 1,2 HAVING count(DISTINCT grp)=any_value(n)),"
+    " ends AS (SELECT DISTINCT query_id, doc_id, p FROM h SEMI JOIN full_docs USING(query_id, doc_id)),"
+    " upto AS (SELECT e.query_id, e.doc_id, e.p AS q, h.grp, max(h.p) AS last FROM ends e JOIN h ON h.query_id=e.query_id AND h.doc_id=e.doc_id AND h.p<=e.p GROUP BY ALL),"
+    " spans AS (SELECT u.query_id, doc_id, q, min(last) AS b FROM upto u JOIN g USING(query_id) GROUP BY u.query_id, doc_id, q HAVING count(*)=any_value(n)),"
+    " covers AS (SELECT query_id, doc_id, b, min(q) AS q FROM spans GROUP BY ALL),"
+    " inside AS (SELECT c.query_id, c.doc_id, c.b, c.q, count(DISTINCT e.p) AS n FROM covers c JOIN ends e ON e.query_id=c.query_id AND e.doc_id=c.doc_id AND e.p BETWEEN c.b AND c.q GROUP BY ALL),"
+    f" s AS (SELECT query_id, doc_id, sum(0.1::DOUBLE/(1+(q-b)-(n-1))) AS score FROM inside GROUP BY 1,2), {_TEN}",
+)
+def _(t: Tables):
+    return _ten(ranking.density_of_all(t.documents, short_questions(t), "doc_id"))
+
+
 @query("x6_vector_top_k", "SELECT query_id, vec_id, score FROM (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[],b.embedding::DOUBLE[]),9) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[],b.embedding::DOUBLE[]),9) DESC, b.vec_id) AS rn FROM embeddings a, embeddings b WHERE a.vec_id%100=0) WHERE rn<=5")
 def _(t: Tables):
     q = t.embeddings.filter(c("vec_id") % 100 == 0).select(c("vec_id").alias("query_id"), "embedding")
@@ -114,8 +165,9 @@ _HAVE = " UNION ".join(f"SELECT DISTINCT unnest({D.stems(x)}) AS term FROM {tabl
 def coverage(t: Tables):
     of = lambda df, text: df.select(F.explode(T.content_set(c(text))).alias("term"))
     have = reduce(lambda a, b: a.union(b), [of(t.conversations, "text"), of(t.part, "p_name"), of(t.supplier, "s_name"), of(t.customer, "c_name"), of(t.pages, "url"), of(t.nation, "n_name")])
-    have = have.distinct().withColumn("hit", F.lit(1))
-    return terms_of(t).join(have, "term", "left").groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 6).alias("coverage"))
+    asked = terms_of(t)
+    have = have.join(asked.select("term").distinct(), "term", "left_semi").distinct().withColumn("hit", F.lit(1))  # few terms are asked for
+    return asked.join(have, "term", "left").groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 6).alias("coverage"))
 
 
 @query(

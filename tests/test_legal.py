@@ -226,3 +226,23 @@ def test_packages(spark, tmp_path):
     files = spark.createDataFrame([("007 - acta.pdf",), ("acta.pdf",)], "name string")
     index = spark.createDataFrame([("7. Acta", "x")], "title string, e string")
     assert [r.e for r in packages.match_index(files, index, "name", "title").collect()] == ["x"]
+
+
+def test_speakers_merged_in_circles_and_chains(spark):
+    merges = [(1, b, a) for a, b in ["ab", "ba"]] + [(2, b, a) for a, b in ["ab", "bc", "ca", "xa", "yx"]] + [(3, f"s{i + 1:02}", f"s{i:02}") for i in range(20)] + [(4, "a", "a"), (4, "z", "b"), (4, "c", "b")]
+    names = {(m, x) for m, k, d in merges for x in (k, d)}
+    segments = spark.createDataFrame([(m, x, f"{m}{x}") for m, x in names], "media_id int, speaker_id string, text string")
+    moved, left, reviews = corrections.merge_speakers(segments, segments.select("media_id", "speaker_id"), spark.createDataFrame(merges, "media_id int, keep_id string, drop_id string"))
+    got = {(r.media_id, r.text[1:]): r.speaker_id for r in moved.collect()}
+    assert {x for k, x in got.items() if k[0] == 1} == {"a"} and {x for k, x in got.items() if k[0] == 2} == {"a"}
+    assert {x for k, x in got.items() if k[0] == 3} == {"s20"}
+    assert (got[4, "a"], got[4, "b"], got[4, "c"], got[4, "z"]) == ("a", "c", "c", "z")
+    assert {tuple(r) for r in left.collect()} == {(1, "a"), (2, "a"), (3, "s20"), (4, "a"), (4, "c"), (4, "z")}
+    assert reviews.count() == len(names) - 6
+
+
+def test_earlier_corrections_stay_marked(spark):
+    pages = spark.createDataFrame([(1, "old", 0.5, True), (2, "old", 0.5, False), (3, "old", 0.5, None)], "id int, text string, confidence double, human_corrected boolean")
+    fixes = spark.createDataFrame([(2, "b", "r", 1), (2, "a", "r", 1), (3, "old", "same", 1)], "id int, new_text string, reason string, made_at int")
+    got = {r.id: (r.text, r.human_corrected) for r in corrections.correct_texts(pages, fixes, ["id"], "page")[0].collect()}
+    assert got == {1: ("old", True), 2: ("b", True), 3: ("old", False)}
