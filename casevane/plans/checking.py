@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import integrity as I  # noqa: E741
-from ..operators import search
+from ..operators import search, voices
 from . import duck as D
 from .registry import Tables, query
 
@@ -66,6 +66,54 @@ def _(t: Tables):
     return knn(t).select("query_id", F.when(c("margin") >= 0.15, c("label")).otherwise(-1).alias("label"))
 
 
+#: A user's questions: documents with a vector, by source.  Rules answer with the user's most frequent label; good documents weigh more.
+_ASKED = (
+    "asked AS (SELECT source AS user_id, vec_id AS id, md5(text) AS hash, e.embedding::DOUBLE[] AS v, label AS truth, CASE WHEN l.quality=1 THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END AS weight FROM embeddings e JOIN documents d ON d.doc_id=e.vec_id LEFT JOIN labels l ON l.doc_id=e.vec_id),"
+    " freq AS (SELECT user_id, truth, count(*) AS n FROM asked GROUP BY 1,2), rule AS (SELECT user_id, arg_max(truth, (n, -truth)) AS rule FROM freq GROUP BY 1)"
+)
+
+
+def asked_questions(t: Tables):
+    x = t.embeddings.join(t.documents.select(c("doc_id").alias("vec_id"), "source", F.md5("text").alias("hash")), "vec_id").join(t.labels.select(c("doc_id").alias("vec_id"), "quality"), "vec_id", "left")
+    x = x.select(c("source").alias("user_id"), c("vec_id").alias("id"), "hash", c("embedding").alias("vector"), c("label").alias("truth"), F.when(c("quality") == 1, 1.0).otherwise(0.4).alias("weight"))
+    freq = x.groupBy("user_id", "truth").agg(F.count("*").alias("n"))
+    return x.join(freq.groupBy("user_id").agg(F.max_by("truth", F.struct("n", -c("truth"))).alias("rule")), "user_id")
+
+
+def profile_answers(t: Tables):
+    x = asked_questions(t)
+    known = x.select("user_id", "hash", "vector", c("truth").alias("label"), "weight", c("id").alias("made_at"))
+    return voices.without_itself(x.withColumn("guarded", c("hash").startswith("0")), known, user="user_id", least=0.2)
+
+
+@query(
+    "k9_leave_one_out",  # neighbours from 0.2 on: no two vectors of these tables are as near as the usual 0.55
+    f"WITH {_ASKED}, ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY id DESC, hash, truth) AS rn FROM asked) WHERE rn<=200),"
+    " n AS (SELECT a.user_id, a.id, a.hash, a.truth, e.truth AS label, e.weight, round(list_cosine_similarity(a.v,e.v),9) AS s, row_number() OVER (PARTITION BY a.user_id, a.id ORDER BY round(list_cosine_similarity(a.v,e.v),9) DESC, e.hash, e.truth::VARCHAR) AS k FROM asked a JOIN ex e ON e.user_id=a.user_id AND e.hash<>a.hash),"
+    " v AS (SELECT user_id, id, label, round(sum(s*weight),9) AS score, count(*) AS used FROM n WHERE k<=12 AND s>=0.2 GROUP BY ALL),"
+    " b AS (SELECT *, sum(used) OVER (PARTITION BY user_id, id) AS all_used, row_number() OVER o AS p, coalesce(lead(score) OVER o,0) AS second FROM v WINDOW o AS (PARTITION BY user_id, id ORDER BY score DESC, label::VARCHAR)),"
+    " w AS (SELECT user_id, id, label FROM b WHERE p=1 AND all_used>=2 AND round((score-second)/score,4)>=0.15),"
+    " f AS (SELECT a.user_id, a.truth, r.rule, CASE WHEN a.hash LIKE '0%' THEN r.rule ELSE coalesce(w.label, r.rule) END AS said FROM asked a JOIN rule r USING(user_id) LEFT JOIN w ON w.user_id=a.user_id AND w.id=a.id)"
+    " SELECT user_id, count(*) AS judged, round(avg((rule=truth)::INT),4) AS rules_accuracy, round(avg((said=truth)::INT),4) AS profile_accuracy, count(*) FILTER (WHERE rule=0 AND truth<>0) AS fp_rules, count(*) FILTER (WHERE said=0 AND truth<>0) AS fp_profile FROM f GROUP BY 1",
+)
+def _(t: Tables):
+    return voices.profile_metrics(profile_answers(t), "0", "user_id")
+
+
+@query("c9_speaker_clusters")
+def _(t: Tables):
+    """Vectors as voices of recordings (sources); good documents are named by their language."""
+    x = t.embeddings.select(c("vec_id").alias("doc_id"), "embedding").join(t.documents.select("doc_id", "source", "lang"), "doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    x = x.select(c("source").alias("recording"), "doc_id", c("embedding").alias("vector"), F.when(c("quality") == 1, c("lang")).alias("name"))
+    return voices.speakers(x, 0.75, group="recording", key="doc_id")
+
+
+@query("c9_voices_without_names")
+def _(t: Tables):
+    x = t.embeddings.select(c("vec_id").alias("doc_id"), c("embedding").alias("vector")).join(t.documents.select("doc_id", c("source").alias("recording")), "doc_id")
+    return voices.average_linkage(x, 0.7, group="recording", key="doc_id")
+
+
 @query("k7_latest_verdict", "SELECT user_id, arg_max(event_type,(ts,event_id)) AS verdict FROM events GROUP BY 1 HAVING arg_max(event_type,(ts,event_id))<>'error'")
 def _(t: Tables):
     return t.events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("verdict")).filter("verdict <> 'error'")
