@@ -159,6 +159,15 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, key: str, k: int, query: str
     give the statistics.  A second pass scores each document where it lies and keeps k documents a query and task, so what
     is shuffled is queries * k * tasks rows, whatever the number of documents that share a frequent term.
     """
+    return _top_k(docs, queries, key, k, query, text, digits, block, True)
+
+
+def density_top_k(docs: DataFrame, queries: DataFrame, key: str, k: int, query: str = "query_id", text: str = "text", digits: int = 9, block: int = BLOCK) -> DataFrame:
+    """As ``bm25_top_k``, by the cover density of any term of the query."""
+    return _top_k(docs, queries, key, k, query, text, digits, block, False)
+
+
+def _top_k(docs: DataFrame, queries: DataFrame, key: str, k: int, query: str, text: str, digits: int, block: int, bm25: bool) -> DataFrame:
     asked = queries.select(query, "term").distinct()
     parts = max(1, -(-asked.select(query).distinct().count() // block))
     asked = asked.withColumn("_b", F.pmod(F.xxhash64(query), F.lit(parts)))
@@ -166,12 +175,12 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, key: str, k: int, query: str
         asked = cut(asked)
     got = None
     for b in range(parts):
-        one = _block_top_k(docs, asked.filter(F.col("_b") == b), key, k, query, text, digits)
+        one = _block_top_k(docs, asked.filter(F.col("_b") == b), key, k, query, text, digits, bm25)
         got = one if got is None else got.unionByName(one)
     return ranked(got, query, key, k, digits)
 
 
-def _block_top_k(docs: DataFrame, asked: DataFrame, key: str, k: int, query: str, text: str, digits: int) -> DataFrame:
+def _block_top_k(docs: DataFrame, asked: DataFrame, key: str, k: int, query: str, text: str, digits: int, bm25: bool) -> DataFrame:
     rows = asked.select(query, "term").collect()  # one block
     names, ids = sorted({r["term"] for r in rows}), sorted({r[query] for r in rows})
     number, place = {t: i for i, t in enumerate(names)}, {q: i for i, q in enumerate(ids)}
@@ -187,8 +196,9 @@ def _block_top_k(docs: DataFrame, asked: DataFrame, key: str, k: int, query: str
     own = cut(own.mapInArrow(_hits(terms, out), f"{key} long, size long, terms array<int>, counts array<int>"))
     total = own.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
     df = np.zeros(len(names))
-    for r in own.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row per term of the block
-        df[r["t"]] = r["count"]
+    if bm25:
+        for r in own.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row per term of the block
+            df[r["t"]] = r["count"]
     idf = np.log(1 + (total["n"] - df + 0.5) / (df + 0.5))
     mean, step = total["mean"] or 1.0, max(1, CELLS // max(1, len(ids)))
 
@@ -203,7 +213,7 @@ def _block_top_k(docs: DataFrame, asked: DataFrame, key: str, k: int, query: str
                 term = lists.flatten().to_numpy().astype(np.int64)
                 tf = part.column(3).flatten().to_numpy().astype(np.float64)
                 size = part.column(1).to_numpy()[doc]
-                worth = idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean)))
+                worth = idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))) if bm25 else WEIGHT * tf
                 times = spread[term]
                 within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 cell = np.repeat(doc, times) * len(ids) + flat[np.repeat(first[term], times) + within]

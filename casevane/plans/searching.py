@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import ranking, search
+from ..operators import ranking, resolution, search
 from ..operators.common import cut
 from . import duck as D
 from .registry import Tables, query
@@ -233,3 +233,59 @@ def _(t: Tables):
 @query("r10_evidence_dedupe", "SELECT text_key, min(doc_id) AS doc_id FROM (SELECT coalesce(nullif(md5(lower(text)),''), source) AS text_key, doc_id FROM documents) GROUP BY 1")
 def _(t: Tables):
     return t.documents.select(F.coalesce(F.nullif(F.md5(F.lower("text")), F.lit("")), "source").alias("text_key"), "doc_id").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
+
+
+def _posted(name: str, key: str, source: str) -> str:
+    return f"{name} AS (SELECT id, term, count(*) AS n FROM (SELECT {key} AS id, unnest({_ALL}) AS term FROM {source}) GROUP BY 1,2)"
+
+
+def _proves(x: str) -> str:
+    return f"len(list_filter(terms, lambda x: contains({x}.folded, x) OR list_contains({x}.known, {D.stem('x')}))) >= 2"
+
+
+#: Facts are turns of users, segments those of assistants, pages the documents.  A conversation with a system turn is proven and
+#: its facts cite the answer; elsewhere later turns have a position that cites it, and all are linked to the document of their number.
+_FACTS = (
+    f"{QUERIES_SQL}, nq AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1 HAVING count(*)>=2), sys AS (SELECT DISTINCT conv_id FROM conversations WHERE role='system'),"
+    " fact AS (SELECT conv_id*100+turn AS fact_id, conv_id, turn, text FROM conversations WHERE role='user'), seg AS (SELECT conv_id*100+turn AS id, conv_id, turn*10000 AS start_ms, text FROM conversations WHERE role='assistant'),"
+    f" {_posted('fp', 'fact_id', 'fact')}, {_posted('sp', 'id', 'seg')}, {_posted('dp', 'doc_id', 'documents')},"
+    " fw AS (SELECT id, term, 0.1::DOUBLE*list_sum(list_transform(range(1,n+1), lambda j: 1.0::DOUBLE/(j*j)))/1.64493406685::DOUBLE AS w FROM fp),"
+    " fs AS (SELECT query_id, id, sum(w)/any_value(nq.n) AS score FROM q JOIN nq USING(query_id) JOIN fw USING(term) GROUP BY 1,2),"
+    " fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,9) DESC, id) AS rank FROM fs),"
+    f" cand AS (SELECT query_id, fact_id, conv_id, turn, row_number() OVER (PARTITION BY query_id ORDER BY (conv_id NOT IN (FROM sys))::INT, rank) AS place, {D.ordered_terms('text')} AS terms FROM fr JOIN fact ON fact_id=id WHERE rank<=18),"
+    " ok AS MATERIALIZED (SELECT * FROM cand WHERE len(terms)>=2),"
+    f" dd AS MATERIALIZED (SELECT doc_id, {D.fold('text')} AS folded, {D.stems('text')} AS known FROM documents), gg AS MATERIALIZED (SELECT id, conv_id, start_ms, {D.fold('text')} AS folded, {D.stems('text')} AS known FROM seg),"
+    " ds AS MATERIALIZED (SELECT query_id, id, 0.1::DOUBLE*sum(dp.n) AS score FROM q JOIN nq USING(query_id) JOIN dp USING(term) GROUP BY 1,2), ss AS MATERIALIZED (SELECT query_id, id, 0.1::DOUBLE*sum(sp.n) AS score FROM q JOIN nq USING(query_id) JOIN sp USING(term) GROUP BY 1,2),"
+    " d8 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,9) DESC, id) AS r FROM ds) WHERE r<=8), s8 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,9) DESC, id) AS r FROM ss) WHERE r<=8),"
+    " own8 AS (SELECT * FROM (SELECT query_id, fact_id, ss.id, row_number() OVER (PARTITION BY query_id, fact_id ORDER BY round(score,9) DESC, start_ms, ss.id) AS r FROM ok JOIN seg USING(conv_id) JOIN ss USING(query_id, id)) WHERE r<=8),"
+    " steps AS (SELECT query_id, fact_id, 2 AS step, 0 AS tie, NULL AS page, g.id AS segment FROM ok JOIN sys USING(conv_id) JOIN seg g ON g.id=fact_id+1"
+    " UNION ALL SELECT query_id, fact_id, 3, 0, NULL, g.id FROM ok ANTI JOIN sys USING(conv_id) JOIN seg g ON g.id=fact_id+1 WHERE turn>=2"
+    f" UNION ALL SELECT query_id, fact_id, 4, 0, doc_id, NULL FROM ok JOIN dd d ON d.doc_id=conv_id JOIN ds USING(query_id) WHERE ds.id=d.doc_id AND {_proves('d')}"
+    f" UNION ALL SELECT query_id, fact_id, 5, r, NULL, g.id FROM ok JOIN own8 USING(query_id, fact_id) JOIN gg g USING(id) WHERE {_proves('g')}"
+    f" UNION ALL SELECT query_id, fact_id, 6, r, doc_id, NULL FROM ok JOIN d8 USING(query_id) JOIN dd d ON d.doc_id=d8.id WHERE {_proves('d')}"
+    f" UNION ALL SELECT query_id, fact_id, 7, row_number() OVER (PARTITION BY query_id, fact_id ORDER BY round(score,9) DESC, start_ms, g.id), NULL, g.id FROM ok JOIN s8 USING(query_id) JOIN gg g USING(id) WHERE {_proves('g')}),"
+    " one AS (SELECT query_id, fact_id, min({'step': step, 'tie': tie, 'page': page, 'segment': segment}) AS m FROM steps GROUP BY 1,2),"
+    " once AS (SELECT query_id, o.fact_id, m.step AS step, m.page AS page, m.segment AS segment, place FROM one o JOIN cand USING(query_id, fact_id) QUALIFY row_number() OVER (PARTITION BY query_id, m.page, m.segment ORDER BY place)=1)"
+)
+
+
+@query(
+    "x29_facts_for_questions",
+    f"WITH {_FACTS} SELECT query_id, k AS place, fact_id, step, page AS document_id, segment AS segment_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS k FROM once) WHERE k<=6",
+)
+def _(t: Tables):
+    v, none = t.conversations, F.lit(None).cast("long")
+    ident = (c("conv_id") * 100 + c("turn")).alias
+    proven = v.filter("role = 'system'").select("conv_id").distinct().withColumn("sys", F.lit(True))
+    facts = v.filter("role = 'user'").join(proven, "conv_id", "left").select(ident("fact_id"), "text", F.when(c("sys"), "ADMITTED").otherwise("ALLEGED").alias("proof_status"))
+    segments = v.filter("role = 'assistant'").select(ident("segment_id"), c("conv_id").alias("media_id"), (c("turn") * 10_000).alias("start_ms"), "text")
+    pages = t.documents.select(c("doc_id").alias("page_id"), c("doc_id").alias("document_id"), F.lit(1).cast("long").alias("page_number"), "text")
+    media = v.select(c("conv_id").alias("media_id")).distinct().withColumn("filename", F.concat(F.lit("conversation "), c("media_id").cast("string")))
+    answers = v.filter("role = 'assistant'").join(proven, "conv_id", "left")
+    citations = answers.select(ident("citation_id"), F.when(c("sys"), c("conv_id") * 100 + c("turn") - 1).alias("fact_id"), none.alias("document_id"), none.alias("page_number"), c("conv_id").alias("media_id"), ident("segment_id"), (c("turn") * 10_000).alias("start_ms"))
+    asked = v.filter("role = 'user'").join(proven, "conv_id", "left_anti")
+    positions = asked.filter("turn >= 2").select(ident("fact_id"), (c("conv_id") * 100 + c("turn") + 1).alias("citation_id"))
+    links = v.filter("role = 'user'").select(ident("fact_id"), c("conv_id").alias("document_id"), c("conv_id").alias("media_id"))
+    questions = t.benchmark.select(c("item_id").alias("question_id"), "text")
+    got = resolution.facts_for_questions(questions, facts, pages, segments, media, citations, positions, links)
+    return got.select(c("question_id").alias("query_id"), c("place").cast("long").alias("place"), "fact_id", "step", "document_id", "segment_id")
