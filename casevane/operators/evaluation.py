@@ -52,7 +52,57 @@ def triage(valid: Column, ratio: Column, support: float = 0.34, review: float =
     return F.when(~valid, "invalid_citation").when(ratio >= support, "supported").when(ratio >= review, "review").otherwise("unsupported")
 
 
-def final_status(findings: DataFrame, answer: str, severity: str) -> DataFrame:
-    """``answer, status`` from the worst finding (V8)."""
-    worst = F.max(F.when(F.col(severity) == "CRITICAL", 3).when(F.col(severity) == "HIGH", 2).when(F.col(severity) == "MEDIUM", 1).otherwise(0))
-    return findings.groupBy(answer).agg(worst.alias("w")).select(answer, F.when(F.col("w") == 3, "BLOCKED").when(F.col("w") == 2, "WARNING").when(F.col("w") == 1, "NEEDS_REVIEW").otherwise("PASSED").alias("status"))
+#: Milliseconds that the start of a cited segment may be off.
+TOLERANCE = 1500
+
+
+def _meets(a: str, b: str) -> Column:
+    """Whether a cited source (alias a) is an expected one (alias b): every column that the expectation names agrees."""
+    col = F.col
+    same = lambda x: col(f"{b}.{x}").isNull() | col(f"{a}.{x}").eqNullSafe(col(f"{b}.{x}"))
+    start = col(f"{b}.start_ms").isNull() | F.coalesce(F.abs(col(f"{a}.start_ms") - col(f"{b}.start_ms")) <= TOLERANCE, F.lit(False))
+    return same("document_id") & same("page_number") & same("media_id") & same("segment_id") & start
+
+
+def golden(cases: DataFrame, expected: DataFrame, evidence: DataFrame, case: str = "case_id") -> DataFrame:
+    """``case, retrieval_recall, citation_recall, citation_precision, noise, coherent, abstention, kind_matches, passed``.
+
+    cases: case, answer_kind, claims, occurrences (counts), expected_kind, expected_abstention, max_visible; expected: case,
+    expectation (a number), must (false: must not be cited), document_id, page_number, media_id, segment_id, start_ms (null:
+    any); evidence: case, place (a number), used and the same five columns.  Expectations are exploded sets that join their
+    case's evidence; precision and noise are null without cited sources or a criterion, abstention without an expectation.
+    """
+    c = F.col
+    e, x = evidence.alias("e"), expected.alias("x")
+    met = e.join(x, (c(f"e.{case}") == c(f"x.{case}")) & _meets("e", "x")).select(c(f"e.{case}").alias(case), "place", "used", "expectation", "must")
+    asked = expected.groupBy(case).agg(F.count_if("must").alias("musts"), F.count_if(~c("must")).alias("must_nots"))
+    found = met.filter("must").groupBy(case).agg(F.countDistinct("expectation").alias("found"), F.countDistinct(F.when(c("used"), c("expectation"))).alias("cited"))
+    hits = met.groupBy(case, "place").agg(F.bool_or("must").alias("wanted"), F.bool_or(~c("must")).alias("refused"))
+    used = evidence.filter("used").join(hits, [case, "place"], "left").join(asked, case, "left")
+    criterion = (F.coalesce("musts", F.lit(0)) + F.coalesce("must_nots", F.lit(0))) > 0
+    relevant = F.when(F.coalesce("musts", F.lit(0)) > 0, F.coalesce("wanted", F.lit(False))).otherwise(~F.coalesce("refused", F.lit(False)))
+    source = F.when(c("document_id").isNotNull(), F.struct(F.lit("doc").alias("k"), c("document_id").cast("string").alias("a"), c("page_number").cast("string").alias("b"))).otherwise(
+        F.struct(F.lit("seg").alias("k"), F.coalesce("media_id", "segment_id").cast("string").alias("a"), F.coalesce("segment_id", "start_ms").cast("string").alias("b"))
+    )
+    visible = used.withColumn("source", source).groupBy(case).agg(
+        F.count("*").alias("visible"), F.countDistinct(F.struct("source")).alias("sources"), F.count_if(criterion & relevant).alias("right"), F.count_if(criterion & ~relevant).alias("wrong"), F.bool_or(criterion).alias("judged")
+    )
+    all_of = cases.join(asked, case, "left").join(found, case, "left").join(visible, case, "left").fillna(0, ["musts", "found", "cited", "visible", "sources", "right", "wrong"])
+    share = lambda n: F.when(c("musts") == 0, F.lit(1.0)).otherwise(F.round(c(n) / c("musts"), 6))
+    judged = F.coalesce("judged", F.lit(False))
+    silent, expects_none = c("answer_kind").eqNullSafe(F.lit("insufficient")), F.coalesce("expected_abstention", F.lit(False))
+    faults = (
+        (expects_none & ~silent)
+        | (silent & ((c("claims") > 0) | (c("visible") > 0) | (c("occurrences") > 0)))
+        | (c("answer_kind").eqNullSafe(F.lit("navigational")) & (c("claims") > 0))
+        | F.coalesce(c("visible") > c("max_visible"), F.lit(False))
+        | (c("visible") > c("sources"))
+    )
+    abstention = F.when(expects_none, silent & (c("visible") == 0)).when(c("expected_kind").isNull(), F.lit(None).cast("boolean")).when(c("expected_kind") == "insufficient", F.lit(False)).otherwise(~silent)
+    kind = F.when(c("expected_kind").isNotNull(), c("expected_kind").eqNullSafe(c("answer_kind")))
+    out = all_of.select(
+        case, share("found").alias("retrieval_recall"), share("cited").alias("citation_recall"), F.when(judged, F.round(c("right") / c("visible"), 6)).alias("citation_precision"),
+        F.when(judged, c("wrong")).alias("noise"), (~faults).alias("coherent"), abstention.alias("abstention"), kind.alias("kind_matches"),
+    )
+    passed = (c("retrieval_recall") >= 1) & (c("citation_recall") >= 1) & c("coherent") & F.coalesce("abstention", F.lit(True)) & F.coalesce("kind_matches", F.lit(True))
+    return out.withColumn("passed", passed)

@@ -79,12 +79,6 @@ def _(t: Tables):
     return t.part.groupBy(F.array_join(F.array_sort(F.split(F.lower("p_name"), " ")), "|").alias("signature")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
 
 
-@query("l11_party_extraction", "SELECT name, count(*) AS mentions, min(doc_id) AS first FROM (SELECT doc_id, unnest(regexp_extract_all(text,'[A-Z][a-z]+ [A-Z][a-z]+')) AS name FROM documents) GROUP BY 1 HAVING count(*)>1")
-def _(t: Tables):
-    m = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+ [A-Z][a-z]+"), F.lit(0))).alias("name"))
-    return m.groupBy("name").agg(F.count("*").alias("mentions"), F.min("doc_id").alias("first")).filter("mentions > 1")
-
-
 @query("l15_greedy_matching")
 def _(t: Tables):
     d = t.conversations.select("conv_id", "turn", "role", T.content_set(c("text")).alias("s"))

@@ -210,13 +210,6 @@ def _(t: Tables):
     return new.join(names, "k").filter(R.each(R.same_name, "boolean")(c("a"), c("b"))).groupBy("new_id").agg(F.min("id").alias("id"))
 
 
-@query("l13_side_vote", "WITH v AS (SELECT conv_id, sum(CASE WHEN regexp_matches(lower(text),'the') THEN 2 ELSE 0 END - CASE WHEN regexp_matches(lower(text),'der') THEN 2 ELSE 0 END) AS s FROM conversations GROUP BY 1) SELECT conv_id, CASE WHEN s>=2 THEN 'ACTOR' WHEN s<=-2 THEN 'DEMANDADO' ELSE 'UNKNOWN' END AS side FROM v")
-def _(t: Tables):
-    x = F.lower("text")
-    s = F.sum(F.when(x.contains("the"), 2).otherwise(0) - F.when(x.contains("der"), 2).otherwise(0))
-    return t.conversations.groupBy("conv_id").agg(s.alias("s")).select("conv_id", F.when(c("s") >= 2, "ACTOR").when(c("s") <= -2, "DEMANDADO").otherwise("UNKNOWN").alias("side"))
-
-
 @query("l14_contradiction_match", f"WITH b AS (SELECT item_id, {D.terms('text')} AS d FROM benchmark), q AS (SELECT doc_id, {D.terms('text')} AS q FROM documents), s AS (SELECT doc_id, item_id, round(len(list_intersect(q,d))/len(d)::DOUBLE,6) AS score FROM q, b WHERE len(d)>0) SELECT doc_id, arg_max(item_id,(score,-item_id)) AS item_id FROM s WHERE score>=0.1 GROUP BY 1")
 def _(t: Tables):
     # Only pairs that share a term: counts by an equi-join on terms.
@@ -232,14 +225,6 @@ def _(t: Tables):
     return t.conversations.select("conv_id", "turn", (F.round(hits / 3, 6) >= 0.66).alias("supported"))
 
 
-@query("v4_reassign_support", f"WITH q AS (SELECT conv_id, turn, {D.stems('text')} AS s FROM conversations WHERE role='user'), e AS (SELECT conv_id, turn AS et, {D.stems('text')} AS e FROM conversations WHERE role='assistant'), x AS (SELECT q.conv_id, q.turn, et, round({D.share('s', 'e')},6) AS r FROM q JOIN e USING(conv_id)) SELECT conv_id, turn, arg_max(et,(r,-et)) AS best FROM x GROUP BY 1,2")
-def _(t: Tables):
-    q = t.conversations.filter("role = 'user'").select("conv_id", "turn", T.content_set(c("text")).alias("s"))
-    e = t.conversations.filter("role = 'assistant'").select("conv_id", c("turn").alias("et"), T.content_set(c("text")).alias("e"))
-    r = F.round(T.share_in(c("s"), c("e")), 6)
-    return q.join(e, "conv_id").groupBy("conv_id", "turn").agg(F.max_by("et", F.struct(r, -c("et"))).alias("best"))
-
-
 @query("k12_forbidden_phrase")
 def _(t: Tables):
     return t.conversations.select("conv_id", "turn", R.each(R.forbidden, "boolean")(c("text"), F.lit("the ")).alias("hit"))

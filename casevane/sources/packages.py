@@ -68,6 +68,34 @@ def replace_chunks(chunks: DataFrame, path: str, scope: str) -> None:
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(scope).parquet(path)
 
 
+def index_changes(old: DataFrame, new: DataFrame, scope: str, keys: list[str], text: str = "text", model: str = "model") -> DataFrame:
+    """``scope, keys, action``: keep, drop or add each chunk, by the hash of its text and the model of its vector (C11).
+
+    Only hashes are compared, so texts are not shuffled; a chunk whose text or model changed is dropped and added.  Equal
+    chunks of one scope are one; a null model agrees with null.
+    """
+    mark = lambda df: df.select(scope, *keys, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_hash"), F.coalesce(F.col(model), F.lit("")).alias("_model")).distinct()
+    both = mark(old).withColumn("_side", F.lit(1)).unionByName(mark(new).withColumn("_side", F.lit(2)))
+    sides = both.groupBy(scope, *keys, "_hash", "_model").agg(F.sum("_side").alias("_s"))
+    action = F.when(F.col("_s") == 3, "keep").when(F.col("_s") == 1, "drop").otherwise("add")
+    return sides.select(scope, *keys, "_hash", action.alias("action"))
+
+
+def reindexed(old: DataFrame, new: DataFrame, scope: str, keys: list[str], text: str = "text", model: str = "model", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """The chunks of the scopes that changed, and of them those that need a vector.
+
+    Chunks that stay bring their old vector (``vector`` of old), added ones have none yet; ``replace_chunks`` overwrites these
+    scopes alone.  Scopes from which all chunks went are not in the result.
+    """
+    changes = index_changes(old, new, scope, keys, text, model)
+    touched = changes.filter("action <> 'keep'").select(scope).distinct()
+    hashed = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    kept = changes.filter("action = 'keep'").drop("action").join(old.select(scope, *keys, hashed.alias("_hash"), vector), [scope, *keys, "_hash"]).dropDuplicates([scope, *keys, "_hash"])
+    fresh = new.join(touched, scope, "left_semi").withColumn("_hash", hashed).dropDuplicates([scope, *keys, "_hash"])
+    rows = fresh.join(kept.select(scope, *keys, "_hash", vector, F.lit(True).alias("_kept")), [scope, *keys, "_hash"], "left").drop("_hash")
+    return rows.drop("_kept"), rows.filter("_kept is null").drop("_kept", vector)
+
+
 def resource(tables: dict[str, DataFrame], uri: str) -> DataFrame:
     """What a resource address names (S20): ``case://<id>/files``, ``case://<id>/graph`` or ``case://<id>/pages/<document>/<page>``."""
     parts = uri.removeprefix("case://").split("/")
