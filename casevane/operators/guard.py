@@ -12,8 +12,55 @@ from ..functions import legal as L
 from ..functions import text as T
 
 c = F.col
-#: Least confidence of a page or segment that may prove something.
-LEAST_CONFIDENCE = 0.55
+#: What the audit asks for; a case's own policy may change each: fixed values.
+POLICY = {
+    "require_legal_norm": True,
+    "block_on_parties": True,
+    "block_on_legal_conclusion": True,
+    "min_ocr_confidence": 0.55,
+    "min_asr_confidence": 0.55,
+    "allowed_jurisdictions": (),
+}
+
+
+def _with(df: DataFrame, **columns: Column) -> DataFrame:
+    """The frame with columns that it lacks."""
+    for name, value in columns.items():
+        if name not in df.columns:
+            df = df.withColumn(name, value)
+    return df
+
+
+def rules_for(norms: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
+    """The rule of each cited norm, if there is one: ``keys, kind, identifier`` with ``r``.
+
+    norms: keys, kind (article or law), identifier, jurisdiction, text of the claim; rules: identifier, source, title, text,
+    jurisdiction, version_date, law_level_only.  An article is a rule whose identifier is the same without separators, or whose
+    title or text names that article; a law one whose identifier, title, text or source has its number as words.  Rules of
+    another jurisdiction than the case's don't count.  The body of law that the claim names comes first, then the rule with
+    the very identifier, then the newest.  Rules meet norms by the keys found in them, not by a search of each text.
+    """
+    text = "string"
+    rules = _with(rules, title=F.lit(None).cast(text), jurisdiction=F.lit(None).cast(text), version_date=F.lit(None).cast("date"), law_level_only=F.lit(False))
+    whole = F.concat_ws(" \n", "identifier", "title", "text", "source")
+    articles = F.regexp_extract_all(F.concat_ws(" \n", "title", "text"), F.lit(rf"(?iu)art[ií]culo\s+({L.ARTICLE_TOKEN})"), F.lit(1))
+    laws = F.regexp_extract_all(whole, F.lit(r"(?iu)\b(\d{1,5}(?:\s+de\s+\d{4})?)\b"), F.lit(1))
+    number = lambda x: F.regexp_replace(x, r"\s+de\s+\d{4}$", "")
+    spaced = lambda x: F.lower(F.regexp_replace(x, r"\s+", " "))
+    own = L.identifier_key(c("identifier"))
+    named = F.array_union(F.array(F.struct(F.lit("article").alias("kind"), own.alias("key"))), F.array_distinct(F.concat(
+        F.transform(articles, lambda x: F.struct(F.lit("article").alias("kind"), L.identifier_key(x).alias("key"))),
+        F.transform(F.concat(laws, F.transform(laws, number)), lambda x: F.struct(F.lit("law").alias("kind"), spaced(x).alias("key"))),
+        F.array(F.struct(F.lit("law").alias("kind"), spaced(c("identifier")).alias("key"))),
+    )))
+    keyed = rules.select(c("identifier").alias("rule_id"), "source", c("text").alias("rule"), c("jurisdiction").alias("rule_in"), "version_date", "law_level_only", own.alias("own"), F.explode(named).alias("k")).select("*", "k.kind", "k.key").drop("k")
+    key = F.when(c("kind") == "article", L.identifier_key(c("identifier"))).otherwise(spaced(c("identifier")))
+    asked = norms.withColumn("key", key)
+    met = asked.join(keyed, ["kind", "key"]).filter((F.coalesce("jurisdiction", F.lit("")) == "") | F.coalesce(c("rule_in") == c("jurisdiction"), F.lit(False)) | c("rule_in").isNull())
+    exact = F.when(c("kind") == "article", c("own") == c("key")).otherwise(spaced(c("rule_id")) == c("key"))
+    agrees = L.source_agrees(F.coalesce("source", F.lit("")), c("text"))
+    best = F.max_by(F.struct("rule", "source", "law_level_only", agrees.alias("agrees")), F.struct(agrees.alias("a"), exact.alias("b"), c("version_date").isNotNull().alias("c"), c("version_date").alias("d"), "rule"))
+    return met.groupBy(*keys, "kind", "identifier").agg(best.alias("r"))
 
 
 def audit(
@@ -24,15 +71,23 @@ def audit(
     rules: DataFrame,
     decisions: DataFrame,
     contradictions: DataFrame,
-    confidence: float = LEAST_CONFIDENCE,
+    cases: DataFrame | None = None,
+    policy: dict | None = None,
 ) -> DataFrame:
-    """``case_id, claim_id, code, severity``: what is wrong with each claim (V6).
+    """``case_id, claim_id, code, severity``: what is wrong with each claim (V6); a finding on a whole case has no claim.
 
-    claims: case_id, claim_id, text; citations: case_id, claim_id, handle, quote_hash; evidence: case_id, handle, text,
-    context, confidence, quote; parties: case_id, name; rules: identifier, source, text; decisions: case_id;
-    contradictions: case_id, text_a, text_b.  One frame per check, all joined on case, claim or identifier; a claim cites
-    a handful of sources, so its context is a short list.
+    claims: case_id, claim_id, text (and claim_type); citations: case_id, claim_id, handle, quote_hash; evidence: case_id,
+    handle, text, context, confidence, quote (and kind: page, the default, or segment); parties: case_id, name (and aliases);
+    rules: see ``rules_for``; decisions: case_id; contradictions: case_id, text_a, text_b; cases: case_id, jurisdiction.  One
+    frame per check, all joined on case, claim or identifier; a claim cites a handful of sources, so its context is a short
+    list.  ``policy`` overrides ``POLICY``.
     """
+    told = {**POLICY, **(policy or {})}
+    claims = _with(claims, claim_type=F.lit(None).cast("string"))
+    evidence = _with(evidence, kind=F.lit("page"))
+    parties = _with(parties, aliases=F.array().cast("array<string>"))
+    if cases is None:
+        cases = claims.select("case_id", F.lit(None).cast("string").alias("jurisdiction")).distinct()
     cited = citations.join(evidence, ["case_id", "handle"])
     context = cited.groupBy("case_id", "claim_id").agg(F.concat_ws(" ", F.sort_array(F.collect_list("context"))).alias("context"))  # the sources of one claim
     known = claims.join(context, ["case_id", "claim_id"], "left")
@@ -43,19 +98,6 @@ def audit(
     own_numbers, dated = T.missing_numbers(c("facts"), c("context")), F.regexp_extract_all("text", F.lit(L.CLAIM_DATE), F.lit(0))
     quoted = cited.select(*keys, "text", "quote", "quote_hash").filter("quote_hash is not null")
     changed = (F.sha2("quote", 256) != c("quote_hash")) | ~F.contains(T.fold(c("text")), T.fold(c("quote")))
-    named = backed.join(parties, "case_id").filter(L.mentions(c("text"), c("name")) & ~L.mentions(c("context"), c("name")))
-
-    normed = known.select(*keys, "text", "context", F.explode(L.norms(c("text"))).alias("norm")).select("*", "norm.kind", L.identifier_key(c("norm.identifier")).alias("key"), c("norm.identifier").alias("identifier"))
-    keyed = rules.select(L.identifier_key(c("identifier")).alias("key"), "source", c("text").alias("rule"))
-    cites = normed.filter("kind = 'article'").join(keyed, "key", "left")
-    # Of the rules with an identifier one of the body of law that the claim names is preferred.
-    agrees = L.source_agrees(F.coalesce("source", F.lit("")), c("text"))
-    found = cites.withColumn("agrees", agrees).groupBy(*keys, "key", "identifier", "text", "context").agg(F.max_by(F.struct("rule", "agrees"), F.struct(c("rule").isNotNull(), c("agrees"), "rule")).alias("r"))
-    stated = F.coalesce(F.contains(T.fold(c("context")), T.fold(c("identifier"))), F.lit(False))
-    gone = found.filter("r.rule is null")
-    present = found.filter("r.rule is not null")
-    support = present.withColumn("s", L.article_support(c("r.rule"), c("text"))).filter("s.code is not null")
-    proven = known.filter(c("text").rlike(L.PROBATIVE)).join(decisions.select("case_id").distinct(), "case_id", "left_anti")
 
     parts = [
         finding(claims.join(citations.select(*keys), keys, "left_anti"), "CITATION_MISSING", "CRITICAL"),
@@ -64,15 +106,40 @@ def audit(
         finding(quoted.filter("quote is null"), "QUOTE_HASH_UNVERIFIED", "HIGH"),
         finding(backed.filter(F.size(own_numbers) > 0), "NUMBER_MISMATCH", "CRITICAL"),
         finding(backed.filter(F.exists(dated, lambda d: ~L.date_supported(d, c("context")))), "DATE_MISMATCH", "CRITICAL"),
-        finding(named, "PARTY_MISMATCH", "HIGH"),
-        finding(cited.filter(c("confidence") < confidence), "LOW_CONFIDENCE", "HIGH"),
-        finding(gone.filter(~stated), "LEGAL_RULE_MISSING", "CRITICAL"),
-        finding(gone.filter(stated), "LEGAL_RULE_MISSING", "HIGH"),
-        finding(present.filter("not r.agrees"), "LEGAL_ARTICLE_SOURCE_MISMATCH", "CRITICAL"),
-        support.select(*keys, c("s.code").alias("code"), c("s.severity").alias("severity")).distinct(),
-        finding(proven, "DECISION_MISSING", "CRITICAL"),
         finding(one_sided(claims, contradictions), "CONTRADICTION_OMITTED", "HIGH"),
     ]
+    if told["block_on_parties"]:
+        # Every name of a party, aliases too, that the claim uses must be in its sources.
+        names = parties.select("case_id", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("name")).filter(F.trim("name") != "")
+        parts.append(finding(backed.join(names, "case_id").filter(L.mentions(c("text"), c("name")) & ~L.mentions(c("context"), c("name"))), "PARTY_MISMATCH", "HIGH"))
+
+    spoken = c("kind") == "segment"
+    low = c("confidence") < F.when(spoken, F.lit(told["min_asr_confidence"])).otherwise(F.lit(told["min_ocr_confidence"]))
+    weak = cited.filter(low).groupBy(*keys).agg(F.min_by(F.when(spoken, "LOW_ASR_CONFIDENCE").otherwise("LOW_OCR_CONFIDENCE"), "handle").alias("code"))  # the first of a claim
+    parts.append(weak.select(*keys, "code", F.lit("HIGH").alias("severity")))
+
+    if told["require_legal_norm"]:
+        normed = known.select(*keys, "text", "context", F.explode(L.norms(c("text"))).alias("norm")).select(*keys, "text", "context", "norm.kind", "norm.identifier").join(cases.select("case_id", "jurisdiction"), "case_id", "left")
+        found = normed.join(rules_for(normed, rules, keys), [*keys, "kind", "identifier"], "left")
+        # Norms that aren't loaded: an invention, unless the cited source itself names them.
+        stated = F.coalesce(F.contains(T.fold(c("context")), T.fold(c("identifier"))), F.lit(False))
+        gone, present = found.filter("r is null"), found.filter("r is not null")
+        article = present.filter("kind = 'article'")
+        support = article.withColumn("s", L.article_support(c("r.rule"), c("text"))).filter("s.code is not null")
+        parts += [
+            finding(gone.filter(~stated), "LEGAL_RULE_MISSING", "CRITICAL"),
+            finding(gone.filter(stated), "LEGAL_RULE_MISSING", "HIGH"),
+            finding(present.filter((c("kind") == "law") & F.coalesce("r.law_level_only", F.lit(False)) & c("text").rlike(L.CONCLUSION)), "LEGAL_ARTICLE_MISSING", "CRITICAL"),
+            finding(article.filter("not r.agrees"), "LEGAL_ARTICLE_SOURCE_MISMATCH", "CRITICAL"),
+            support.select(*keys, c("s.code").alias("code"), c("s.severity").alias("severity")).distinct(),
+        ]
+    if told["block_on_legal_conclusion"]:
+        provable = ~F.coalesce(F.upper("claim_type"), F.lit("FACT")).isin("PROCEDURAL", "PARTY_ALLEGATION", "INFERENCE")
+        proven = known.filter(c("text").rlike(L.PROBATIVE) & provable).join(decisions.select("case_id").distinct(), "case_id", "left_anti")
+        parts.append(finding(proven, "DECISION_MISSING", "CRITICAL"))
+    if told["allowed_jurisdictions"]:
+        abroad = cases.filter((F.coalesce("jurisdiction", F.lit("")) != "") & ~c("jurisdiction").isin(*told["allowed_jurisdictions"])).join(claims.select("case_id").distinct(), "case_id", "left_semi")
+        parts.append(abroad.select("case_id", F.lit(None).cast(claims.schema["claim_id"].dataType).alias("claim_id"), F.lit("JURISDICTION_MISMATCH").alias("code"), F.lit("CRITICAL").alias("severity")).distinct())
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -165,27 +165,38 @@ def _(t: Tables):
 _DATE = f"CAST(day(d) AS STRING)||' de '||{pick(MONTHS, 'month(d)-1')}||' de '||CAST(year(d) AS STRING)"
 _OTHER = f"CAST(day(d) AS STRING)||' de '||{pick(MONTHS, 'month(d)%12')}||' de '||CAST(year(d) AS STRING)"
 _CLAIM = (
-    "'El radicado '||(k+1000)||CASE k%10 WHEN 2 THEN ' por la suma de 7654321' WHEN 3 THEN ' del '||" + _DATE + " WHEN 4 THEN ' fue firmado por Juan Hernán Rojas Melo'"
-    " WHEN 6 THEN ' cumple el artículo 42-9 del expediente' WHEN 8 THEN ' es un hecho probado' WHEN 9 THEN ' segun el artículo 500 impone la condena' ELSE ' consta en el acta' END"
+    "'El radicado '||(k+1000)||CASE k%15 WHEN 2 THEN ' por la suma de 7654321' WHEN 3 THEN ' del '||" + _DATE + " WHEN 4 THEN ' fue firmado por Juan Hernán Rojas Melo'"
+    " WHEN 6 THEN ' cumple el artículo 42-9 del expediente' WHEN 8 THEN ' es un hecho probado' WHEN 9 THEN ' segun el artículo 500 impone la condena'"
+    " WHEN 10 THEN ' consta segun la Ley '||(k%900+20000)||' de 2001' WHEN 11 THEN ' tiene responsabilidad por la Ley 1564 de 2012' ELSE ' consta en el acta' END"
 )
-_SOURCE = "'Radicado '||(k+1000)||' del acta'||CASE WHEN k%10=3 THEN ' del '||" + _OTHER + " ELSE '' END"
-_CODES = "CITATION_MISSING|CITATION_UNRESOLVED|NUMBER_MISMATCH|DATE_MISMATCH|PARTY_MISMATCH|LOW_CONFIDENCE|LEGAL_RULE_MISSING|QUOTE_MISMATCH|DECISION_MISSING|LEGAL_CONSEQUENCE_UNSUPPORTED"
-_SEVERITIES = "CRITICAL|CRITICAL|CRITICAL|CRITICAL|HIGH|HIGH|CRITICAL|CRITICAL|CRITICAL|CRITICAL"
-#: An order is a case with one claim; every eleventh has nothing wrong.
-FOUND = f"{O}, f AS (SELECT k AS case_id, {pick(_CODES, 'k%10')} AS code, {pick(_SEVERITIES, 'k%10')} AS severity FROM o WHERE k%11<>0)"
+_SOURCE = "'Radicado '||(k+1000)||' del acta'||CASE WHEN k%15=3 THEN ' del '||" + _OTHER + " ELSE '' END"
+_CODES = (
+    "CITATION_MISSING|CITATION_UNRESOLVED|NUMBER_MISMATCH|DATE_MISMATCH|PARTY_MISMATCH|LOW_OCR_CONFIDENCE|LEGAL_RULE_MISSING|QUOTE_MISMATCH|DECISION_MISSING|LEGAL_CONSEQUENCE_UNSUPPORTED"
+    "|LEGAL_RULE_MISSING|LEGAL_ARTICLE_MISSING|JURISDICTION_MISMATCH|LOW_ASR_CONFIDENCE|CONTRADICTION_OMITTED"
+)
+_SEVERITIES = "CRITICAL|CRITICAL|CRITICAL|CRITICAL|HIGH|HIGH|CRITICAL|CRITICAL|CRITICAL|CRITICAL|CRITICAL|CRITICAL|CRITICAL|HIGH|HIGH"
+#: An order is a case with one claim; every eleventh has nothing wrong, nor has what is said to be proven where an even order has a decision.
+FOUND = f"{O}, f AS (SELECT k AS case_id, {pick(_CODES, 'k%15')} AS code, {pick(_SEVERITIES, 'k%15')} AS severity FROM o WHERE k%11<>0 AND NOT (k%15=8 AND k%2=0))"
 
 
 def audited(t: Tables):
     """The claims, and what the audit finds."""
-    x = made(t, text=f"CASE WHEN k%11=0 THEN 'El radicado '||(k+1000)||' consta en el acta' ELSE {_CLAIM} END", source=_SOURCE).withColumn("bad", F.when(c("k") % 11 == 0, -1).otherwise(c("k") % 10)).withColumn("case_id", c("k"))
+    x = made(t, text=f"CASE WHEN k%11=0 THEN 'El radicado '||(k+1000)||' consta en el acta' ELSE {_CLAIM} END", source=_SOURCE).withColumn("bad", F.when(c("k") % 11 == 0, -1).otherwise(c("k") % 15)).withColumn("case_id", c("k"))
     claims = x.select("case_id", F.lit(1).alias("claim_id"), "text")
     cites = x.filter("bad <> 0").select("case_id", F.lit(1).alias("claim_id"), F.when(c("bad") == 1, "D9").otherwise("D1").alias("handle"), F.when(c("bad") == 7, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("source", 256)).alias("quote_hash"))
-    evidence = x.select("case_id", F.lit("D1").alias("handle"), c("source").alias("text"), F.concat("source", F.lit(" acta.pdf")).alias("context"), F.when(c("bad") == 5, 0.4).otherwise(0.9).alias("confidence"), c("source").alias("quote"))
-    parties = x.select("case_id", F.lit("Juan Hernán Rojas Melo").alias("name"))
-    rules = t.spark.createDataFrame([("500", "Codigo Civil", "Artículo 500. El embargo de los bienes del radicado y del acta se decreta por el juez cuando exista mandamiento de pago.")], "identifier string, source string, text string")
-    none = claims.limit(0)
-    decisions, contradictions = none.select("case_id"), none.select("case_id", c("text").alias("text_a"), c("text").alias("text_b"))
-    return claims, guard.audit(claims, cites, evidence, parties, rules, decisions, contradictions)
+    evidence = x.select(
+        "case_id", F.lit("D1").alias("handle"), c("source").alias("text"), F.concat("source", F.lit(" acta.pdf")).alias("context"), F.when(c("bad").isin(5, 13), 0.4).otherwise(0.9).alias("confidence"),
+        c("source").alias("quote"), F.when(c("bad") == 13, "segment").otherwise("page").alias("kind"),
+    )
+    parties = x.select("case_id", F.lit("Juan Hernán Rojas Melo").alias("name"), F.array(F.lit("Melo Pinto"), F.lit("Rojas Melo")).alias("aliases"))
+    rules = t.spark.createDataFrame([
+        ("500", "Codigo Civil", "Artículo 500. El embargo de los bienes del radicado y del acta se decreta por el juez cuando exista mandamiento de pago.", "co", False),
+        ("CGP", "Ley 1564 de 2012", "Código General del Proceso", "co", True), ("42-9", "Otra parte", "Artículo 42-9. De otro lugar.", "mx", False),
+    ], "identifier string, source string, text string, jurisdiction string, law_level_only boolean")
+    decisions = x.filter("k % 2 = 0").select("case_id")
+    contradictions = x.filter("bad = 14").select("case_id", c("text").alias("text_a"), F.lit("Ninguna firma aparece sobre aquel papel amarillo").alias("text_b"))
+    cases = x.select("case_id", F.when(c("bad") == 12, "mx").otherwise("co").alias("jurisdiction"))
+    return claims, guard.audit(claims, cites, evidence, parties, rules, decisions, contradictions, cases, {"allowed_jurisdictions": ("co",)})
 
 
 @query("v6_guard_findings", f"WITH {FOUND} SELECT case_id, code, severity FROM f")
@@ -193,7 +204,7 @@ def _(t: Tables):
     return audited(t)[1].select("case_id", "code", "severity")
 
 
-@query("v8_final_status", f"WITH {FOUND} SELECT k AS case_id, CASE WHEN code IS NULL THEN 'PASSED' WHEN severity='CRITICAL' THEN 'BLOCKED' ELSE 'WARNING' END AS status FROM o LEFT JOIN f ON case_id=k")
+@query("v8_final_status", f"WITH {FOUND} SELECT k AS case_id, CASE WHEN code IS NULL THEN 'PASSED' WHEN severity='CRITICAL' AND code<>'JURISDICTION_MISMATCH' THEN 'BLOCKED' ELSE 'WARNING' END AS status FROM o LEFT JOIN f ON case_id=k")
 def _(t: Tables):
     claims, found = audited(t)
     return guard.final_status(claims, cut(found))

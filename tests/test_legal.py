@@ -1,5 +1,6 @@
 """Rules of legal text, intents and the guard on literal rows."""
 
+import datetime
 import hashlib
 
 import pytest
@@ -149,7 +150,7 @@ def test_audit(spark):
         (1, 7, "LEGAL_RULE_MISSING", "CRITICAL"),
         (1, 9, "LEGAL_CONSEQUENCE_UNSUPPORTED", "CRITICAL"),
         (1, 10, "LEGAL_ARTICLE_SOURCE_MISMATCH", "CRITICAL"),
-        (2, 1, "LOW_CONFIDENCE", "HIGH"),
+        (2, 1, "LOW_OCR_CONFIDENCE", "HIGH"),
         (2, 1, "CONTRADICTION_OMITTED", "HIGH"),
     }
     status = {(r.case_id, r.claim_id): r.status for r in guard.claim_status(data[0], found).collect()}
@@ -246,3 +247,31 @@ def test_earlier_corrections_stay_marked(spark):
     fixes = spark.createDataFrame([(2, "b", "r", 1), (2, "a", "r", 1), (3, "old", "same", 1)], "id int, new_text string, reason string, made_at int")
     got = {r.id: (r.text, r.human_corrected) for r in corrections.correct_texts(pages, fixes, ["id"], "page")[0].collect()}
     assert got == {1: ("old", True), 2: ("b", True), 3: ("old", False)}
+
+
+def test_audit_of_laws_aliases_and_policy(spark):
+    claims = [
+        (1, 1, "Lo dice la Ley 45 de 1990", None), (1, 2, "Lo dice la Ley 9999 de 1990", None), (1, 3, "La Ley 1564 de 2012 impone la condena", None), (1, 4, "La Ley 1564 de 2012 existe", None),
+        (1, 5, "Lo firmó J. Rojas", None), (1, 6, "Está probado el pago", "PARTY_ALLEGATION"), (1, 7, "Lo dice la Ley 80 de 1993", None), (2, 1, "Lo dice la Ley 45 de 1990", None), (1, 8, "Rige el artículo 12 del acta", None),
+    ]
+    cites = [(k, i, "S1" if i == 4 else "D1", None) for k, i, *_ in claims] + [(1, 4, "D2", None)]
+    evidence = [(1, "D1", "acta", "acta sobre la ley 80 de 1993", 0.9, None, "page"), (1, "D2", "x", "x", 0.5, None, "page"), (1, "S1", "y", "y", 0.5, None, "segment"), (2, "D1", "acta", "acta", 0.9, None, "page")]
+    rules = [("45", "Ley 45 de 1990", "Intereses", None, "co", None, False), ("CGP", "Código", "Ley 1564 de 2012", "procesos", "co", None, True), ("R1", "Código Viejo", None, "El artículo 12 trata del acta antigua", "co", datetime.date(1990, 1, 1), False),
+             ("R2", "Código Nuevo", "Artículo 12", "El acta rige desde su firma para todas las partes del proceso y sus apoderados, en los plazos que fija el juez.", "co", datetime.date(2020, 1, 1), False)]
+    frame = spark.createDataFrame
+    data = (
+        frame(claims, "case_id int, claim_id int, text string, claim_type string"), frame(cites, "case_id int, claim_id int, handle string, quote_hash string"),
+        frame(evidence, "case_id int, handle string, text string, context string, confidence double, quote string, kind string"), frame([(1, "Juan Rojas Melo", ["J. Rojas"])], "case_id int, name string, aliases array<string>"),
+        frame(rules, "identifier string, source string, title string, text string, jurisdiction string, version_date date, law_level_only boolean"),
+        frame([], "case_id int"), frame([], "case_id int, text_a string, text_b string"), frame([(1, "co"), (2, "mx")], "case_id int, jurisdiction string"),
+    )
+    told = lambda policy: {(r.case_id, r.claim_id, r.code, r.severity) for r in guard.audit(*data, policy).collect()}
+    want = {
+        (1, 2, "LEGAL_RULE_MISSING", "CRITICAL"), (1, 3, "LEGAL_ARTICLE_MISSING", "CRITICAL"), (1, 4, "LOW_OCR_CONFIDENCE", "HIGH"), (1, 5, "PARTY_MISMATCH", "HIGH"),
+        (1, 7, "LEGAL_RULE_MISSING", "HIGH"), (2, 1, "LEGAL_RULE_MISSING", "CRITICAL"),
+    }
+    assert told(None) == want
+    assert told({"allowed_jurisdictions": ("co",)}) == want | {(2, None, "JURISDICTION_MISMATCH", "CRITICAL")}
+    assert told({"require_legal_norm": False, "block_on_parties": False, "min_ocr_confidence": 0.1}) == {(1, 4, "LOW_ASR_CONFIDENCE", "HIGH")}
+    article = guard.rules_for(frame([(1, 8, "article", "12", "co", "Rige el artículo 12 del acta")], "case_id int, claim_id int, kind string, identifier string, jurisdiction string, text string"), data[4], ["case_id", "claim_id"]).first()
+    assert article.r.source == "Código Nuevo"
