@@ -7,12 +7,12 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .common import cut
-from .search import K1, B, ranked
+from .search import K1, B, has_phrase, locate, ranked
 
 #: What one occurrence is worth, and the limit of the sum of 1 / n^2 by which the plain rank is divided: fixed values.
 WEIGHT = 0.1
@@ -228,3 +228,33 @@ def _block_top_k(docs: DataFrame, asked: DataFrame, key: str, k: int, query: str
         )
 
     return own.mapInArrow(best, f"{query} long, {key} long, score double")
+
+
+def asked_terms(docs: DataFrame, text: str) -> DataFrame:
+    """``query_id, term``: the stems of one question."""
+    one = docs.sparkSession.createDataFrame([(0, text)], "query_id long, text string")
+    return one.select("query_id", F.explode(T.content_set(F.col("text"))).alias("term"))
+
+
+def search_texts(texts: DataFrame, text: str, k: int, key: str = "id") -> DataFrame:
+    """``key, place, score``: the k best texts for a question by cover density of any of its terms."""
+    found = density_top_k(texts, asked_terms(texts, text), key, k)
+    return found.select(key, F.col("rank").alias("place"), "score")
+
+
+def case_search(pages: DataFrame, segments: DataFrame, text: str, k: int = 8) -> DataFrame:
+    """``kind, id, found, place``: exact phrases first, then speech with any word, then what ranks best.
+
+    pages: id, text; segments: id, text, speaker; ids are whole numbers.  Exact phrases are looked for in pages and segments;
+    what several ways find counts where it comes first; of one way pages come first, then ids, ranked ones by rank.
+    """
+    limit = min(max(1, k), 40)
+    every = pages.select(F.lit("page").alias("kind"), "id", "text").union(segments.select(F.lit("segment"), "id", "text"))
+    exact = every.filter(has_phrase(F.col("text"), text)).select("kind", "id", F.lit(0).alias("way"), F.lit(0).alias("rank"))
+    said = locate(pages.limit(0), segments, text).select("kind", "id", F.lit(1).alias("way"), F.lit(0).alias("rank"))
+    best = bm25_top_k(pages, asked_terms(pages, text), "id", limit).select(F.lit("page").alias("kind"), "id", F.lit(2).alias("way"), F.col("rank").cast("int").alias("rank"))
+    once = exact.union(said).union(best).groupBy("kind", "id").agg(F.min(F.struct("way", "rank")).alias("w"))
+    top = once.orderBy("w.way", "w.rank", "kind", "id").limit(limit)
+    name = F.element_at(F.array(*map(F.lit, ("exact", "transcript", "hybrid"))), F.col("w.way") + 1)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("w.way", "w.rank", "kind", "id"))  # a top-k list
+    return top.select("kind", "id", name.alias("found"), place.alias("place"))

@@ -29,25 +29,6 @@ def _(t: Tables):
     return search.locate(pages, segments, "Heoron 007").select("kind", "id")
 
 
-@query("x18_phrase", f"SELECT doc_id FROM documents WHERE regexp_matches({D.fold('text')}, '(^|[^0-9a-z])anand.{{0,12}}the([^0-9a-z]|$)')")
-def _(t: Tables):
-    return t.documents.filter(search.has_phrase(c("text"), "Anand THE")).select("doc_id")
-
-
-@query(
-    "x20_case_search",
-    f"WITH x AS (SELECT doc_id AS id, 0 AS p FROM documents WHERE regexp_matches({D.fold('text')}, '(^|[^0-9a-z])heoron.{{0,12}}the([^0-9a-z]|$)') UNION ALL SELECT conv_id*100+turn, 1 FROM conversations WHERE contains({D.fold('text')},'heoron') OR contains({D.fold('text')},'the')"
-    f" UNION ALL SELECT doc_id, 2 FROM documents WHERE list_contains({D.stems('text')},'heoron')), m AS (SELECT id, min(p) AS p FROM x GROUP BY 1) SELECT id, CAST(p AS INT) AS p FROM m ORDER BY p, id LIMIT 40",
-)
-def _(t: Tables):
-    exact = t.documents.filter(search.has_phrase(c("text"), "heoron the")).select(c("doc_id").alias("id"), F.lit(0).alias("p"))
-    said = search.locate(t.documents.select(c("doc_id").alias("id"), "text").limit(0), t.conversations.select((c("conv_id") * 100 + c("turn")).alias("id"), "text", c("role").alias("speaker")), "heoron the")
-    words = t.documents.filter(F.array_contains(T.content_set(c("text")), "heoron")).select(c("doc_id").alias("id"), F.lit(2).alias("p"))
-    # Exact phrases first, then speech, then what the words alone find; a top-40 list.
-    every = exact.union(said.select("id", F.lit(1).alias("p"))).union(words)
-    return every.groupBy("id").agg(F.min("p").alias("p")).orderBy("p", "id").limit(40)
-
-
 @query(
     "x19_occurrences",
     "WITH s AS (SELECT DISTINCT l_orderkey%200 AS file, l_linestatus AS speaker, l_linenumber*7000+(l_partkey%5)*1000 AS a FROM lineitem), g AS (SELECT *, sum(CASE WHEN a-(p+1500) BETWEEN 0 AND 2000 THEN 0 ELSE 1 END) OVER (PARTITION BY file, speaker ORDER BY a) AS run FROM (SELECT *, lag(a) OVER (PARTITION BY file, speaker ORDER BY a) AS p FROM s)),"

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import citing, evaluation, extraction
+from ..functions import text as T
+from ..operators import citing, evaluation, extraction, guard, ranking, search
 from ..sources import packages
 from ..sources.tenants import Catalogue
 from . import duck as D
 from .checking import FOUND, passages_found
 from .registry import Tables, query
-from .searching import BM25, lexical
+from .searching import BM25, QUERIES_SQL, _posted, lexical
 
 c = F.col
 
@@ -23,14 +24,21 @@ _CITES = (
 )
 
 
-@query(
-    "v5_citation_validity",
+V5 = (
     f"WITH {_CITES}, p AS (SELECT citation_id, CASE WHEN doc_id IS NULL THEN 'page_not_found' ELSE concat_ws(',', CASE WHEN page_case<>case_id THEN 'case_mismatch' END, CASE WHEN char_end>length(text) THEN 'offset_out_of_range' END,"
     " CASE WHEN char_end<=length(text) AND turn%4=3 AND substring(text,char_start+1,30)<>'another' THEN 'quote_hash_mismatch' END) END AS reasons FROM cit LEFT JOIN pg ON doc_id=document_id WHERE role='user'),"
     " s AS (SELECT citation_id, CASE WHEN id IS NULL THEN 'segment_not_found' ELSE concat_ws(',', CASE WHEN seg_case<>case_id THEN 'case_mismatch' END, CASE WHEN start_ms<s0 OR end_ms>s1 THEN 'timestamp_out_of_segment' END) END AS reasons FROM cit LEFT JOIN seg ON id=segment_id WHERE role<>'user')"
-    " SELECT citation_id, reasons='' AS valid, reasons FROM (FROM p UNION ALL FROM s)",
+    " SELECT citation_id, reasons='' AS valid, reasons FROM (FROM p UNION ALL FROM s) WHERE true"
 )
+
+
+@query("v5_citation_validity", V5)
 def _(t: Tables):
+    return citing.validity(*cited_turns(t)).select("citation_id", "valid", F.array_join("reasons", ",").alias("reasons"))
+
+
+def cited_turns(t: Tables):
+    """Citations, pages and segments."""
     v = t.conversations
     case = lambda x: F.concat(F.lit("c"), (c(x) % 50).cast("string"))
     pages = t.documents.select(case("doc_id").alias("case_id"), c("doc_id").alias("document_id"), F.lit(1).alias("page_number"), "text")
@@ -44,7 +52,7 @@ def _(t: Tables):
     # Who quoted took the characters from the document, but for every fourth turn.
     taken = F.when(c("turn") % 4 == 3, F.lit("another")).otherwise(F.substring("primary", c("char_start") + 1, c("char_end") - c("char_start")))
     cited = cited.join(quoted, "document_id", "left").withColumn("quote_hash", F.sha2(F.coalesce(taken, F.lit("")), 256)).drop("primary", "turn")
-    return citing.validity(cited, pages, segments).select("citation_id", "valid", F.array_join("reasons", ",").alias("reasons"))
+    return cited, pages, segments
 
 
 _NUMBERS = lambda a, b: f"len(list_filter({D.numbers(a)}, lambda n: NOT list_contains({D.numbers(b)}, n)))=0"
@@ -150,3 +158,73 @@ def _(t: Tables):
     for name in all_of.names:
         out = out.unionByName(count(name, all_of.of(7).table(name)))
     return out
+
+
+# ---- searches as users call them ----
+
+PHRASE = "(^|[^0-9a-z])with.{0,12}that([^0-9a-z]|$)"
+_TWO = "q AS (SELECT 0 AS query_id, unnest(['with','that']) AS term)"
+CASE_SEARCH = (
+    f"WITH {BM25.replace(QUERIES_SQL, _TWO)}, v AS (SELECT conv_id*100+turn AS id, {D.fold('text')} AS f, role FROM conversations),"
+    f" x AS (SELECT 'page' AS kind, doc_id AS id, 0 AS way, 0 AS rank FROM documents WHERE regexp_matches({D.fold('text')}, '{PHRASE}') UNION ALL SELECT 'segment', id, 0, 0 FROM v WHERE regexp_matches(f, '{PHRASE}')"
+    " UNION ALL SELECT 'segment', id, 1, 0 FROM v WHERE contains(f,'with') OR contains(f,'that') OR contains(role,'with') OR contains(role,'that') UNION ALL SELECT 'page', doc_id, 2, rank FROM lex WHERE rank<=40),"
+    " m AS (SELECT kind, id, min(way*1000+rank) AS w FROM x GROUP BY 1,2) SELECT kind, id, ['exact','transcript','hybrid'][w//1000+1] AS found, row_number() OVER (ORDER BY w, kind, id) AS place FROM m ORDER BY place LIMIT 40"
+)
+
+
+def case_texts(t: Tables):
+    """Pages and segments of all cases as searches take them."""
+    return t.documents.select(c("doc_id").alias("id"), "text"), t.conversations.select((c("conv_id") * 100 + c("turn")).alias("id"), "text", c("role").alias("speaker"))
+
+
+@query("x18_phrase", f"SELECT 'page' AS kind, doc_id AS id FROM documents WHERE regexp_matches({D.fold('text')}, '{PHRASE}') UNION ALL SELECT 'segment', conv_id*100+turn FROM conversations WHERE regexp_matches({D.fold('text')}, '{PHRASE}')")
+def _(t: Tables):
+    pages, segments = case_texts(t)
+    every = pages.select(F.lit("page").alias("kind"), "id", "text").union(segments.select(F.lit("segment"), "id", "text"))
+    return every.filter(search.has_phrase(c("text"), "With THAT")).select("kind", "id")
+
+
+@query("x20_case_search", CASE_SEARCH)
+def _(t: Tables):
+    return ranking.case_search(*case_texts(t), "with that", 40).withColumn("place", c("place").cast("long"))
+
+
+_SPOKEN = "v AS (SELECT conv_id*100+turn AS id, text FROM conversations)"
+
+
+@query(
+    "x22_transcript_search",
+    f"WITH {_SPOKEN}, {_posted('vp', 'id', 'v')}, s AS (SELECT id, 0.1::DOUBLE*sum(n) AS score FROM vp WHERE term IN ('with','that') GROUP BY 1) SELECT id, row_number() OVER (ORDER BY round(score,9) DESC, id) AS place, round(score,6) AS score FROM s ORDER BY place LIMIT 25",
+)
+def _(t: Tables):
+    return ranking.search_texts(case_texts(t)[1], "with that", 25).select("id", c("place").cast("long").alias("place"), F.round("score", 6).alias("score"))
+
+
+@query(
+    "x13_lexical_fallback",
+    f"WITH {_SPOKEN}, u AS (SELECT doc_id*2 AS id, text FROM documents UNION ALL SELECT id*2+1, text FROM v), {_posted('up', 'id', 'u')}, {QUERIES_SQL}, s AS (SELECT query_id, id, 0.1::DOUBLE*sum(n) AS score FROM q JOIN up USING(term) GROUP BY 1,2),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,9) DESC, id) AS place FROM s) SELECT query_id, CASE WHEN id%2=0 THEN 'page' ELSE 'segment' END AS kind, id//2 AS id, place FROM r WHERE place<=12",
+)
+def _(t: Tables):
+    """Pages and segments in one list, for every question."""
+    pages, segments = case_texts(t)
+    both = pages.select((c("id") * 2).alias("id"), "text").union(segments.select(c("id") * 2 + 1, "text"))  # one number line: pages are even
+    asked = t.benchmark.select(c("item_id").alias("query_id"), F.explode(T.content_set(c("text"))).alias("term")).distinct()
+    found = ranking.density_top_k(both, asked, "id", 12)
+    return found.select("query_id", F.when(c("id") % 2 == 0, "page").otherwise("segment").alias("kind"), F.shiftright("id", 1).alias("id"), c("rank").cast("long").alias("place"))
+
+
+def rules_of(t: Tables):
+    """Parts as rules: each has an identifier, and its title names the next article."""
+    return t.part.select(c("p_partkey").cast("string").alias("identifier"), c("p_brand").alias("source"), F.concat(F.lit("Artículo "), (c("p_partkey") + 1).cast("string")).alias("title"), c("p_name").alias("text"), F.date_add(F.to_date(F.lit("2000-01-01")), c("p_size").cast("int")).alias("version_date"))
+
+
+@query(
+    "x27_rule_lookup",
+    "WITH o AS (SELECT o_orderkey AS k, o_orderkey%(SELECT 3*count(*) FROM part)+1 AS a FROM orders) SELECT k, coalesce(p.p_name, n.p_name) AS rule FROM o LEFT JOIN part p ON p.p_partkey=a LEFT JOIN part n ON n.p_partkey+1=a WHERE coalesce(p.p_name, n.p_name) IS NOT NULL",
+)
+def _(t: Tables):
+    """Orders cite an article: the part with that identifier, or else the one whose title names it."""
+    cited = (c("o_orderkey") % F.lit(3 * t.part.count()) + 1).cast("string")
+    norms = t.orders.select(c("o_orderkey").alias("k"), F.lit("article").alias("kind"), cited.alias("identifier"), F.lit("").alias("jurisdiction"), F.lit("").alias("text"))
+    return guard.rules_for(norms, rules_of(t), ["k"]).select("k", "r.rule")

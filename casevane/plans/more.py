@@ -131,12 +131,6 @@ def _(t: Tables):
     return t.benchmark.select("item_id", R.each(R.ngram_vector, "array<double>")(c("text")).alias("v")).select("item_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"), F.size(F.filter("v", lambda x: x != 0)).alias("used"))
 
 
-@query("x22_transcript_search", "SELECT conv_id, turn FROM conversations WHERE regexp_matches(lower(text),'(^|[^a-z])the') AND regexp_matches(lower(text),'(^|[^a-z])of') ORDER BY length(text) DESC, conv_id, turn LIMIT 25")
-def _(t: Tables):
-    x = F.lower("text")
-    return t.conversations.filter(x.rlike("(^|[^a-z])the") & x.rlike("(^|[^a-z])of")).orderBy(F.desc(F.length("text")), "conv_id", "turn").limit(25).select("conv_id", "turn")
-
-
 @query("x23_name_search_with_path", "SELECT 'root/'||r_name||'/'||n_name||'/'||s_name AS path FROM supplier JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey WHERE s_name ILIKE '%7%'")
 def _(t: Tables):
     n = t.nation.join(t.region, c("n_regionkey") == c("r_regionkey"))

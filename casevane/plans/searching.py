@@ -140,13 +140,6 @@ def _(t: Tables):
     return t.documents.select("source").join(t.documents.filter("n_chars > 25000").select("source"), "source", "left_anti").distinct()
 
 
-@query("x13_lexical_fallback", "SELECT kind, id FROM (SELECT 'page' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'segment', conv_id*100+turn, text FROM conversations) WHERE text ILIKE '%tion%' ORDER BY length(text) DESC, kind, id LIMIT 20")
-def _(t: Tables):
-    a = t.documents.select(F.lit("page").alias("kind"), c("doc_id").alias("id"), "text")
-    b = t.conversations.select(F.lit("segment").alias("kind"), (c("conv_id") * 100 + c("turn")).alias("id"), "text")
-    return a.union(b).filter(c("text").ilike("%tion%")).orderBy(F.desc(F.length("text")), "kind", "id").limit(20).select("kind", "id")
-
-
 @query("x14_scope_merge", "WITH u AS (SELECT doc_id, 0 AS p, doc_id AS r FROM documents WHERE lang='es' UNION ALL SELECT doc_id, 1, doc_id FROM documents WHERE n_chars>3000), m AS (SELECT doc_id, min((p,r)) AS k FROM u GROUP BY 1) SELECT doc_id, row_number() OVER (ORDER BY k) AS pos FROM m ORDER BY pos LIMIT 50")
 def _(t: Tables):
     a = t.documents.filter("lang = 'es'").select("doc_id", F.lit(0).alias("p"))
@@ -178,11 +171,6 @@ def _(t: Tables):
     return coverage(t).filter("coverage < 0.6").select("query_id")
 
 
-@query("x27_rule_lookup", "SELECT p_brand, arg_min(p_partkey, (-p_retailprice, p_partkey)) AS rule FROM part GROUP BY 1")
-def _(t: Tables):
-    return t.part.groupBy("p_brand").agg(F.min_by("p_partkey", F.struct(-c("p_retailprice"), "p_partkey")).alias("rule"))
-
-
 @query("x28_file_resolution", "SELECT s_suppkey FROM supplier WHERE s_name ILIKE '%00001%' ORDER BY length(s_name), s_suppkey LIMIT 1")
 def _(t: Tables):
     return t.supplier.filter(c("s_name").ilike("%00001%")).orderBy(F.length("s_name"), "s_suppkey").limit(1).select("s_suppkey")

@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import legal as L
 from ..functions import text as T
-from ..operators import graph, joins, sequence
+from ..operators import citing, graph, guard, joins, ranking, search, sequence
 from . import duck as D
+from .evidence import CASE_SEARCH, V5, case_texts, cited_turns, rules_of
 from .linking import EDGES, edges_of
 from .registry import Tables, query
+from .searching import _posted
 
 c = F.col
 TOOLS: dict[str, Callable[..., DataFrame]] = {}
@@ -46,16 +49,14 @@ def has(term: str):
     return F.lower("text").contains(term.lower())
 
 
-@tool("SELECT kind, id FROM (SELECT 'page' AS kind, doc_id AS id, 0 AS p FROM documents WHERE lower(text) LIKE '%and the%' UNION ALL SELECT 'segment', conv_id*100+turn, 1 FROM conversations WHERE lower(text) LIKE '%and the%') ORDER BY p, id LIMIT 40", query="and the", k=40)
+@tool(CASE_SEARCH, query="with that", k=40)
 def search_case(t: Tables, query: str, k: int = 8) -> DataFrame:
-    a = pages(t).filter(has(query)).select(F.lit("page").alias("kind"), c("page_number").alias("id"), F.lit(0).alias("p"))
-    b = segments(t).filter(has(query)).select(F.lit("segment"), c("media_id") * 100 + c("turn"), F.lit(1))
-    return a.union(b).orderBy("p", "id").limit(min(k, 40)).select("kind", "id")
+    return ranking.case_search(*case_texts(t), query, k).withColumn("place", c("place").cast("long"))
 
 
-@tool("SELECT doc_id AS page_number FROM documents WHERE lower(text) LIKE '%tion%' ORDER BY n_chars DESC, doc_id LIMIT 5", query="tion")
+@tool(f"WITH {_posted('dp', 'doc_id', 'documents')}, s AS (SELECT id, sum(n) AS n FROM dp WHERE term IN ('with','that') GROUP BY 1) SELECT id AS page_number FROM s ORDER BY n DESC, id LIMIT 5", query="with that")
 def search_documents(t: Tables, query: str, k: int = 5) -> DataFrame:
-    return pages(t).filter(has(query)).orderBy(F.desc("n_chars"), "page_number").limit(k).select("page_number")
+    return ranking.search_texts(case_texts(t)[0], query, k).select(c("id").alias("page_number"))
 
 
 @tool("SELECT doc_id AS page_number, n_chars FROM documents WHERE source='src1' AND doc_id BETWEEN 0 AND 900 ORDER BY doc_id LIMIT 10", document_id="src1", from_page=0, to_page=900)
@@ -112,10 +113,11 @@ def process_path(t: Tables, event: int, depth: int = 6) -> DataFrame:
     return graph.traverse(links(t), t.spark.createDataFrame([(event,)], "id long"), min(depth, 12), directed=True)
 
 
-@tool("SELECT conv_id AS media_id, turn FROM conversations WHERE lower(text) LIKE '%the%' ORDER BY conv_id, turn LIMIT 30", query="the", k=30)
+@tool(f"WITH v AS (SELECT conv_id*100+turn AS id, text FROM conversations), {_posted('vp', 'id', 'v')}, s AS (SELECT id, sum(n) AS n FROM vp WHERE term IN ('with','that') GROUP BY 1) SELECT id//100 AS media_id, id%100 AS turn FROM s ORDER BY n DESC, id LIMIT 30", query="with that", k=30)
 def search_transcripts(t: Tables, query: str, k: int, media_id: int | None = None) -> DataFrame:
-    s = segments(t).filter(has(query))
-    return (s if media_id is None else s.filter(c("media_id") == media_id)).orderBy("media_id", "turn").limit(k).select("media_id", "turn")
+    s = case_texts(t)[1]
+    found = ranking.search_texts(s if media_id is None else s.filter(F.floor(c("id") / 100) == media_id), query, k)
+    return found.select(F.floor(c("id") / 100).alias("media_id"), (c("id") % 100).alias("turn"))
 
 
 @tool(f"WITH {D.SEGMENTS} SELECT media_id, turn FROM seg WHERE end_ms>=0.1::DOUBLE*60000 AND start_ms<=0.5::DOUBLE*60000 AND lower(text) LIKE '%on%' ORDER BY media_id, start_ms LIMIT 50", query="on", from_minute=0.1, to_minute=0.5, k=50)
@@ -131,10 +133,9 @@ def get_video_segment(t: Tables, media_id: int, at_minute: float) -> DataFrame:
     return segments(t).filter(c("media_id") == media_id).orderBy(*near).limit(1).select("turn")
 
 
-@tool("SELECT kind, id FROM (SELECT 'page' AS kind, doc_id AS id FROM documents WHERE lower(text) LIKE '%onthe%' UNION ALL SELECT 'segment', conv_id*100+turn FROM conversations WHERE lower(text) LIKE '%onthe%') ORDER BY kind, id LIMIT 300", term="onthe")
+@tool(f"SELECT kind, id FROM (SELECT 'page' AS kind, doc_id AS id FROM documents WHERE contains({D.fold('text')},'with') AND contains({D.fold('text')},'that') UNION ALL SELECT 'segment', conv_id*100+turn FROM conversations WHERE contains({D.fold('text')},'with') OR contains({D.fold('text')},'that')) ORDER BY kind, id LIMIT 300", term="With that")
 def locate(t: Tables, term: str, k: int = 300) -> DataFrame:
-    a = pages(t).filter(has(term)).select(F.lit("page").alias("kind"), c("page_number").alias("id"))
-    return a.union(segments(t).filter(has(term)).select(F.lit("segment"), c("media_id") * 100 + c("turn"))).orderBy("kind", "id").limit(k)
+    return search.locate(*case_texts(t), term, k)
 
 
 @tool("SELECT source AS name, count(*) AS pages FROM documents WHERE source ILIKE '%src1%' GROUP BY 1", query="src1")
@@ -210,13 +211,13 @@ def list_facts(t: Tables, proof: str | None = None, side: str | None = None, lim
     return f.orderBy("o_orderkey").limit(limit).select("o_orderkey")
 
 
-@tool("SELECT l_linenumber, l_partkey, CASE WHEN p_partkey IS NULL THEN 'missing' WHEN l_quantity>50 THEN 'range' ELSE 'ok' END AS verdict FROM lineitem LEFT JOIN part ON p_partkey=l_partkey WHERE l_orderkey=33", citation=33)
+@tool(f"{V5} AND citation_id=1", citation=1)
 def verify_citation(t: Tables, citation: int) -> DataFrame:
-    x = t.lineitem.filter(c("l_orderkey") == citation).join(t.part, c("l_partkey") == c("p_partkey"), "left")
-    return x.select("l_linenumber", "l_partkey", F.when(c("p_partkey").isNull(), "missing").when(c("l_quantity") > 50, "range").otherwise("ok").alias("verdict"))
+    cited, pages, segments = cited_turns(t)
+    return citing.validity(cited.filter(c("citation_id") == citation), pages, segments).select("citation_id", "valid", F.array_join("reasons", ",").alias("reasons"))
 
 
-@tool("SELECT p_partkey, p_name FROM part WHERE regexp_replace(p_brand,'[^0-9]','','g')='12' ORDER BY p_retailprice DESC, p_partkey LIMIT 5", identifier="No. 12")
-def lookup_legal_rule(t: Tables, identifier: str, k: int = 5) -> DataFrame:
-    number = "".join(ch for ch in identifier if ch.isdigit())
-    return t.part.filter(F.regexp_replace("p_brand", "[^0-9]", "") == number).orderBy(F.desc("p_retailprice"), "p_partkey").limit(k).select("p_partkey", "p_name")
+@tool("SELECT p_name AS rule FROM part WHERE p_partkey=12", identifier="Art. 12")
+def lookup_legal_rule(t: Tables, identifier: str, claim: str = "") -> DataFrame:
+    asked = t.spark.createDataFrame([(identifier, claim)], "cited string, text string").select(F.lit(0).alias("k"), F.explode(L.norms(c("cited"))).alias("n"), F.lit("").alias("jurisdiction"), "text")
+    return guard.rules_for(asked.select("k", "n.kind", "n.identifier", "jurisdiction", "text"), rules_of(t), ["k"]).select("r.rule")
\ No newline at end of file
