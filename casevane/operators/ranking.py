@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .common import cut
-from .search import K1, B, has_phrase, locate, ranked
+from .search import K1, B, fuse, has_phrase, locate, ranked
 
 #: What one occurrence is worth, and the limit of the sum of 1 / n^2 by which the plain rank is divided: fixed values.
 WEIGHT = 0.1
@@ -258,3 +258,23 @@ def case_search(pages: DataFrame, segments: DataFrame, text: str, k: int = 8) ->
     name = F.element_at(F.array(*map(F.lit, ("exact", "transcript", "hybrid"))), F.col("w.way") + 1)
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("w.way", "w.rank", "kind", "id"))  # a top-k list
     return top.select("kind", "id", name.alias("found"), place.alias("place"))
+
+
+def retrieve(coverage: DataFrame, lists: list[DataFrame], citable: DataFrame, extra: DataFrame, score: Callable[[DataFrame], DataFrame], key: str, k: int, candidates: int = 30, least: float = 0.0) -> DataFrame:
+    """``query_id, key, place, handle, score``: what an answer may cite, in order (X11).
+
+    A question whose terms the case covers to ``least`` or less gets nothing, and no later step sees it; one without a measured
+    coverage goes on (coverage: query_id, coverage).  The ranked lists (query_id, key, rank) are fused to ``candidates``; what
+    can't be cited (citable: key) leaves before the top is taken; hits in sources that have no index (extra, as the lists) join
+    behind.  ``score`` gives each of these rows its ``score`` (query_id, key, rank, coverage); the k best are E1, E2 and so on, equal
+    ones by their place before.
+    """
+    passed = cut(coverage.filter(F.col("coverage").isNull() | (F.col("coverage") > least)).select("query_id", "coverage"))
+    open_ = lambda df: df.join(passed.select("query_id"), "query_id", "left_semi")
+    fused = fuse([open_(x) for x in lists], "query_id", key, candidates).join(citable.select(key).distinct(), key, "left_semi")
+    behind = open_(extra).select("query_id", key, (F.col("rank") + candidates).alias("rank"))
+    both = fused.select("query_id", key, "rank").unionByName(behind).groupBy("query_id", key).agg(F.min("rank").alias("rank"))
+    rated = score(both.join(passed, "query_id"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "rank", key)
+    best = rated.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    return best.select("query_id", key, "place", F.concat(F.lit("E"), F.col("place").cast("string")).alias("handle"), "score")

@@ -11,7 +11,7 @@ from ..sources.tenants import Catalogue
 from . import duck as D
 from .checking import FOUND, passages_found
 from .registry import Tables, query
-from .searching import BM25, QUERIES_SQL, _posted, lexical
+from .searching import _HAVE, BM25, HYBRID, QUERIES_SQL, _posted, coverage, dense, doc_sets, lexical, terms_of
 
 c = F.col
 
@@ -228,3 +228,34 @@ def _(t: Tables):
     cited = (c("o_orderkey") % F.lit(3 * t.part.count()) + 1).cast("string")
     norms = t.orders.select(c("o_orderkey").alias("k"), F.lit("article").alias("kind"), cited.alias("identifier"), F.lit("").alias("jurisdiction"), F.lit("").alias("text"))
     return guard.rules_for(norms, rules_of(t), ["k"]).select("k", "r.rule")
+
+
+_RATED = "0.40::DOUBLE*cov+0.20::DOUBLE*prior+0.15::DOUBLE*prox"
+
+
+@query(
+    "x11_gated_retrieval",
+    f"WITH {HYBRID}, have AS ({_HAVE}), cv AS (SELECT query_id, round(count(h.term)/count(*)::DOUBLE,6) AS coverage FROM q LEFT JOIN have h USING(term) GROUP BY 1 HAVING coverage>0.6),"
+    " bare AS (SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)), " + _posted("bp", "doc_id", "bare") + ","
+    " bs AS (SELECT query_id, id AS doc_id, 0.1::DOUBLE*sum(n) AS s FROM q JOIN bp USING(term) GROUP BY 1,2), b5 AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s,9) DESC, doc_id) AS rank FROM bs),"
+    " c AS (SELECT query_id, doc_id, min(rank) AS rank FROM (SELECT query_id, doc_id, rank FROM h WHERE rank<=30 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic=1) UNION ALL SELECT query_id, doc_id, rank+30 FROM b5 WHERE rank<=5) GROUP BY 1,2),"
+    f" qs AS (SELECT item_id AS query_id, {D.stems('text')} AS q FROM benchmark), ds AS MATERIALIZED (SELECT doc_id, lang, n_chars, {D.stems('text')} AS s FROM documents WHERE doc_id IN (SELECT doc_id FROM c)),"
+    " x AS (SELECT query_id, doc_id, rank, len(list_intersect(q,s))/len(q)::DOUBLE AS cov, least(1.0::DOUBLE,n_chars/20011.0::DOUBLE) AS prox, CASE WHEN lang='en' THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END AS prior FROM c JOIN cv USING(query_id) JOIN ds USING(doc_id) JOIN qs USING(query_id)),"
+    f" r AS (SELECT query_id, doc_id, rank, round(least(1,greatest(0,{_RATED})),6) AS score FROM x), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, doc_id) AS place FROM r)"
+    " SELECT query_id, doc_id, place, 'E'||place AS handle, score FROM o WHERE place<=8",
+)
+def _(t: Tables):
+    """Toxic documents can't be cited; documents without a vector have no index."""
+    bare = t.documents.select("doc_id", "text").join(t.embeddings.select(c("vec_id").alias("doc_id")), "doc_id", "left_anti")
+    extra = ranking.density_top_k(bare, terms_of(t), "doc_id", 5)
+    citable = t.documents.select("doc_id").join(t.labels.filter("toxic = 1"), "doc_id", "left_anti")
+    asked = t.benchmark.select(c("item_id").alias("query_id"), T.content_set(c("text")).alias("q"))
+
+    def score(rows):
+        x = rows.join(doc_sets(t, rows), "doc_id").join(asked, "query_id")
+        share = F.size(F.array_intersect("q", "s")) / F.size("q")
+        rated = search.relevance(share, F.lit(0.0), F.when(c("lang") == "en", 1.0).otherwise(0.7), F.least(F.lit(1.0), c("n_chars") / 20011), c("coverage"))
+        return x.select("query_id", "doc_id", "rank", rated.alias("score"))
+
+    got = ranking.retrieve(coverage(t), [lexical(t), dense(t)], citable, extra, score, "doc_id", 8, least=0.6)
+    return got.withColumn("place", c("place").cast("long"))

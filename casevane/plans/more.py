@@ -77,8 +77,7 @@ _HEADING = (
 _MARK = "^([-•*·▪◦]|[0-9]{1,3}[.)])\\s+"
 
 
-@query(
-    "t30_markdown",
+MARKDOWN = (
     "WITH l AS (SELECT doc_id, list_transform(string_split_regex(coalesce(text,''), '\\r\\n|[\\n\\r]'), lambda x: regexp_replace(x,'^\\s+|\\s+$','','g')) AS ls FROM documents),"
     " u AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls,1) AS i FROM l),"
     f" k AS (SELECT *, CASE WHEN x='' THEN 'blank' WHEN {_HEADING} THEN 'heading' WHEN regexp_matches(x,'{_MARK}') THEN 'item' ELSE 'text' END AS kind FROM u),"
@@ -86,8 +85,11 @@ _MARK = "^([-•*·▪◦]|[0-9]{1,3}[.)])\\s+"
     " n AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g WHERE kind<>'blank'),"
     " o AS (SELECT doc_id, string_agg(CASE WHEN before IS NULL THEN '' WHEN before='item' THEN chr(10) WHEN kind='text' AND prev='text' THEN ' ' ELSE chr(10)||chr(10) END ||"
     f" CASE kind WHEN 'heading' THEN '### '||x WHEN 'item' THEN CASE WHEN regexp_matches(x,'^[0-9]') THEN '1. ' ELSE '- ' END||regexp_replace(x,'{_MARK}','') ELSE x END, '' ORDER BY i) AS m FROM n GROUP BY 1)"
-    " SELECT doc_id, md5(coalesce(m,'')) AS h FROM documents LEFT JOIN o USING(doc_id)",
+    " SELECT doc_id, md5(coalesce(m,'')) AS h FROM documents LEFT JOIN o USING(doc_id)"
 )
+
+
+@query("t30_markdown", MARKDOWN)
 def _(t: Tables):
     return t.documents.select("doc_id", F.md5(T.markdown(c("text"))).alias("h"))
 
@@ -219,7 +221,10 @@ def _(t: Tables):
     return t.conversations.select("conv_id", "turn", (F.round(hits / 3, 6) >= 0.66).alias("supported"))
 
 
-@query("k12_forbidden_phrase")
+_DENIED = "list_bool_or(list_transform(['no ','nunca','sin ','falta','carece','tampoco'], lambda n: contains(substr(low, greatest(1,i-45), i-greatest(1,i-45)), n)))"
+
+
+@query("k12_forbidden_phrase", f"WITH l AS (SELECT conv_id, turn, lower(coalesce(text,'')) AS low FROM conversations) SELECT conv_id, turn, len(list_filter(range(1,length(low)+1), lambda i: substr(low,i,3)='the' AND NOT {_DENIED}))>0 AS hit FROM l")
 def _(t: Tables):
     return t.conversations.select("conv_id", "turn", R.each(R.forbidden, "boolean")(c("text"), F.lit("the ")).alias("hit"))
 

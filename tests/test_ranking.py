@@ -82,3 +82,31 @@ def test_bm25_where_the_documents_are(spark, texts, block, monkeypatch):
         told = lambda rows: sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in rows)
         assert told(got) == told(want)
     assert ranking.bm25_top_k(docs.limit(0), queries, "doc_id", 3).collect() == []
+
+
+def test_retrieval_stops_at_the_gate(spark):
+    frame = spark.createDataFrame
+    coverage = frame([(1, 0.8), (2, 0.0), (3, None), (4, 0.5)], "query_id long, coverage double")
+    lexical = frame([(q, d, r) for q in (1, 2, 3) for r, d in enumerate((10, 11, 12), 1)], "query_id long, doc_id long, rank int")
+    vector = frame([(1, 12, 1), (1, 13, 2), (2, 13, 1)], "query_id long, doc_id long, rank int")
+    citable = frame([(10,), (12,), (13,), (30,)], "doc_id long")
+    extra = frame([(1, 30, 1), (1, 12, 2), (2, 30, 1), (4, 31, 1)], "query_id long, doc_id long, rank int")
+    seen = []
+
+    def score(rows):
+        seen.extend((r.query_id, r.doc_id, r.rank) for r in rows.collect())
+        return rows.select("query_id", "doc_id", "rank", (1.0 - (rows.doc_id == 10).cast("int") * 0.5).alias("score"))
+
+    got = [(r.query_id, r.doc_id, r.handle) for r in ranking.retrieve(coverage, [lexical, vector], citable, extra, score, "doc_id", 3).orderBy("query_id", "place").collect()]
+    assert got == [(1, 12, "E1"), (1, 13, "E2"), (1, 30, "E3"), (3, 12, "E1"), (3, 10, "E2"), (4, 31, "E1")]
+    assert sorted(seen) == [(1, 10, 2), (1, 12, 1), (1, 13, 4), (1, 30, 31), (3, 10, 1), (3, 12, 3), (4, 31, 31)]
+    few = ranking.retrieve(coverage, [lexical, vector], citable, extra, score, "doc_id", 1, least=0.5).collect()
+    assert {r.query_id for r in few} == {1, 3} and all(r.handle == "E1" for r in few)
+
+
+def test_case_search_by_way_found(spark):
+    pages = spark.createDataFrame([(1, "pago del banco central"), (2, "banco y pago"), (3, "pago pago pago"), (4, None)], "id long, text string")
+    segments = spark.createDataFrame([(1, "el banco central dijo", "A"), (2, "nada", "Banco"), (3, "pago, banco central", "B")], "id long, text string, speaker string")
+    got = [(r.kind, r.id, r.found) for r in ranking.case_search(pages, segments, "banco central", 9).orderBy("place").collect()]
+    assert got == [("page", 1, "exact"), ("segment", 1, "exact"), ("segment", 3, "exact"), ("segment", 2, "transcript"), ("page", 2, "hybrid")]
+    assert ranking.case_search(pages, segments, "banco central", 2).count() == 2
