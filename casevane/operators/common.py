@@ -1,4 +1,4 @@
-"""Lineage cuts for iterative operators."""
+"""Lineage cuts for iterative operators, and small inputs dealt to all cores."""
 
 from __future__ import annotations
 
@@ -16,3 +16,9 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small file dealt to all cores before costly work on each; a scan with as many partitions as cores stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

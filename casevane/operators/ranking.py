@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .common import cut
+from .common import cut, spread
 from .search import K1, B, fuse, has_phrase, locate, ranked
 
 #: What one occurrence is worth, and the limit of the sum of 1 / n^2 by which the plain rank is divided: fixed values.
@@ -187,12 +187,12 @@ def _block_top_k(docs: DataFrame, asked: DataFrame, key: str, k: int, query: str
     of_term: list[list[int]] = [[] for _ in names]
     for r in rows:
         of_term[number[r["term"]]].append(place[r[query]])
-    spread = np.array([len(x) for x in of_term], np.int64)
-    first, flat = np.cumsum(spread) - spread, np.array([q for x in of_term for q in x], np.int64)
+    fan = np.array([len(x) for x in of_term], np.int64)  # queries of a term
+    first, flat = np.cumsum(fan) - fan, np.array([q for x in of_term for q in x], np.int64)
     terms = pa.array(names, pa.string())
 
     out = pa.schema([pa.field(key, pa.int64()), pa.field("size", pa.int64()), pa.field("terms", pa.list_(pa.int32())), pa.field("counts", pa.list_(pa.int32()))])
-    own = docs.select(F.col(key).cast("long").alias(key), stems(F.col(text)).alias("stems")).filter(F.size("stems") > 0)
+    own = spread(docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text"))).select(key, stems(F.col("text")).alias("stems")).filter(F.size("stems") > 0)
     own = cut(own.mapInArrow(_hits(terms, out), f"{key} long, size long, terms array<int>, counts array<int>"))
     total = own.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
     df = np.zeros(len(names))
@@ -214,7 +214,7 @@ def _block_top_k(docs: DataFrame, asked: DataFrame, key: str, k: int, query: str
                 tf = part.column(3).flatten().to_numpy().astype(np.float64)
                 size = part.column(1).to_numpy()[doc]
                 worth = idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))) if bm25 else WEIGHT * tf
-                times = spread[term]
+                times = fan[term]
                 within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 cell = np.repeat(doc, times) * len(ids) + flat[np.repeat(first[term], times) + within]
                 cells = n * len(ids)

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import integrity as I  # noqa: E741
 from ..operators import search, voices
+from ..operators.common import spread
 from . import duck as D
 from .registry import Tables, query
 
@@ -144,7 +145,7 @@ def passages_found(t: Tables):
     b = t.benchmark.select("item_id", head.alias("head"), first(words(head)).alias("k"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 2)), lambda i: F.array_join(F.slice(c("w"), i, 3), " "))
     # The first word of a passage may begin inside a word of the document, so its own first word is left out there.
-    d = t.documents.select("doc_id", words(T.fold(c("text"))).alias("w")).select("doc_id", F.explode(F.array_distinct(grams)).alias("k"))
+    d = spread(t.documents.select("doc_id", "text")).select("doc_id", words(T.fold(c("text"))).alias("w")).select("doc_id", F.explode(F.array_distinct(grams)).alias("k"))
     met = d.join(b.select("item_id", "k"), "k").select("item_id", "doc_id").distinct()  # ids only; few pairs
     return met.join(t.documents.select("doc_id", "text"), "doc_id").join(b.select("item_id", "head"), "item_id").filter(T.fold(c("text")).contains(c("head"))).select("item_id", "doc_id")
 

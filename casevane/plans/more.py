@@ -87,6 +87,8 @@ MARKDOWN = (
     f" CASE kind WHEN 'heading' THEN '### '||x WHEN 'item' THEN CASE WHEN regexp_matches(x,'^[0-9]') THEN '1. ' ELSE '- ' END||regexp_replace(x,'{_MARK}','') ELSE x END, '' ORDER BY i) AS m FROM n GROUP BY 1)"
     " SELECT doc_id, md5(coalesce(m,'')) AS h FROM documents LEFT JOIN o USING(doc_id)"
 )
+#: The same for the pages of one document.
+MARKDOWN_OF = MARKDOWN.replace(" SELECT doc_id, md5(coalesce(m,'')) AS h FROM documents LEFT JOIN o USING(doc_id)", " SELECT doc_id AS page_number, coalesce(m,'') AS markdown FROM documents LEFT JOIN o USING(doc_id) WHERE source='src2'")
 
 
 @query("t30_markdown", MARKDOWN)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ranking, resolution, search
-from ..operators.common import cut
+from ..operators.common import cut, spread
 from . import duck as D
 from .registry import Tables, query
 
@@ -31,7 +31,7 @@ def terms_of(t: Tables):
 
 def doc_sets(t: Tables, ids):
     """``doc_id, s`` and the columns of documents but the text: content sets once per document, for the documents of a top-k list."""
-    return t.documents.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("s", T.content_set(c("text"))).drop("text")
+    return spread(t.documents.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")).withColumn("s", T.content_set(c("text"))).drop("text")
 
 
 def lexical(t: Tables, k: int = 20):
@@ -156,7 +156,7 @@ _HAVE = " UNION ".join(f"SELECT DISTINCT unnest({D.stems(x)}) AS term FROM {tabl
     f"WITH {QUERIES_SQL}, have AS ({_HAVE}) SELECT query_id, round(count(h.term)/count(*)::DOUBLE,6) AS coverage FROM q LEFT JOIN have h USING(term) GROUP BY 1",
 )
 def coverage(t: Tables):
-    of = lambda df, text: df.select(F.explode(T.content_set(c(text))).alias("term"))
+    of = lambda df, text: spread(df.select(text)).select(F.explode(T.content_set(c(text))).alias("term"))
     have = reduce(lambda a, b: a.union(b), [of(t.conversations, "text"), of(t.part, "p_name"), of(t.supplier, "s_name"), of(t.customer, "c_name"), of(t.pages, "url"), of(t.nation, "n_name")])
     asked = terms_of(t)
     have = have.join(asked.select("term").distinct(), "term", "left_semi").distinct().withColumn("hit", F.lit(1))  # few terms are asked for

@@ -19,6 +19,7 @@ from ..operators import citing, graph, guard, joins, ranking, search, sequence
 from . import duck as D
 from .evidence import CASE_SEARCH, V5, case_texts, cited_turns, rules_of
 from .linking import EDGES, edges_of
+from .more import MARKDOWN_OF
 from .registry import Tables, query
 from .searching import _posted
 
@@ -70,7 +71,7 @@ def get_document_page(t: Tables, page_number: int, document_id: str | None = Non
     return (p if document_id is None else p.filter(c("document_id") == document_id)).select("page_number", F.md5("text").alias("h"))
 
 
-@tool(document_id="src2")
+@tool(MARKDOWN_OF, document_id="src2")
 def get_document_markdown(t: Tables, document_id: str) -> DataFrame:
     parts = pages(t).filter(c("document_id") == document_id).select("page_number", T.markdown(c("text")).alias("markdown"))
     return parts.orderBy("page_number")
