@@ -130,7 +130,8 @@ def _hits(terms: pa.Array, out: pa.Schema) -> Callable[[Iterable[pa.RecordBatch]
             ends = np.searchsorted(pairs // max(1, len(terms)), np.arange(len(sizes) + 1)).astype(np.int32)
             offsets = pa.array(ends)
             lists_of = lambda v: pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes), lists_of(pairs % max(1, len(terms))), lists_of(counts)], schema=out)
+            every = pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes), lists_of(pairs % max(1, len(terms))), lists_of(counts)], schema=out)
+            yield every.filter(pa.array(sizes > 0))
 
     return run
 
@@ -187,12 +188,10 @@ def _block_top_k(docs: DataFrame, asked: DataFrame, key: str, k: int, query: str
     of_term: list[list[int]] = [[] for _ in names]
     for r in rows:
         of_term[number[r["term"]]].append(place[r[query]])
-    fan = np.array([len(x) for x in of_term], np.int64)  # queries of a term
-    first, flat = np.cumsum(fan) - fan, np.array([q for x in of_term for q in x], np.int64)
     terms = pa.array(names, pa.string())
 
     out = pa.schema([pa.field(key, pa.int64()), pa.field("size", pa.int64()), pa.field("terms", pa.list_(pa.int32())), pa.field("counts", pa.list_(pa.int32()))])
-    own = spread(docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text"))).select(key, stems(F.col("text")).alias("stems")).filter(F.size("stems") > 0)
+    own = spread(docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text"))).select(key, stems(F.col("text")).alias("stems"))
     own = cut(own.mapInArrow(_hits(terms, out), f"{key} long, size long, terms array<int>, counts array<int>"))
     total = own.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
     df = np.zeros(len(names))
@@ -200,27 +199,38 @@ def _block_top_k(docs: DataFrame, asked: DataFrame, key: str, k: int, query: str
         for r in own.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row per term of the block
             df[r["t"]] = r["count"]
     idf = np.log(1 + (total["n"] - df + 0.5) / (df + 0.5))
-    mean, step = total["mean"] or 1.0, max(1, CELLS // max(1, len(ids)))
+    mean = total["mean"] or 1.0
+    wide = max(1, min(len(names), CELLS // max(1, len(ids))))  # terms of one product
+    step = max(1, CELLS // max(1, len(ids), wide))  # documents of one product
+
+    def has_term(low: int) -> np.ndarray:
+        """Terms from ``low`` on x queries: 1 where the query has the term."""
+        out = np.zeros((min(wide, len(names) - low), len(ids)))
+        for i in range(len(out)):
+            out[i, of_term[low + i]] = 1.0
+        return out
 
     def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = _Best(k, len(ids), digits)
+        once = has_term(0) if wide == len(names) else None
         for whole in batches:
             for a in range(0, whole.num_rows, step):
                 part = whole.slice(a, step)
                 lists, n = part.column(2), part.num_rows
-                offsets = lists.offsets.to_numpy()
-                doc = np.repeat(np.arange(n), np.diff(offsets))
+                doc = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
                 term = lists.flatten().to_numpy().astype(np.int64)
                 tf = part.column(3).flatten().to_numpy().astype(np.float64)
                 size = part.column(1).to_numpy()[doc]
                 worth = idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))) if bm25 else WEIGHT * tf
-                times = fan[term]
-                within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                cell = np.repeat(doc, times) * len(ids) + flat[np.repeat(first[term], times) + within]
-                cells = n * len(ids)
-                scores = np.bincount(cell, np.repeat(worth, times), cells)
-                scores[np.bincount(cell, minlength=cells) == 0] = -1.0
-                kept.add(part.column(0).to_numpy(), scores.reshape(n, len(ids)))
+                scores = np.zeros((n, len(ids)))
+                for low in range(0, len(names), wide):
+                    own = (term >= low) & (term < low + wide)
+                    if own.any():
+                        weights = np.zeros((n, min(wide, len(names) - low)))
+                        weights[doc[own], term[own] - low] = worth[own]
+                        scores += weights @ (has_term(low) if once is None else once)
+                scores[scores == 0] = -1.0  # no common term: each term is worth something
+                kept.add(part.column(0).to_numpy(), scores)
         at = np.argwhere(kept.score >= 0)
         yield pa.RecordBatch.from_arrays(
             [pa.array([ids[q] for q in at[:, 1].tolist()], pa.int64()), pa.array(kept.key[at[:, 0], at[:, 1]], pa.int64()), pa.array(kept.score[at[:, 0], at[:, 1]], pa.float64())],
