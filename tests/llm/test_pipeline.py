@@ -54,3 +54,24 @@ def test_stages(spark, tmp_path):
     assert {i: len(before[i]) - len(after[i].encode()) for i in before if before[i].isascii()} == {i: n for i, n in lost.items() if before[i].isascii()}
     assert repeats.MATCH == 50 and any(lost.values())
     assert {r.doc_id for r in packed} == set(after) and all(r.bin_units <= 2048 for r in packed)
+
+
+def test_run_chains_the_stages(spark, tmp_path):
+    """``run`` gives what the stages give with tables written in between; empty tables, null and repeated ids pass through."""
+    d = corpus(tmp_path, spark)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    odd = [(None, "the river was with the house and it is in the river", "en", "s1", 1), (7, "that house is for the river and in it was on it", None, None, None), (7, None, "en", "s1", 0), (None, None, None, None, None)]
+    both = docs.union(spark.createDataFrame(odd, docs.schema))
+    folder = tmp_path / "odd"
+    both.write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{d}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    step = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, step, str(folder)).write.parquet(f"{folder}/{name}")
+        step = spark.read.parquet(f"{folder}/{name}")
+    told = lambda rows: sorted(map(repr, rows))
+    assert told(corpus_pipeline.run(spark, str(folder)).collect()) == told(step.collect()) != []
+    empty = tmp_path / "empty"
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.read.parquet(f"{d}/labels.parquet").limit(0).write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).collect() == []
