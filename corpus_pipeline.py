@@ -1,7 +1,12 @@
 """The corpus pipeline: five stages over documents, each (spark, docs, sf_dir) -> DataFrame.
 
 Every stage but the last returns the columns of documents.  Between stages the caller may write and read the rows; ``run``
-chains them directly.
+chains them directly; both give the same rows.
+
+Edge cases of the whole run: an empty table gives an empty plan; null and blank texts have no language and go first; rows
+with a null id pass as long as their text does, and count as one document, the last, where duplicates are sought; rows of one
+id stay or go together there, and each is packed; a null source conflicts with nothing; labels may be empty, then nothing is
+toxic.  Columns beyond those of documents stay until the plan.
 """
 
 from __future__ import annotations
