@@ -187,6 +187,57 @@ def leans_back(c: Column) -> Column:
     return (F.size(F.filter(F.split(q, r"\s+"), lambda w: w != "")) <= FOLLOW_UP_WORDS) & q.rlike(FOLLOW_UP)
 
 
+# Names under which a caller may ask for an intent beside the intent's own.
+HINTS = {
+    "navigate": "navegar",
+    "lookup": "dato",
+    "analysis": "analisis",
+    "procedural": "procedimental",
+    "aggregation": "agregacion",
+    "read": "lectura",
+    "correction": "correccion",
+}
+
+
+def known_intent(name: Column) -> Column:
+    """The intent that a name stands for, in any case; null if it is none."""
+    x = F.trim(F.trim(fold(name)), F.lit("."))
+    return F.coalesce(F.when(x.isin(*HINTS.values()), x), F.try_element_at(F.create_map(*[F.lit(v) for pair in HINTS.items() for v in pair]), x))
+
+
+def asks_place(c: Column) -> Column:
+    """Whether a question asks for a place in the files, and not for a fact or an idea."""
+    q = fold(c)
+    return ~q.rlike(ABSTRACT_PLACE) & ~q.rlike(FACT_PLACE) & q.rlike("|".join(next(patterns for name, _, patterns in FAMILIES if name == "navegar")))
+
+
+def intent_of_turn(c: Column, attachments: Column, correction: Column, hints: Column, previous: Column) -> Column:
+    """``intent, confidence, reason`` of a question within its conversation (K1 to K3).
+
+    A correction that the caller declares stands above all rules.  Where no family matches and nothing is attached, the first
+    hint that is exactly the name of an intent counts 0.6; hints of other words are passed over.  A question that crosses
+    sources doesn't stay a look-up.  A short one that leans back takes over the intent of the last answer with 0.72, unless a
+    rule is sure of it, something is attached or hinted, that intent was a correction, or it was a place and this one names none.
+    """
+    hinted = F.get(F.filter(F.transform(F.coalesce(hints, F.array().cast("array<string>")), known_intent), lambda x: x.isNotNull()), F.lit(0))
+    row = lambda intent, confidence, reason: F.struct(intent.alias("intent"), F.lit(confidence).cast("double").alias("confidence"), F.lit(reason).alias("reason"))
+    before = known_intent(previous)
+
+    def within(own: Column) -> Column:
+        unmatched = own["reason"].isin("default_lookup", "multi_source_escalation")
+        asked_for = F.when(crosses_sources(c) & (hinted == "dato"), row(F.lit("analisis"), 0.8, "multi_source_escalation")).otherwise(row(hinted, 0.6, "caller_hint"))
+        said = F.when(unmatched & hinted.isNotNull(), asked_for).otherwise(own)
+
+        def inherited(now: Column) -> Column:
+            sure = (now["confidence"] >= 0.9) | (now["reason"] == "caller_hint") | F.coalesce(attachments, F.lit(False))
+            able = before.isNotNull() & (before != "correccion") & ((before != "navegar") | asks_place(c))
+            return F.when(F.coalesce(able & ~sure & leans_back(c), F.lit(False)), row(before, 0.72, "followup_inherit")).otherwise(now)
+
+        return bound(said, inherited)
+
+    return F.when(F.coalesce(correction, F.lit(False)), row(F.lit("correccion"), 1.0, "explicit_correction_flag")).otherwise(bound(rule_intent(c, attachments), within))
+
+
 def plan_of(c: Column, intent: Column) -> Column:
     """Limits and flags of the retrieval for a question of some intent."""
     deep = intent == "analisis"
