@@ -67,6 +67,7 @@ def paths(tree: DataFrame, separator: str = "/", most: int = 20) -> DataFrame:
     out = level
     for _ in range(most):
         level = tree.select("id", "parent", "name").join(level.select(F.col("id").alias("parent"), "path"), "parent").select("id", F.concat_ws(separator, "path", "name").alias("path"))
+        level = cut(level)
         if level.isEmpty():
             break
         out = out.union(level)

@@ -155,7 +155,8 @@ def merge_segments(segments: DataFrame, keys: list[str], gap: int = 500, longest
 
     A segment joins the one before of the same speaker if the pause is 0 to ``gap`` ms and the whole stays within
     ``longest`` ms; a word broken by a hyphen closes up; confidence is weighted by time.  The cap makes each row depend on
-    those before it, so one recording is read in order; one shuffle sorts them, and a task streams through many.
+    those before it, so one recording is read in order of start, end, speaker and text; one shuffle sorts them, and a task
+    streams through many.
     """
     import pyarrow as pa
 
@@ -180,7 +181,7 @@ def merge_segments(segments: DataFrame, keys: list[str], gap: int = 500, longest
         if held is not None:
             yield pa.RecordBatch.from_pylist([held], rows.schema)
 
-    rows = segments.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "start_ms")
+    rows = segments.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "start_ms", "end_ms", "speaker", "text", "confidence")
     return rows.mapInArrow(run, kinds)
 
 

@@ -69,7 +69,6 @@ def _(t: Tables):
 def _(t: Tables):
     start = c("l_linenumber") * 4000 + (c("l_partkey") % 4) * 150
     x = t.lineitem.select(c("l_orderkey").alias("media_id"), c("l_linenumber").alias("i"), F.when(c("l_suppkey") % 5 == 0, "B").otherwise("A").alias("speaker"), start.alias("start_ms"), (start + 3800).alias("end_ms"), F.concat(F.lit("w"), "l_partkey", F.when(c("l_partkey") % 7 == 0, "-").otherwise("")).alias("text"), c("l_discount").alias("confidence"))
-    x = x.dropDuplicates(["media_id", "start_ms"])
     return sequence.merge_segments(x, ["media_id"]).select("media_id", "start_ms", "end_ms", "speaker", "text", F.round("confidence", 6).alias("confidence"))
 
 

@@ -238,9 +238,8 @@ def _(t: Tables):
 
 @query("z5_job_items", "WITH j AS (SELECT o_custkey AS job, list(o_orderkey) AS ids FROM orders GROUP BY 1), u AS (SELECT job, unnest(ids) AS id FROM j) SELECT job, count(DISTINCT id) AS items, count(l_linenumber) AS lines FROM u LEFT JOIN lineitem ON l_orderkey=id GROUP BY 1")
 def _(t: Tables):
-    jobs = t.orders.groupBy(c("o_custkey").alias("job")).agg(F.collect_list("o_orderkey").alias("ids"))
-    per = t.lineitem.groupBy(c("l_orderkey").alias("id")).agg(F.count("*").alias("n"))
-    return jobs.select("job", F.explode("ids").alias("id")).join(per, "id", "left").groupBy("job").agg(F.countDistinct("id").alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("lines"))
+    per = t.lineitem.groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    return t.orders.join(per, "o_orderkey", "left").groupBy(c("o_custkey").alias("job")).agg(F.countDistinct("o_orderkey").alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("lines"))
 
 
 @query("z6_session_list", "SELECT conv_id, count(*) AS messages FROM conversations GROUP BY 1")
