@@ -63,6 +63,24 @@ def rules_for(norms: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     return met.groupBy(*keys, "kind", "identifier").agg(best.alias("r"))
 
 
+def rules_named(rules: DataFrame, asked: DataFrame, jurisdiction: str = "", source: str = "") -> DataFrame:
+    """All rules that bear one of the numbers or names asked for, with ``exact``: identifier, source, title, text, version_date.
+
+    asked: identifier, a few rows; rules: see ``rules_for``.  A rule bears it anywhere in its identifier, title, text or source,
+    in any letter case; a null field bears nothing, a blank identifier finds nothing.  An empty jurisdiction or source leaves
+    that open.  A rule that several rows name is one row, exact if its identifier is one of them.
+    """
+    rules = _with(rules, title=F.lit(None).cast("string"), jurisdiction=F.lit(None).cast("string"), version_date=F.lit(None).cast("date"))
+    for column, value in (("jurisdiction", jurisdiction), ("source", source)):
+        rules = rules if value == "" else rules.filter(c(column) == value)
+    names = asked.select(F.lower(F.trim("identifier")).alias("name")).filter("name <> ''").agg(F.collect_set("name").alias("names"))  # one row: the question
+    bears = lambda x: reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(f), x), F.lit(False)) for f in ("identifier", "title", "text", "source")])
+    own = L.identifier_key(c("identifier"))
+    exact = (own != "") & F.exists("names", lambda x: L.identifier_key(x) == own)
+    met = rules.crossJoin(F.broadcast(names)).filter(F.exists("names", bears) | exact)
+    return met.select("identifier", "source", "title", "text", "version_date", exact.alias("exact"))
+
+
 def audit(
     claims: DataFrame,
     citations: DataFrame,

@@ -218,7 +218,16 @@ def verify_citation(t: Tables, citation: int) -> DataFrame:
     return citing.validity(cited.filter(c("citation_id") == citation), pages, segments).select("citation_id", "valid", F.array_join("reasons", ",").alias("reasons"))
 
 
-@tool("SELECT p_name AS rule FROM part WHERE p_partkey=12", identifier="Art. 12")
-def lookup_legal_rule(t: Tables, identifier: str, claim: str = "") -> DataFrame:
-    asked = t.spark.createDataFrame([(identifier, claim)], "cited string, text string").select(F.lit(0).alias("k"), F.explode(L.norms(c("cited"))).alias("n"), F.lit("").alias("jurisdiction"), "text")
-    return guard.rules_for(asked.select("k", "n.kind", "n.identifier", "jurisdiction", "text"), rules_of(t), ["k"]).select("r.rule")
\ No newline at end of file
+@tool(
+    "SELECT CAST(p_partkey AS VARCHAR) AS identifier, p_brand AS source, 'Artículo '||(p_partkey+1) AS title, p_name AS rule, DATE '2000-01-01'+CAST(p_size AS INT) AS version_date, p_partkey=12 AS exact FROM part"
+    " WHERE CAST(p_partkey AS VARCHAR) LIKE '%12%' OR CAST(p_partkey+1 AS VARCHAR) LIKE '%12%' OR p_name ILIKE '%12%' OR p_brand ILIKE '%12%' ORDER BY exact DESC, version_date DESC NULLS LAST, p_partkey",
+    identifier="Art. 12",
+)
+def lookup_legal_rule(t: Tables, identifier: str, jurisdiction: str = "", source: str = "", k: int | None = None) -> DataFrame:
+    """All rules that bear the norms cited, or else the words asked for: the very one first, then the newest; k at most where given."""
+    asked = t.spark.createDataFrame([(identifier,)], "asked string")
+    cited = F.transform(L.norms(c("asked")), lambda n: n["identifier"])
+    asked = asked.select(F.explode(F.when(F.size(cited) > 0, cited).otherwise(F.array("asked"))).alias("identifier"))
+    found = guard.rules_named(rules_of(t), asked, jurisdiction, source).withColumnRenamed("text", "rule")
+    found = found.orderBy(F.desc("exact"), F.desc_nulls_last("version_date"), c("identifier").try_cast("long"), "identifier")
+    return found if k is None else found.limit(k)
