@@ -36,6 +36,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,19 +100,24 @@ def load(path: str | None = None, *, proto: bytes | None = None) -> Pieces:
     )
 
 
-def words_of(text: str, dummy_prefix: bool) -> list[str]:
-    """The words of a text; there may be empty ones among them."""
+def spaced(text: str, dummy_prefix: bool) -> str:
+    """The words of a text with spaces between; there may be empty ones among them, and none has a space."""
     if not text:
-        return []
+        return ""
     if "  " in text or SPACE in text or (dummy_prefix and text[0] == " "):
-        return _CUT.findall((SPACE if dummy_prefix else "") + text.replace(" ", SPACE))
+        return " ".join(_CUT.findall((SPACE if dummy_prefix else "") + text.replace(" ", SPACE)))
     # Single spaces only: each ends a word and marks the next.
     marked = (SPACE if dummy_prefix else "") + text.replace(" ", " " + SPACE)
     if "\n" in marked:
         marked = marked.replace("\n", " \n ")
     if "\t" in marked:
         marked = marked.replace("\t", " \t ")
-    return marked.split(" ")
+    return marked
+
+
+def words_of(text: str, dummy_prefix: bool) -> list[str]:
+    """The words of a text; there may be empty ones among them."""
+    return spaced(text, dummy_prefix).split(" ") if text else []
 
 
 # ---- the lattice in Spark ----
@@ -359,25 +365,35 @@ def _dealt(batches: int):
     return run
 
 
-def _by_bucket(column: pa.ChunkedArray, buckets: int, dummy_prefix: bool) -> dict[int, list[str]]:
-    """The different words of some texts in order, by bucket."""
-    seen: set[str] = set()
-    for raw in column:
-        seen.update(words_of(_unzip(raw.as_py()).decode(), dummy_prefix))
-    seen.discard("")
-    dealt: dict[int, list[str]] = defaultdict(list)
-    for w in sorted(seen):
-        dealt[zlib.crc32(w.encode()) % buckets].append(w)
-    return dealt
+def _numbered(column: pa.ChunkedArray, dummy_prefix: bool) -> tuple[np.ndarray, np.ndarray, pa.LargeStringArray]:
+    """Where the words of each text end, the number of each word, and the different words by number."""
+    texts = pa.array([spaced(_unzip(raw.as_py()).decode(), dummy_prefix) for raw in column], pa.large_string())
+    split = pc.split_pattern(texts, " ")
+    words = split.flatten().dictionary_encode()
+    return np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)), words.indices.to_numpy(), words.dictionary
+
+
+def _by_bucket(words: pa.LargeStringArray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the words that aren't empty by bucket, in the order of their bytes, and the bucket of each."""
+    raw = words.cast(pa.large_binary())
+    bucket = np.fromiter(map(zlib.crc32, raw.to_pylist()), np.int64, len(raw)) % buckets
+    order = pc.sort_indices(raw).to_numpy()
+    order = order[pc.binary_length(raw).to_numpy()[order] > 0]
+    order = order[np.argsort(bucket[order], kind="stable")]
+    return order, bucket[order]
 
 
 def _asked(buckets: int, dummy_prefix: bool):
     """Batch of texts -> a row per bucket: the batch and its different words of the bucket, with spaces between."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        dealt = _by_bucket(table["raw"], buckets, dummy_prefix)
+        *_, words = _numbered(table["raw"], dummy_prefix)
+        order, bucket = _by_bucket(words, buckets)
+        own, at = np.unique(bucket, return_index=True)
+        dealt, ends = words.take(pa.array(order)).to_pylist(), [*at[1:].tolist(), len(order)]
         batch = str(key[0].as_py())
-        return pa.table({"bucket": pa.array(list(dealt), pa.int32()), "words": pa.array([" ".join([batch, *ws]) for ws in dealt.values()], pa.string())})
+        rows = [" ".join([batch, *dealt[a:b]]) for a, b in zip(at.tolist(), ends, strict=True)] if len(order) else []
+        return pa.table({"bucket": pa.array(own, pa.int32()), "words": pa.array(rows, pa.string())})
 
     return run
 
@@ -394,7 +410,7 @@ def _answered(pieces):
             ids = [known[w] if w in known else np.array(ids_of(w, None, own), np.int32).tobytes() for w in words]
             out["batch"].append(int(batch))
             out["bucket"].append(key[0].as_py())
-            out["sizes"].append(_zip(np.array([len(x) for x in ids], np.int32).tobytes()))
+            out["sizes"].append(_zip(np.array(list(map(len, ids)), np.int32).tobytes()))
             out["ids"].append(_zip(b"".join(ids)))
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
@@ -406,28 +422,35 @@ def _encoded(pieces, buckets: int, id_type: pa.DataType, id_col: str):
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         own = pieces.value
-        decoder, known = Decoder(own), {"": b""}
-        dealt = _by_bucket(left["raw"], buckets, own.dummy_prefix)
-        for bucket, sizes, ids in zip(right["bucket"], right["sizes"], right["ids"], strict=True):
-            at, flat = 0, _unzip(ids.as_py())
-            for w, n in zip(dealt.pop(bucket.as_py()), np.frombuffer(_unzip(sizes.as_py()), np.int32).tolist(), strict=True):
-                known[w] = flat[at : at + n]
-                at += n
-        get, parts = known.__getitem__, []
+        names = pa.array(Decoder(own).names, pa.large_binary())
+        ends, numbers, words = _numbered(left["raw"], own.dummy_prefix)
+        order, _ = _by_bucket(words, buckets)
+        # Answers in order of buckets are the words in order; each word's ids are a stretch of them.
+        answers = sorted(zip(right["bucket"].to_pylist(), right["sizes"].to_pylist(), right["ids"].to_pylist(), strict=True))
+        each = np.frombuffer(b"".join(_unzip(x) for _, x, _ in answers), np.int32) // 4
+        flat = np.frombuffer(b"".join(_unzip(x) for *_, x in answers), np.int32)
+        sizes, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        sizes[order], starts[order] = each, np.cumsum(each) - each
+        parts = []
         for a in range(0, left.num_rows, 500):
             rows = left.slice(a, 500)
             raw = [_unzip(x.as_py()) for x in rows["raw"]]
-            texts = [x.decode() for x in raw]
-            packed = [b"".join(map(get, words_of(t, own.dummy_prefix))) for t in texts]
-            sizes = np.array([0, *(len(x) // 4 for x in packed)], np.int32)
-            flat = np.frombuffer(b"".join(packed), np.int32)
-            back = [decoder.decode(np.frombuffer(x, np.int32).tolist()) == t for x, t in zip(packed, texts, strict=True)]
+            stops = ends[a : a + 500] - (first := ends[a - 1] if a else 0)
+            w = numbers[first : first + stops[-1]]
+            n = sizes[w]
+            after = np.cumsum(n)
+            ids = flat[np.repeat(starts[w] - after + n, n) + np.arange(after[-1])]
+            at = np.array([0, *after[stops - 1]], np.int32)
+            back = names.take(pa.array(ids))
+            places = np.frombuffer(back.buffers()[1], np.int64)[at].tolist() if len(ids) else at.tolist()
+            whole = back.buffers()[2].to_pybytes() if len(ids) else b""
+            decoded = [whole[i + (own.dummy_prefix and whole[i:j][:1] == b" ") : j] for i, j in zip(places, places[1:], strict=False)]
             columns = [
                 rows["id"].combine_chunks(),
                 pa.array([len(x) for x in raw], pa.int64()),
-                pa.array(sizes[1:].astype(np.int64)),
-                pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(flat)),
-                pa.array(back, pa.bool_()),
+                pa.array(np.diff(at).astype(np.int64)),
+                pa.ListArray.from_arrays(pa.array(at), pa.array(ids)),
+                pa.array([x == t or x.decode("utf-8", "replace") == t.decode() for x, t in zip(decoded, raw, strict=True)], pa.bool_()),
             ]
             parts.append(pa.table(columns, names=[id_col, "n_bytes", "n_tokens", "ids", "round_trip"]))
         if parts:
@@ -451,7 +474,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
     texts = docs.select(id_col, text_col).mapInArrow(_dealt(batches), f"batch int, id {id_type.simpleString()}, raw binary")
     asked = texts.groupBy("batch").applyInArrow(_asked(buckets, pieces.dummy_prefix), "bucket int, words string")
     asked = asked.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, PARTITIONS)), "bucket")
-    words = asked.select("bucket", F.explode(F.slice(F.split("words", " "), F.lit(2), F.size(F.split("words", " ")))).alias("word"))
+    words = asked.select("bucket", F.explode(F.split(F.expr("substring(words, instr(words, ' ') + 1)"), " ")).alias("word"))  # the batch comes first
     # All of this stays within the buckets.
     folded = fold(lattice(words.where(F.length("word") <= LONGEST).distinct(), pieces), pieces)
     folded = folded.select(F.col("bucket").alias("place"), "word", "ends")

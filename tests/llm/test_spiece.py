@@ -95,3 +95,23 @@ def test_words_stay_in_their_buckets(spark):
         assert len(hashed) == 3 and plan.count("ReusedExchange") >= 2, plan
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_words_of_a_batch_are_numbered_once():
+    """A batch is cut, numbered and dealt as columns: the same words as text by text, none of them twice, in one order whatever the rows' order."""
+    import pyarrow as pa
+
+    r = random.Random(8)
+    texts = TEXTS + ["".join(r.choice("ab  \n\té▁中") for _ in range(r.randint(0, 60))) for _ in range(300)]
+    seen = []
+    for some in (texts, texts[::-1]):
+        column = pa.chunked_array([pa.array([spiece._zip(t.encode()) for t in some], pa.binary())])
+        ends, numbers, words = spiece._numbered(column, True)
+        names = words.to_pylist()
+        assert len(set(names)) == len(names)
+        for t, a, b in zip(some, [0, *ends[:-1]], ends, strict=True):
+            assert [names[i] for i in numbers[a:b]] == (spiece.words_of(t, True) or [""])
+        order, buckets = spiece._by_bucket(words, 7)
+        assert sorted(names[i] for i in order) == sorted(set(names) - {""}) and list(buckets) == sorted(buckets)
+        seen.append([(names[i], b) for i, b in zip(order, buckets, strict=True)])
+    assert seen[0] == seen[1]
