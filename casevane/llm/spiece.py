@@ -27,6 +27,8 @@ an empty table gives an empty table; columns of other names are not read, whatev
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import zlib
 from collections import defaultdict
@@ -49,6 +51,8 @@ LONGEST = 1000
 #: Bytes of text in a batch, and for each bucket of words.
 BATCH_BYTES = 24 << 20
 BUCKET_BYTES = 4 << 20
+#: Texts that are unpacked at a time.
+ROWS = 500
 #: Partitions of buckets, where the session asks for fewer; the lattice is many times what is read, so they stay small.
 PARTITIONS = 2048
 _CUT = re.compile(f"[\n\t]|{SPACE}*[^{SPACE}\n\t]+|{SPACE}+")
@@ -356,8 +360,8 @@ def _dealt(batches: int):
         import xxhash
 
         for part in rows:
-            for a in range(0, part.num_rows, 500):
-                own = part.slice(a, 500)
+            for a in range(0, part.num_rows, ROWS):
+                own = part.slice(a, ROWS)
                 texts = [(t or "").encode("utf-8", "replace") for t in own.column(1).to_pylist()]
                 keys = [xxhash.xxh64_intdigest(t, seed=zlib.crc32(str(i).encode())) % batches for i, t in zip(own.column(0).to_pylist(), texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), own.column(0), pa.array(list(map(_zip, texts)), pa.binary())], names=["batch", "id", "raw"])
@@ -365,18 +369,37 @@ def _dealt(batches: int):
     return run
 
 
+def _release() -> None:
+    """A worker keeps what it has freed, and is idle beside the lattice for long: give it back."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries than glibc have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _numbered(column: pa.ChunkedArray, dummy_prefix: bool) -> tuple[np.ndarray, np.ndarray, pa.LargeStringArray]:
-    """Where the words of each text end, the number of each word, and the different words by number."""
-    texts = pa.array([spaced(_unzip(raw.as_py()).decode(), dummy_prefix) for raw in column], pa.large_string())
-    split = pc.split_pattern(texts, " ")
-    words = split.flatten().dictionary_encode()
-    return np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)), words.indices.to_numpy(), words.dictionary
+    """Where the words of each text end, the number of each word, and the different words by number.
+
+    Some texts at a time are unpacked and cut, since strings and words of a whole batch are many times its bytes.
+    """
+    _release()  # the batch before
+    counts, parts = [np.zeros(0, np.int64)], [pa.array([], pa.large_string()).dictionary_encode()]
+    for a in range(0, len(column), ROWS):
+        texts = pa.array([spaced(_unzip(raw.as_py()).decode(), dummy_prefix) for raw in column[a : a + ROWS]], pa.large_string())
+        split = pc.split_pattern(texts, " ")
+        counts.append(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        parts.append(split.flatten().dictionary_encode())
+    words = pa.chunked_array(parts).unify_dictionaries()
+    del parts
+    numbers, names = np.concatenate([x.indices.to_numpy() for x in words.chunks]), words.chunk(0).dictionary
+    del words
+    _release()
+    return np.cumsum(np.concatenate(counts)), numbers, names
 
 
 def _by_bucket(words: pa.LargeStringArray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of the words that aren't empty by bucket, in the order of their bytes, and the bucket of each."""
     raw = words.cast(pa.large_binary())
-    bucket = np.fromiter(map(zlib.crc32, raw.to_pylist()), np.int64, len(raw)) % buckets
+    bucket = np.fromiter((zlib.crc32(w) for a in range(0, len(raw), 10_000) for w in raw[a : a + 10_000].to_pylist()), np.int64, len(raw)) % buckets
     order = pc.sort_indices(raw).to_numpy()
     order = order[pc.binary_length(raw).to_numpy()[order] > 0]
     order = order[np.argsort(bucket[order], kind="stable")]
@@ -390,10 +413,13 @@ def _asked(buckets: int, dummy_prefix: bool):
         *_, words = _numbered(table["raw"], dummy_prefix)
         order, bucket = _by_bucket(words, buckets)
         own, at = np.unique(bucket, return_index=True)
-        dealt, ends = words.take(pa.array(order)).to_pylist(), [*at[1:].tolist(), len(order)]
+        dealt, ends = words.take(pa.array(order)), [*at[1:].tolist(), len(order)]
         batch = str(key[0].as_py())
-        rows = [" ".join([batch, *dealt[a:b]]) for a, b in zip(at.tolist(), ends, strict=True)] if len(order) else []
-        return pa.table({"bucket": pa.array(own, pa.int32()), "words": pa.array(rows, pa.string())})
+        rows = [" ".join([batch, *dealt[a:b].to_pylist()]) for a, b in zip(at.tolist(), ends, strict=True)] if len(order) else []
+        out = pa.table({"bucket": pa.array(own, pa.int32()), "words": pa.array(rows, pa.string())})
+        del words, dealt, rows
+        _release()
+        return out
 
     return run
 
@@ -412,7 +438,10 @@ def _answered(pieces):
             out["bucket"].append(key[0].as_py())
             out["sizes"].append(_zip(np.array(list(map(len, ids)), np.int32).tobytes()))
             out["ids"].append(_zip(b"".join(ids)))
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
+        table = pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
+        del known, out
+        _release()
+        return table
 
     return run
 
@@ -432,10 +461,10 @@ def _encoded(pieces, buckets: int, id_type: pa.DataType, id_col: str):
         sizes, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         sizes[order], starts[order] = each, np.cumsum(each) - each
         parts = []
-        for a in range(0, left.num_rows, 500):
-            rows = left.slice(a, 500)
+        for a in range(0, left.num_rows, ROWS):
+            rows = left.slice(a, ROWS)
             raw = [_unzip(x.as_py()) for x in rows["raw"]]
-            stops = ends[a : a + 500] - (first := ends[a - 1] if a else 0)
+            stops = ends[a : a + ROWS] - (first := ends[a - 1] if a else 0)
             w = numbers[first : first + stops[-1]]
             n = sizes[w]
             after = np.cumsum(n)
@@ -453,6 +482,8 @@ def _encoded(pieces, buckets: int, id_type: pa.DataType, id_col: str):
                 pa.array([x == t or x.decode("utf-8", "replace") == t.decode() for x, t in zip(decoded, raw, strict=True)], pa.bool_()),
             ]
             parts.append(pa.table(columns, names=[id_col, "n_bytes", "n_tokens", "ids", "round_trip"]))
+        del ends, numbers, words, order, answers, each, flat, sizes, starts
+        _release()
         if parts:
             return pa.concat_tables(parts)
         kinds = [id_type, pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.bool_()]

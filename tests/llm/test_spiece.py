@@ -115,3 +115,28 @@ def test_words_of_a_batch_are_numbered_once():
         assert sorted(names[i] for i in order) == sorted(set(names) - {""}) and list(buckets) == sorted(buckets)
         seen.append([(names[i], b) for i, b in zip(order, buckets, strict=True)])
     assert seen[0] == seen[1]
+
+
+def test_texts_of_a_batch_are_unpacked_some_at_a_time(monkeypatch):
+    """The strings of a whole batch are many times its packed bytes: of 1,300 texts at most 500 are held at once."""
+    import pyarrow as pa
+
+    alive, most, plain = 0, 0, spiece.spaced
+
+    class Held(str):
+        def __new__(cls, text):
+            nonlocal alive, most
+            alive += 1
+            most = max(most, alive)
+            return str.__new__(cls, text)
+
+        def __del__(self):
+            nonlocal alive
+            alive -= 1
+
+    monkeypatch.setattr(spiece, "spaced", lambda *a: Held(plain(*a)))
+    texts = [f"text {i % 700} of\n{i % 11} words  " for i in range(1300)]
+    ends, numbers, words = spiece._numbered(pa.chunked_array([pa.array([spiece._zip(t.encode()) for t in texts], pa.binary())]), True)
+    names = words.to_pylist()
+    assert [names[i] for i in numbers] == [w for t in texts for w in spiece.words_of(t, True)] and len(ends) == 1300
+    assert most <= 500
