@@ -163,10 +163,12 @@ def graph_neighbors(t: Tables, node_id: str, edge_type: str | None = None, limit
 
 
 @tool("SELECT 's'||s_suppkey AS id, 'n'||s_nationkey AS other FROM supplier WHERE s_name ILIKE '%00001%'", name="00001")
-def find_person(t: Tables, name: str, k: int = 1000) -> DataFrame:
+def find_person(t: Tables, name: str, k: int | None = None) -> DataFrame:
+    """All neighbours of the people whose name has these letters; k at most where given."""
     nodes, edges = edges_of(t)
     found = nodes.filter((c("kind") == "supplier") & c("label").ilike(f"%{name}%")).select("id")
-    return graph.neighbours(edges).join(found, "id", "left_semi").orderBy("id", "other").limit(k).select("id", "other")
+    met = graph.neighbours(edges).join(found, "id", "left_semi").select("id", "other")
+    return met if k is None else met.orderBy("id", "other").limit(k)
 
 
 @tool("SELECT item_id FROM benchmark WHERE text ILIKE '%tion%' AND text ILIKE '%the%' ORDER BY item_id DESC LIMIT 10", query="tion the", k=10)

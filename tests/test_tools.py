@@ -25,3 +25,12 @@ def test_rules_named_keeps_jurisdictions(spark):
     asked = spark.createDataFrame([("839-01",), (None,)], "identifier string")
     assert {(r.identifier, r.exact) for r in guard.rules_named(rules, asked).collect()} == {("839-01", True), ("83901", True)}
     assert [r.identifier for r in guard.rules_named(rules, asked, "pe").collect()] == ["83901"]
+
+
+def test_find_person_gives_everybody(spark):
+    """More than a thousand people bear the name; k is a limit only where it is given."""
+    supplier = spark.range(1200).selectExpr("id AS s_suppkey", "concat('Ana ', id) AS s_name", "int(id % 25) AS s_nationkey")
+    nation = spark.createDataFrame([(0, "n", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    t = SimpleNamespace(spark=spark, supplier=supplier, nation=nation, region=spark.createDataFrame([(0, "r")], "r_regionkey int, r_name string"))
+    assert {tuple(r) for r in TOOLS["find_person"](t, "ANA").collect()} == {(f"s{i}", f"n{i % 25}") for i in range(1200)}
+    assert [tuple(r) for r in TOOLS["find_person"](t, "ana", k=2).collect()] == [("s0", "n0"), ("s1", "n1")]
