@@ -12,6 +12,8 @@ from ..functions import legal as L
 from ..functions import text as T
 
 c = F.col
+#: The number of an article as rules name their own, of any length.
+WHOLE_ARTICLE = r"\d+[A-Za-z]?(?:-\d+)?(?:\.\d+)*"
 #: What the audit asks for; a case's own policy may change each: fixed values.
 POLICY = {
     "require_legal_norm": True,
@@ -43,7 +45,7 @@ def rules_for(norms: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     text = "string"
     rules = _with(rules, title=F.lit(None).cast(text), jurisdiction=F.lit(None).cast(text), version_date=F.lit(None).cast("date"), law_level_only=F.lit(False))
     whole = F.concat_ws(" \n", "identifier", "title", "text", "source")
-    articles = F.regexp_extract_all(F.concat_ws(" \n", "title", "text"), F.lit(rf"(?iu)art[ií]culo\s+({L.ARTICLE_TOKEN})"), F.lit(1))
+    articles = F.regexp_extract_all(F.concat_ws(" \n", "title", "text"), F.lit(rf"(?iu)art[ií]culo\s+({WHOLE_ARTICLE})"), F.lit(1))
     laws = F.regexp_extract_all(whole, F.lit(r"(?iu)\b(\d{1,5}(?:\s+de\s+\d{4})?)\b"), F.lit(1))
     number = lambda x: F.regexp_replace(x, r"\s+de\s+\d{4}$", "")
     spaced = lambda x: F.lower(F.regexp_replace(x, r"\s+", " "))

@@ -275,3 +275,10 @@ def test_audit_of_laws_aliases_and_policy(spark):
     assert told({"require_legal_norm": False, "block_on_parties": False, "min_ocr_confidence": 0.1}) == {(1, 4, "LOW_ASR_CONFIDENCE", "HIGH")}
     article = guard.rules_for(frame([(1, 8, "article", "12", "co", "Rige el artículo 12 del acta")], "case_id int, claim_id int, kind string, identifier string, jurisdiction string, text string"), data[4], ["case_id", "claim_id"]).first()
     assert article.r.source == "Código Nuevo"
+
+
+def test_rules_with_long_numbers(spark):
+    """A title of five digits or more names that article, not the one of its first four."""
+    rules = spark.createDataFrame([("19999", "Artículo 20000", "a"), ("7", "Artículo 123456-78901", "b"), ("8", "artículo 839-01.", "c")], "identifier string, title string, text string").withColumn("source", F.lit("Código"))
+    norms = spark.createDataFrame([(i, "article", x, "", "") for i, x in enumerate(["20000", "2000", "123456-78901", "1234", "83901", "19999"])], "k int, kind string, identifier string, jurisdiction string, text string")
+    assert {r.identifier: r.r.rule for r in guard.rules_for(norms, rules, ["k"]).collect()} == {"20000": "a", "123456-78901": "b", "83901": "c", "19999": "a"}
