@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import legal as L
 from ..functions import text as T
 
 c = F.col
+#: Kinds of claims in the order of an answer.
+ORDER = {"direct": 0, "evidence": 1, "audio": 2}
 #: The number of an article as rules name their own, of any length.
 WHOLE_ARTICLE = r"\d+[A-Za-z]?(?:-\d+)?(?:\.\d+)*"
 #: What the audit asks for; a case's own policy may change each: fixed values.
@@ -239,34 +242,53 @@ def compose(claims: DataFrame, budget: int = 12, related: int = 3, deep: bool =
     question is badly covered, or asks for numbers that no evidence has).  Direct claims come before evidence and speech;
     a source gets one number at its first place; a claim whose sources don't all fit into the budget is left out; without
     a direct claim at most ``related`` evidence claims are shown, or none where the evidence is insufficient.  An answer
-    has a few claims, so many questions share a task.
+    has a few claims, so a task streams its questions, in order, and holds the claims of one.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     kinds = f"question_id {claims.schema['question_id'].dataType.simpleString()}, claim_id {claims.schema['claim_id'].dataType.simpleString()}, kind string, markers array<int>, answer_kind string"
-    rank = {"direct": 0, "evidence": 1, "audio": 2}
+    ids = [to_arrow_type(claims.schema[x].dataType) for x in ("question_id", "claim_id")]
+    out = pa.schema([("question_id", ids[0]), ("claim_id", ids[1]), ("kind", pa.string()), ("markers", pa.list_(pa.int32())), ("answer_kind", pa.string())])
 
-    def choose(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        able = sorted((r for r in rows.to_pylist() if r["kind"] in rank and r["handles"]), key=lambda r: (rank[r["kind"]], r["claim_id"]))
-        direct = any(r["kind"] == "direct" for r in able)
+    def choose(rows: list[tuple]) -> list[tuple]:
+        """What is shown of one question's claims (question_id, claim_id, kind, handles, places, insufficient), which come in order."""
+        able = [r for r in rows if r[2] in ORDER and r[3]]
+        direct = any(r[2] == "direct" for r in able)
         if not direct:
-            first = [r for r in able if r["kind"] == "evidence"][: 12 if deep else related]
-            able = first + [r for r in able if r["kind"] == "audio"]
+            first = [r for r in able if r[2] == "evidence"][: 12 if deep else related]
+            able = first + [r for r in able if r[2] == "audio"]
         numbers: dict[str, int] = {}
         taken: set[str] = set()
         shown = []
-        for r in able:
-            new = {h: p for h, p in zip(r["handles"], r["places"], strict=True) if h not in numbers}
+        for _, claim, kind, handles, places, _ in able:
+            new = {h: p for h, p in zip(handles, places, strict=True) if h not in numbers}
             if len(numbers) + len(new) > budget or len(set(new.values())) < len(new) or taken & set(new.values()):
                 continue
             for h, p in new.items():
                 numbers[h] = len(numbers) + 1
                 taken.add(p)
-            shown.append((r["claim_id"], r["kind"], [numbers[h] for h in r["handles"]]))
+            shown.append((claim, kind, [numbers[h] for h in handles]))
         has_direct = any(k == "direct" for _, k, _ in shown)
-        answer = "direct" if has_direct else "partial" if shown and (deep or not rows["insufficient"][0].as_py()) else "insufficient"
-        shown = shown if answer != "insufficient" else [(None, None, [])]
-        return pa.Table.from_pylist([{"question_id": key[0].as_py(), "claim_id": i, "kind": k, "markers": m, "answer_kind": answer} for i, k, m in shown], schema=out)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    out = pa.schema([("question_id", to_arrow_type(claims.schema["question_id"].dataType)), ("claim_id", to_arrow_type(claims.schema["claim_id"].dataType)), ("kind", pa.string()), ("markers", pa.list_(pa.int32())), ("answer_kind", pa.string())])
-    return claims.groupBy("question_id").applyInArrow(choose, kinds)
+        answer = "direct" if has_direct else "partial" if shown and (deep or not rows[0][5]) else "insufficient"
+        return [(rows[0][0], *x, answer) for x in (shown if answer != "insufficient" else [(None, None, [])])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(got: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(v, f.type) for v, f in zip(zip(*got, strict=True), out, strict=True)], schema=out)
+
+        own: list[tuple] = []
+        for rows in batches:
+            got = []
+            for place, *r in zip(*(x.to_pylist() for x in rows.columns), strict=True):
+                if place == 1 and own:
+                    got += choose(own)
+                    own = []
+                own.append(tuple(r))
+            if got:
+                yield batch(got)
+        if own:
+            yield batch(choose(own))
+
+    rank = F.coalesce(*[F.when(c("kind") == k, n) for k, n in ORDER.items()], F.lit(len(ORDER)))
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy(rank, "claim_id"))
+    return claims.select(place.alias("place"), "question_id", "claim_id", "kind", "handles", "places", "insufficient").mapInArrow(run, kinds)

@@ -235,7 +235,8 @@ def _(t: Tables):
 def _(t: Tables):
     # Lines of an order are claims with a source of their own; the budget is four sources.
     kind = (c("l_orderkey") + c("l_linenumber")) % 3
-    x = t.lineitem.select(c("l_orderkey").alias("question_id"), c("l_linenumber").alias("claim_id"), F.when(kind == 0, "direct").when(kind == 1, "evidence").otherwise("audio").alias("kind")).distinct()
+    x = t.lineitem.select(c("l_orderkey").alias("question_id"), c("l_linenumber").alias("claim_id"), F.when(kind == 0, "direct").when(kind == 1, "evidence").otherwise("audio").alias("kind"))
+    x = x.repartition("question_id").distinct()  # dealt once: a question's claims are together from here on
     own = F.concat(F.lit("D"), c("claim_id").cast("string"))
     x = x.select("*", F.array(own).alias("handles"), F.array(F.concat(F.lit("p"), own)).alias("places"), F.lit(False).alias("insufficient"))
     return guard.compose(x, budget=4).select("question_id", "claim_id", "kind", F.array_join(c("markers").cast("array<string>"), ",").alias("markers"), "answer_kind")

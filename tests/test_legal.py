@@ -282,3 +282,19 @@ def test_rules_with_long_numbers(spark):
     rules = spark.createDataFrame([("19999", "Artículo 20000", "a"), ("7", "Artículo 123456-78901", "b"), ("8", "artículo 839-01.", "c")], "identifier string, title string, text string").withColumn("source", F.lit("Código"))
     norms = spark.createDataFrame([(i, "article", x, "", "") for i, x in enumerate(["20000", "2000", "123456-78901", "1234", "83901", "19999"])], "k int, kind string, identifier string, jurisdiction string, text string")
     assert {r.identifier: r.r.rule for r in guard.rules_for(norms, rules, ["k"]).collect()} == {"20000": "a", "123456-78901": "b", "83901": "c", "19999": "a"}
+
+
+def test_compose_streams_questions(spark):
+    """Many questions share a task, and a question's claims may lie in several batches; questions without an id are one."""
+    rows = [(q, i, ["audio", "evidence", "direct", None][i % 4], [f"D{i}"] if i != 6 else [], [f"p{i}"] if i != 6 else [], q == 2) for q in (None, 1, 2, 3) for i in range(7) if q != 2 or i % 4 != 2]
+    df = spark.createDataFrame(rows, "question_id long, claim_id int, kind string, handles array<string>, places array<string>, insufficient boolean")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+        got = guard.compose(df, budget=4)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = {(r.question_id, r.claim_id, r.kind, tuple(r.markers), r.answer_kind) for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    one = [(2, "direct", (1,), "direct"), (1, "evidence", (2,), "direct"), (5, "evidence", (3,), "direct"), (0, "audio", (4,), "direct")]
+    assert rows == {(q, *x) for q in (None, 1, 3) for x in one} | {(2, None, None, (), "insufficient")}
+    assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan
